@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language_gru, line_dedup, pieces, quality_gam, quality_rules, token_files
+from tessera.llm import decontaminate, language_gru, line_dedup, near_dups, pieces, quality_gam, quality_rules, secret_ledger, token_files, warc
 from tessera.llm._shared import crc_mod, new_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -29,6 +29,11 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dups.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"), F.sha2("text", 256).alias("text_sha256"))
@@ -46,12 +51,28 @@ def op7_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_records(spark, path, payloads=False))
+    page = lambda c: F.element_at(F.col(f"{c}.fields"), "page-id").cast("long")
+    return captures.select(page("metadata").alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), page("refers_to_metadata").alias("refers_to"))
+
+
+def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secret_ledger.scan_documents(docs, new_folder(spark, "ledger"))
+    count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long")
+    base = F.filter("found", lambda x: x["kind"].isin(*secret_ledger.BASE))
+    return out.select("doc_id", *[count(k).alias(f"n_{k}") for k in secret_ledger.BASE], F.sha2(secret_ledger.spans_text(base), 256).alias("base_sha256"), secret_ledger.spans_text(F.col("found")).alias("spans"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, WORDS, end_id=1)
     return token_files.read_offsets(spark, path, token_files.ids_crc32(F.col("ids")).alias("ids_crc32")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_quality_rules, op3_winnowing, op5_line_windows, op6_pieces, op7_language_gru, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_quality_rules, op3_winnowing, op4_hyperminhash, op5_line_windows, op6_pieces, op7_language_gru, op8_warc, op9_secret_ledger, op10_token_files)}
 
 ORACLE_SQL = {}
