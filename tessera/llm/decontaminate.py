@@ -112,18 +112,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_rows: int = BROAD
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with n_words, n_hit, items (array of text) and contaminated: 20 * n_hit >= n_words > 0 hits."""
+    """docs with n_words, n_hit, items (array of text) and contaminated: n_hit > 0 and 20 * n_hit >= n_words."""
     hits = contamination(docs, benchmark, block_rows).select(F.col("doc_id").alias("_tsr_id"), F.col("_tsr_text").alias("_tsr_key"), F.col("n_hit").alias("_tsr_hit"), F.col("items").alias("_tsr_items"))
     out = docs.withColumn("_tsr_text", F.xxhash64("text"))
     out = out.join(hits.hint("shuffle_hash"), out["doc_id"].eqNullSafe(hits["_tsr_id"]) & (out["_tsr_text"] == hits["_tsr_key"]), "left")
     out = out.withColumn("n_words", _count_words(F.col("text"))).withColumn("n_hit", F.coalesce("_tsr_hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("_tsr_items", F.array().cast("array<string>")))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).drop("_tsr_id", "_tsr_text", "_tsr_key", "_tsr_hit", "_tsr_items")
+    return out.withColumn("contaminated", _contaminated()).drop("_tsr_id", "_tsr_text", "_tsr_key", "_tsr_hit", "_tsr_items")
 
 
-def decontaminate_digest(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The same without the texts: only ids, hashes and counts are shuffled."""
+def _contaminated() -> Column:
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs without the contaminated ones. Few are, so their keys are broadcast if they are counted to be few; texts aren't shuffled then."""
+    slim = decontaminate_digest(docs, benchmark, block_rows=block_rows, key=True)
+    bad = cut(slim.where("contaminated").select(F.col("doc_id").alias("_tsr_id"), F.col("_tsr_text").alias("_tsr_key")).distinct())
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad.hint("shuffle_hash")
+    out = docs.withColumn("_tsr_text", F.xxhash64("text"))
+    return out.join(bad, out["doc_id"].eqNullSafe(F.col("_tsr_id")) & (F.col("_tsr_text") == F.col("_tsr_key")), "left_anti").drop("_tsr_text")
+
+
+def decontaminate_digest(docs: DataFrame, benchmark: DataFrame, block_rows: int = BROADCAST_ROWS, key: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, contaminated) without the texts: only ids, hashes and counts are shuffled. key adds _tsr_text, the text's hash."""
     slim = docs.select("doc_id", "text")
+    hits = contamination(slim, benchmark, block_rows).withColumnsRenamed({"doc_id": "_tsr_id", "_tsr_text": "_tsr_key"})
     out = slim.select("doc_id", F.xxhash64("text").alias("_tsr_text"), _count_words(F.col("text")).alias("n_words"))
-    hits = contamination(slim, benchmark, **how).withColumnsRenamed({"doc_id": "_tsr_id", "_tsr_text": "_tsr_key"})
     out = out.join(hits, out["doc_id"].eqNullSafe(hits["_tsr_id"]) & (out["_tsr_text"] == hits["_tsr_key"]), "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    out = out.select("doc_id", "_tsr_text", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).withColumn("contaminated", _contaminated())
+    return out if key else out.drop("_tsr_text")
