@@ -1,4 +1,604 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, and the same in SQL.
+
+Graphs: parts bought together in an order (part_graph); pairs in two orders or
+more (repeat_graph). Labels: a part's brand.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tessera.functions import sets, synth
+from tessera.operators import cliques, cores, graph, ids, reorder, stats, triangles
+from tessera.plans import matching
+from tessera.sources import text
+from tessera.sources.text import Pattern
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_LI = "li AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem)"
+_PART = f"{_LI}, g AS (SELECT DISTINCT a.p AS src, b.p AS dst FROM li a JOIN li b ON a.o = b.o AND a.p < b.p)"
+_REPEAT = f"{_LI}, g AS (SELECT a.p AS src, b.p AS dst FROM li a JOIN li b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2 HAVING count(*) >= 2)"
+_SYM = "sym AS (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g)"
+_LABELS = "lab AS (SELECT p_partkey AS vertex, dense_rank() OVER (ORDER BY p_brand) - 1 AS label FROM part)"
+_DEG = "deg AS (SELECT v.v, count(*) FILTER (WHERE s = 0 AND e.src IS NOT NULL) AS out_deg, count(*) FILTER (WHERE s = 1 AND e.src IS NOT NULL) AS in_deg FROM (SELECT unnest(range(0, (SELECT max(greatest(src, dst)) FROM {g}) + 1)) AS v) v LEFT JOIN (SELECT src, 0 AS s FROM {g} UNION ALL SELECT dst, 1 FROM {g}) e ON e.src = v.v GROUP BY v.v)"
+_SETS = "s AS (SELECT l_suppkey AS k, list_sort(list_distinct(list(l_partkey))) AS x FROM lineitem GROUP BY 1), p AS (SELECT a.k, a.x AS a, b.x AS b FROM s a JOIN s b ON b.k = a.k + 1)"
+_AB = "a AS (SELECT DISTINCT l_suppkey AS v, l_partkey AS x FROM lineitem WHERE l_quantity <= 25), b AS (SELECT DISTINCT l_suppkey AS v, l_partkey AS x FROM lineitem WHERE l_quantity > 25)"
+_PACK = "pa AS (SELECT v, x // 32 AS base, bit_or(1::BIGINT << (x % 32)::INT) AS state FROM a GROUP BY 1, 2), pb AS (SELECT v, x // 32 AS base, bit_or(1::BIGINT << (x % 32)::INT) AS state FROM b GROUP BY 1, 2)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# inputs
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst), src < dst, once for each order with both parts. An order's parts are grouped and paired within it: one shuffle, no self-join."""
+    li = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("p"))
+    tails = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.struct(x.alias("src"), y.alias("dst")))))
+    return li.select(F.explode(tails).alias("e")).select("e.src", "e.dst")
+
+
+def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).distinct()
+
+
+def repeat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).groupBy("src", "dst").count().where("count >= 2").select("src", "dst")
+
+
+def brand_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    # the window ranks distinct brands, not parts
+    brands = part.select("p_brand").distinct().withColumn("label", F.row_number().over(W.orderBy("p_brand")) - 1)
+    return part.join(brands, "p_brand").select(F.col("p_partkey").alias("vertex"), F.col("label").cast("bigint").alias("label"))
+
+
+def _set_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.sort_array(F.collect_set("l_partkey")).alias("x"))
+    return s.select("k", F.col("x").alias("a")).join(s.select((F.col("k") - 1).alias("k"), F.col("x").alias("b")), "k")
+
+
+def _two_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    li = _table(spark, sf_dir, "lineitem")
+    rows = lambda c: li.where(c).select(F.col("l_suppkey").alias("v"), F.col("l_partkey").alias("x")).distinct()
+    return rows("l_quantity <= 25"), rows("l_quantity > 25")
+
+
+def _packed_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    a, b = _two_sides(spark, sf_dir)
+    return sets.pack(a), sets.pack(b)
+
+
+def _text(c):
+    return F.array_join(c, " ")
+
+
+def _folder(spark: SparkSession, what: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        graph.cut(spark.range(1))
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+# edges and vertices
+
+
+@query("SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey")
+def edge_normalise(spark, sf_dir):
+    return graph.deduplicate(_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
+
+
+@query(f"WITH {_PART} SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g")
+def symmetrise(spark, sf_dir):
+    return graph.symmetrise(part_graph(spark, sf_dir))
+
+
+@query("SELECT l_partkey AS src, l_suppkey AS dst, 'forward' AS side FROM lineitem WHERE l_partkey < l_suppkey UNION ALL SELECT l_partkey, l_suppkey, 'backward' FROM lineitem WHERE l_partkey > l_suppkey")
+def orientation_split(spark, sf_dir):
+    a, b = graph.orient(_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
+    return a.withColumn("side", F.lit("forward")).union(b.withColumn("side", F.lit("backward")))
+
+
+@query(f"WITH {_PART}, {_DEG.format(g='g')} SELECT v, out_deg, in_deg, out_deg + in_deg AS deg FROM deg")
+def degree_stats(spark, sf_dir):
+    return graph.degrees(part_graph(spark, sf_dir))
+
+
+@query(f"WITH {_PART}, {_SYM} SELECT src AS v, array_to_string(list_sort(list(dst)), ' ') AS nbrs FROM sym GROUP BY src")
+def csr_adjacency(spark, sf_dir):
+    return graph.adjacency(graph.symmetrise(part_graph(spark, sf_dir))).select("v", _text("nbrs").alias("nbrs"))
+
+
+@query("WITH e AS (SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem), o AS (SELECT src AS v, list_sort(list(dst)) AS x FROM e GROUP BY 1), i AS (SELECT dst AS v, list_sort(list(src)) AS x FROM e GROUP BY 1) SELECT coalesce(o.v, i.v) AS v, coalesce(array_to_string(o.x, ' '), '') AS out_nbrs, coalesce(array_to_string(i.x, ' '), '') AS in_nbrs FROM o FULL JOIN i ON o.v = i.v")
+def csr_csc_adjacency(spark, sf_dir):
+    e = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return graph.adjacency_both(e).select("v", _text("out_nbrs").alias("out_nbrs"), _text("in_nbrs").alias("in_nbrs"))
+
+
+@query(f"WITH RECURSIVE {_REPEAT}, {_SYM}, r(v, comp) AS (SELECT src, src FROM sym UNION SELECT s.dst, r.comp FROM r JOIN sym s ON s.src = r.v WHERE r.comp < s.dst) SELECT v, min(comp) AS comp FROM r GROUP BY v")
+def connected_components(spark, sf_dir):
+    return graph.components(repeat_graph(spark, sf_dir))
+
+
+# triangles
+
+_TC = "SELECT count(*)::BIGINT AS n FROM g uv JOIN g uw ON uw.src = uv.src JOIN g vw ON vw.src = uv.dst AND vw.dst = uw.dst"
+
+
+@query(f"WITH {_PART} {_TC}")
+def tc_array(spark, sf_dir):
+    return triangles.triangle_count(part_graph(spark, sf_dir), "array", undirected=True)
+
+
+@query(f"WITH {_PART} {_TC}")
+def tc_wedge(spark, sf_dir):
+    return triangles.triangle_count(part_graph(spark, sf_dir), "wedge", undirected=True)
+
+
+@query(f"WITH {_PART} {_TC}")
+def tc_bsr(spark, sf_dir):
+    return triangles.triangle_count(part_graph(spark, sf_dir), "bsr", undirected=True)
+
+
+@query("WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem) SELECT count(*)::BIGINT AS n FROM e uv JOIN e uw ON uw.src = uv.src JOIN e vw ON vw.src = uv.dst AND vw.dst = uw.dst WHERE uv.src < uv.dst AND uw.dst < uv.src")
+def tc_directed(spark, sf_dir):
+    return triangles.triangle_count(_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
+
+
+@query(f"WITH {_PART}, t AS (SELECT uv.src AS a, uv.dst AS b, uw.dst AS c FROM g uv JOIN g uw ON uw.src = uv.src JOIN g vw ON vw.src = uv.dst AND vw.dst = uw.dst) SELECT v, count(*) AS n FROM (SELECT a AS v FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY v")
+def tc_per_vertex(spark, sf_dir):
+    return triangles.triangles_per_vertex(part_graph(spark, sf_dir))
+
+
+# set algebra on lists
+
+
+@query(f"WITH {_SETS} SELECT k, array_to_string(list_sort(list_intersect(a, b)), ' ') AS x FROM p")
+def set_intersect(spark, sf_dir):
+    return _set_pairs(spark, sf_dir).select("k", _text(sets.intersect("a", "b")).alias("x"))
+
+
+@query(f"WITH {_SETS} SELECT k, len(list_intersect(a, b))::INT AS n FROM p")
+def set_intersect_count(spark, sf_dir):
+    return _set_pairs(spark, sf_dir).select("k", sets.intersect_count("a", "b").alias("n"))
+
+
+@query(f"WITH {_SETS} SELECT k, array_to_string(list_sort(list_distinct(list_concat(a, b))), ' ') AS x FROM p")
+def set_union(spark, sf_dir):
+    return _set_pairs(spark, sf_dir).select("k", _text(sets.union("a", "b")).alias("x"))
+
+
+@query(f"WITH {_SETS} SELECT k, array_to_string(list_sort(list_distinct(list_concat(a, b))), ' ') AS x FROM p")
+def set_merge(spark, sf_dir):
+    """Merging the disjoint parts b \\ a and a."""
+    return _set_pairs(spark, sf_dir).select("k", _text(sets.merge_disjoint("a", F.array_except("b", "a"))).alias("x"))
+
+
+@query(f"WITH {_SETS} SELECT k, array_to_string(list_filter(a, lambda y: NOT list_contains(b, y)), ' ') AS x FROM p")
+def set_subtract(spark, sf_dir):
+    return _set_pairs(spark, sf_dir).select("k", _text(sets.subtract("a", "b")).alias("x"))
+
+
+@query(f"WITH {_SETS}, c AS (SELECT k, len(a) AS na, len(b) AS nb, len(list_intersect(a, b)) AS n FROM p) SELECT k, (na + nb - n)::INT AS n_or, (na - n)::INT AS n_andnot, (na + nb - 2 * n)::INT AS n_xor, round(n / (na + nb - n), 9) AS jaccard, n > 0 AS overlap FROM c")
+def set_cardinalities(spark, sf_dir):
+    return _set_pairs(spark, sf_dir).select("k", sets.union_count("a", "b").alias("n_or"), sets.subtract_count("a", "b").alias("n_andnot"), sets.symmetric_difference_count("a", "b").alias("n_xor"), F.round(sets.jaccard("a", "b"), 9).alias("jaccard"), sets.overlaps("a", "b").alias("overlap"))
+
+
+@query(f"WITH {_SETS} SELECT k, list_max(a) AS largest, list_min(a) AS smallest, list_contains(a, k) AS has_k, a[4] AS fourth, len(list_filter(a, lambda y: y <= 100))::INT AS rank_100, len(list_filter(a, lambda y: y < 10 OR y >= 50)) + 40 - len(list_filter(a, lambda y: y >= 10 AND y < 50)) AS flipped, len(list_intersect(a, b)) = len(a) AS subset, array_to_string(list_sort(list_distinct(list_append(a, 7))), ' ') AS added, array_to_string(list_filter(a, lambda y: y <> a[1]), ' ') AS removed FROM p")
+def bitmap_operations(spark, sf_dir):
+    p = _set_pairs(spark, sf_dir)
+    # flipping [10, 50): what was inside goes, the other 40 - inside come
+    return p.select("k", F.array_max("a").alias("largest"), F.array_min("a").alias("smallest"), sets.contains("a", "k").alias("has_k"), sets.select("a", F.lit(3)).alias("fourth"), sets.rank("a", F.lit(100)).alias("rank_100"), F.size(sets.flip("a", 10, 50)).cast("bigint").alias("flipped"), sets.is_subset("a", "b").alias("subset"), _text(sets.add("a", F.lit(7).cast("bigint"))).alias("added"), _text(sets.remove("a", F.get("a", F.lit(0)))).alias("removed"))
+
+
+# set algebra on packs
+
+
+@query(f"WITH {_AB}, {_PACK} SELECT v, base, state FROM pa")
+def bsr_encode(spark, sf_dir):
+    return _packed_sides(spark, sf_dir)[0]
+
+
+@query(f"WITH {_AB} SELECT v, x FROM a")
+def bsr_decode(spark, sf_dir):
+    return sets.unpack(_packed_sides(spark, sf_dir)[0])
+
+
+@query(f"WITH {_AB}, {_PACK} SELECT v, pa.base, pa.state & pb.state AS state FROM pa JOIN pb USING (v, base) WHERE pa.state & pb.state <> 0")
+def bsr_intersect(spark, sf_dir):
+    return sets.packed_intersect(*_packed_sides(spark, sf_dir), ["v"])
+
+
+@query(f"WITH {_AB} SELECT v, count(*)::BIGINT AS n FROM a JOIN b USING (v, x) GROUP BY v")
+def bsr_intersect_count(spark, sf_dir):
+    return sets.packed_size(sets.packed_intersect(*_packed_sides(spark, sf_dir), ["v"]))
+
+
+@query(f"WITH {_AB}, {_PACK} SELECT v, base, bit_or(state) AS state FROM (SELECT * FROM pa UNION ALL SELECT * FROM pb) GROUP BY 1, 2")
+def bsr_union(spark, sf_dir):
+    return sets.packed_union(*_packed_sides(spark, sf_dir), ["v"])
+
+
+@query(f"WITH {_AB}, d AS (SELECT * FROM a EXCEPT SELECT * FROM b) SELECT v, x // 32 AS base, bit_or(1::BIGINT << (x % 32)::INT) AS state FROM d GROUP BY 1, 2")
+def bsr_subtract(spark, sf_dir):
+    return sets.packed_subtract(*_packed_sides(spark, sf_dir), ["v"])
+
+
+@query(f"WITH {_AB} SELECT v, x // 32 AS base, bit_or(1::BIGINT << (x % 32)::INT) AS state FROM (SELECT * FROM a UNION SELECT v, v FROM a) GROUP BY 1, 2")
+def bsr_add_one(spark, sf_dir):
+    a, _ = _two_sides(spark, sf_dir)
+    return sets.packed_add(sets.pack(a), a.select("v", F.col("v").alias("x")).distinct())
+
+
+@query(f"WITH {_AB} SELECT v, count(*)::BIGINT AS n FROM a GROUP BY v")
+def bsr_degree(spark, sf_dir):
+    return sets.packed_size(_packed_sides(spark, sf_dir)[0])
+
+
+@query(f"WITH {_AB}, w AS (SELECT x FROM b GROUP BY x HAVING count(*) >= 2) SELECT v, x, CASE WHEN x IN (SELECT x FROM w) THEN 'X' ELSE 'P' END AS side FROM a")
+def visited_split(spark, sf_dir):
+    a, b = _two_sides(spark, sf_dir)
+    out, inside = sets.split_visited(a, b.groupBy("x").count().where("count >= 2").select("x"))
+    return out.select("v", "x", F.lit("P").alias("side")).union(inside.select("v", "x", F.lit("X").alias("side")))
+
+
+@query("WITH a AS (SELECT DISTINCT l_suppkey AS v, l_orderkey * 97 AS x FROM lineitem WHERE l_quantity <= 25), b AS (SELECT DISTINCT l_suppkey AS v, l_orderkey * 97 AS x FROM lineitem WHERE l_quantity > 25) SELECT v, x FROM a JOIN b USING (v, x)")
+def hierarchical_intersect(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("v"), (F.col("l_orderkey") * 97).alias("x"), "l_quantity")
+    a, b = (sets.partition16(li.where(c).select("v", "x").distinct()) for c in ("l_quantity <= 25", "l_quantity > 25"))
+    return sets.combine16(sets.intersect16(a, b))
+
+
+@query(f"WITH {_SETS}, c AS (SELECT least(len(a), len(b)) AS lo, greatest(len(a), len(b)) AS hi, len(list_intersect(a, b)) AS n FROM p) SELECT count(*) AS inter_cnt, count(*) FILTER (WHERE n = 0) AS no_match_cnt, count(*) FILTER (WHERE lo * 32 < hi) AS skew_cnt, count(*) FILTER (WHERE NOT lo * 32 < hi AND (n / lo < 0.3 OR lo < 8)) AS low_select_cnt FROM c")
+def pair_counters(spark, sf_dir):
+    return stats.pair_counters(_set_pairs(spark, sf_dir))
+
+
+# cores and cliques
+
+_CORE = f"""WITH RECURSIVE {_REPEAT}, {_SYM}, h(t, v, c) AS (
+SELECT 0, src, count(*) FROM sym GROUP BY src
+UNION ALL
+SELECT t + 1, v, max(least(c, k)) FROM (SELECT h.t, s.src AS v, h.c, row_number() OVER (PARTITION BY s.src ORDER BY h.c DESC) AS k FROM h JOIN sym s ON s.dst = h.v) x WHERE t < 40 GROUP BY t, v)
+SELECT r.v, coalesce(h.c, 0) AS core FROM (SELECT unnest(range(0, (SELECT max(dst) FROM g) + 1)) AS v) r LEFT JOIN (SELECT * FROM h WHERE t = 40) h ON h.v = r.v"""
+
+
+@query(_CORE)
+def kcore(spark, sf_dir):
+    return cores.core_numbers(repeat_graph(spark, sf_dir))
+
+
+@query(f"SELECT max(core) AS degeneracy FROM ({_CORE})")
+def degeneracy(spark, sf_dir):
+    return cores.degeneracy(repeat_graph(spark, sf_dir))
+
+
+@query()
+def degeneracy_order(spark, sf_dir):
+    return cores.degeneracy_order(repeat_graph(spark, sf_dir))
+
+
+def _clique_sql(g: str) -> str:
+    return f"""WITH RECURSIVE {g}, {_SYM}, adj AS (SELECT src AS v, list(dst) AS n FROM sym GROUP BY src), c(clique, common) AS (
+SELECT [g.src, g.dst], list_intersect(a.n, b.n) FROM g JOIN adj a ON a.v = g.src JOIN adj b ON b.v = g.dst
+UNION ALL
+SELECT list_append(clique, y), list_intersect(common, adj.n) FROM (SELECT clique, common, unnest(list_filter(common, lambda z: z > clique[-1])) AS y FROM c) x JOIN adj ON adj.v = x.y),
+m AS (SELECT clique FROM c WHERE len(common) = 0 UNION ALL SELECT [v] FROM (SELECT unnest(range(0, (SELECT max(dst) FROM g) + 1)) AS v) r WHERE v NOT IN (SELECT src FROM sym))"""
+
+
+@query(_clique_sql(_REPEAT) + " SELECT array_to_string(clique, ' ') AS value FROM m")
+def maximal_cliques(spark, sf_dir):
+    return text.clique_lines(cliques.maximal_cliques(repeat_graph(spark, sf_dir)))
+
+
+@query(_clique_sql(_REPEAT) + " SELECT '{' || array_to_string(clique, ',') || '}' AS value FROM m")
+def maximal_cliques_levels(spark, sf_dir):
+    return text.clique_lines(cliques.maximal_cliques(repeat_graph(spark, sf_dir), "levels"), braces=True)
+
+
+@query(_clique_sql(_REPEAT) + " SELECT max(len(clique))::INT AS maximum_clique_size FROM m")
+def maximum_clique_size(spark, sf_dir):
+    return cliques.maximum_clique_size(cliques.maximal_cliques(repeat_graph(spark, sf_dir)))
+
+
+@query(_clique_sql(_PART) + " SELECT len(clique)::INT AS size, count(*) AS n FROM m GROUP BY 1")
+def clique_histogram(spark, sf_dir):
+    return cliques.clique_sizes(cliques.maximal_cliques(part_graph(spark, sf_dir)))
+
+
+# labelled patterns
+
+PATH, TRIANGLE = Pattern((3, 7, 3), ((0, 1), (1, 2))), Pattern((1, 1, 2), ((0, 1), (1, 2), (0, 2)))
+SQUARE, STAR = Pattern((0, 1, 2, 3), ((0, 1), (1, 2), (2, 3), (0, 3))), Pattern((5, 6, 6, 8), ((0, 1), (0, 2), (0, 3)))
+SINGLE, APART = Pattern((4,)), Pattern((0, 1, 2, 3), ((0, 1), (2, 3)))
+
+
+def _match_sql(p: Pattern, g: str = _PART) -> str:
+    n = len(p.labels)
+    if n > 1 and matching.join_order(p, {}) is None:
+        tail = "SELECT " + ", ".join(f"0::BIGINT AS m{i}" for i in range(n)) + " WHERE false"
+        return f"WITH {g} {tail}"
+    tables = ", ".join(f"lab l{i}" for i in range(n))
+    where = [f"l{i}.label = {x}" for i, x in enumerate(p.labels)]
+    where += [f"EXISTS (SELECT 1 FROM sym WHERE src = l{a}.vertex AND dst = l{b}.vertex)" for a, b in p.edges]
+    if n > 1:  # joins on edges, for speed
+        tables = ", ".join([f"sym e{k}" for k in range(len(p.edges))] + [f"lab l{i}" for i in range(n)])
+        where = [f"l{i}.label = {x}" for i, x in enumerate(p.labels)] + [f"e{k}.src = l{a}.vertex AND e{k}.dst = l{b}.vertex" for k, (a, b) in enumerate(p.edges)]
+    where += [f"l{i}.vertex <> l{j}.vertex" for i in range(n) for j in range(i)]
+    return f"WITH {g}, {_SYM}, {_LABELS} SELECT " + ", ".join(f"l{i}.vertex AS m{i}" for i in range(n)) + f" FROM {tables} WHERE " + " AND ".join(where)
+
+
+def _match(spark, sf_dir, p: Pattern) -> DataFrame:
+    return matching.match_patterns(part_graph(spark, sf_dir), brand_labels(spark, sf_dir), [p])[0]
+
+
+@query(_match_sql(PATH))
+def sm_path(spark, sf_dir):
+    return _match(spark, sf_dir, PATH)
+
+
+@query(_match_sql(TRIANGLE))
+def sm_triangle(spark, sf_dir):
+    return _match(spark, sf_dir, TRIANGLE)
+
+
+@query(_match_sql(TRIANGLE))
+def sm_triangle_packed(spark, sf_dir):
+    return matching.match_packed(part_graph(spark, sf_dir), brand_labels(spark, sf_dir), TRIANGLE)
+
+
+@query(_match_sql(SQUARE))
+def sm_square(spark, sf_dir):
+    return _match(spark, sf_dir, SQUARE)
+
+
+@query(_match_sql(STAR, _REPEAT))
+def sm_star(spark, sf_dir):
+    return matching.match_patterns(repeat_graph(spark, sf_dir), brand_labels(spark, sf_dir), [STAR])[0]
+
+
+@query(_match_sql(SINGLE))
+def sm_single_vertex(spark, sf_dir):
+    return _match(spark, sf_dir, SINGLE)
+
+
+@query(_match_sql(APART))
+def sm_disconnected(spark, sf_dir):
+    return _match(spark, sf_dir, APART)
+
+
+_MULTI = (PATH, TRIANGLE, SINGLE, APART)
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS query_id, count(*) AS n FROM ({_match_sql(p)})" for i, p in enumerate(_MULTI)))
+def sm_counts(spark, sf_dir):
+    return matching.match_counts(part_graph(spark, sf_dir), brand_labels(spark, sf_dir), list(_MULTI))
+
+
+# orders and statistics
+
+_ORDER = f"WITH {_REPEAT}, {_DEG.format(g='g')}, d AS (SELECT v, out_deg + in_deg AS deg FROM deg)"
+
+
+@query(f"{_ORDER} SELECT v AS org_id, row_number() OVER (ORDER BY deg DESC, v) - 1 AS new_id FROM d")
+def order_degree_desc(spark, sf_dir):
+    return reorder.degree_order(repeat_graph(spark, sf_dir))
+
+
+@query(f"{_ORDER} SELECT v AS org_id, row_number() OVER (ORDER BY deg, v) - 1 AS new_id FROM d")
+def order_degree_asc(spark, sf_dir):
+    return reorder.degree_order(repeat_graph(spark, sf_dir), descending=False)
+
+
+@query(f"WITH RECURSIVE {_REPEAT}, {_SYM}, r(v, comp) AS (SELECT src, src FROM sym UNION SELECT s.dst, r.comp FROM r JOIN sym s ON s.src = r.v WHERE r.comp < s.dst), c AS (SELECT v, min(comp) AS root FROM r GROUP BY v), b(v, root, level) AS (SELECT v, root, 0 FROM c WHERE v = root UNION SELECT s.dst, b.root, b.level + 1 FROM b JOIN sym s ON s.src = b.v WHERE b.level < 12), m AS (SELECT v, root, min(level) AS level FROM b GROUP BY 1, 2) SELECT x.v, coalesce(m.root, x.v) AS root, coalesce(m.level, 0)::INT AS level FROM (SELECT unnest(range(0, (SELECT max(dst) FROM g) + 1)) AS v) x LEFT JOIN m ON m.v = x.v")
+def bfs_levels(spark, sf_dir):
+    return reorder.bfs_levels(repeat_graph(spark, sf_dir))
+
+
+@query()
+def order_hybrid(spark, sf_dir):
+    return reorder.hybrid_order(graph.symmetrise(repeat_graph(spark, sf_dir)))
+
+
+def _kernel_query(name: str):
+    def run(spark, sf_dir):
+        return reorder.vertex_order(graph.symmetrise(repeat_graph(spark, sf_dir)), name)
+
+    run.__name__ = f"order_{name}"
+    return run
+
+
+for _name in reorder.KERNELS:
+    query()(_kernel_query(_name))
+
+#: Whatever the order, it is a permutation and keeps every edge.
+_VALID = f"WITH {_REPEAT} SELECT max(dst) + 1 AS n, 0::BIGINT AS least, max(dst) AS largest, max(dst) + 1 AS n_distinct, 2 * count(*) AS n_edges FROM g"
+
+
+@query(_VALID)
+def order_gro_valid(spark, sf_dir):
+    edges = graph.symmetrise(repeat_graph(spark, sf_dir))
+    new, mapping = reorder.reorder(edges, "gro")
+    a = mapping.agg(F.count(F.lit(1)).alias("n"), F.min("new_id").alias("least"), F.max("new_id").alias("largest"), F.count_distinct("new_id").alias("n_distinct"))
+    return a.join(F.broadcast(new.agg(F.count(F.lit(1)).alias("n_edges"))))
+
+
+_SEDGES = f"{_PART}, {_SYM}"
+
+
+@query(f"WITH {_SEDGES}, {_DEG.format(g='sym')}, po AS (SELECT src AS v, count(DISTINCT dst // 32) AS p FROM sym GROUP BY 1), pi AS (SELECT dst AS v, count(DISTINCT src // 32) AS p FROM sym GROUP BY 1), r AS (SELECT out_deg AS od, in_deg AS id, coalesce(po.p, 0) AS po, coalesce(pi.p, 0) AS pi FROM deg LEFT JOIN po USING (v) LEFT JOIN pi USING (v)) SELECT round(sum(po) / sum(od), 6) AS out_ratio, round(sum(pi) / sum(od), 6) AS in_ratio, round((sum(po) + sum(pi)) / sum(od) / 2, 6) AS comp_ratio, round(sum(po * sqrt(od) + pi * sqrt(id)) / sum(sqrt(od) + sqrt(id)), 6) AS score, round((sum(po) + sum(pi)) / (2 * count(*)), 6) AS norm, round((2 * sum(od) + 4 * count(*)) * 4.0 / 1024 / 1024, 6) AS plain_mb, round((1.5 * (sum(po) + sum(pi)) + 4 * count(*)) * 4.0 / 1024 / 1024, 6) AS packed_mb FROM r")
+def comp_ratio(spark, sf_dir):
+    out = stats.comp_ratio(graph.symmetrise(part_graph(spark, sf_dir)))
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query(f"WITH {_PART}, {_DEG.format(g='g')}, d AS (SELECT v, out_deg + in_deg AS deg FROM deg), r AS (SELECT v, deg, sum(deg) OVER (ORDER BY deg DESC, v ROWS UNBOUNDED PRECEDING) AS running, sum(deg) OVER () AS total FROM d) SELECT v, deg, running::BIGINT AS running FROM r WHERE running - deg < 0.2 * total")
+def big_nodes(spark, sf_dir):
+    return stats.big_nodes(part_graph(spark, sf_dir), 0.2)
+
+
+@query(f"WITH {_REPEAT}, {_DEG.format(g='g')} SELECT count(*) AS n FROM deg WHERE out_deg = 1 OR in_deg = 1")
+def leaf_count(spark, sf_dir):
+    return stats.leaf_count(repeat_graph(spark, sf_dir))
+
+
+@query(f"WITH {_REPEAT}, {_DEG.format(g='g')}, t AS (SELECT sum(sqrt(out_deg) + sqrt(in_deg)) AS t FROM deg) SELECT v, round(sqrt(out_deg) / t, 9) AS alpha_out, round(sqrt(in_deg) / t, 9) AS alpha_in FROM deg, t")
+def degree_weights(spark, sf_dir):
+    return stats.degree_weights(repeat_graph(spark, sf_dir)).select("v", F.round("alpha_out", 9).alias("alpha_out"), F.round("alpha_in", 9).alias("alpha_in"))
+
+
+# ids, labels and queries
+
+_RAW = "raw AS (SELECT 'P' || l_partkey AS a, 'S' || l_suppkey AS b, l_orderkey * 10 + l_linenumber AS line FROM lineitem)"
+_FIRST = f"{_RAW}, f AS (SELECT id, min(pos) AS pos FROM (SELECT a AS id, 2 * line AS pos FROM raw UNION ALL SELECT b, 2 * line + 1 FROM raw) GROUP BY id), n AS (SELECT id AS raw_id, row_number() OVER (ORDER BY pos, id) - 1 AS new_id FROM f)"
+
+
+def _raw_edges(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("raw_src"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("raw_dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"))
+
+
+@query(f"WITH {_FIRST} SELECT raw_id, new_id FROM n")
+def densify_first_seen(spark, sf_dir):
+    return ids.densify_first_seen(_raw_edges(spark, sf_dir))
+
+
+@query(f"WITH {_FIRST}, e AS (SELECT x.new_id AS src, y.new_id AS dst FROM raw JOIN n x ON x.raw_id = a JOIN n y ON y.raw_id = b) SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e")
+def relabel_raw_edges(spark, sf_dir):
+    raw = _raw_edges(spark, sf_dir)
+    return ids.relabel_raw(raw, ids.densify_first_seen(raw), both_directions=True)
+
+
+_SORTED = "n AS (SELECT x AS org_id, row_number() OVER (ORDER BY x) - 1 AS new_id FROM (SELECT src AS x FROM g UNION SELECT dst FROM g))"
+
+
+@query(f"WITH {_REPEAT}, {_SORTED} SELECT org_id, new_id FROM n")
+def densify_sorted(spark, sf_dir):
+    return ids.densify_sorted(repeat_graph(spark, sf_dir))
+
+
+@query(f"WITH {_REPEAT}, {_SORTED} SELECT x.new_id AS src, y.new_id AS dst FROM g JOIN n x ON x.org_id = src JOIN n y ON y.org_id = dst")
+def relabel_edges(spark, sf_dir):
+    g = graph.cut(repeat_graph(spark, sf_dir))
+    return ids.relabel(g, ids.densify_sorted(g))
+
+
+@query(f"WITH {_REPEAT}, {_SORTED} SELECT org_id, (SELECT max(new_id) FROM n) - new_id AS new_id FROM n")
+def compose_mappings(spark, sf_dir):
+    one = graph.cut(ids.densify_sorted(repeat_graph(spark, sf_dir)))
+    top = one.agg(F.max("new_id").alias("top"))
+    two = one.join(F.broadcast(top)).select(F.col("new_id").alias("org_id"), (F.col("top") - F.col("new_id")).alias("new_id"))
+    return ids.compose(one, two)
+
+
+@query(f"WITH {_REPEAT}, {_SORTED}, {_LABELS} SELECT new_id AS vertex, label FROM lab JOIN n ON org_id = vertex")
+def relabel_labels(spark, sf_dir):
+    return ids.relabel_labels(brand_labels(spark, sf_dir), ids.densify_sorted(repeat_graph(spark, sf_dir)))
+
+
+@query(f"WITH {_REPEAT}, {_SORTED} SELECT x.new_id * 1000000 + row_number() OVER (PARTITION BY src ORDER BY dst) AS query_id, x.new_id || ' ' || y.new_id AS line FROM g JOIN n x ON x.org_id = src JOIN n y ON y.org_id = dst")
+def relabel_queries(spark, sf_dir):
+    g = graph.cut(repeat_graph(spark, sf_dir))
+    n = graph.cut(ids.densify_sorted(g))
+    rows = g.join(n.withColumnRenamed("org_id", "src"), "src").withColumn("query_id", F.col("new_id") * 1_000_000 + F.row_number().over(W.partitionBy("src").orderBy("dst")))
+    return ids.relabel_queries(rows.select("query_id", F.concat_ws(" ", "src", "dst").alias("line")), n)
+
+
+def _lehmer_sql(n: str, seed: int, bound: str) -> str:
+    return f"((((({n}) * 40503 + {seed + 1}) % 2147483647 * 48271) % 2147483647 * 48271) % 2147483647) % {bound}"
+
+
+_PARTS = "(SELECT max(p_partkey) + 1 FROM part)"
+
+
+def _n_parts(spark, sf_dir) -> int:
+    return _table(spark, sf_dir, "part").agg(F.max("p_partkey") + 1).first()[0]
+
+
+@query(f"SELECT i AS vertex, {_lehmer_sql('i', 0, '100')} AS label FROM range(0, {_PARTS}) t(i)")
+def generate_labels(spark, sf_dir):
+    return ids.gen_labels(spark, _n_parts(spark, sf_dir))
+
+
+@query(f"SELECT i AS query_id, {_lehmer_sql('i', 0, _PARTS)} AS vertex FROM range(0, 1000) t(i)")
+def generate_vertex_queries(spark, sf_dir):
+    return ids.gen_vertex_queries(spark, _n_parts(spark, sf_dir))
+
+
+@query(f"SELECT i AS query_id, {_lehmer_sql('2 * i', 0, _PARTS)} AS src, {_lehmer_sql('2 * i + 1', 0, _PARTS)} AS dst FROM range(0, 50000) t(i)")
+def generate_distance_queries(spark, sf_dir):
+    return ids.gen_distance_queries(spark, _n_parts(spark, sf_dir))
+
+
+_LEN, _SKEW, _SEL, _DENS = 40_000, 4.0, 0.1, 0.01
+_NB, _NC = int(_LEN / _SKEW), min(int(_LEN / _SKEW), int(_LEN * _SEL))
+_TOTAL = _LEN + _NB - _NC
+_PRIME = synth.next_prime(max(_TOTAL + 1, min(int(_TOTAL / _DENS), ids.PRIME)))
+
+
+@query(f"WITH r AS (SELECT i, ((i + 1) * 48271) % {_PRIME} AS x FROM range(0, {_TOTAL}) t(i)) SELECT 'a' AS set_id, x FROM r WHERE i < {_LEN} UNION ALL SELECT 'b', x FROM r WHERE i < {_NC} OR i >= {_LEN}")
+def generate_set_pair(spark, sf_dir):
+    return synth.set_pair(spark, _LEN, _SKEW, _SEL, _DENS)
+
+
+@query("WITH m AS (SELECT 0.75::DOUBLE * (1 - 16777215.0::DOUBLE / 4294967295.0::DOUBLE) AS s), l AS (SELECT s ** 4 AS n0, 4 * s ** 3 * (1 - s) AS n1 FROM m), q AS (SELECT n0 ** 4 AS none, 1 - (n0 + n1) ** 4 AS several FROM l) SELECT round(none, 9) AS no_match, round(several, 9) AS multi_match, round(4 * none + 12 * (1 - none), 9) AS word_check_cost, round(2 * none + 6 * (1 - none - several) + 8.2 * several, 9) AS byte_filter_cost FROM q")
+def filter_cost(spark, sf_dir):
+    out = synth.filter_cost(spark)
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
+
+
+@query("WITH a AS (SELECT l_linenumber AS x, sum(l_quantity) AS t FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_linenumber AS x, sum(l_quantity) AS t FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT x, round(b.t / a.t, 6) AS ratio FROM a JOIN b USING (x)")
+def relative_speed(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem")
+    series = lambda f: li.where(F.col("l_returnflag") == f).groupBy(F.col("l_linenumber").alias("x")).agg(F.sum("l_quantity").alias("t"))
+    return synth.relative_speed(series("A"), series("R")).select("x", F.round("ratio", 6).alias("ratio"))
+
+
+# files
+
+
+@query(f"WITH {_REPEAT} SELECT src, dst FROM g")
+def edge_file_round_trip(spark, sf_dir):
+    path = _folder(spark, "edges")
+    text.write_edges(repeat_graph(spark, sf_dir), path)
+    return text.read_edges(spark, path)
+
+
+@query(f"WITH {_REPEAT}, {_SORTED} SELECT org_id, new_id FROM n")
+def id_file_round_trip(spark, sf_dir):
+    path = _folder(spark, "ids")
+    text.write_ids(ids.densify_sorted(repeat_graph(spark, sf_dir)), path)
+    return text.read_ids(spark, path)
+
+
+@query("SELECT coalesce(try_cast(regexp_extract(value, '^(\\d*)(?:.(\\d*))?', 1) AS BIGINT), 0) AS src, coalesce(try_cast(regexp_extract(value, '^(\\d*)(?:.(\\d*))?', 2) AS BIGINT), 0) AS dst FROM (SELECT CASE l_linenumber % 3 WHEN 0 THEN l_partkey || ' ' || l_suppkey || ' 9' WHEN 1 THEN l_partkey || chr(9) || l_suppkey ELSE l_partkey || '  ' || l_suppkey END AS value FROM lineitem)")
+def parse_edges_strict(spark, sf_dir):
+    p, s = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    kind = F.col("l_linenumber") % 3
+    line = F.when(kind == 0, F.concat(p, F.lit(" "), s, F.lit(" 9"))).when(kind == 1, F.concat(p, F.lit("\t"), s)).otherwise(F.concat(p, F.lit("  "), s))
+    return text.parse_edges(_table(spark, sf_dir, "lineitem").select(line.alias("value")), "strict")
+
+
+@query(" UNION ALL ".join(f"SELECT 'ans{i}=' || count(*) AS value FROM ({_match_sql(p)})" for i, p in enumerate(_MULTI)))
+def match_count_lines(spark, sf_dir):
+    path = _folder(spark, "counts")
+    text.write_match_counts(sm_counts(spark, sf_dir), path)
+    return spark.read.text(path)
