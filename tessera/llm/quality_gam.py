@@ -126,7 +126,7 @@ def _tree_2d(g: np.ndarray, h: np.ndarray, ridge: float) -> tuple[np.ndarray, fl
     return best, most
 
 
-def fit_gam(x: np.ndarray, y: np.ndarray, bins: int = 64, coarse_bins: int = 12, rounds: int = 150, pair_rounds: int = 60, n_pairs: int = 8, leaves: int = 4, rate: float = 0.1, ridge: float = 2.0) -> Gam:
+def fit_gam(x: np.ndarray, y: np.ndarray, bins: int = 64, coarse_bins: int = 12, rounds: int = 150, pair_rounds: int = 100, n_pairs: int = 8, leaves: int = 4, rate: float = 0.1, ridge: float = 10.0) -> Gam:
     """Cyclic boosting: every round gives each feature (then each pair) one shallow tree."""
     share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
     model = Gam(float(np.log(share / (1 - share))))

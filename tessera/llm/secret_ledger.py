@@ -79,7 +79,7 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, kind, version, start, end) of blobs (blob, text, kinds): each text by the rules that kinds names."""
     none = F.array().cast("array<struct<kind:string,version:int,i:int,gap:int,size:int,held:int>>")
     each = [F.coalesce(F.when(F.array_contains("kinds", r.kind), _pieces(F.col("text"), r)), none) for r in rules]
-    rows = blobs.select("blob", F.explode_outer(F.concat(*each)).alias("x")).where(F.col("x").isNotNull()).select("blob", "x.*")
+    rows = blobs.select("blob", F.explode_outer(F.concat(*each)).alias("x")).where(F.col("x").isNotNull()).select("blob", "x.*").distinct()  # a blob that came twice counts once
     end = F.sum(F.col("gap") + F.col("size")).over(W.partitionBy("blob", "kind").orderBy("i"))
     out = rows.withColumn("end", end.cast("int")).withColumn("start", F.col("end") - F.col("size"))
     least = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.least))])
