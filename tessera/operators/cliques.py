@@ -1,10 +1,11 @@
 """Maximal cliques.
 
 `search` (default): every vertex is the root of the cliques in which it comes
-first in degeneracy order. Its later neighbours are candidates, its earlier ones
+first in an order. Its later neighbours are candidates, its earlier ones
 excluded, and the edges among them are joined to it, so a task gets one root's
-neighbourhood at a time: at most degeneracy candidates each, whatever the graph.
-A pivoted search on bit masks lists the cliques. `levels` grows cliques by joins
+neighbourhood at a time. In degree order (default) a root has at most sqrt(2 E)
+candidates; in degeneracy order no more than the degeneracy, for the price of the
+k-core rounds. A pivoted search on bit masks lists the cliques. `levels` grows cliques by joins
 alone; it lists every clique and is meant for graphs whose cliques are small.
 
 Vertices without neighbours, id gaps too, are maximal cliques of one vertex. An
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.cores import degeneracy_order
-from tessera.operators.graph import adjacency, canonical, cut, symmetrise, vertices
+from tessera.operators.graph import adjacency, canonical, cut, degrees, symmetrise, vertices
 
 
 def search_cliques(later: list[int], earlier: list[int], edges: list[tuple[int, int]]) -> Iterator[list[int]]:
@@ -58,17 +59,23 @@ def search_cliques(later: list[int], earlier: list[int], edges: list[tuple[int,
             gone |= low
 
 
-def _roots(edges: DataFrame) -> DataFrame:
+def _roots(edges: DataFrame, order: str) -> DataFrame:
     """(v, later, earlier, inner): each vertex's neighbours by order, and the edges among them that touch a later one."""
     both = cut(symmetrise(canonical(edges)))
-    rank = degeneracy_order(both)
+    if order == "degeneracy":
+        rank = degeneracy_order(both)
+    elif order == "degree":
+        # any total order serves; ranks needn't be dense, so no sort is due
+        rank = degrees(both, every=False).select("v", F.struct("deg", "v").alias("rank"))
+    else:
+        raise ValueError(f"order must be degree or degeneracy, not {order!r}")
+    rank = cut(rank)
     ranked = cut(both.join(rank.withColumnsRenamed({"v": "src", "rank": "rs"}), "src").join(rank.withColumnsRenamed({"v": "dst", "rank": "rd"}), "dst"))
     forward = ranked.where("rs < rd").select("src", "dst")
     # every triangle, seen from its first, middle and last vertex: the other two are joined below that vertex
     wedge = forward.join(forward.select("src", F.col("dst").alias("w")), "src").where("dst < w")
     closed = wedge.join(both.select(F.col("src").alias("dst"), F.col("dst").alias("w")), ["dst", "w"], "left_semi")
-    order = rank.select("v", "rank")
-    tri = closed.select(F.col("src").alias("p"), F.col("dst").alias("q"), F.col("w").alias("r")).join(order.withColumnsRenamed({"v": "q", "rank": "rq"}), "q").join(order.withColumnsRenamed({"v": "r", "rank": "rr"}), "r")
+    tri = closed.select(F.col("src").alias("p"), F.col("dst").alias("q"), F.col("w").alias("r")).join(rank.withColumnsRenamed({"v": "q", "rank": "rq"}), "q").join(rank.withColumnsRenamed({"v": "r", "rank": "rr"}), "r")
     mid, last = F.when(F.col("rq") < F.col("rr"), F.col("q")).otherwise(F.col("r")), F.when(F.col("rq") < F.col("rr"), F.col("r")).otherwise(F.col("q"))
     # below the last vertex both others are earlier, so their edge isn't needed
     seen = tri.select(F.explode(F.array(F.struct(F.col("p").alias("v"), F.col("q").alias("a"), F.col("r").alias("b")), F.struct(mid.alias("v"), F.col("p").alias("a"), last.alias("b")))).alias("t")).select("t.*")
@@ -77,7 +84,7 @@ def _roots(edges: DataFrame) -> DataFrame:
     return side.join(inner, "v", "left")
 
 
-def maximal_cliques(edges: DataFrame, strategy: str = "search") -> DataFrame:
+def maximal_cliques(edges: DataFrame, strategy: str = "search", order: str = "degree") -> DataFrame:
     """(clique): ascending vertex arrays."""
     if strategy == "levels":
         found = _by_levels(edges)
@@ -95,7 +102,7 @@ def maximal_cliques(edges: DataFrame, strategy: str = "search") -> DataFrame:
                 yield pd.DataFrame({"clique": out})
 
         # roots are dealt at random: a core's costly roots have neighbouring ids
-        roots = _roots(edges).repartition(F.xxhash64("v"))
+        roots = _roots(edges, order).repartition(F.xxhash64("v"))
         found = roots.mapInPandas(run, "clique array<bigint>")
     else:
         raise ValueError(f"strategy must be search or levels, not {strategy!r}")
