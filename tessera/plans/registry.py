@@ -371,9 +371,9 @@ def sm_square(spark, sf_dir):
     return _match(spark, sf_dir, SQUARE)
 
 
-@query(_match_sql(STAR, _REPEAT))
+@query(_match_sql(STAR))
 def sm_star(spark, sf_dir):
-    return matching.match_patterns(repeat_graph(spark, sf_dir), brand_labels(spark, sf_dir), [STAR])[0]
+    return _match(spark, sf_dir, STAR)
 
 
 @query(_match_sql(SINGLE))
