@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +62,19 @@ def one_label(labels: DataFrame, label: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slices(*columns: pa.Array, size: int = 1 << 20) -> Iterator[tuple[list, ...]]:
+    """Successive rows of equally long columns as Python lists, about `size` bytes of strings and binaries at a time.
+
+    A batch from Spark may hold thousands of long rows; Python objects then exist for a slice of it alone.
+    """
+    n = len(columns[0])
+    sized = [c for c in columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+    ends = np.cumsum(sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in sized)) if n else []
+    at = 0
+    while at < n:
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
+        yield tuple(c.slice(at, to - at).to_pylist() for c in columns)
+        at = to

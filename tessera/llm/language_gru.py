@@ -7,8 +7,8 @@ language probabilities from the forward and backward states, and a document's
 are the mean over its positions.
 
 Training rows are bounded by documented parameters: at most `per_language`
-documents of each language, those of least id hash, and of each the windows at
-`windows` places spread over the whole text. Scoring has no bounds.
+documents of each of the `max_languages` most frequent languages, those of least
+id hash, and of each the windows at `windows` places spread over the whole text. Scoring has no bounds.
 
 Defined cases: null texts and texts without a letter are "und" with score 0;
 with nothing to learn from every text is "und"; repeated rows are scored
@@ -21,12 +21,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import crc_mod
+from tessera.llm._shared import crc_mod, slices
 
 WINDOW, BATCH = 96, 2048
 
@@ -174,9 +174,11 @@ def fit_language_model(windows: np.ndarray, labels: np.ndarray, languages: list[
     return model
 
 
-def training_windows(docs: DataFrame, learnable: Column, per_language: int = 400, windows: int = 6) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """At most per_language x languages x windows rows of WINDOW bytes from learnable documents."""
+def training_windows(docs: DataFrame, learnable: Column, per_language: int = 400, windows: int = 6, max_languages: int = 200) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """At most per_language x max_languages x windows rows of WINDOW bytes from learnable documents, of the most frequent languages."""
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang")
+    names = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    rows = rows.where(F.col("lang").isin(names))
     # the window keeps per_language rows a task and language before it shuffles any
     chosen = rows.withColumn("_tsr_n", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("_tsr_n") <= per_language).select("doc_id", "lang").distinct()
     raw = docs.select("doc_id", F.col("lang").alias("_tsr_lang"), F.col("text").cast("binary").alias("b")).join(F.broadcast(chosen), "doc_id").where(F.col("_tsr_lang") == F.col("lang"))
@@ -200,11 +202,12 @@ def train(docs: DataFrame, per_language: int = 400, **how) -> LanguageModel | No
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """docs with lang_pred and score."""
 
-    @F.pandas_udf("k int, p double")
-    def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("k int, p double")
+    def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            p = model.predict([bytes(t) for t in texts])
-            yield pd.DataFrame({"k": p.argmax(1), "p": np.clip(p.max(1), 0, 1)})
+            for (group,) in slices(texts, size=4 * WINDOW * BATCH):
+                p = model.predict(group)
+                yield pa.StructArray.from_arrays([pa.array(p.argmax(1), pa.int32()), pa.array(np.clip(p.max(1), 0, 1), pa.float64())], ["k", "p"])
 
     letter = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
     if model is None:

@@ -27,11 +27,12 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from tessera.llm._shared import BROADCAST_ROWS
+from tessera.llm._shared import BROADCAST_ROWS, slices
 
 RECORDS_PER_FILE = 4_000
 DATE = "2000-01-01T00:00:00Z"
@@ -79,11 +80,13 @@ def capture_records(page_id: int | None, url: str | None, payload: bytes, sha1:
     ))
 
 
-@F.pandas_udf(BinaryType())
-def _captures(page_id: pd.Series, url: pd.Series, payload: pd.Series, sha1: pd.Series, to_id: pd.Series, to_url: pd.Series, again: pd.Series) -> pd.Series:
-    num = lambda x: None if x is None or x != x else int(x)
-    # without the final zero byte, which the writer adds
-    return pd.Series([capture_records(num(i), u, bytes(p), s, (num(ti), tu) if a else None)[:-1] for i, u, p, s, ti, tu, a in zip(page_id, url, payload, sha1, to_id, to_url, again)])
+@F.arrow_udf(BinaryType())
+def _captures(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Members of captures given by page_id, url, payload, sha1, the response's page_id and url, and whether it is a revisit."""
+    for batch in batches:
+        for columns in slices(*batch):
+            # without the final zero byte, which the writer adds
+            yield pa.array([capture_records(i, u, p, s, (ti, tu) if again else None)[:-1] for i, u, p, s, ti, tu, again in zip(*columns)], pa.binary())
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
@@ -95,8 +98,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     small = twice.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = rows.join(F.broadcast(twice) if small else twice.hint("shuffle_hash"), "sha1", "left")
     again = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
-    # ids travel as text: a column with nulls would turn to floats and lose digits
-    out = joined.select(_captures(F.col("page_id").cast("string"), "url", "payload", "sha1", F.col("first.page_id").cast("string"), "first.url", again).alias("members"))
+    out = joined.select(_captures("page_id", "url", "payload", "sha1", "first.page_id", "first.url", again).alias("members"))
     out.select(F.col("members").cast("string").alias("value")).write.mode("errorifexists").option("lineSep", "\x00").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
