@@ -6,7 +6,7 @@ leading-zero count and ten mantissa bits. Six buckets make a band; texts that
 agree in one of 32 bands are candidates (a pair at the threshold of 0.85 is
 missed with probability 3e-7). Candidates pass by the Jaccard similarity
 estimated from the registers, corrected for the chance of equal compressed
-registers, with a margin of seven standard deviations; what passes is confirmed
+registers, seven standard deviations below the threshold; what passes is confirmed
 on the full sets.
 
 No bucket emits all its pairs at once. Equal sets are one node throughout.
@@ -14,8 +14,8 @@ First each band bucket links its members to its least member (a star), and
 connected components are formed. Only buckets that still hold several
 components are looked at again, and of them only pairs across components:
 buckets of up to SMALL members pair up directly; larger ones are first split by
-a second band, which a true pair shares too. What remains large is paired in
-blocks. So links are lost neither to caps nor to the choice of the star.
+a second band, which a true pair shares too, and what a part still mixes pairs
+up in full. So links are lost neither to caps nor to the choice of the star.
 
 Nothing is collected to the driver; loops end by counts. Intermediate tables go
 to the shared folder.
@@ -29,14 +29,16 @@ texts joins a group by each of them; clashing columns are replaced.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
-from tessera.llm._shared import BROADCAST_ROWS, cut
+from tessera.llm._shared import BROADCAST_ROWS, cut, slices
 
 WORDS, BANDS, BAND = 5, 32, 6
 REGISTERS = BANDS * BAND
@@ -87,26 +89,32 @@ def compress(least: np.ndarray) -> np.ndarray:
     return ((32 - exponent).astype(np.uint16) << MANTISSA) | mantissa.astype(np.uint16)
 
 
-@F.pandas_udf(StructType([StructField("n", LongType()), StructField("node", BinaryType()), StructField("regs", BinaryType())]))
-def _sketch(texts: pd.Series) -> pd.DataFrame:
-    rows, least = [], np.empty((len(texts), REGISTERS), np.uint32)
-    for i, t in enumerate(texts):
-        s = shingle_set(t)
-        rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()))
-        least[i] = least_hashes(s)
-    regs = compress(least).astype("<u2")
-    return pd.DataFrame({"n": [n for n, _ in rows], "node": [d for _, d in rows], "regs": [r.tobytes() for r in regs]})
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.astype("<u8").tobytes(), digest_size=16).digest()
 
 
-@F.pandas_udf(StructType([StructField("node", BinaryType()), StructField("shingles", BinaryType())]))
-def _sets(texts: pd.Series) -> pd.DataFrame:
-    sets = [shingle_set(t).astype("<u8").tobytes() for t in texts]
-    return pd.DataFrame({"node": [hashlib.blake2b(s, digest_size=16).digest() for s in sets], "shingles": sets})
+@F.arrow_udf(StructType([StructField("n", LongType()), StructField("node", BinaryType()), StructField("regs", BinaryType())]))
+def _sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        for (group,) in slices(texts):
+            sets = [shingle_set(t) for t in group]
+            regs = compress(np.array([least_hashes(s) for s in sets])).astype("<u2")
+            yield pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())], ["n", "node", "regs"])
 
 
-@F.pandas_udf(LongType())
-def _shared_size(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(a, b)], dtype="int64")
+@F.arrow_udf(StructType([StructField("node", BinaryType()), StructField("shingles", BinaryType())]))
+def _sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        for (group,) in slices(texts):
+            sets = [shingle_set(t) for t in group]
+            yield pa.StructArray.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+
+
+@F.arrow_udf(LongType())
+def _shared_size(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for a, b in batches:
+        for left, right in slices(a, b):
+            yield pa.array([len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(left, right)], pa.int64())
 
 
 @F.pandas_udf(DoubleType())

@@ -20,11 +20,13 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TABLE_CHUNKS = 400_000
+from tessera.llm._shared import slices
+
+TABLE_CHUNKS = 250_000
 MARK = "▁"
 _CHUNK = re.compile(" +[^ ]*")
 
@@ -80,19 +82,6 @@ class ChunkTable:
         return out
 
 
-def _groups(texts: pd.Series, chars: int = 1 << 19) -> Iterator[list[str]]:
-    """Successive texts of about so many characters together."""
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t or "")
-        if size >= chars:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 _tables: dict[str, ChunkTable] = {}
 
 
@@ -107,12 +96,16 @@ def chunk_table(model_path: str) -> ChunkTable:
 def encode_pieces(docs: DataFrame, model_path: str, bos: bool = True, eos: bool = True, as_list: bool = True) -> DataFrame:
     """docs with ids and decoded. ids is array<int>, or with as_list=False the same ids as little-endian 32-bit integers in binary."""
 
-    @F.pandas_udf(f"ids {'array<int>' if as_list else 'binary'}, decoded string")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kind = pa.list_(pa.int32()) if as_list else pa.binary()
+
+    @F.arrow_udf(f"ids {'array<int>' if as_list else 'binary'}, decoded string")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = chunk_table(model_path)
         for texts in batches:
-            rows = [row for group in _groups(texts) for row in table.encode(group, bos, eos)]
-            yield pd.DataFrame({"ids": [np.frombuffer(i, "<i4") for i, _ in rows] if as_list else [i for i, _ in rows], "decoded": [t for _, t in rows]}, dtype=object)
+            for (group,) in slices(texts):
+                rows = table.encode(group, bos, eos)
+                ids = [np.frombuffer(i, "<i4") for i, _ in rows] if as_list else [i for i, _ in rows]
+                yield pa.StructArray.from_arrays([pa.array(ids, kind), pa.array([t for _, t in rows], pa.string())], ["ids", "decoded"])
 
     out = docs.withColumn("_tsr_out", encoded(F.coalesce(F.col("text"), F.lit(""))))
     return out.withColumns({"ids": F.col("_tsr_out.ids"), "decoded": F.col("_tsr_out.decoded")}).drop("_tsr_out")

@@ -13,14 +13,16 @@ clash with an output name are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import crc_mod, one_label
+from tessera.llm._shared import crc_mod, one_label, slices
 
 FEATURES = (
     "log_words", "word_length", "symbols", "upper", "digits", "stops", "bangs", "distinct_words", "adjacent_repeats",
@@ -165,7 +167,7 @@ def fit_gam(x: np.ndarray, y: np.ndarray, bins: int = 64, coarse_bins: int = 12,
     return model
 
 
-def features_of(texts: pd.Series) -> np.ndarray:
+def features_of(texts: Sequence[bytes | None]) -> np.ndarray:
     return np.array([text_features(t) for t in texts], dtype=float).reshape(len(texts), len(FEATURES))
 
 
@@ -190,9 +192,11 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = 20_000) -> Gam:
 def score_column(model: Gam, text: Column) -> Column:
     """P(label 1) of a text column. The tables travel with the function: they are small and bounded."""
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(features_of(texts)))
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for (group,) in slices(texts):
+                yield pa.array(model.score(features_of(group)), pa.float64())
 
     return scored(text.cast("binary"))
 
