@@ -64,7 +64,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(*columns: pa.Array, size: int = 1 << 20) -> Iterator[tuple[list, ...]]:
+def slices(*columns: pa.Array, size: int = 1 << 19) -> Iterator[tuple[list, ...]]:
     """Successive rows of equally long columns as Python lists, about `size` bytes of strings and binaries at a time.
 
     A batch from Spark may hold thousands of long rows; Python objects then exist for a slice of it alone.
@@ -78,3 +78,5 @@ def slices(*columns: pa.Array, size: int = 1 << 20) -> Iterator[tuple[list, ...]
         to = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
         yield tuple(c.slice(at, to - at).to_pylist() for c in columns)
         at = to
+    # workers live on from stage to stage; what Arrow holds back adds up in an executor
+    pa.default_memory_pool().release_unused()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._shared import slices
 
-TABLE_CHUNKS = 250_000
+TABLE_CHUNKS = 120_000
 MARK = "▁"
 _CHUNK = re.compile(" +[^ ]*")
 
