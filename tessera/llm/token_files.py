@@ -12,7 +12,7 @@ Offsets are sums of n_tokens, first within a file, then over the files' totals,
 which are one row a file.
 
 Tokenising: white space parts words before the vocabulary's own rules apply,
-and the library encodes each distinct word of a worker once (bounded table).
+and the library encodes each distinct word of a worker once (bounded tables).
 
 Defined cases: null is the empty text (the end id alone); rows of equal doc_id
 are ordered by text hash; null ids come first; an empty table writes no rows.
@@ -23,21 +23,28 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-TABLE_WORDS = 500_000
+from tessera.llm._shared import slices
+
+TABLE_WORDS = 300_000
 #: A file's rows are numbered from file * 2**33 on, as monotonically_increasing_id does.
 _FILE_SHIFT = 33
 #: A word of Latin letters, and punctuation after it that starts a part of its own.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@[-`{}~]*)")
 
+_JOINED = re.compile(r"[\W_][.,]\s")
+#: Blanks to str.split(), though not to the vocabulary.
+_SEPARATOR = re.compile("[\x1c-\x1f]")
+
 
 class WordTable:
     """Distinct word -> little-endian 32-bit ids.
@@ -53,7 +60,7 @@ class WordTable:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.merges = self.tokenizer.model
-        self.limit, self.table, self.known = limit, {}, {}
+        self.limit, self.table, self.old, self.known = limit // 2, {}, {}, {}
         as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(i) for i in range(0x41, 0x100) if _PLAIN.fullmatch(chr(i))]
         # to lower case, and to the characters that stand for a letter's bytes
@@ -73,15 +80,18 @@ class WordTable:
         return same and self.whole("Some  words, here!?") == apart and not self.whole(" ")
 
     def plain(self, word: str) -> bytes:
-        return np.array([t.id for t in self.merges.tokenize(word.translate(self.letters))], "<u4").tobytes()
+        word = word.lower() if word.isascii() else word.translate(self.letters)
+        return array("I", [t.id for t in self.merges.tokenize(word)]).tobytes()
 
     def learn(self, words: set[str]) -> None:
+        plain, full, old = _PLAIN.fullmatch, self.table, self.old
         for w in words:
-            m = _PLAIN.fullmatch(w)
-            if m and len(w) < 200:
-                self.table[w] = self.plain(m[1]) + (self.tail(m[2]) if m[2] else b"")
+            if w in old:
+                full[w] = old[w]
+            elif (m := plain(w)) and len(w) < 200:
+                full[w] = self.plain(m[1]) + (self.tail(m[2]) if m[2] else b"")
             else:
-                self.table[w] = self.whole(w)
+                full[w] = self.whole(w)
 
     def tail(self, marks: str) -> bytes:
         if marks not in self.known:
@@ -90,19 +100,29 @@ class WordTable:
             self.known[marks] = self.whole(marks)
         return self.known[marks]
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+    def encode(self, texts: list[str]) -> list[bytes]:
         if not self.parts:
-            return self.whole(text)
-        words = text.split(" ")
-        missing = set(words).difference(self.table)
+            return [self.whole(t) for t in texts]
+        cut = [self.split(t) for t in texts]
+        missing = set().union(*cut).difference(self.table)
         if missing:
             if len(self.table) + len(missing) > self.limit:
-                self.table.clear()
-                missing = set(words)
+                # what was used since the last turn stays at hand in old
+                self.old, self.table = self.table, {}
+                missing = set().union(*cut)
             self.learn(missing)
-        return b"".join([self.table[w] for w in words])
+        get = self.table.__getitem__
+        return [b"".join(map(get, words)) for words in cut]
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """Words between white space. Lower case comes first where it is letter by letter and can't make a special token;
+        full stops and commas part from the letter before them, unless another mark stands there and joins them."""
+        if "<|" not in text and "Σ" not in text and "İ" not in text:
+            text = text.lower()
+        if not _JOINED.search(text):
+            text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")
+        return text.split(" ") if _SEPARATOR.search(text) else text.split()
 
 
 _tables: dict[str, WordTable] = {}
@@ -118,11 +138,12 @@ def word_table(vocabulary: str) -> WordTable:
 def tokens_column(vocabulary: str, end_id: int, text: Column) -> Column:
     """array<int> of a text's ids and the end id."""
 
-    @F.pandas_udf("array<int>")
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table, end = word_table(vocabulary), np.array([end_id], "<u4").tobytes()
         for texts in batches:
-            yield pd.Series([np.frombuffer(table.encode(t) + end, "<i4") for t in texts], dtype=object)
+            for (group,) in slices(texts):
+                yield pa.array([np.frombuffer(ids + end, "<i4") for ids in table.encode(group)], pa.list_(pa.int32()))
 
     return tokens(text)
 
@@ -151,7 +172,8 @@ def read_offsets(spark: SparkSession, path: str, *more: Column) -> DataFrame:
     return out.select("row", "doc_id", "start", *[c for c in rows.columns if c not in ("row", "doc_id", "file", "_tsr_in")])
 
 
-@F.pandas_udf(LongType())
-def ids_crc32(ids: pd.Series) -> pd.Series:
+@F.arrow_udf(LongType())
+def ids_crc32(ids: pa.Array) -> pa.Array:
     """Unsigned crc32 of ids as little-endian 32-bit integers."""
-    return pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in ids], dtype="int64")
+    flat, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
+    return pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.int64())
