@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, language_gru, line_dedup, near_dups, pieces, quality_gam, quality_rules, secret_ledger, token_files, warc
-from tessera.llm._shared import crc_mod, new_folder, table
+from tessera.llm._shared import crc_mod, cut, new_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -54,7 +54,8 @@ def op7_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(warc.read_records(spark, path, payloads=False))
+    # headers and digests alone: small, and used by several joins
+    captures = warc.assemble(cut(warc.read_records(spark, path, payloads=False)))
     page = lambda c: F.element_at(F.col(f"{c}.fields"), "page-id").cast("long")
     return captures.select(page("metadata").alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), page("refers_to_metadata").alias("refers_to"))
 

@@ -36,6 +36,7 @@ from tessera.llm._shared import BROADCAST_ROWS, slices
 
 RECORDS_PER_FILE = 4_000
 DATE = "2000-01-01T00:00:00Z"
+_STEP = 1 << 14
 _MEMBER = 1 << 23  # bytes in a gzip member; must stay under 2**24
 
 _RECORD = "type string, record_id string, concurrent_to string, refers_to string, target string, http_headers string, payload_digest string, payload_bytes long, payload binary, fields map<string,string>"
@@ -106,10 +107,13 @@ def _members(content: bytes) -> Iterator[bytes]:
     """Inflated records: members are put together until the record's Content-Length is reached."""
     view, at, parts = memoryview(content), 0, b""
     while at < len(view):
-        z = zlib.decompressobj(31)
-        data = z.decompress(view[at:]) + z.flush()
-        at = len(view) - len(z.unused_data)
-        parts = parts + data if parts else data
+        z, found = zlib.decompressobj(31), []
+        while not z.eof and at < len(view):
+            # in small steps: what follows a member is copied each time one ends
+            step = view[at : at + _STEP]
+            found.append(z.decompress(step))
+            at += len(step) - len(z.unused_data)
+        parts += b"".join(found)
         head = parts.find(b"\r\n\r\n")
         length = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", parts[: head + 2])[1])
         if len(parts) >= head + 4 + length + 4:
