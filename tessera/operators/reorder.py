@@ -1,10 +1,11 @@
 """Vertex orders: (org_id, new_id), a permutation of 0..V-1.
 
-Degree orders and the hybrid order are DataFrame plans. The others follow one
-vertex after another by nature. They run as kernels on blocks of at most
-BLOCK_VERTICES vertices: a graph that fits one block gets the exact order; of a
-larger one every block (vertices next to each other in degree-ranked order)
-is ordered by itself on its inner edges, block after block.
+Degree, hybrid, breadth-first, RCM and first-touch orders are DataFrame plans on
+all edges. The others follow one vertex after another by nature and run as a
+kernel that holds the whole graph in one task; a graph too large for it is an
+error, not another order. Only a caller that gives `block` gets the block form:
+blocks of so many vertices (next to each other in degree-ranked order), each
+ordered by itself on its inner edges, block after block.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ from tessera.operators.cores import dense_positions
 from tessera.operators.graph import cut, degrees, symmetrise, vertices
 from tessera.operators.ids import relabel
 
-BLOCK_VERTICES = 200_000
-
 Lists = list[list[int]]
 
 
@@ -58,9 +57,71 @@ def bfs_levels(edges: DataFrame) -> DataFrame:
         seen, at = new, at + 1
 
 
+def _discovery(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(v, position) in order of breadth-first discovery over out-edges, as a queue would find them.
+
+    ranks: (v, s, c), each vertex's own places among sources and among the
+    children of a vertex. A vertex belongs to the least source that reaches it;
+    of a level, vertices come by their first parent, then as its children.
+    """
+    arcs = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    seen = cut(ranks.select("v", "s", "c", F.col("s").alias("root"), F.col("s").alias("old")))
+    while True:
+        near = arcs.join(seen.select(F.col("v").alias("src"), "root"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("root").alias("m"))
+        step = seen.select("v", "s", "c", F.col("root").alias("old")).join(near, "v", "left").select("v", "s", "c", "old", F.least("old", "m").alias("root"))
+        # who reaches a vertex's source reaches the vertex
+        jump = step.select(F.col("s").alias("at"), F.col("root").alias("to"))
+        seen = cut(step.join(jump, step["root"] == jump["at"]).select("v", "s", "c", F.col("to").alias("root"), "old"))
+        if seen.where("root <> old").isEmpty():
+            break
+    level = F.when(F.col("root") == F.col("s"), 0).cast("int")
+    seen = cut(seen.select("v", "c", "root", level.alias("level"), F.when(level == 0, F.col("s")).alias("pos")))
+    at = 0
+    while True:
+        front = seen.where(F.col("level") == at).select(F.col("v").alias("src"), "root", "pos")
+        left = seen.where(F.col("level").isNull()).select(F.col("v").alias("dst"), "root", "c")
+        reach = arcs.join(front, "src").join(left, ["dst", "root"]).groupBy(F.col("dst").alias("v"), "c").agg(F.min("pos").alias("parent"))
+        found = dense_positions(reach, ["parent", "c"], "_pos").select("v", "_pos")
+        new = seen.join(found, "v", "left")
+        new = cut(new.select("v", "c", "root", F.coalesce("level", F.when(F.col("_pos").isNotNull(), at + 1)).cast("int").alias("level"), F.coalesce("pos", "_pos").alias("pos")))
+        if new.where(F.col("level") == at + 1).isEmpty():
+            return dense_positions(new, ["root", "level", "pos"]).select("v", "position")
+        seen, at = new, at + 1
+
+
+def bfs_order(edges: DataFrame) -> DataFrame:
+    """Breadth first, sources and children by id."""
+    ranks = vertices(edges).select("v", F.col("v").alias("s"), F.col("v").alias("c"))
+    return _discovery(edges, ranks).select(F.col("v").alias("org_id"), F.col("position").alias("new_id"))
+
+
+def bfs_degree_order(edges: DataFrame) -> DataFrame:
+    """Breadth first, sources by falling number of distinct out-neighbours."""
+    ranks = dense_positions(degrees(edges.distinct()), [F.desc("out_deg"), F.col("v")], "s").select("v", "s", F.col("v").alias("c"))
+    return _discovery(edges, ranks).select(F.col("v").alias("org_id"), F.col("position").alias("new_id"))
+
+
+def rcm_order(edges: DataFrame) -> DataFrame:
+    """Reverse Cuthill-McKee: sources and children by rising degree without repeats, numbered from the end."""
+    ranks = dense_positions(degrees(edges.distinct()), ["deg", "v"], "s").select("v", "s", F.col("s").alias("c"))
+    found = _discovery(edges, ranks)
+    return dense_positions(found, [F.desc("position")], "new_id").select(F.col("v").alias("org_id"), "new_id")
+
+
+def first_touch_order(edges: DataFrame) -> DataFrame:
+    """Neighbour lists of the heaviest vertices first, each in reverse Cuthill-McKee order; a vertex is placed where it is first met."""
+    arcs = cut(edges.select("src", "dst").distinct())
+    rank = rcm_order(edges).select(F.col("org_id").alias("v"), F.col("new_id").alias("rank"))
+    deg = degrees(arcs)
+    touch = lambda hub, w, side, d: arcs.join(deg.select(F.col("v").alias(hub), F.col(d).alias("n")), hub).select(F.col(w).alias("v"), F.struct((-F.col("n")).alias("n"), F.col(hub).alias("hub"), F.lit(side).alias("side")).alias("list"))
+    first = touch("src", "dst", 0, "out_deg").union(touch("dst", "src", 1, "in_deg")).groupBy("v").agg(F.min("list").alias("list"))
+    rows = rank.join(first, "v", "left").select("v", "rank", "list.n", "list.hub", "list.side")
+    return dense_positions(rows, [F.col("n").asc_nulls_last(), "hub", "side", "rank"], "new_id").select(F.col("v").alias("org_id"), "new_id")
+
+
 def hybrid_order(edges: DataFrame) -> DataFrame:
     """By falling degree; ties by breadth-first discovery."""
-    found = kernel_order(edges, bfs_kernel).withColumnsRenamed({"org_id": "v", "new_id": "bfs"})
+    found = bfs_order(edges).withColumnsRenamed({"org_id": "v", "new_id": "bfs"})
     rows = degrees(edges).join(found, "v")
     return dense_positions(rows, [F.desc("deg"), F.col("bfs")], "new_id").select(F.col("v").alias("org_id"), "new_id")
 
@@ -275,16 +336,21 @@ KERNELS: dict[str, Callable[[Lists, Lists], list[int]]] = {
 }
 
 
-def kernel_order(edges: DataFrame, kernel: Callable[[Lists, Lists], list[int]], block: int = BLOCK_VERTICES) -> DataFrame:
-    """A kernel's order, block by block if there are more than `block` vertices."""
+#: Orders that are plans on all edges; their kernels serve explicit blocks.
+PLANS: dict[str, Callable[[DataFrame], DataFrame]] = {"bfs": bfs_order, "bfs_degree": bfs_degree_order, "rcm": rcm_order, "first_touch": first_touch_order}
+
+
+def kernel_order(edges: DataFrame, kernel: Callable[[Lists, Lists], list[int]], block: int | None = None) -> DataFrame:
+    """A kernel's order of the whole graph; only with `block` block by block if there are more vertices."""
     rank = cut(degree_order(edges)) if block else None
-    n = rank.count()
-    if n <= block:
-        place = rank.select(F.col("org_id").alias("v"), F.lit(0).cast("bigint").alias("block"))
+    if rank is None or rank.count() <= block:
+        block = 0
+        place = vertices(edges).select("v", F.lit(0).cast("bigint").alias("block"))
+        inner = edges.select("src", "dst", F.lit(0).cast("bigint").alias("bs"))
     else:
         place = rank.select(F.col("org_id").alias("v"), F.floor(F.col("new_id") / block).cast("bigint").alias("block"))
-    inner = edges.join(place.withColumnsRenamed({"v": "src", "block": "bs"}), "src").join(place.withColumnsRenamed({"v": "dst", "block": "bd"}), "dst").where("bs = bd")
-    rows = inner.select(F.col("bs").alias("block"), "src", "dst").union(place.select("block", F.col("v").alias("src"), F.lit(None).cast("bigint").alias("dst")))
+        inner = edges.join(place.withColumnsRenamed({"v": "src", "block": "bs"}), "src").join(place.withColumnsRenamed({"v": "dst", "block": "bd"}), "dst").where("bs = bd")
+    rows = inner.select(F.col("bs").alias("block"), "src", "dst").distinct().union(place.select("block", F.col("v").alias("src"), F.lit(None).cast("bigint").alias("dst")))
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(pdf.loc[pdf["dst"].isna(), "src"].to_numpy(np.int64))
@@ -301,8 +367,8 @@ def kernel_order(edges: DataFrame, kernel: Callable[[Lists, Lists], list[int]],
     return rows.groupBy("block").applyInPandas(order, "org_id bigint, new_id bigint")
 
 
-def vertex_order(edges: DataFrame, name: str = "gro", block: int = BLOCK_VERTICES) -> DataFrame:
-    """The order of that name; unknown names are refused."""
+def vertex_order(edges: DataFrame, name: str = "gro", block: int | None = None) -> DataFrame:
+    """The order of that name, of the whole graph unless `block` asks for the block form; unknown names are refused."""
     if name in ("degree", "degree_desc"):
         return degree_order(edges)
     if name == "degree_asc":
@@ -311,7 +377,7 @@ def vertex_order(edges: DataFrame, name: str = "gro", block: int = BLOCK_VERTICE
         return hybrid_order(edges)
     if name not in KERNELS:
         raise ValueError(f"no order {name!r}; there are degree, degree_asc, hybrid, {', '.join(KERNELS)}")
-    return kernel_order(edges, KERNELS[name], block)
+    return PLANS[name](edges) if name in PLANS and not block else kernel_order(edges, KERNELS[name], block)
 
 
 def reorder(edges: DataFrame, name: str = "gro") -> tuple[DataFrame, DataFrame]:

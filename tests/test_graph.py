@@ -165,6 +165,33 @@ def test_reorder_keeps_graph(spark):
         reorder.vertex_order(e, "best")
 
 
+@pytest.mark.parametrize("name", sorted(reorder.PLANS))
+def test_order_plans(spark, name):
+    """The plans find the kernels' orders, on a directed graph with loops, repeats, gaps and several sources."""
+    import random
+
+    rng = random.Random(5)
+    pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(60)] + [(3, 3), (3, 3), (35, 33), (35, 33)]
+    out, into = ([sorted({p[1 - k] for p in pairs if p[k] == v}) for v in range(36)] for k in (0, 1))
+    got = sorted(reorder.vertex_order(frame(spark, pairs), name).collect(), key=lambda r: r["new_id"])
+    assert [r["new_id"] for r in got] == list(range(36))
+    assert [r["org_id"] for r in got] == reorder.KERNELS[name](out, into)
+
+
+@pytest.mark.parametrize("name", ["bfs", "dfs"])
+def test_large_graph_is_ordered_whole(spark, name):
+    """No edge of a graph of more than 200,000 vertices is dropped."""
+    n, fan = 200_500, 80
+    new = lambda v: v * 7919 % n
+    e = spark.range(1, n).select((F.floor((F.col("id") - 1) / fan) * 7919 % n).alias("src"), (F.col("id") * 7919 % n).alias("dst"))
+    out = [[] for _ in range(n)]
+    for v in range(1, n):
+        out[new((v - 1) // fan)].append(new(v))
+    out = [sorted(x) for x in out]
+    got = reorder.vertex_order(e, name).orderBy("new_id").toPandas()
+    assert got["org_id"].tolist() == reorder.KERNELS[name](out, out)
+
+
 def test_gro_packs_better():
     import random
 
