@@ -56,6 +56,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_warc(table(spark, sf_dir, "pages"), path)
     # headers and digests alone: small, and used by several joins
     captures = warc.assemble(cut(warc.read_records(spark, path, payloads=False)))
+    # a row each pages row
+    captures = captures.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     page = lambda c: F.element_at(F.col(f"{c}.fields"), "page-id").cast("long")
     return captures.select(page("metadata").alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), page("refers_to_metadata").alias("refers_to"))
 

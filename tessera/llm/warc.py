@@ -12,7 +12,7 @@ plain .warc.gz. Files hold at most RECORDS_PER_FILE captures. Reading inflates
 one record at a time.
 
 Defined cases: a null payload is empty; rows that repeat page_id, url and html
-are one capture; one page_id with several payloads or urls makes several; null
+are one capture, whose `copies` counts them; one page_id with several payloads or urls makes several; null
 page_ids are kept; a null url has no target; of equal payloads the largest
 (page_id, url) is the response; an empty table reads back empty.
 """
@@ -162,9 +162,11 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row a capture: capture_id, response (its type tells revisits), request, metadata, and refers_to_metadata of the response that a revisit names."""
+    """One nested row a capture: capture_id, response (its type tells revisits), copies (pages rows), request, metadata, and refers_to_metadata of the response that a revisit names."""
     inner = [c for c in records.columns if c != "concurrent_to"]
-    main = records.where(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), F.struct(*inner).alias("response")).dropDuplicates(["capture_id"])
+    main = records.where(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), F.struct(*inner).alias("response"))
+    # rows that repeat were written one by one
+    main = main.groupBy("capture_id").agg(F.first("response").alias("response"), F.count(F.lit(1)).alias("copies"))
 
     def side(kind: str) -> DataFrame:
         part = records.where(F.col("type") == kind).select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "target", "http_headers", "fields").alias(kind))

@@ -319,6 +319,14 @@ def test_warc(spark):
     assert warc.assemble(warc.read_records(spark, path)).count() == 0
 
 
+def test_warc_returns_every_row(spark, tmp_path):
+    """Rows that repeat come back as often as they went in, copies of an equal payload and of its response too."""
+    pages = [(1, "http://a", "<p>x</p>")] * 3 + [(2, "http://b", "<p>x</p>")] * 2 + [(3, "http://c", None)] * 2 + [(4, "http://d", "y")]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in queries.op8_warc(spark, str(tmp_path)).collect())
+    assert got == [(1, "revisit", 2)] * 3 + [(2, "response", None)] * 2 + [(3, "response", None)] * 2 + [(4, "response", None)]
+
+
 def test_warc_members(spark):
     """The files are gzip members, one a record, that any gunzip reads."""
     import gzip
