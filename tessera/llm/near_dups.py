@@ -127,8 +127,8 @@ def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, regs): set size, digest of the set, registers."""
-    return docs.select("doc_id", _sketch(F.col("text").cast("binary")).alias("s")).select("doc_id", "s.n", "s.node", "s.regs")
+    """(doc_id, _tsr_text, n, node, regs): hash of the text, set size, digest of the set, registers."""
+    return docs.select("doc_id", F.xxhash64("text").alias("_tsr_text"), _sketch(F.col("text").cast("binary")).alias("s")).select("doc_id", "_tsr_text", "s.n", "s.node", "s.regs")
 
 
 def _short(node: Column) -> Column:
@@ -196,7 +196,7 @@ def _mixed(rows: DataFrame, key: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node), one row a row of docs (doc_id, text)."""
+    """(doc_id, _tsr_text, n_shingles, component_id, node), one row a row of docs (doc_id, text)."""
     sketch = cut(sketches(docs))
     # equal sets have equal registers, so any copy's will do
     nodes = cut(sketch.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("regs").alias("regs")).withColumn("short", _short(F.col("node"))))
@@ -225,13 +225,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     of_node = nodes.select("node", "label").join(comp, "node", "left").select("node", "label", F.coalesce("comp", "node").alias("comp"))
     least = of_node.groupBy("comp").agg(F.min("label").alias("component_id"))
     ids = of_node.join(least, "comp").select("node", "component_id")
-    out = sketch.select("doc_id", F.col("n").alias("n_shingles"), "node").join(ids, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+    out = sketch.select("doc_id", "_tsr_text", F.col("n").alias("n_shingles"), "node").join(ids, "node", "left")
+    return out.select("doc_id", "_tsr_text", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs without the documents whose group has a smaller doc_id."""
+    """docs without the documents (doc_id, text) whose own set's group has a smaller doc_id; null ids are larger than any.
+
+    Rows that repeat an id and text are one document and stay or go together.
+    """
     groups = near_duplicates(docs.select("doc_id", "text"), percent)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_tsr_id"), F.col("_tsr_text").alias("_tsr_key")).distinct()
     small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone.hint("shuffle_hash"), "doc_id", "left_anti")
+    gone = F.broadcast(gone) if small else gone.hint("shuffle_hash")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_tsr_id")) & (F.xxhash64(docs["text"]) == F.col("_tsr_key")), "left_anti")

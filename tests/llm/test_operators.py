@@ -182,6 +182,15 @@ def test_near_duplicates(spark, edge, empty, docs):
     assert kept.columns.sort() == edge.columns.sort() and {6, 0, 1} <= {r["doc_id"] for r in collect(kept)} and 9 not in {r["doc_id"] for r in collect(kept)}
 
 
+def test_drop_decides_by_row(spark):
+    """Of an id with several texts only those with a smaller near copy go; a null id goes before any other."""
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(1, PASSAGE), (2, PASSAGE + " tail"), (2, other), (None, other), (None, "alone"), (3, None), (4, "twice"), (4, "twice")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = [tuple(r) for r in near_dups.drop_near_duplicates(d).collect()]
+    assert sorted(kept, key=str) == sorted([(1, PASSAGE), (2, other), (None, "alone"), (3, None), (4, "twice"), (4, "twice")], key=str)
+
+
 def test_large_buckets(spark, monkeypatch):
     """Buckets beyond SMALL are split by a second band and lose no link."""
     monkeypatch.setattr(near_dups, "SMALL", 3)
