@@ -45,6 +45,22 @@ def big_nodes(edges: DataFrame, ratio: float) -> DataFrame:
     return out.where(F.col("running") - F.col("deg") < F.col("goal")).select("v", "deg", "running")
 
 
+def big_node_stats(edges: DataFrame, ratio: float) -> DataFrame:
+    """One row over big_nodes(): count, share of all vertices, mean and variance of the degree, (out, in) degrees of the first and the last of the run."""
+    deg = degrees(edges)
+    rows = big_nodes(edges, ratio).join(deg.select("v", "out_deg", "in_deg"), "v")
+    ends = F.struct("out_deg", "in_deg")
+    s = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.avg("deg").alias("avg_deg"), F.var_pop("deg").alias("var_deg"),
+        F.min_by(ends, "running").alias("first"), F.max_by(ends, "running").alias("last"),
+    )
+    total = deg.agg(F.count(F.lit(1)).alias("v"))
+    return s.join(F.broadcast(total)).select(
+        "n", (F.col("n") / F.col("v")).alias("ratio"), "avg_deg", "var_deg", F.col("first.out_deg").alias("max_out_deg"), F.col("first.in_deg").alias("max_in_deg"),
+        F.col("last.out_deg").alias("min_out_deg"), F.col("last.in_deg").alias("min_in_deg"),
+    )
+
+
 def leaf_count(edges: DataFrame) -> DataFrame:
     """One row (n): vertices of out-degree 1 or in-degree 1."""
     return degrees(edges).agg(F.count_if((F.col("out_deg") == 1) | (F.col("in_deg") == 1)).alias("n"))

@@ -456,6 +456,12 @@ def big_nodes(spark, sf_dir):
     return stats.big_nodes(part_graph(spark, sf_dir), 0.2)
 
 
+@query(f"WITH {_PART}, {_DEG.format(g='g')}, r AS (SELECT v, out_deg, in_deg, out_deg + in_deg AS deg, sum(out_deg + in_deg) OVER (ORDER BY out_deg + in_deg DESC, v ROWS UNBOUNDED PRECEDING) AS running, sum(out_deg + in_deg) OVER () AS total FROM deg) SELECT count(*) AS n, round(count(*) / (SELECT count(*) FROM deg), 6) AS ratio, round(avg(deg), 6) AS avg_deg, round(var_pop(deg), 6) AS var_deg, arg_min(out_deg, running)::BIGINT AS max_out_deg, arg_min(in_deg, running)::BIGINT AS max_in_deg, arg_max(out_deg, running)::BIGINT AS min_out_deg, arg_max(in_deg, running)::BIGINT AS min_in_deg FROM r WHERE running - deg < 0.2 * total")
+def big_node_stats(spark, sf_dir):
+    out = stats.big_node_stats(part_graph(spark, sf_dir), 0.2)
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("ratio", "avg_deg", "var_deg")], *out.columns[4:])
+
+
 @query(f"WITH {_REPEAT}, {_DEG.format(g='g')} SELECT count(*) AS n FROM deg WHERE out_deg = 1 OR in_deg = 1")
 def leaf_count(spark, sf_dir):
     return stats.leaf_count(repeat_graph(spark, sf_dir))

@@ -221,6 +221,11 @@ def test_stats(spark):
     assert c["out_ratio"] == 0.5 and c["in_ratio"] == 0.75
 
 
+def test_big_node_stats(spark):
+    e = frame(spark, [(0, 1), (0, 2), (0, 3), (1, 2)])
+    assert tuple(stats.big_node_stats(e, 0.5).first()) == (2, 0.5, 2.5, 0.25, 3, 0, 1, 1)
+
+
 small = st.sets(st.integers(0, 200), max_size=40)
 
 
