@@ -18,3 +18,8 @@ def test_commands(spark, tmp_path):
     assert cli.main(["intersect", "--length", "5000", "--repeats", "1"])["packed"]["n"] == 500
     with pytest.raises(SystemExit):
         cli.main(["tc"])
+
+
+def test_intersect_always_runs_arrays(spark):
+    out = cli.main(["intersect", "--length", "1000001", "--repeats", "1"])
+    assert {out[k]["n"] for k in ("join", "packed", "hierarchical", "array")} == {100_000}
