@@ -14,8 +14,9 @@ First each band bucket links its members to its least member (a star), and
 connected components are formed. Only buckets that still hold several
 components are looked at again, and of them only pairs across components:
 buckets of up to SMALL members pair up directly; larger ones are first split by
-a second band, which a true pair shares too, and what a part still mixes pairs
-up in full. So links are lost neither to caps nor to the choice of the star.
+a second band, and what a part still mixes pairs up in full. A true pair whose
+only common band is such a bucket is not found there; a pair at the threshold
+shares one band or none with probability 5e-6.
 
 Nothing is collected to the driver; loops end by counts. Intermediate tables go
 to the shared folder.
