@@ -2,29 +2,34 @@
 
 A text's set is its distinct five-word shingles. Each of 192 buckets has a hash
 function of its own and keeps the least hash of the set, compressed to its
-leading-zero count and ten mantissa bits. Six buckets make a band; texts that
-agree in one of 32 bands are candidates (a pair at the threshold of 0.85 is
-missed with probability 3e-7). Candidates pass by the Jaccard similarity
-estimated from the registers, corrected for the chance of equal compressed
-registers, seven standard deviations below the threshold; what passes is confirmed
-on the full sets.
-
-No bucket emits all its pairs at once. Equal sets are one node throughout.
-First each band bucket links its members to its least member (a star), and
-connected components are formed. Only buckets that still hold several
-components are looked at again, and of them only pairs across components:
-buckets of up to SMALL members pair up directly; larger ones are first split by
-a second band, and what a part still mixes pairs up in full. A true pair whose
-only common band is such a bucket is not found there; a pair at the threshold
-shares one band or none with probability 5e-6.
+leading-zero count and ten mantissa bits. Some successive buckets make a band;
+texts that agree in one band are candidates. Bands are as long as a miss
+probability of MISS allows: 32 of 6 buckets at a similarity of 0.85 (a pair
+just there is missed with probability 3e-7), 38 of 5 at 0.80 (3e-7).
+
+No bucket emits its pairs. Equal sets are one node throughout. First each
+band bucket links its members to its least member (a star): candidates pass by
+the Jaccard similarity estimated from the registers, corrected for the chance of
+equal compressed registers, seven standard deviations below the threshold; what
+passes is confirmed on the full sets. Connected components follow. Buckets that
+still hold several components are then compared in full: their members outside
+the bucket's largest component with all others, block by block on the full
+sets, whatever the bucket's size. Blocks are bounded by shingles and members,
+their pairs stay inside one matrix product, and a block returns at most one
+link for each component it joins. So every pair that shares a band is decided.
+
+That second look costs (members outside the largest component) times (members)
+of a bucket in arithmetic, though not in rows: copies that hang together are
+settled by the star, a large crowd of texts just under the threshold is not.
 
 Nothing is collected to the driver; loops end by counts. Intermediate tables go
 to the shared folder.
 
 Defined cases: null and empty texts have an empty set and are groups of their
-own; fewer than five words are one shingle; rows that repeat an id and text are
-one node; null ids count as larger than any in component_id; an id with several
-texts joins a group by each of them; clashing columns are replaced.
+own; an empty table gives no rows; texts of any length are one set each; fewer
+than five words are one shingle; rows that repeat an id and text are one node;
+null ids count as larger than any in component_id; an id with several texts
+joins a group by each of them; clashing columns are replaced.
 """
 
 from __future__ import annotations
@@ -41,10 +46,11 @@ from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, Str
 
 from tessera.llm._shared import BROADCAST_ROWS, cut, slices
 
-WORDS, BANDS, BAND = 5, 32, 6
-REGISTERS = BANDS * BAND
-MANTISSA = 10
-SMALL = 64
+WORDS, REGISTERS, MANTISSA = 5, 192, 10
+#: Largest probability that a pair at the threshold shares no band.
+MISS = 1e-6
+#: Shingles in a block of the full comparison; a member counts as 256 more, so a block has at most 1,024 of them.
+BLOCK, MEMBER = 1 << 18, 256
 
 _rng = np.random.default_rng(20)
 _MULT = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
@@ -155,45 +161,104 @@ def _components(links: DataFrame) -> DataFrame:
         comp = new.select("node", "comp")
 
 
-class _Finder:
-    """Confirms candidate pairs of short nodes."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, percent: int):
-        self.docs, self.nodes, self.percent = docs, nodes, percent
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) digests of the pairs (x, y) whose sets are similar enough. Materialised."""
-        regs = self.nodes.select("short", "n", "regs")
-        seen = pairs.join(regs.select(F.col("short").alias("x"), F.col("n").alias("nx"), F.col("regs").alias("rx")), "x").join(regs.select(F.col("short").alias("y"), F.col("n").alias("ny"), F.col("regs").alias("ry")), "y")
-        # sets of too unlike sizes can't be similar; then the estimate, seven standard deviations below
-        seen = seen.where(100 * F.least("nx", "ny") >= self.percent * F.greatest("nx", "ny"))
-        j = self.percent / 100
-        likely = cut(seen.where(_estimate("rx", "ry") >= j - 7 * (j * (1 - j) / REGISTERS) ** 0.5).select("x", "y", "nx", "ny"))
-        wanted = likely.select(F.col("x").alias("short")).union(likely.select("y")).distinct()
-        wanted = cut(self.nodes.select("short", "node", "label").join(wanted, "short"))
-        keys = wanted.select(F.col("label").alias("_label"), F.col("node").alias("_node"))
-        small = keys.count() <= BROADCAST_ROWS
-        texts = self.docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-        texts = texts.join(F.broadcast(keys.select("_label").distinct()) if small else keys.select("_label").distinct().hint("shuffle_hash"), texts["doc_id"].eqNullSafe(F.col("_label")), "left_semi")
-        sets = texts.select(_sets("text").alias("s")).select("s.*").join(keys, F.col("node") == F.col("_node"), "left_semi").dropDuplicates(["node"])
-        sets = cut(sets.select(_short(F.col("node")).alias("short"), "node", "shingles"))
-        left = sets.select(F.col("short").alias("x"), F.col("node").alias("a"), F.col("shingles").alias("sa"))
-        right = sets.select(F.col("short").alias("y"), F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        both = likely.select("x", "y").join(left, "x").join(right, "y").where(F.col("a") != F.col("b"))
-        sized = both.select("a", "b", (F.octet_length("sa") / 8 + F.octet_length("sb") / 8).cast("long").alias("sum"), _shared_size("sa", "sb").alias("common"))
-        return cut(sized.where(100 * F.col("common") >= self.percent * (F.col("sum") - F.col("common"))).select("a", "b"))
-
-
-def _across(rows: DataFrame, key: str) -> DataFrame:
-    """Pairs (x, y) of different components in rows (key, short, comp), grouped in buckets by key."""
-    left = rows.select(key, F.col("short").alias("x"), F.col("comp").alias("cx"))
-    right = rows.select(key, F.col("short").alias("y"), F.col("comp").alias("cy"))
-    return left.join(right, key).where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy"))).select("x", "y")
-
-
-def _mixed(rows: DataFrame, key: str) -> DataFrame:
-    """(key, size) of the buckets with several components."""
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1")).select(key, "size")
+def band_size(percent: int) -> int:
+    """Buckets in a band: as many as keep the probability of sharing no band, at the threshold, within MISS."""
+    return max((k for k in range(1, REGISTERS) if (1 - (percent / 100) ** k) ** (REGISTERS // k) <= MISS), default=1)
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of wanted (label, node). Materialised."""
+    keys = wanted.select(F.col("label").alias("_label"), F.col("node").alias("_node"))
+    small = keys.count() <= BROADCAST_ROWS
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    texts = texts.join(F.broadcast(keys.select("_label").distinct()) if small else keys.select("_label").distinct(), texts["doc_id"].eqNullSafe(F.col("_label")), "left_semi")
+    return cut(texts.select(_sets("text").alias("s")).select("s.*").join(keys, F.col("node") == F.col("_node"), "left_semi").dropDuplicates(["node"]))
+
+
+def _star_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) digests of the pairs (x, y) of short nodes whose sets are similar enough. Materialised."""
+    regs = nodes.select("short", "n", "regs")
+    seen = pairs.join(regs.select(F.col("short").alias("x"), F.col("n").alias("nx"), F.col("regs").alias("rx")), "x").join(regs.select(F.col("short").alias("y"), F.col("n").alias("ny"), F.col("regs").alias("ry")), "y")
+    # sets of too unlike sizes can't be similar; then the estimate, seven standard deviations below
+    seen = seen.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    j = percent / 100
+    likely = cut(seen.where(_estimate("rx", "ry") >= j - 7 * (j * (1 - j) / REGISTERS) ** 0.5).select("x", "y"))
+    wanted = likely.select(F.col("x").alias("short")).union(likely.select("y")).distinct()
+    sets = _sets_of(docs, cut(nodes.select("short", "node", "label").join(wanted, "short"))).withColumn("short", _short(F.col("node")))
+    left = sets.select(F.col("short").alias("x"), F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("short").alias("y"), F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    both = likely.join(left, "x").join(right, "y").where(F.col("a") != F.col("b"))
+    sized = both.select("a", "b", (F.octet_length("sa") / 8 + F.octet_length("sb") / 8).cast("long").alias("sum"), _shared_size("sa", "sb").alias("common"))
+    return cut(sized.where(100 * F.col("common") >= percent * (F.col("sum") - F.col("common"))).select("a", "b"))
+
+
+def _shared_sizes(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the left sets (rows) and the right ones; a matrix product over a few thousand shingles at a time."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = times > 1  # what one set alone has is in no intersection
+    owner, column = owner[keep[column]], (np.cumsum(keep) - 1)[column[keep[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float64)
+    step = 2048
+    for at in range(0, int(keep.sum()), step):
+        a, b = np.searchsorted(column, (at, at + step))
+        m = np.zeros((len(sets), step), np.float32)
+        m[owner[a:b], column[a:b] - at] = 1
+        out += m[left] @ m[right].T
+    return out.astype(np.int64)
+
+
+def _block_links(percent: int):
+    """Of the sets in the blocks (rows with m = i, rows with m = j), the links between components: one for each that a link joins."""
+
+    def links(rows: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, "<u8") for x in rows["shingles"].to_pylist()]
+        comps, m = rows["comp"].to_pylist(), rows["m"].to_numpy()
+        ids = np.unique(np.array([c.hex() for c in comps]), return_inverse=True)[1]
+        left, right = np.nonzero(m == rows["i"][0].as_py())[0], np.nonzero(m == rows["j"][0].as_py())[0]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        found: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            common = _shared_sizes(sets, left, right)
+            similar = (100 * common >= percent * (sizes[left][:, None] + sizes[right][None] - common)) & (ids[left][:, None] != ids[right][None])
+            top = list(range(len(comps)))  # of component numbers
+
+            def root(c: int) -> int:
+                while top[c] != c:
+                    top[c] = c = top[top[c]]
+                return c
+
+            for x, y in zip(*(k.tolist() for k in np.nonzero(similar))):
+                p, q = root(ids[left[x]]), root(ids[right[y]])
+                if p != q:
+                    top[p] = q
+                    found.append((left[x], right[y]))
+        return pa.table({"a": pa.array([comps[x] for x, _ in found], pa.binary()), "b": pa.array([comps[y] for _, y in found], pa.binary())})
+
+    return links
+
+
+def _links_across(docs: DataFrame, members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) components that a pair of similar sets in a bucket joins. members: (band, short); nodes: (short, node, label, n, comp). Materialised."""
+    rows = members.join(nodes, "short").select("band", "node", "label", "n", "comp")
+    weight = F.col("n") + MEMBER
+    per = rows.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum(weight).alias("w"))
+    # the star has compared buckets of two
+    mixed = per.groupBy("band").agg(F.max(F.struct("k", "w", "comp")).alias("main"), F.sum("k").alias("k"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("comps")).where((F.col("comps") > 1) & (F.col("k") > 2))
+    blocks = lambda w: F.ceil(w / BLOCK).cast("int")
+    mixed = mixed.select("band", F.col("main.comp").alias("main"), blocks(F.col("w") - F.col("main.w")).alias("others"), blocks(F.col("main.w")).alias("mains"))
+    # block m of a member: those outside the largest component come first; blocks i <= j meet where i is one of these
+    h = F.xxhash64("node")
+    rows = cut(rows.join(mixed, "band").withColumn("m", F.when(F.col("comp") == F.col("main"), F.col("others") + F.pmod(h, "mains")).otherwise(F.pmod(h, "others")).cast("int")).drop("main"))
+    if rows.isEmpty():
+        return rows.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    sets = _sets_of(docs, rows.select("label", "node").distinct())
+    meets = F.sequence(F.lit(0), F.when(F.col("m") < F.col("others"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1)
+    tasks = rows.select("band", "node", "comp", "m", F.explode(meets).alias("o")).select("band", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"), "m", "node", "comp")
+    return cut(tasks.join(sets, "node").select("band", "i", "j", "m", "comp", "shingles").groupBy("band", "i", "j").applyInArrow(_block_links(percent), "a binary, b binary").distinct())
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -201,29 +266,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     sketch = cut(sketches(docs))
     # equal sets have equal registers, so any copy's will do
     nodes = cut(sketch.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("regs").alias("regs")).withColumn("short", _short(F.col("node"))))
-    find = _Finder(docs, nodes, percent)
-    bands = nodes.select("short", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 2 * BAND * i + 1, 2 * BAND)) for i in range(BANDS)])).alias("band"))
+    size = band_size(percent)
+    bands = nodes.select("short", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 2 * size * i + 1, 2 * size)) for i in range(REGISTERS // size)])).alias("band"))
     hubs = bands.groupBy("band").agg(F.min("short").alias("hub"), F.max("short").alias("last")).where(F.col("hub") != F.col("last")).drop("last")
     members = cut(bands.join(hubs, "band"))  # of the buckets with several nodes
-    star = find.links(members.where(F.col("short") != F.col("hub")).select(F.col("hub").alias("x"), F.col("short").alias("y")).distinct())
-    comp = _components(star)
-    # what the stars left apart
-    by_short = comp.select(_short(F.col("node")).alias("short"), _short(F.col("comp")).alias("comp")).dropDuplicates(["short"])
-    rows = members.select("band", "short").join(by_short, "short", "left").withColumn("comp", F.coalesce("comp", "short"))
-    rows = cut(rows.join(_mixed(rows, "band"), "band"))
-    pairs = _across(rows.where(F.col("size") <= SMALL), "band")
-    large = rows.where(F.col("size") > SMALL).select("band", "short", "comp")
-    if not large.isEmpty():
-        second = large.select(F.col("band").alias("other"), "short")
-        split = large.join(second, "short").where(F.col("band") < F.col("other")).select(F.xxhash64("band", "other").alias("band"), "short", "comp")
-        split = cut(split.join(_mixed(split, "band"), "band"))
-        pairs = pairs.union(_across(split, "band"))
-    done = members.select(F.col("hub").alias("x"), F.col("short").alias("y"))
-    more = find.links(pairs.distinct().join(done.distinct(), ["x", "y"], "left_anti"))
+    star = _star_links(docs, nodes, members.where(F.col("short") != F.col("hub")).select(F.col("hub").alias("x"), F.col("short").alias("y")).distinct(), percent)
+    of_node = nodes.select("short", "node", "label", "n").join(_components(star), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    of_node = cut(of_node)
+    more = _links_across(docs, members.select("band", "short"), of_node, percent)
     if not more.isEmpty():
-        comp = _components(star.union(more))
+        joined = _components(more).withColumnsRenamed({"node": "_tsr_comp", "comp": "_tsr_top"})
+        of_node = of_node.join(joined, F.col("comp") == F.col("_tsr_comp"), "left").withColumn("comp", F.coalesce("_tsr_top", "comp"))
     # ids: the least of a component's nodes'
-    of_node = nodes.select("node", "label").join(comp, "node", "left").select("node", "label", F.coalesce("comp", "node").alias("comp"))
     least = of_node.groupBy("comp").agg(F.min("label").alias("component_id"))
     ids = of_node.join(least, "comp").select("node", "component_id")
     out = sketch.select("doc_id", "_tsr_text", F.col("n").alias("n_shingles"), "node").join(ids, "node", "left")
@@ -238,5 +292,5 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     groups = near_duplicates(docs.select("doc_id", "text"), percent)
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_tsr_id"), F.col("_tsr_text").alias("_tsr_key")).distinct()
     small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    gone = F.broadcast(gone) if small else gone.hint("shuffle_hash")
+    gone = F.broadcast(gone) if small else gone
     return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_tsr_id")) & (F.xxhash64(docs["text"]) == F.col("_tsr_key")), "left_anti")

@@ -191,20 +191,46 @@ def test_drop_decides_by_row(spark):
     assert sorted(kept, key=str) == sorted([(1, PASSAGE), (2, other), (None, "alone"), (3, None), (4, "twice"), (4, "twice")], key=str)
 
 
-def test_large_buckets(spark, monkeypatch):
-    """Buckets beyond SMALL are split by a second band and lose no link."""
-    monkeypatch.setattr(near_dups, "SMALL", 3)
+@pytest.mark.parametrize("percent", [85, 80])
+def test_large_buckets(spark, monkeypatch, percent):
+    """A crowd about the threshold: buckets hold a large component and many texts just outside; no link is lost, in one block or in several."""
     rng = random.Random(2)
-    core = [f"c{i}" for i in range(300)]
+    core = [f"c{i}" for i in range(150)]
     texts = []
-    for i in range(60):
+    for i in range(500):
         w = list(core)
-        k = 40 if i % 2 else 12
-        at = rng.randrange(len(w) - k)
-        w[at : at + k] = [f"r{i}_{j}" for j in range(k)]
+        for at in rng.sample(range(len(w)), rng.choice([0, 1, 2, 2, 3, 4, 6])):
+            w[at] = f"r{i}_{at}"
         texts.append((i, " ".join(w)))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in collect(near_dups.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string")))}
-    assert got == brute.groups(texts)
+    d = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    want = brute.groups(texts, percent)
+    assert len({c for _, c in want.values()}) > 50
+    for block in (1 << 18, 20_000):
+        monkeypatch.setattr(near_dups, "BLOCK", block)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in collect(near_dups.near_duplicates(d, percent))}
+        assert got == want
+
+
+def test_band_size():
+    for percent in (80, 85, 90, 95):
+        k = near_dups.band_size(percent)
+        assert (1 - (percent / 100) ** k) ** (near_dups.REGISTERS // k) <= near_dups.MISS
+    assert near_dups.band_size(85) == 6 and near_dups.band_size(80) == 5
+
+
+def test_block_links():
+    """A block's shared sizes against set algebra, and one link for each component that is joined."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 380, replace=False), rng.integers(0, 2**63, k, dtype=np.uint64)])) for k in rng.integers(0, 60, 40)] + [np.array([7], np.uint64)]
+    left, right = np.arange(15), np.arange(10, 41)
+    sizes = near_dups._shared_sizes(sets, left, right)
+    assert all(sizes[x, y] == len(np.intersect1d(sets[left[x]], sets[right[y]])) for x in range(15) for y in range(31) if x != y + 10)  # a set with itself is never asked for
+    rows = pa.table({"i": [0] * 41, "j": [1] * 41, "m": [0] * 15 + [1] * 26, "comp": [b"%02d" % k for k in range(41)], "shingles": [s.tobytes() for s in sets]})
+    out = near_dups._block_links(80)(rows)
+    assert 0 < out.num_rows <= 40 and near_dups._block_links(80)(rows.slice(0, 15)).num_rows == 0
 
 
 def test_sketch_estimate():

@@ -25,7 +25,7 @@ def test_stages(spark):
     scores = {i: model.score(quality_gam.features_of([t.encode()]))[0] for i, t in texts[0].items()}
     assert set(texts[1]) == {i for i, s in scores.items() if s >= 0.5}
     assert texts[2] == {i: x[2] for i, x in brute.line_dedup(sorted(texts[1].items())).items()}
-    assert set(texts[3]) == {i for i, (_, top) in brute.groups(sorted(texts[2].items())).items() if top == i}
+    assert set(texts[3]) == {i for i, (_, top) in brute.groups(sorted(texts[2].items()), 80).items() if top == i}
     bad = {i for i, (n, hit, _) in brute.contamination(texts[3].items(), bench).items() if hit and 20 * hit >= n}
     assert set(texts[4]) == set(texts[3]) - bad
     sp = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
