@@ -33,8 +33,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near duplicates."""
-    return near_dups.drop_near_duplicates(docs).select(*docs.columns)
+    """Keeps the document of least id of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
+    return near_dups.drop_near_duplicates(docs, percent=80).select(*docs.columns)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
