@@ -172,7 +172,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     small = keys.count() <= BROADCAST_ROWS
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     texts = texts.join(F.broadcast(keys.select("_label").distinct()) if small else keys.select("_label").distinct(), texts["doc_id"].eqNullSafe(F.col("_label")), "left_semi")
-    return cut(texts.select(_sets("text").alias("s")).select("s.*").join(keys, F.col("node") == F.col("_node"), "left_semi").dropDuplicates(["node"]))
+    # not deterministic to Catalyst: else filters on the result move below the first join, and sets are made of all texts
+    sets = texts.select(_sets.asNondeterministic()("text").alias("s")).select("s.*")
+    return cut(sets.join(keys.select("_node"), F.col("node") == F.col("_node")).select("node", "shingles").dropDuplicates(["node"]))
 
 
 def _star_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
