@@ -64,11 +64,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(*columns: pa.Array, size: int = 1 << 19) -> Iterator[tuple[list, ...]]:
-    """Successive rows of equally long columns as Python lists, about `size` bytes of strings and binaries at a time.
-
-    A batch from Spark may hold thousands of long rows; Python objects then exist for a slice of it alone.
-    """
+def arrow_slices(*columns: pa.Array, size: int = 1 << 19) -> Iterator[tuple[pa.Array, ...]]:
+    """Successive rows of equally long columns, about `size` bytes of strings and binaries at a time; a longer row comes alone."""
     n = len(columns[0])
     sized = [c for c in columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
     ends = np.cumsum(sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in sized)) if n else []
@@ -76,7 +73,13 @@ def slices(*columns: pa.Array, size: int = 1 << 19) -> Iterator[tuple[list, ...]
     while at < n:
         done = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
-        yield tuple(c.slice(at, to - at).to_pylist() for c in columns)
+        yield tuple(c.slice(at, to - at) for c in columns)
         at = to
     # workers live on from stage to stage; what Arrow holds back adds up in an executor
     pa.default_memory_pool().release_unused()
+
+
+def slices(*columns: pa.Array, size: int = 1 << 19) -> Iterator[tuple[list, ...]]:
+    """The same as Python lists. A batch from Spark may hold thousands of long rows; Python objects then exist for a slice of it alone."""
+    for group in arrow_slices(*columns, size=size):
+        yield tuple(c.to_pylist() for c in group)

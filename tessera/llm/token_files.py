@@ -11,11 +11,14 @@ without half-written or double rows.
 Offsets are sums of n_tokens, first within a file, then over the files' totals,
 which are one row a file.
 
-Tokenising: white space parts words before the vocabulary's own rules apply,
-and the library encodes each distinct word of a worker once (bounded tables).
+Tokenising: ASCII white space parts words before the vocabulary's own rules
+apply, the library encodes each distinct word of a worker once (bounded tables),
+and Arrow parts the texts, finds their distinct words and puts the ids in place.
 
 Defined cases: null is the empty text (the end id alone); rows of equal doc_id
-are ordered by text hash; null ids come first; an empty table writes no rows.
+are ordered by text hash; null ids come first; an empty table writes no rows;
+texts are whole whatever their length, some MB of them at a time; other columns
+aren't looked at, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -28,22 +31,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tessera.llm._shared import slices
+from tessera.llm._shared import arrow_slices
 
 TABLE_WORDS = 300_000
+#: Bytes of text that are taken to words at a time.
+SLICE = 1 << 22
 #: A file's rows are numbered from file * 2**33 on, as monotonically_increasing_id does.
 _FILE_SHIFT = 33
 #: A word of Latin letters, and punctuation after it that starts a part of its own.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@[-`{}~]*)")
-
-_JOINED = re.compile(r"[\W_][.,]\s")
-#: Blanks to str.split(), though not to the vocabulary.
-_SEPARATOR = re.compile("[\x1c-\x1f]")
+#: A stop or comma that another mark joins, or that comes after a character whose normal form may end in a mark.
+_JOINED = r"[^0-9A-Za-zÀ-ÖØ-öø-ÿ \t\n\v\f\r][.,][ \t\n\v\f\r]"
 
 
 class WordTable:
@@ -77,18 +81,22 @@ class WordTable:
             same = all(self.whole(c + "bcd") == self.plain(c + "bcd") for c in letters if c.isalpha())
         except Exception:
             return False
-        return same and self.whole("Some  words, here!?") == apart and not self.whole(" ")
+        return same and self.whole("Some  words, here!?") == apart and not self.whole(" ") and self.whole("a1. B\n") == self.whole("a1 . b")
 
     def plain(self, word: str) -> bytes:
         word = word.lower() if word.isascii() else word.translate(self.letters)
         return array("I", [t.id for t in self.merges.tokenize(word)]).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        plain, full, old = _PLAIN.fullmatch, self.table, self.old
+    def learn(self, words: list[str]) -> None:
+        plain, full, old, merged = _PLAIN.fullmatch, self.table, self.old, self.merges.tokenize
         for w in words:
             if w in old:
                 full[w] = old[w]
-            elif (m := plain(w)) and len(w) < 200:
+            elif len(w) > 200:
+                full[w] = self.whole(w)
+            elif w.isalpha() and w.isascii():
+                full[w] = array("I", [t.id for t in merged(w.lower())]).tobytes()
+            elif m := plain(w):
                 full[w] = self.plain(m[1]) + (self.tail(m[2]) if m[2] else b"")
             else:
                 full[w] = self.whole(w)
@@ -100,29 +108,44 @@ class WordTable:
             self.known[marks] = self.whole(marks)
         return self.known[marks]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (no nulls), one text after the other, and the number of each text's."""
         if not self.parts:
-            return [self.whole(t) for t in texts]
-        cut = [self.split(t) for t in texts]
-        missing = set().union(*cut).difference(self.table)
+            each = [self.whole(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(each), "<i4"), np.array([len(x) // 4 for x in each], np.int64)
+        cut = self.split(texts)
+        places = cut.flatten().dictionary_encode()
+        words = places.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.table.get, words))
+        missing = [w for w, x in zip(words, ids) if x is None]
         if missing:
             if len(self.table) + len(missing) > self.limit:
                 # what was used since the last turn stays at hand in old
                 self.old, self.table = self.table, {}
-                missing = set().union(*cut)
+                missing = words
             self.learn(missing)
-        get = self.table.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+            ids = list(map(self.table.__getitem__, words))
+        if not ids:
+            return np.empty(0, "<i4"), np.zeros(len(texts), np.int64)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        flat = lists.take(places.indices).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[places.indices.to_numpy()])])
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        return flat, np.diff(ends[bounds - bounds[0]])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        flat, sizes = self.encode_array(pa.array(texts, pa.string()))
+        ends = np.cumsum(sizes)
+        return [flat[b - n : b].astype("<u4").tobytes() for b, n in zip(ends, sizes)]
 
     @staticmethod
-    def split(text: str) -> list[str]:
-        """Words between white space. Lower case comes first where it is letter by letter and can't make a special token;
-        full stops and commas part from the letter before them, unless another mark stands there and joins them."""
-        if "<|" not in text and "Σ" not in text and "İ" not in text:
-            text = text.lower()
-        if not _JOINED.search(text):
-            text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")
-        return text.split(" ") if _SEPARATOR.search(text) else text.split()
+    def split(texts: pa.Array) -> pa.Array:
+        """Words between ASCII white space. A-Z are lower-cased where that can't make a special token; stops and commas part
+        from the letter or digit before them, unless the text has one that something else joins."""
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        apart = pc.replace_substring(pc.replace_substring(pc.replace_substring(texts, ". ", " . "), ", ", " , "), ".\n", " .\n")
+        return pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(texts, _JOINED), texts, apart))
 
 
 _tables: dict[str, WordTable] = {}
@@ -140,10 +163,13 @@ def tokens_column(vocabulary: str, end_id: int, text: Column) -> Column:
 
     @F.arrow_udf("array<int>")
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table, end = word_table(vocabulary), np.array([end_id], "<u4").tobytes()
+        table = word_table(vocabulary)
         for texts in batches:
-            for (group,) in slices(texts):
-                yield pa.array([np.frombuffer(ids + end, "<i4") for ids in table.encode(group)], pa.list_(pa.int32()))
+            for (group,) in arrow_slices(texts, size=SLICE):
+                flat, sizes = table.encode_array(group)
+                ends = np.cumsum(sizes)
+                ids = np.insert(flat, ends, np.int32(end_id)).astype(np.int32, copy=False)
+                yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]), pa.int32()), pa.array(ids))
 
     return tokens(text)
 

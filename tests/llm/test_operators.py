@@ -280,11 +280,27 @@ def test_piece_table_is_bounded():
     sp = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
     table = pieces.ChunkTable(queries.PIECES, limit=50)
     rng = random.Random(4)
-    for _ in range(40):
-        t = " ".join("".join(rng.choice("abcé▁ \n1") for _ in range(rng.randrange(9))) for _ in range(rng.randrange(30)))
-        ids, text = table.encode([t], False, False)[0]
-        assert np.frombuffer(ids, "<u4").tolist() == sp.encode(t) and text == sp.decode(sp.encode(t))
-        assert len(table.table) <= 50
+    for _ in range(400):
+        t = " ".join("".join(rng.choice("abcé▁ \n1日😀\x00") for _ in range(rng.randrange(9))) for _ in range(rng.randrange(30)))
+        ids = table.encode([t], True, True)
+        assert np.frombuffer(ids[0], "<u4").tolist() == [1, *sp.encode(t), 2] and table.decode(ids) == [sp.decode(sp.encode(t))]
+        assert len(table.table) <= 50 and len(table.texts) <= 50
+
+
+def test_pieces_decode_reads_ids(spark):
+    """The decoded text comes from the ids: another id in a chunk is another text; ids from elsewhere decode as the library does."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    table = pieces.ChunkTable(queries.PIECES)
+    table.encode(["alpha beta"], True, True)
+    table.table["beta"] = np.array(sp.encode("gamma"), "<u4").tobytes()
+    assert table.decode(table.encode(["alpha beta"], True, True)) == ["alpha gamma"]
+    rng = random.Random(8)
+    rows = [(i, [rng.randrange(3, 32_000) for _ in range(rng.randrange(40))]) for i in range(300)] + [(300, []), (301, None), (302, [1, 2])]
+    d = spark.createDataFrame(rows, "doc_id bigint, ids array<int>").withColumn("decoded", F.lit(3))
+    got = {r["doc_id"]: r["decoded"] for r in collect(pieces.decode_pieces(d, queries.PIECES))}
+    assert got == {i: sp.decode(ids or []) for i, ids in rows}
 
 
 # 7
@@ -443,12 +459,20 @@ def test_token_file_format(spark, docs):
 
 
 def test_word_table():
+    """Letters whose lower case or normal form ends in a mark, joined punctuation, blanks that aren't ASCII, special tokens."""
     from tokenizers import Tokenizer
 
-    tok, table = Tokenizer.from_file(queries.WORDS), token_files.WordTable(queries.WORDS, limit=60)
+    tok, table = Tokenizer.from_file(queries.WORDS), token_files.WordTable(queries.WORDS, limit=600)
     assert table.parts
     rng = random.Random(6)
-    for _ in range(300):
-        t = "".join(rng.choice("abIT'é. ,\n!sdS1É_<|>ΣßŸñ́\x1c\xa0-") for _ in range(rng.randrange(60)))
-        assert np.frombuffer(table.encode([t])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    letters = "abIT'é. .,, \n!sdS1É_<|>ΣßŸñ\u0301\x1c\xa0-İı\u0958\u0307\u212a\u2126½²µº\u3000\u200b中\ufb01ǅ\r\t\x0b"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(10_000)]
+    texts += [c + mark + after for c in letters for mark in (".", ",", ".\n", "") for after in (" a", " ", "")]
+    texts += ["İ. a", "İ, b", "Diyarbakİ. yes", "İ.\n", "<|ENDOFTEXT|> <|endoftext|>a. b", "x" * 5000 + ". " + "y" * 300]
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        for t, ids in zip(part, table.encode(part)):
+            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+        assert len(table.table) <= 3000
+    assert table.encode([]) == [] and table.encode(["", " "]) == [b"", b""]
     assert public_tokenizers.path("word_bpe_49k.json") == queries.WORDS
