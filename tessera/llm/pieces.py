@@ -3,14 +3,19 @@
 No piece of the model runs from a character into a following whitespace
 marker, so merges never cross the start of a marked word: a text is cut before
 each run of spaces that follows another character. Every distinct chunk is
-segmented once by the library, and ids and decoded text are joined back by
-position. The table lives in the Python worker, serves all its tasks and starts
-anew beyond TABLE_CHUNKS entries, so memory is bounded; no occurrence is
-shuffled. A model whose pieces do cross markers, or that rewrites text, is
-refused.
+segmented once by the library, and its ids are joined back by position.
+Decoding reads nothing but ids: they are cut before each piece that begins with
+a marker, every distinct run of ids is decoded once by the library, and the
+texts are joined by position.
+
+Both tables live in the Python worker, serve all its tasks and start anew
+beyond TABLE_CHUNKS entries, so memory is bounded; no occurrence is shuffled. A
+model whose pieces do cross markers, or that rewrites text, is refused.
 
 Defined cases: null is the empty text, which has begin and end ids alone;
-repeated texts are encoded alike; clashing columns are replaced.
+null ids decode to the empty text; an empty table gives no rows; texts are whole
+whatever their length; repeated texts are encoded alike; clashing columns are
+replaced.
 """
 
 from __future__ import annotations
@@ -32,36 +37,39 @@ _CHUNK = re.compile(" +[^ ]*")
 
 
 class ChunkTable:
-    """Distinct chunk -> little-endian 32-bit ids. A chunk is kept without its first marker, which the library adds."""
+    """Distinct chunk -> little-endian 32-bit ids, and ids of a run from marker to marker -> its text. A chunk is kept without its first marker, which the library adds."""
 
     def __init__(self, model_path: str, limit: int = TABLE_CHUNKS):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
+        n = self.model.vocab_size()
+        pieces = [self.model.id_to_piece(i) for i in range(n)]
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces) or self.model.encode("a  b", out_type=str)[:1] != [MARK + "a"]:
             raise ValueError("pieces of this model cross whitespace markers, or it doesn't mark the first word")
         if self.model.decode(self.model.encode("  A  é ")) != "  A  é ":
             raise ValueError("this model rewrites texts")
         self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (self.model.bos_id(), self.model.eos_id()))
-        self.limit, self.table, self.changed = limit, {}, {}
+        self.limit, self.table, self.texts = limit, {}, {}
         self.mark = np.array([self.model.piece_to_id(MARK)], "<u4").tobytes()
+        self.marked = np.array([p.startswith(MARK) for p in pieces])
+        self.control = np.array([self.model.is_control(i) for i in range(n)])
+        # a piece without marker: what follows it is decoded as inside a text
+        self.before = next(i for i, p in enumerate(pieces) if p == "a")
 
     def learn(self, chunks: set[str]) -> None:
-        """Segment new chunks; the few that decode to something else are noted in changed."""
+        """Segment new chunks."""
         new = list(chunks)
         found = self.model.encode(new, num_threads=1)
         flat = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
         at = 0
         for c, ids in zip(new, found):
             self.table[c] = flat[at : (at := at + 4 * len(ids))]
-        self.changed.update((c, t) for c, t in zip(new, self.model.decode(found, num_threads=1)) if c != t)
         if "" in chunks:  # a marker alone; the library marks no empty text
             self.table[""] = self.mark
-            self.changed.pop("", None)
 
-    def encode(self, texts: list[str | None], bos: bool, eos: bool) -> list[tuple[bytes, str]]:
-        """For each text, ids as little-endian 32-bit integers, and the text they decode to."""
+    def encode(self, texts: list[str | None], bos: bool, eos: bool) -> list[bytes]:
+        """For each text, ids as little-endian 32-bit integers."""
         texts = [t.replace(MARK, " ") if t else "" for t in texts]
         cut = [t.split(" ") if t else [] for t in texts]
         # runs of markers belong to the chunk after them
@@ -70,16 +78,46 @@ class ChunkTable:
         if missing:
             if len(self.table) + len(missing) > self.limit:
                 self.table.clear()
-                self.changed.clear()
                 missing = set().union(*cut)
             self.learn(missing)
-        out = []
-        for text, chunks in zip(texts, cut):
-            ids = b"".join([self.table[c] for c in chunks])
-            if self.changed and not self.changed.keys().isdisjoint(chunks):
-                text = " ".join([self.changed.get(c, c) for c in chunks])
-            out.append(((self.begin if bos else b"") + ids + (self.end if eos else b""), text))
-        return out
+        begin, end, get = self.begin if bos else b"", self.end if eos else b"", self.table.__getitem__
+        return [begin + b"".join(map(get, chunks)) + end for chunks in cut]
+
+    def decode(self, rows: list[bytes]) -> list[str]:
+        """The text of each row of ids, little-endian 32-bit integers."""
+        data = b"".join(rows)
+        flat = np.frombuffer(data, "<u4")
+        first = np.cumsum([0] + [len(r) // 4 for r in rows])
+        control = self.control[flat]
+        start = self.marked[flat] | control
+        start[1:] |= control[:-1]
+        start[first[:-1][first[:-1] < len(flat)]] = True
+        at = np.nonzero(start)[0]
+        ends = (4 * np.append(at, len(flat))).tolist()
+        runs = [data[a:b] for a, b in zip(ends, ends[1:])]
+        known = self.texts
+        missing = set(runs).difference(known)
+        if missing:
+            if len(known) + len(missing) > self.limit:
+                known.clear()
+                missing = set(runs)
+            new = list(missing)
+            found = self.model.decode([[self.before, *np.frombuffer(r, "<u4").tolist()] for r in new], num_threads=1)
+            known.update((r, t[1:]) for r, t in zip(new, found))
+        texts = list(map(known.__getitem__, runs))
+        bounds = np.searchsorted(at, first).tolist()
+        # the marker that the first piece of a text begins with is the library's own
+        lead = self._leads(flat, first)
+        return ["".join(texts[a:b])[k:] for a, b, k in zip(bounds, bounds[1:], lead)]
+
+    def _leads(self, flat: np.ndarray, first: np.ndarray) -> list[int]:
+        """1 for each row whose first piece besides control ones begins with a marker."""
+        real = np.append(np.nonzero(~self.control[flat])[0], len(flat))
+        at = real[np.searchsorted(real, first[:-1])]
+        inside = at < first[1:]
+        out = np.zeros(len(first) - 1, np.int64)
+        out[inside] = self.marked[flat[at[inside]]]
+        return out.tolist()
 
 
 _tables: dict[str, ChunkTable] = {}
@@ -93,10 +131,14 @@ def chunk_table(model_path: str) -> ChunkTable:
     return _tables[model_path]
 
 
-def encode_pieces(docs: DataFrame, model_path: str, bos: bool = True, eos: bool = True, as_list: bool = True) -> DataFrame:
-    """docs with ids and decoded. ids is array<int>, or with as_list=False the same ids as little-endian 32-bit integers in binary."""
+def _array(rows: list[bytes], as_list: bool) -> pa.Array:
+    if not as_list:
+        return pa.array(rows, pa.binary())
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r) // 4 for r in rows]), pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))
 
-    kind = pa.list_(pa.int32()) if as_list else pa.binary()
+
+def encode_pieces(docs: DataFrame, model_path: str, bos: bool = True, eos: bool = True, as_list: bool = True) -> DataFrame:
+    """docs with ids and what they decode to. ids is array<int>, or with as_list=False the same ids as little-endian 32-bit integers in binary."""
 
     @F.arrow_udf(f"ids {'array<int>' if as_list else 'binary'}, decoded string")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -104,8 +146,19 @@ def encode_pieces(docs: DataFrame, model_path: str, bos: bool = True, eos: bool
         for texts in batches:
             for (group,) in slices(texts):
                 rows = table.encode(group, bos, eos)
-                ids = [np.frombuffer(i, "<i4") for i, _ in rows] if as_list else [i for i, _ in rows]
-                yield pa.StructArray.from_arrays([pa.array(ids, kind), pa.array([t for _, t in rows], pa.string())], ["ids", "decoded"])
+                yield pa.StructArray.from_arrays([_array(rows, as_list), pa.array(table.decode(rows), pa.string())], ["ids", "decoded"])
 
     out = docs.withColumn("_tsr_out", encoded(F.coalesce(F.col("text"), F.lit(""))))
     return out.withColumns({"ids": F.col("_tsr_out.ids"), "decoded": F.col("_tsr_out.decoded")}).drop("_tsr_out")
+
+
+def decode_pieces(rows: DataFrame, model_path: str) -> DataFrame:
+    """rows (ids: array<int>) with decoded, the text of the ids; control ids have none."""
+
+    @F.arrow_udf("string")
+    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = chunk_table(model_path)
+        for lists in batches:
+            yield pa.array(table.decode([np.asarray(x or [], "<u4").tobytes() for x in lists.to_pylist()]), pa.string())
+
+    return rows.withColumn("decoded", decoded("ids"))
