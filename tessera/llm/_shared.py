@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,3 +83,47 @@ def slices(*columns: pa.Array, size: int = 1 << 19) -> Iterator[tuple[list, ...]
     """The same as Python lists. A batch from Spark may hold thousands of long rows; Python objects then exist for a slice of it alone."""
     for group in arrow_slices(*columns, size=size):
         yield tuple(c.to_pylist() for c in group)
+
+
+class TwoTurns:
+    """A table of at most `limit` entries from bytes or text to what `learn` makes of a list of keys; what was used in the last turn is kept into the next."""
+
+    def __init__(self, limit: int, learn: Callable[[list], list]):
+        self.half, self.learn, self.now, self.old = max(1, limit // 2), learn, {}, {}
+
+    def __len__(self) -> int:
+        return len(self.now) + len(self.old)
+
+    def look_up(self, keys: list) -> list:
+        """A value for each of the (distinct) keys."""
+        out = list(map(self.now.get, keys))
+        missing = [k for k, v in zip(keys, out) if v is None]
+        if not missing:
+            return out
+        if len(self.now) + len(missing) > self.half:
+            self.old, self.now = self.now, {}
+            missing = keys
+        known = list(map(self.old.get, missing))
+        new = [k for k, v in zip(missing, known) if v is None]
+        self.now.update((k, v) for k, v in zip(missing, known) if v is not None)
+        self.now.update(zip(new, self.learn(new)))
+        out = list(map(self.now.__getitem__, keys))
+        if len(self.now) > self.half:  # a turn with more keys than that leaves nothing
+            self.now, self.old = {}, {}
+        return out
+
+
+def spread(ids: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Little-endian 32-bit integers of ids[at[0]], ids[at[1]], ... in a row, and where each ends (first a 0)."""
+    if not len(at):
+        return np.empty(0, "<i4"), np.zeros(1, np.int64)
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+    flat = lists.take(pa.array(at)).flatten().to_numpy()
+    return flat, np.concatenate([[0], np.cumsum(sizes[at])])
+
+
+def distinct(words: pa.Array) -> tuple[list, np.ndarray]:
+    """The distinct values as Python objects, and each word's place among them."""
+    coded = words.dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()

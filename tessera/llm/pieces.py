@@ -3,13 +3,16 @@
 No piece of the model runs from a character into a following whitespace
 marker, so merges never cross the start of a marked word: a text is cut before
 each run of spaces that follows another character. Every distinct chunk is
-segmented once by the library, and its ids are joined back by position.
-Decoding reads nothing but ids: they are cut before each piece that begins with
+segmented once by the library, and its ids are joined back by position. Where
+the vocabulary shows that no piece crosses them either, chunks are also cut around
+line ends and before the stop or comma that ends a word, which makes fewer of
+them distinct. Decoding reads nothing but ids: they are cut before each piece that begins with
 a marker, every distinct run of ids is decoded once by the library, and the
 texts are joined by position.
 
-Both tables live in the Python worker, serve all its tasks and start anew
-beyond TABLE_CHUNKS entries, so memory is bounded; no occurrence is shuffled. A
+Both tables live in the Python worker, serve all its tasks and hold at most
+TABLE_CHUNKS entries, so memory is bounded; no occurrence is shuffled. Arrow
+parts the texts, finds what is distinct and puts ids and texts in place. A
 model whose pieces do cross markers, or that rewrites text, is refused.
 
 Defined cases: null is the empty text, which has begin and end ids alone;
@@ -26,14 +29,20 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import slices
+from tessera.llm._shared import TwoTurns, arrow_slices, distinct, spread
 
-TABLE_CHUNKS = 120_000
+TABLE_CHUNKS = 300_000
+#: Bytes of text that are taken to chunks at a time.
+SLICE = 1 << 22
 MARK = "▁"
+#: Between chunks, and at the head of one that has no marker; a text that has them is parted by Python.
+_CUT, _BARE = "\uf8f0", "\uf8f1"
 _CHUNK = re.compile(" +[^ ]*")
+_JOINED = "[^0-9A-Za-zÀ-ÖØ-öø-ÿ ][.,] "
 
 
 class ChunkTable:
@@ -49,75 +58,107 @@ class ChunkTable:
             raise ValueError("pieces of this model cross whitespace markers, or it doesn't mark the first word")
         if self.model.decode(self.model.encode("  A  é ")) != "  A  é ":
             raise ValueError("this model rewrites texts")
-        self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (self.model.bos_id(), self.model.eos_id()))
-        self.limit, self.table, self.texts = limit, {}, {}
+        self.begin, self.end = self.model.bos_id(), self.model.eos_id()
+        self.table, self.texts = TwoTurns(limit, self.segment), TwoTurns(limit, self.surfaces)
         self.mark = np.array([self.model.piece_to_id(MARK)], "<u4").tobytes()
         self.marked = np.array([p.startswith(MARK) for p in pieces])
         self.control = np.array([self.model.is_control(i) for i in range(n)])
         # a piece without marker: what follows it is decoded as inside a text
         self.before = next(i for i, p in enumerate(pieces) if p == "a")
-
-    def learn(self, chunks: set[str]) -> None:
-        """Segment new chunks."""
-        new = list(chunks)
-        found = self.model.encode(new, num_threads=1)
+        # whether merges never cross a line end, or come from a letter or digit to a stop or comma
+        self.lines = not any("\n" in p for p in pieces if len(p) > 1)
+        self.stops = not any(re.search("[0-9A-Za-zÀ-ÖØ-öø-ÿ][.,]", p) for p in pieces)
+        self.line = len(self.model.encode("\n"))
+
+    def segment(self, chunks: list[str]) -> list[bytes]:
+        """Ids of new chunks. The library marks every text; one that has no marker is segmented after a line end."""
+        bare = [c[:1] == _BARE for c in chunks]
+        found = self.model.encode(["\n" + c[1:] if b else c for c, b in zip(chunks, bare)], num_threads=1)
+        if any(bare):
+            found = [f[self.line :] if b else f for f, b in zip(found, bare)]
         flat = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
-        at = 0
-        for c, ids in zip(new, found):
-            self.table[c] = flat[at : (at := at + 4 * len(ids))]
-        if "" in chunks:  # a marker alone; the library marks no empty text
-            self.table[""] = self.mark
-
-    def encode(self, texts: list[str | None], bos: bool, eos: bool) -> list[bytes]:
-        """For each text, ids as little-endian 32-bit integers."""
-        texts = [t.replace(MARK, " ") if t else "" for t in texts]
-        cut = [t.split(" ") if t else [] for t in texts]
-        # runs of markers belong to the chunk after them
-        cut = [[c[1:] for c in _CHUNK.findall(" " + t)] if "" in chunks else chunks for t, chunks in zip(texts, cut)]
-        missing = set().union(*cut).difference(self.table)
-        if missing:
-            if len(self.table) + len(missing) > self.limit:
-                self.table.clear()
-                missing = set().union(*cut)
-            self.learn(missing)
-        begin, end, get = self.begin if bos else b"", self.end if eos else b"", self.table.__getitem__
-        return [begin + b"".join(map(get, chunks)) + end for chunks in cut]
-
-    def decode(self, rows: list[bytes]) -> list[str]:
-        """The text of each row of ids, little-endian 32-bit integers."""
-        data = b"".join(rows)
-        flat = np.frombuffer(data, "<u4")
-        first = np.cumsum([0] + [len(r) // 4 for r in rows])
+        at, out = 0, []
+        for c, ids in zip(chunks, found):
+            # a marker alone: the library marks no empty text
+            out.append(flat[at : (at := at + 4 * len(ids))] if c else self.mark)
+        return out
+
+    def surfaces(self, runs: list[bytes]) -> list[str]:
+        """Texts of new runs of ids."""
+        flat = np.frombuffer(b"".join(runs), "<u4").tolist()
+        at, lists, first = 0, [], [self.before]
+        for r in runs:
+            lists.append(first + flat[at : (at := at + len(r) // 4)])
+        return [t[1:] for t in self.model.decode(lists, num_threads=1)]
+
+    def cut(self, texts: pa.Array) -> pa.Array:
+        """Lists of the texts' chunks. A chunk begins at each run of spaces; further cuts where no piece crosses them."""
+        texts = pc.replace_substring(texts, MARK, " ")
+        if pc.any(pc.match_substring_regex(texts, f"[{_CUT}{_BARE}]")).as_py():
+            return pa.array([[c[1:] for c in _CHUNK.findall(" " + t)] if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
+        if self.stops:
+            apart = pc.replace_substring(pc.replace_substring(texts, ". ", f"{_CUT}{_BARE}. "), ", ", f"{_CUT}{_BARE}, ")
+            # a stop at the head of a text or after a blank has that blank's marker
+            texts = pc.if_else(pc.match_substring_regex(texts, f"{_JOINED}|(^| )[.,] "), texts, apart)
+        if self.lines:
+            texts = pc.replace_substring(texts, "\n", f"{_CUT}{_BARE}\n{_CUT}{_BARE}")
+        # blanks at the head of a text are one run with the marker that the library adds
+        texts = pc.if_else(pc.starts_with(texts, " "), pc.binary_join_element_wise(f"{_BARE} ", texts, ""), texts)
+        runs = pc.match_substring(texts, "  ")
+        single = pc.replace_substring(texts, " ", _CUT)
+        if pc.any(runs).as_py():
+            # of a run of spaces the first parts, the others belong to the chunk after them
+            single = pc.if_else(runs, pc.replace_substring_regex(pc.if_else(runs, texts, ""), " ( *)", f"{_CUT}\\1"), single)
+        out = pc.split_pattern(single, _CUT)
+        empty = pc.equal(pc.binary_length(texts), 0)
+        return pc.if_else(empty, pa.array([[]], out.type)[0], out) if pc.any(empty).as_py() else out
+
+    def encode_array(self, texts: pa.Array, bos: bool, eos: bool) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (no nulls), one text after the other, and where each begins and the last ends."""
+        cut = self.cut(texts)
+        words, at = distinct(cut.flatten())
+        flat, ends = spread(self.table.look_up(words), at)
+        bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])]
+        more = [i for i, wanted in ((self.begin, bos), (self.end, eos)) if wanted]
+        if more:
+            places = np.stack([x for x, wanted in ((bounds[:-1], bos), (bounds[1:], eos)) if wanted], axis=1).ravel()
+            flat = np.insert(flat, places, np.tile(np.array(more, np.int32), len(texts)))
+            bounds = bounds + len(more) * np.arange(len(bounds))
+        return flat.astype("<i4", copy=False), bounds
+
+    def decode_array(self, flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The texts of ids that stand one text after the other."""
         control = self.control[flat]
         start = self.marked[flat] | control
         start[1:] |= control[:-1]
-        start[first[:-1][first[:-1] < len(flat)]] = True
+        start[bounds[:-1][bounds[:-1] < len(flat)]] = True
         at = np.nonzero(start)[0]
-        ends = (4 * np.append(at, len(flat))).tolist()
-        runs = [data[a:b] for a, b in zip(ends, ends[1:])]
-        known = self.texts
-        missing = set(runs).difference(known)
-        if missing:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = set(runs)
-            new = list(missing)
-            found = self.model.decode([[self.before, *np.frombuffer(r, "<u4").tolist()] for r in new], num_threads=1)
-            known.update((r, t[1:]) for r, t in zip(new, found))
-        texts = list(map(known.__getitem__, runs))
-        bounds = np.searchsorted(at, first).tolist()
+        runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(4 * np.append(at, len(flat)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))])
+        keys, place = distinct(runs)
+        texts = pa.array(self.texts.look_up(keys), pa.large_string()).take(pa.array(place))
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())]) if len(texts) else np.zeros(1, np.int64)
+        of_text = ends[np.searchsorted(at, bounds)].astype(np.int64)
+        data = texts.buffers()[2] if len(texts) else None
+        out = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(of_text), data or pa.py_buffer(b"")).cast(pa.string())
         # the marker that the first piece of a text begins with is the library's own
-        lead = self._leads(flat, first)
-        return ["".join(texts[a:b])[k:] for a, b, k in zip(bounds, bounds[1:], lead)]
+        return pc.if_else(pa.array(self._leads(flat, bounds)), pc.utf8_slice_codeunits(out, 1), out)
 
-    def _leads(self, flat: np.ndarray, first: np.ndarray) -> list[int]:
-        """1 for each row whose first piece besides control ones begins with a marker."""
+    def _leads(self, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Whether a text's first piece besides control ones begins with a marker."""
         real = np.append(np.nonzero(~self.control[flat])[0], len(flat))
-        at = real[np.searchsorted(real, first[:-1])]
-        inside = at < first[1:]
-        out = np.zeros(len(first) - 1, np.int64)
+        at = real[np.searchsorted(real, bounds[:-1])]
+        inside = at < bounds[1:]
+        out = np.zeros(len(bounds) - 1, bool)
         out[inside] = self.marked[flat[at[inside]]]
-        return out.tolist()
+        return out
+
+    def encode(self, texts: list[str], bos: bool, eos: bool) -> list[list[int]]:
+        flat, bounds = self.encode_array(pa.array(texts, pa.string()), bos, eos)
+        return [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+
+    def decode(self, rows: list[list[int]]) -> list[str]:
+        flat = np.fromiter(chain.from_iterable(rows), "<i4")
+        return self.decode_array(flat, np.cumsum([0] + [len(r) for r in rows])).to_pylist()
 
 
 _tables: dict[str, ChunkTable] = {}
@@ -131,10 +172,10 @@ def chunk_table(model_path: str) -> ChunkTable:
     return _tables[model_path]
 
 
-def _array(rows: list[bytes], as_list: bool) -> pa.Array:
-    if not as_list:
-        return pa.array(rows, pa.binary())
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r) // 4 for r in rows]), pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+def _array(flat: np.ndarray, bounds: np.ndarray, as_list: bool) -> pa.Array:
+    if as_list:
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(4 * bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
 
 
 def encode_pieces(docs: DataFrame, model_path: str, bos: bool = True, eos: bool = True, as_list: bool = True) -> DataFrame:
@@ -144,9 +185,9 @@ def encode_pieces(docs: DataFrame, model_path: str, bos: bool = True, eos: bool
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = chunk_table(model_path)
         for texts in batches:
-            for (group,) in slices(texts):
-                rows = table.encode(group, bos, eos)
-                yield pa.StructArray.from_arrays([_array(rows, as_list), pa.array(table.decode(rows), pa.string())], ["ids", "decoded"])
+            for (group,) in arrow_slices(texts, size=SLICE):
+                flat, bounds = table.encode_array(group, bos, eos)
+                yield pa.StructArray.from_arrays([_array(flat, bounds, as_list), table.decode_array(flat, bounds)], ["ids", "decoded"])
 
     out = docs.withColumn("_tsr_out", encoded(F.coalesce(F.col("text"), F.lit(""))))
     return out.withColumns({"ids": F.col("_tsr_out.ids"), "decoded": F.col("_tsr_out.decoded")}).drop("_tsr_out")
@@ -159,6 +200,6 @@ def decode_pieces(rows: DataFrame, model_path: str) -> DataFrame:
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = chunk_table(model_path)
         for lists in batches:
-            yield pa.array(table.decode([np.asarray(x or [], "<u4").tobytes() for x in lists.to_pylist()]), pa.string())
+            yield pa.array(table.decode([x or [] for x in lists.to_pylist()]), pa.string())
 
     return rows.withColumn("decoded", decoded("ids"))

@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tessera.llm._shared import arrow_slices
+from tessera.llm._shared import TwoTurns, arrow_slices, distinct, spread
 
 TABLE_WORDS = 300_000
 #: Bytes of text that are taken to words at a time.
@@ -64,7 +64,7 @@ class WordTable:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.merges = self.tokenizer.model
-        self.limit, self.table, self.old, self.known = limit // 2, {}, {}, {}
+        self.table, self.known = TwoTurns(limit, self.learn), {}
         as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(i) for i in range(0x41, 0x100) if _PLAIN.fullmatch(chr(i))]
         # to lower case, and to the characters that stand for a letter's bytes
@@ -87,19 +87,18 @@ class WordTable:
         word = word.lower() if word.isascii() else word.translate(self.letters)
         return array("I", [t.id for t in self.merges.tokenize(word)]).tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        plain, full, old, merged = _PLAIN.fullmatch, self.table, self.old, self.merges.tokenize
+    def learn(self, words: list[str]) -> list[bytes]:
+        plain, merged, out = _PLAIN.fullmatch, self.merges.tokenize, []
         for w in words:
-            if w in old:
-                full[w] = old[w]
-            elif len(w) > 200:
-                full[w] = self.whole(w)
+            if len(w) > 200:
+                out.append(self.whole(w))
             elif w.isalpha() and w.isascii():
-                full[w] = array("I", [t.id for t in merged(w.lower())]).tobytes()
+                out.append(array("I", [t.id for t in merged(w.lower())]).tobytes())
             elif m := plain(w):
-                full[w] = self.plain(m[1]) + (self.tail(m[2]) if m[2] else b"")
+                out.append(self.plain(m[1]) + (self.tail(m[2]) if m[2] else b""))
             else:
-                full[w] = self.whole(w)
+                out.append(self.whole(w))
+        return out
 
     def tail(self, marks: str) -> bytes:
         if marks not in self.known:
@@ -114,23 +113,8 @@ class WordTable:
             each = [self.whole(t) for t in texts.to_pylist()]
             return np.frombuffer(b"".join(each), "<i4"), np.array([len(x) // 4 for x in each], np.int64)
         cut = self.split(texts)
-        places = cut.flatten().dictionary_encode()
-        words = places.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids = list(map(self.table.get, words))
-        missing = [w for w, x in zip(words, ids) if x is None]
-        if missing:
-            if len(self.table) + len(missing) > self.limit:
-                # what was used since the last turn stays at hand in old
-                self.old, self.table = self.table, {}
-                missing = words
-            self.learn(missing)
-            ids = list(map(self.table.__getitem__, words))
-        if not ids:
-            return np.empty(0, "<i4"), np.zeros(len(texts), np.int64)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-        flat = lists.take(places.indices).flatten().to_numpy()
-        ends = np.concatenate([[0], np.cumsum(sizes[places.indices.to_numpy()])])
+        words, at = distinct(cut.flatten())
+        flat, ends = spread(self.table.look_up(words), at)
         bounds = cut.offsets.to_numpy().astype(np.int64)
         return flat, np.diff(ends[bounds - bounds[0]])
 
