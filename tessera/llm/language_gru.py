@@ -41,8 +41,8 @@ class Gru:
         self.x = rng.normal(0, 0.3, (3 * hidden, 256)).astype(np.float32)
         self.h = rng.normal(0, 0.5 / np.sqrt(hidden), (3 * hidden, hidden)).astype(np.float32)
 
-    def states(self, bytes_: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """(T, B) bytes -> (T, H, B) states. keep gathers what backpropagation needs."""
+    def states(self, bytes_: np.ndarray, keep: list | None = None, mask: np.ndarray | None = None) -> np.ndarray:
+        """(T, B) bytes -> (T, H, B) states. keep gathers what backpropagation needs; where mask (T, B) is 0 the state is 0."""
         steps, batch = bytes_.shape
         n = self.h.shape[1]
         # the hard sigmoid's a / 4 + 1 / 2 is put into the weights
@@ -70,6 +70,8 @@ class Gru:
             new = c - h
             new *= z
             new += h
+            if mask is not None:
+                new *= mask[t]
             out[t] = h = new
         return out
 
@@ -111,7 +113,8 @@ class LanguageModel:
 
     def windows(self, bytes_: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """(T, B) bytes, (T, B) mask -> (B, L) sums of the positions' probabilities."""
-        p = self.logits(self.forward.states(bytes_), self.backward.states(bytes_[::-1])[::-1])
+        # backwards a window begins with its padding, which must leave no trace
+        p = self.logits(self.forward.states(bytes_), self.backward.states(bytes_[::-1], mask=mask[::-1])[::-1])
         np.clip(p, -40, 40, out=p)  # float32's exponential stays finite
         np.exp(p, out=p)
         p *= (mask / p.sum(1))[:, None]
@@ -177,9 +180,13 @@ def fit_language_model(windows: np.ndarray, labels: np.ndarray, languages: list[
 def training_windows(docs: DataFrame, learnable: Column, per_language: int = 400, windows: int = 6, max_languages: int = 200) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """At most per_language x max_languages x windows rows of WINDOW bytes from learnable documents, of the most frequent languages."""
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang")
-    names = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    rows = rows.where(F.col("lang").isin(names))
-    # the window keeps per_language rows a task and language before it shuffles any
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    # documents of least id hash: a few more than per_language a language lie below its bound, however many there are
+    bound = lambda n: -(1 << 63) + min((1 << 64) - 1, int((1 << 64) * (1.5 * per_language + 100) / n))
+    below = F.lit(False)
+    for lang, n in counts.items():
+        below = below | ((F.col("lang") == lang) & (F.xxhash64("doc_id") <= F.lit(bound(n))))
+    rows = rows.where(below)
     chosen = rows.withColumn("_tsr_n", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("_tsr_n") <= per_language).select("doc_id", "lang").distinct()
     raw = docs.select("doc_id", F.col("lang").alias("_tsr_lang"), F.col("text").cast("binary").alias("b")).join(F.broadcast(chosen), "doc_id").where(F.col("_tsr_lang") == F.col("lang"))
     places = F.sequence(F.lit(0), F.lit(windows - 1))

@@ -6,9 +6,11 @@ table. Then the strongest pairs of features get two-dimensional tables the
 same way. A score is the sum of table entries through the logistic function.
 
 Defined cases: null and empty texts have all-zero features and are scored like
-any text; repeated rows are scored alike; with no labelled rows of both classes
-every score is the share of label 1 (0.5 without any labels); columns that
-clash with an output name are replaced.
+any text, an empty table gives no rows; texts are read whole whatever their
+length; repeated rows are scored alike, and in training an id is one row (of
+several texts the one of least features); ids of equal hash come by id; with no
+labelled rows of both classes every score is the share of label 1 (0.5 without
+any labels); columns that clash with an output name are replaced.
 """
 
 from __future__ import annotations
@@ -180,7 +182,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learnable: Column, limit
         return pd.Series(list(features_of(texts)))
 
     # the sample has at most `limit` rows of two numbers, so it is broadcast
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", features("text").alias("x"), "quality").orderBy("doc_id", "x").limit(2 * limit).toPandas()
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", features("text").alias("x"), "quality")
+    # one row an id, whatever repeats: at most `limit` rows
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r")).orderBy("doc_id").select("r.x", "r.quality").toPandas()
     return np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), len(FEATURES)), rows["quality"].to_numpy(float)
 
 

@@ -4,11 +4,13 @@ Each rule compares one text statistic with a cutoff. Per stratum, labelled
 rows are halved by an id hash. The first half proposes, for each of a fixed
 ladder of levels, the cutoffs that reject that share of good rows by each
 rule. The second half certifies levels from the mildest on: a level holds if
-an exact binomial test refutes "more than max_false_rejection of good rows are
-rejected" at error / strata (Bonferroni over the strata; walking the ladder in
+an exact binomial test refutes "more than max_false_rejection of the good
+documents that pass the base rule are rejected" at error / strata (Bonferroni over the strata; walking the ladder in
 fixed order and stopping at the first failure needs no correction within one).
-Certified cutoffs therefore reject at most that share of good rows in every
-stratum at once, except with probability `error`. Strata are the languages
+Certified cutoffs therefore reject at most that share of the good documents that
+pass the base rule, in every stratum at once, except with probability `error`;
+what the base rule rejects before is outside this promise. A doc_id is one trial
+however often it comes. Strata are the languages
 stated as parameters and one for all else, so their number is fixed.
 
 Counts over labelled rows are sums over fixed integer grids: exact, one row a
@@ -16,7 +18,10 @@ grid cell, independent of partitioning. No row is sampled.
 
 Defined cases: null and empty texts have no words and fail the base rule; a
 stratum without enough labels certifies nothing and rejects by the base rule
-alone; repeated rows are judged alike; clashing columns are replaced.
+alone; an empty table gives no rows, empty labels certify nothing; texts are
+read whole whatever their length; repeated rows are judged alike, and an id with
+several texts is one trial by its worst cells; columns are chosen by name, so
+clashing ones are left out.
 """
 
 from __future__ import annotations
@@ -150,7 +155,8 @@ def certify(rejected: list[int], n: int, limit: float, error: float) -> int:
 def select_rules(stats: DataFrame, labels: DataFrame, languages: tuple[str, ...] = ("en", "de", "fr", "es"), max_false_rejection: float = 0.03, error: float = 0.05, label: str = "quality") -> dict[str, dict[str, int]]:
     """Certified cutoffs by stratum and rule. stats: with_stats() of documents, with doc_id and lang."""
     good = one_label(labels, label).where(F.col(label) == 1).select("doc_id")
-    rows = cut(stats.where(~F.col("base_failed")).select("doc_id", stratum(languages).alias("stratum"), *[c.alias(r) for r, c in _cells().items()]).join(good, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))))
+    # one trial an id: of repeated rows the worst cells count
+    rows = cut(stats.where(~F.col("base_failed")).select("doc_id", stratum(languages).alias("stratum"), *[c.alias(r) for r, c in _cells().items()]).join(good, "doc_id").groupBy("doc_id").agg(F.min("stratum").alias("stratum"), *[F.max(r).alias(r) for r in RULES]).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))))
     first = rows.where("half = 0")
     # at most strata x rules x (GRID + 1) rows
     cells = first.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("cell")) for r in RULES])).alias("x")).groupBy("stratum", "x.rule", "x.cell").count().collect()

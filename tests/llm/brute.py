@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -126,3 +128,100 @@ def warc_rows(pages):
 
 def crc(ids) -> int:
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
+
+
+def quality_features(text):
+    """The sixteen features of the quality model, counted one character at a time."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n = len(words)
+    if not n:
+        return [0.0] * 16
+    size = lambda w: len(w.encode())
+    chars = sum(1 for c in text if c not in " \t\n\v\f\r")
+    among = lambda s: sum(1 for c in text if c in s)
+    upper, lower, other = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text), sum(ord(c) > 127 for c in text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    pairs = list(zip(words, words[1:]))
+    return [
+        math.log(n + 1), chars / n, among("|#*$%&<>") / n, upper / max(1, upper + lower + other), among("0123456789") / chars, among(".?") / n, among("!") / n, len(set(words)) / n**0.75,
+        sum(a == b for a, b in pairs) / n, 1 - len(set(lines)) / len(lines), n / len(lines), math.log(max(map(size, words)) + 1), other / chars, among("|") / n,
+        len(set(pairs)) / max(1, n - 1), sum(size(w) <= 3 for w in words) / n,
+    ]
+
+
+def gam_score(model, text):
+    x = quality_features(text)
+    place = lambda cuts, v: sum(1 for c in cuts if c <= v)
+    total = model.intercept + sum(t[place(e, v)] for e, t, v in zip(model.edges, model.tables, x))
+    total += sum(t[place(model.coarse[i], x[i])][place(model.coarse[j], x[j])] for i, j, t in model.pairs)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
+
+
+def gru_states(gru, data):
+    """One direction of the network, byte by byte."""
+    n = gru.h.shape[1]
+    h, out = [0.0] * n, []
+    for byte in data:
+        x = [float(v) for v in gru.x[:, byte]]
+        hard = lambda a: min(1.0, max(0.0, a / 4 + 0.5))
+        z = [hard(x[i] + sum(float(gru.h[i, j]) * h[j] for j in range(n))) for i in range(n)]
+        r = [hard(x[n + i] + sum(float(gru.h[n + i, j]) * h[j] for j in range(n))) for i in range(n)]
+        c = [math.tanh(x[2 * n + i] + sum(float(gru.h[2 * n + i, j]) * r[j] * h[j] for j in range(n))) for i in range(n)]
+        h = [h[i] + z[i] * (c[i] - h[i]) for i in range(n)]
+        out.append(h)
+    return out
+
+
+def language_probabilities(model, data, window):
+    """Mean over all positions of each position's softmax; each window of bytes is read by itself, both ways."""
+    total = [0.0] * len(model.languages)
+    for at in range(0, len(data), window):
+        part = data[at : at + window]
+        for f, b in zip(gru_states(model.forward, part), gru_states(model.backward, part[::-1])[::-1]):
+            e = [math.exp(float(model.bias[k]) + sum(float(w) * s for w, s in zip(model.weights[k], f + b))) for k in range(len(total))]
+            total = [t + x / sum(e) for t, x in zip(total, e)]
+    return [t / max(1, len(data)) for t in total]
+
+
+def half_of(doc_id):
+    import xxhash
+
+    return xxhash.xxh64_intdigest(b"half", seed=xxhash.xxh64_intdigest(struct.pack("<q", doc_id), seed=42)) & 1
+
+
+def rule_cells(text):
+    """Each rule's statistic, as a cell of 1,024."""
+    n, chars, symbols, dup, repeats = rule_base(text)
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    upper, bangs, bars = sum("A" <= c <= "Z" for c in text or ""), (text or "").count("!"), (text or "").count("|")
+    m, k = max(n, 1), max(chars, 1)
+    parts = {
+        "symbols": symbols / (symbols + 0.25 * m), "dup_lines": dup / max(len(lines), 1), "repeats": repeats / m, "long_words": chars / (chars + 8 * m), "upper": upper / k,
+        "bangs": bangs / (bangs + 0.25 * m), "bars": bars / (bars + 0.25 * m), "few_chars": m / (m + chars), "few_words": 10 / (10 + n),
+    }
+    return {r: math.floor(1024 * x) for r, x in parts.items()}
+
+
+def quality_verdicts(docs, good, levels, limit=0.03, error=0.05, languages=("en", "de", "fr", "es")):
+    """docs: [(id, text, lang)], one row an id; good: ids of label 1 -> {id: kept}."""
+    base = {i: rule_base(t)[0] < 10 or 100 * rule_base(t)[4] > 20 * rule_base(t)[0] for i, t, _ in docs}
+    cells = {i: rule_cells(t) for i, t, _ in docs}
+    stratum = {i: g if g in languages else "other" for i, _, g in docs}
+    chosen = {}
+    for s in {*languages, "other"}:
+        own = [i for i, _, _ in docs if stratum[i] == s and i in good and not base[i]]
+        first, second = [i for i in own if half_of(i) == 0], [i for i in own if half_of(i) == 1]
+        if not first or not second:
+            continue
+        for share in levels:
+            cutoffs = {}
+            for r in cells[first[0]]:
+                values = sorted((cells[i][r] for i in first), reverse=True)
+                # the smallest observed cell above which lie at most that share
+                cutoffs[r] = next((v for v in sorted(set(values), reverse=True) if sum(x >= v for x in values) > share * len(values)), 0)
+            rejected = sum(any(cells[i][r] > c for r, c in cutoffs.items()) for i in second)
+            n = len(second)
+            if math.fsum(math.comb(n, k) * limit**k * (1 - limit) ** (n - k) for k in range(rejected + 1)) > error / (len(languages) + 1):
+                break
+            chosen[s] = cutoffs
+    return {i: not base[i] and not any(cells[i][r] > c for r, c in chosen.get(stratum[i], {}).items()) for i, _, _ in docs}

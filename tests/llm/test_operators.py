@@ -57,6 +57,24 @@ def test_gam_accuracy(spark):
     assert np.mean([quality[r["doc_id"]] == r["predicted"] for r in held]) > 0.95
 
 
+def test_gam_score_against_plain(spark, docs):
+    """Scores of the query's operator against loops over one text's characters and the tables."""
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality_gam.train(frame, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = [t for _, t in [*EDGE, *docs]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in collect(quality_gam.classify(rows, model))}
+    assert model.pairs and all(abs(got[k] - brute.gam_score(model, t)) < 1e-9 for k, t in enumerate(texts))
+
+
+def test_gam_sample_is_bounded(spark):
+    """An id is one row of the fit, however often it comes; the bound is `limit`."""
+    rows = spark.createDataFrame([(i % 50, f"text {i % 60} of some words", "x") for i in range(600)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id bigint, quality int")
+    x, y = quality_gam.labelled_sample(rows, labels, F.lit(True), 30)
+    assert x.shape == (30, len(quality_gam.FEATURES)) and len(y) == 30
+
+
 def test_gam_learns_pairs():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))
@@ -121,6 +139,24 @@ def test_rules_limit_rejection(spark):
     assert np.mean([not out[i] for i, q in labels if not q]) > 0.9
 
 
+def test_rules_against_plain(spark):
+    """The verdicts on whole tables against a plain version of the proposal, the exact test and the cutoffs."""
+    sf = "/root/testdata/sf0.01"
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    good = {r[0] for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select("doc_id").collect()}
+    for limit in (0.03, 0.2):
+        got = {r["doc_id"]: r["kept"] for r in collect(quality_rules.quality_rules(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), max_false_rejection=limit))}
+        assert got == brute.quality_verdicts(docs, good, quality_rules.LEVELS, limit)
+
+
+def test_rules_count_an_id_once(spark):
+    rows = [(i, " ".join(f"word{i}x{j}" for j in range(20)), "en") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id bigint, quality int")
+    once = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    stats = quality_rules.with_stats(once)
+    assert quality_rules.select_rules(stats, labels) == quality_rules.select_rules(quality_rules.with_stats(once.union(once).union(once)), labels) == {}
+
+
 def test_rules_edges(spark, edge, empty):
     labels = spark.createDataFrame([(6, 1), (None, 1)], "doc_id bigint, quality int")
     for d, n in ((edge, 2 * len(EDGE)), (empty, 0)):
@@ -328,6 +364,15 @@ def test_language(spark, edge, empty):
     assert language_gru.train(empty) is None and language_gru.identify(edge, None).where("lang_pred = 'und' and score = 0").count() == 2 * len(EDGE)
 
 
+def test_language_against_plain(spark, docs):
+    """The query's model, byte by byte: windows of every length, the last one shorter."""
+    model = language_gru.train(spark.read.parquet(f"{SF}/documents.parquet"), steps=40)
+    texts = [t.encode()[:n] for (_, t), n in zip((x for x in docs if x[1] and len(x[1]) > 300), (1, 5, 95, 96, 97, 130, 192, 200, 250))] + [b""]
+    got = model.predict(texts)
+    for t, p in zip(texts, got):
+        assert np.allclose(p, brute.language_probabilities(model, t, language_gru.WINDOW), atol=2e-4)
+
+
 def test_gru_gradients():
     """Backpropagation through time against finite differences."""
     rng = np.random.default_rng(0)
