@@ -8,13 +8,16 @@ Files are gzip members, one a record, written by Spark's committed text writer:
 lost or repeated tasks leave no half-written and no double records. That writer
 ends each row by a separator; it is set to the zero byte that ends a member
 (the high byte of its length) and the row leaves that byte out, so files are
-plain .warc.gz. Files hold at most RECORDS_PER_FILE captures. Reading inflates
-one record at a time.
+plain .warc.gz. Files hold at most RECORDS_PER_FILE captures and about
+FILE_BYTES of payload: larger payloads go to files of fewer captures. Reading
+inflates one record at a time.
 
 Defined cases: a null payload is empty; rows that repeat page_id, url and html
 are one capture, whose `copies` counts them; one page_id with several payloads or urls makes several; null
 page_ids are kept; a null url has no target; of equal payloads the largest
-(page_id, url) is the response; an empty table reads back empty.
+(page_id, url) is the response; payloads are whole whatever their length; an
+empty table reads back empty; other columns aren't looked at, so their names
+can't clash.
 """
 
 from __future__ import annotations
@@ -32,9 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from tessera.llm._shared import BROADCAST_ROWS, slices
+from tessera.llm._shared import BROADCAST_ROWS, cut, slices
 
-RECORDS_PER_FILE = 4_000
+RECORDS_PER_FILE = 1_024
+#: A file is read as one value, so its bytes are bounded too (a single payload beyond that is a file of its own).
+FILE_BYTES = 1 << 28
 DATE = "2000-01-01T00:00:00Z"
 _STEP = 1 << 14
 _MEMBER = 1 << 23  # bytes in a gzip member; must stay under 2**24
@@ -97,10 +102,20 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     keyed = rows.where(F.octet_length("payload") >= min_bytes)
     twice = keyed.groupBy("sha1").agg(F.max("key").alias("first"), F.min("key").alias("_least")).where(~F.col("first").eqNullSafe(F.col("_least"))).drop("_least")
     small = twice.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(twice) if small else twice.hint("shuffle_hash"), "sha1", "left")
+    joined = rows.join(F.broadcast(twice) if small else cut(twice), "sha1", "left")
     again = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
-    out = joined.select(_captures("page_id", "url", "payload", "sha1", "first.page_id", "first.url", again).alias("members"))
-    out.select(F.col("members").cast("string").alias("value")).write.mode("errorifexists").option("lineSep", "\x00").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    size = F.octet_length("payload")
+    largest = rows.agg(F.max(size)).first()[0] or 0
+    least, per_file, mode = 0, RECORDS_PER_FILE, "errorifexists"
+    while True:
+        most = FILE_BYTES // per_file
+        last = per_file == 1 or largest <= most
+        above, below = (size > least if least else F.lit(True)), (F.lit(True) if last else size <= most)
+        out = joined.where(above & below).select(_captures("page_id", "url", "payload", "sha1", "first.page_id", "first.url", again).alias("members"))
+        out.select(F.col("members").cast("string").alias("value")).write.mode(mode).option("lineSep", "\x00").option("maxRecordsPerFile", per_file).text(path)
+        if last:
+            return
+        least, per_file, mode = most, max(1, per_file // 32), "append"
 
 
 def _members(content: bytes) -> Iterator[bytes]:
@@ -173,5 +188,9 @@ def assemble(records: DataFrame) -> DataFrame:
         return part.dropDuplicates(["capture_id"])
 
     out = main.join(side("request"), "capture_id", "left").join(side("metadata"), "capture_id", "left")
-    named = side("metadata").select(F.col("capture_id").alias("_tsr_to"), F.col("metadata").alias("refers_to_metadata"))
+    # one response may be named by a third of all captures: the named ones alone are joined, broadcast
+    # if counted to be few; else from a table, so that skewed partitions can be split
+    wanted = records.where(F.col("type") == "revisit").select(F.col("refers_to").alias("capture_id")).distinct()
+    named = cut(side("metadata").join(wanted, "capture_id", "left_semi").select(F.col("capture_id").alias("_tsr_to"), F.col("metadata").alias("refers_to_metadata")))
+    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
     return out.join(named, F.col("response.refers_to") == F.col("_tsr_to"), "left").drop("_tsr_to")
