@@ -12,8 +12,10 @@ gaps, regexp_extract_all() the matches, and running sums of their lengths the
 starts and ends, in code points.
 
 Defined cases: null is the empty text; equal texts share a blob whatever their
-ids, null ids too; repeated rows get equal results; an empty table writes an
-empty ledger; other columns aren't looked at.
+ids, null ids too; repeated rows get equal results; texts are scanned whole
+whatever their length; of spans with one start the kind that comes first in the
+rules is first; an empty table writes an empty ledger; other columns aren't
+looked at, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import cut
+from tessera.llm._shared import BROADCAST_ROWS, cut
 
 
 @dataclass(frozen=True)
@@ -99,7 +101,9 @@ def update_ledger(docs: DataFrame, paths: DataFrame, ledger: str, rules: tuple[R
     if n:
         # one copy of each blob: its owner's row; rows that repeat it are scanned twice and found once
         rows = docs.select("doc_id", "text", blob_of(F.col("text")).alias("_tsr_blob"))
-        rows = rows.join(todo.hint("shuffle_hash"), (rows["_tsr_blob"] == todo["blob"]) & rows["doc_id"].eqNullSafe(todo["owner"]))
+        # a run that has little to add leaves the texts where they are
+        few = n <= BROADCAST_ROWS and 20 * n <= paths.count()
+        rows = rows.join(F.broadcast(todo) if few else todo, (rows["_tsr_blob"] == todo["blob"]) & rows["doc_id"].eqNullSafe(todo["owner"]))
         scan(rows.select("blob", "text", "kinds"), rules).distinct().write.mode("append").parquet(f"{ledger}/found")
         versions = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)])
         todo.select("blob", F.explode("kinds").alias("kind")).withColumn("version", F.element_at(versions, F.col("kind"))).write.mode("append").parquet(f"{ledger}/seen")
@@ -120,7 +124,10 @@ def scan_documents(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES
     rank = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind")).cast("int")
     # one text's spans: never more than it has characters times rules
     by_blob = found.where(current).groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("found"))
-    return paths.join(by_blob, "blob", "left").select("doc_id", "blob", F.coalesce("found", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")).alias("found"))
+    by_blob = cut(by_blob)
+    # copies of a blob may be a third of all rows: broadcast if there are few spans, else from a table, so that skewed partitions can be split
+    small = (by_blob.agg(F.sum(F.size("found") + 1)).first()[0] or 0) <= BROADCAST_ROWS
+    return paths.join(F.broadcast(by_blob) if small else by_blob, "blob", "left").select("doc_id", "blob", F.coalesce("found", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")).alias("found"))
 
 
 def spans_text(found: Column) -> Column:
