@@ -13,7 +13,8 @@ Windows are grouped by their words, so items that share a passage cost one
 match. Groups hold one document's hits, never more than it has words times the
 window lengths in use.
 
-Defined cases: null and empty texts have no words and are clean; documents
+Defined cases: null and empty texts have no words and are clean; texts of any
+length are read whole; an empty table gives no rows; documents
 that repeat an id and text get equal results, and one id with several texts is
 told apart by the text's hash; null ids are kept; an empty benchmark hits
 nothing; null item ids count as items named "null"; clashing columns are
@@ -115,7 +116,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_rows: int = BROAD
     """docs with n_words, n_hit, items (array of text) and contaminated: n_hit > 0 and 20 * n_hit >= n_words."""
     hits = contamination(docs, benchmark, block_rows).select(F.col("doc_id").alias("_tsr_id"), F.col("_tsr_text").alias("_tsr_key"), F.col("n_hit").alias("_tsr_hit"), F.col("items").alias("_tsr_items"))
     out = docs.withColumn("_tsr_text", F.xxhash64("text"))
-    out = out.join(hits.hint("shuffle_hash"), out["doc_id"].eqNullSafe(hits["_tsr_id"]) & (out["_tsr_text"] == hits["_tsr_key"]), "left")
+    out = out.join(hits, out["doc_id"].eqNullSafe(hits["_tsr_id"]) & (out["_tsr_text"] == hits["_tsr_key"]), "left")
     out = out.withColumn("n_words", _count_words(F.col("text"))).withColumn("n_hit", F.coalesce("_tsr_hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("_tsr_items", F.array().cast("array<string>")))
     return out.withColumn("contaminated", _contaminated()).drop("_tsr_id", "_tsr_text", "_tsr_key", "_tsr_hit", "_tsr_items")
 
@@ -128,7 +129,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_rows: int = B
     """docs without the contaminated ones. Few are, so their keys are broadcast if they are counted to be few; texts aren't shuffled then."""
     slim = decontaminate_digest(docs, benchmark, block_rows=block_rows, key=True)
     bad = cut(slim.where("contaminated").select(F.col("doc_id").alias("_tsr_id"), F.col("_tsr_text").alias("_tsr_key")).distinct())
-    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad.hint("shuffle_hash")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
     out = docs.withColumn("_tsr_text", F.xxhash64("text"))
     return out.join(bad, out["doc_id"].eqNullSafe(F.col("_tsr_id")) & (F.col("_tsr_text") == F.col("_tsr_key")), "left_anti").drop("_tsr_text")
 
