@@ -106,9 +106,9 @@ m AS (SELECT v AS doc_id, min(c) AS component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op5_line_windows": """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
-w AS (SELECT doc_id, i, l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2] AS x FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d)),
-f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS k FROM w WHERE regexp_matches(x, '[^ \t\n\v\f\r]')),
-g AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM f WHERE k > 1),
+w AS (SELECT doc_id, i, n, array_to_string(l[i:i + n - 1], chr(10)) AS x FROM (SELECT doc_id, l, least(len(l), 3) AS n, unnest(range(1, len(l) - least(len(l), 3) + 2)) AS i FROM d)),
+f AS (SELECT doc_id, i, n, row_number() OVER (PARTITION BY n, x ORDER BY doc_id, i) AS k FROM w WHERE regexp_matches(x, '[^ \t\n\v\f\r]')),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM f WHERE k > 1),
 e AS (SELECT d.doc_id, u.i, l[u.i] AS line, g.i IS NULL AS stays FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d) u JOIN d USING (doc_id, l) LEFT JOIN g ON g.doc_id = u.doc_id AND g.i = u.i),
 o AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays), '') AS t FROM e GROUP BY 1)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, CASE WHEN text IS NULL THEN NULL ELSE sha256(t) END AS text_sha256 FROM d LEFT JOIN o USING (doc_id)""",

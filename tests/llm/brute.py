@@ -91,11 +91,12 @@ def line_dedup(docs):
     for i, t in docs:
         lines = t.split("\n") if t is not None else []
         gone = set()
-        for k in range(len(lines) - 2):
-            w = tuple(lines[k : k + 3])
+        n = min(3, len(lines))  # a text of one or two lines is one window
+        for k in range(len(lines) - n + 1 if lines else 0):
+            w = tuple(lines[k : k + n])
             if "".join(w).strip(" \t\n\v\f\r"):
                 if w in seen:
-                    gone |= {k, k + 1, k + 2}
+                    gone |= set(range(k, k + n))
                 seen.add(w)
         out[i] = (len(lines), len(gone), None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone))
     return out

@@ -290,7 +290,7 @@ def test_line_dedup(spark, edge, empty, docs):
     rows = collect(line_dedup.dedup_lines(edge))
     assert len(rows) == 2 * len(EDGE)
     assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in rows} == want
-    assert want[13][2] == "x\ny" and want[15][2] == "a"
+    assert want[13][2] == "x\ny" and want[15][2] == "a" and want[9][2] == "" and want[6][2] == PASSAGE and want[4][2] == "one two three"
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
