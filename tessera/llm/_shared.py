@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,12 +20,15 @@ BROADCAST_ROWS = 200_000
 def shared_folder(spark: SparkSession) -> str:
     """Folder that the driver and every executor see: spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) a temporary
-    folder is made and set as the checkpoint folder.
+    Only where that setting is absent and everything runs on one machine
+    (tests) a temporary folder is made and set as the checkpoint folder; a
+    cluster without the setting is an error, as its executors couldn't see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(base)
@@ -36,6 +40,12 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder: lineage ends and lost executors cost nothing."""
     spark = df.sparkSession
