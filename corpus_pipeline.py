@@ -3,7 +3,11 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame. All but the last return the columns of documents. run()
 writes each stage's result as Parquet in the shared folder and reads it as the
-next stage's docs.
+next stage's docs; what no stage reads any more is removed.
+
+Defined cases are the operators': null and empty texts, repeated rows, empty
+tables and columns beside those of documents pass every stage; a document whose
+lines all go keeps its row and an empty text.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, line_dedup, near_dups, pieces, quality_gam
-from tessera.llm._shared import new_folder, table
+from tessera.llm._shared import drop_folder, new_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +33,10 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines of three-line windows that occurred before."""
-    return _measured(line_dedup.dedup_lines(docs).select(*docs.columns))
+    # the operator's own counts must not replace columns of that name
+    held = {c: f"_tsr_held_{c}" for c in ("n_lines", "n_removed") if c in docs.columns}
+    out = line_dedup.dedup_lines(docs.withColumnsRenamed(held)).drop("n_lines", "n_removed")
+    return _measured(out.withColumnsRenamed({v: k for k, v in held.items()}).select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_folder(spark, before)
+        before = path
     return docs

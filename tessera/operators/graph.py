@@ -6,6 +6,7 @@ either canonical (src < dst, each once) or symmetric (both directions).
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -16,10 +17,13 @@ BROADCAST_ENTRIES = 2_000_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the shared checkpoint folder (spark.checkpoint.dir, or one of our own where it is unset)."""
+    """Ends the lineage in the shared checkpoint folder (spark.checkpoint.dir; one of our own where it is unset and all runs on one machine)."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint(eager=True)
 
 
