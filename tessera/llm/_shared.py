@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -74,6 +76,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return unused memory to the system: workers live on from stage to stage, and what they hold back adds up in an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library of another make
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_slices(*columns: pa.Array, size: int = 1 << 19) -> Iterator[tuple[pa.Array, ...]]:
     """Successive rows of equally long columns, about `size` bytes of strings and binaries at a time; a longer row comes alone."""
     n = len(columns[0])
@@ -85,8 +94,7 @@ def arrow_slices(*columns: pa.Array, size: int = 1 << 19) -> Iterator[tuple[pa.A
         to = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
         yield tuple(c.slice(at, to - at) for c in columns)
         at = to
-    # workers live on from stage to stage; what Arrow holds back adds up in an executor
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def slices(*columns: pa.Array, size: int = 1 << 19) -> Iterator[tuple[list, ...]]:

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
-from tessera.llm._shared import BROADCAST_ROWS, cut, slices
+from tessera.llm._shared import BROADCAST_ROWS, cut, give_back, slices
 
 WORDS, REGISTERS, MANTISSA = 5, 192, 10
 #: Largest probability that a pair at the threshold shares no band.
@@ -238,6 +238,8 @@ def _block_links(percent: int):
                 if p != q:
                     top[p] = q
                     found.append((left[x], right[y]))
+            del common, similar
+        give_back()
         return pa.table({"a": pa.array([comps[x] for x, _ in found], pa.binary()), "b": pa.array([comps[y] for _, y in found], pa.binary())})
 
     return links

@@ -41,7 +41,7 @@ from tessera.llm._shared import TwoTurns, arrow_slices, distinct, spread
 
 TABLE_WORDS = 300_000
 #: Bytes of text that are taken to words at a time.
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: A file's rows are numbered from file * 2**33 on, as monotonically_increasing_id does.
 _FILE_SHIFT = 33
 #: A word of Latin letters, and punctuation after it that starts a part of its own.
