@@ -282,7 +282,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         joined = _components(more).withColumnsRenamed({"node": "_tsr_comp", "comp": "_tsr_top"})
         of_node = of_node.join(joined, F.col("comp") == F.col("_tsr_comp"), "left").withColumn("comp", F.coalesce("_tsr_top", "comp"))
     # ids: the least of a component's nodes'
-    least = of_node.groupBy("comp").agg(F.min("label").alias("component_id"))
+    # from a table, so that the join can split the partition of a large component
+    least = cut(of_node.groupBy("comp").agg(F.min("label").alias("component_id")))
     ids = of_node.join(least, "comp").select("node", "component_id")
     out = sketch.select("doc_id", "_tsr_text", F.col("n").alias("n_shingles"), "node").join(ids, "node", "left")
     return out.select("doc_id", "_tsr_text", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
