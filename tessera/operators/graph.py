@@ -24,7 +24,9 @@ def cut(df: DataFrame) -> DataFrame:
         if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # a checkpoint hands on its plan's statistics and constraints, which grow exponentially from round to round; a bare scan of its rows has none
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(out._jdf.queryExecution().toRdd(), out._jdf.schema(), False), df.sparkSession)
 
 
 def no_loops(edges: DataFrame) -> DataFrame:

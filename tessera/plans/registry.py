@@ -292,7 +292,7 @@ def degeneracy(spark, sf_dir):
     return cores.degeneracy(repeat_graph(spark, sf_dir))
 
 
-@query()
+@query(f"SELECT x.v, row_number() OVER (ORDER BY core, coalesce(deg, 0), x.v) - 1 AS rank FROM ({_CORE}) x LEFT JOIN (WITH {_REPEAT}, {_SYM} SELECT src AS v, count(*) AS deg FROM sym GROUP BY 1) y ON y.v = x.v")
 def degeneracy_order(spark, sf_dir):
     return cores.degeneracy_order(repeat_graph(spark, sf_dir))
 
@@ -333,18 +333,27 @@ SINGLE, APART = Pattern((4,)), Pattern((0, 1, 2, 3), ((0, 1), (2, 3)))
 
 
 def _match_sql(p: Pattern, g: str = _PART) -> str:
-    n = len(p.labels)
-    if n > 1 and matching.join_order(p, {}) is None:
-        tail = "SELECT " + ", ".join(f"0::BIGINT AS m{i}" for i in range(n)) + " WHERE false"
-        return f"WITH {g} {tail}"
-    tables = ", ".join(f"lab l{i}" for i in range(n))
-    where = [f"l{i}.label = {x}" for i, x in enumerate(p.labels)]
-    where += [f"EXISTS (SELECT 1 FROM sym WHERE src = l{a}.vertex AND dst = l{b}.vertex)" for a, b in p.edges]
-    if n > 1:  # joins on edges, for speed
-        tables = ", ".join([f"sym e{k}" for k in range(len(p.edges))] + [f"lab l{i}" for i in range(n)])
-        where = [f"l{i}.label = {x}" for i, x in enumerate(p.labels)] + [f"e{k}.src = l{a}.vertex AND e{k}.dst = l{b}.vertex" for k, (a, b) in enumerate(p.edges)]
-    where += [f"l{i}.vertex <> l{j}.vertex" for i in range(n) for j in range(i)]
-    return f"WITH {g}, {_SYM}, {_LABELS} SELECT " + ", ".join(f"l{i}.vertex AS m{i}" for i in range(n)) + f" FROM {tables} WHERE " + " AND ".join(where)
+    """One materialised step a pattern edge, in the edges' order, which reaches every vertex from the first; a pattern that isn't so connected matches nothing."""
+    labels = p.labels
+    if not p.edges:
+        return f"WITH {_LABELS} SELECT vertex AS m0 FROM lab WHERE label = {labels[0]}"
+    steps = ["le AS MATERIALIZED (SELECT s.src, s.dst, a.label AS ls, b.label AS ld FROM sym s JOIN lab a ON a.vertex = s.src JOIN lab b ON b.vertex = s.dst)"]
+    bound: list[int] = []
+    for k, (x, y) in enumerate(p.edges):
+        if y in bound and x not in bound:
+            x, y = y, x
+        e = f"(SELECT src AS x, dst AS y FROM le WHERE ls = {labels[x]} AND ld = {labels[y]}) e"
+        if not bound:
+            steps.append(f"s0 AS MATERIALIZED (SELECT x AS m{x}, y AS m{y} FROM {e})")
+            bound += [x, y]
+        elif y in bound:
+            steps.append(f"s{k} AS MATERIALIZED (SELECT s.* FROM s{k - 1} s JOIN {e} ON e.x = s.m{x} AND e.y = s.m{y})")
+        elif x in bound:
+            steps.append(f"s{k} AS MATERIALIZED (SELECT s.*, e.y AS m{y} FROM s{k - 1} s JOIN {e} ON e.x = s.m{x} WHERE e.y NOT IN ({', '.join(f's.m{i}' for i in bound)}))")
+            bound.append(y)
+        else:
+            return "SELECT " + ", ".join(f"0::BIGINT AS m{i}" for i in range(len(labels))) + " WHERE false"
+    return f"WITH {g}, {_SYM}, {_LABELS}, {', '.join(steps)} SELECT {', '.join(f'm{i}' for i in range(len(labels)))} FROM s{len(p.edges) - 1}"
 
 
 def _match(spark, sf_dir, p: Pattern) -> DataFrame:
@@ -414,7 +423,29 @@ def bfs_levels(spark, sf_dir):
     return reorder.bfs_levels(repeat_graph(spark, sf_dir))
 
 
-@query()
+def _discovery_sql(sources: str, children: str = "v") -> str:
+    """o(v, s, level, pos): breadth-first discovery, level by level. Sources and the children of a vertex come by the keys given.
+
+    Levels are those of the least source of a component; a vertex comes by its first parent, then as its child.
+    """
+    return f"""WITH RECURSIVE {_REPEAT.replace('g AS (', 'g AS MATERIALIZED (')}, {_SYM.replace('AS (', 'AS MATERIALIZED (')}, {_DEG.format(g='g')}, d AS MATERIALIZED (SELECT v, out_deg + in_deg AS deg FROM deg),
+k AS MATERIALIZED (SELECT v, row_number() OVER (ORDER BY {sources}) AS s, row_number() OVER (ORDER BY {children}) AS c FROM d),
+r(v, comp) AS (SELECT v, v FROM d UNION SELECT e.dst, r.comp FROM r JOIN sym e ON e.src = r.v WHERE r.comp < e.dst),
+m0 AS MATERIALIZED (SELECT v, min(comp) AS comp FROM r GROUP BY v), root AS MATERIALIZED (SELECT comp, min(s) AS s FROM m0 JOIN k USING (v) GROUP BY comp),
+b(v, s, level) AS (SELECT k.v, k.s, 0 FROM k JOIN root USING (s) UNION SELECT e.dst, b.s, b.level + 1 FROM b JOIN sym e ON e.src = b.v WHERE b.level < 30),
+m AS MATERIALIZED (SELECT v, min(s) AS s, min(level) AS level FROM b GROUP BY v),
+o(v, s, level, pos) AS (SELECT v, s, level, s FROM m WHERE level = 0 UNION ALL
+SELECT v, s, level, row_number() OVER (ORDER BY parent, c) FROM (SELECT m.v, m.s, m.level, k.c, min(o.pos) AS parent FROM o JOIN sym e ON e.src = o.v JOIN m ON m.v = e.dst AND m.level = o.level + 1 JOIN k ON k.v = m.v GROUP BY 1, 2, 3, 4))"""
+
+
+_FOUND = "SELECT v AS org_id, row_number() OVER (ORDER BY s, level, pos) - 1 AS new_id FROM o"
+_ORDER_SQL = {
+    "bfs": f"{_discovery_sql('v')} {_FOUND}", "bfs_degree": f"{_discovery_sql('deg DESC, v')} {_FOUND}",
+    "rcm": f"{_discovery_sql('deg, v', 'deg, v')} SELECT v AS org_id, row_number() OVER (ORDER BY s DESC, level DESC, pos DESC) - 1 AS new_id FROM o",
+}
+
+
+@query(f"{_discovery_sql('v')}, f AS ({_FOUND}) SELECT org_id, row_number() OVER (ORDER BY deg DESC, new_id) - 1 AS new_id FROM f JOIN d ON d.v = org_id")
 def order_hybrid(spark, sf_dir):
     return reorder.hybrid_order(graph.symmetrise(repeat_graph(spark, sf_dir)))
 
@@ -428,7 +459,7 @@ def _kernel_query(name: str):
 
 
 for _name in reorder.KERNELS:
-    query()(_kernel_query(_name))
+    query(*([_ORDER_SQL[_name]] if _name in _ORDER_SQL else []))(_kernel_query(_name))
 
 #: Whatever the order, it is a permutation and keeps every edge.
 _VALID = f"WITH {_REPEAT} SELECT max(dst) + 1 AS n, 0::BIGINT AS least, max(dst) AS largest, max(dst) + 1 AS n_distinct, 2 * count(*) AS n_edges FROM g"
@@ -557,10 +588,11 @@ def generate_distance_queries(spark, sf_dir):
 _LEN, _SKEW, _SEL, _DENS = 40_000, 4.0, 0.1, 0.01
 _NB, _NC = int(_LEN / _SKEW), min(int(_LEN / _SKEW), int(_LEN * _SEL))
 _TOTAL = _LEN + _NB - _NC
-_PRIME = synth.next_prime(max(_TOTAL + 1, min(int(_TOTAL / _DENS), ids.PRIME)))
+_FROM = max(_TOTAL + 1, min(int(_TOTAL / _DENS), 2_147_483_647))
+_PRIME = f"q AS MATERIALIZED (SELECT min(n) AS q FROM range({_FROM}, {_FROM} + 500) t(n) WHERE NOT EXISTS (SELECT 1 FROM range(2, 46341) d(k) WHERE k * k <= n AND n % k = 0))"
 
 
-@query(f"WITH r AS (SELECT i, ((i + 1) * 48271) % {_PRIME} AS x FROM range(0, {_TOTAL}) t(i)) SELECT 'a' AS set_id, x FROM r WHERE i < {_LEN} UNION ALL SELECT 'b', x FROM r WHERE i < {_NC} OR i >= {_LEN}")
+@query(f"WITH {_PRIME}, r AS (SELECT i, ((i + 1) * 48271) % q AS x FROM range(0, {_TOTAL}) t(i), q) SELECT 'a' AS set_id, x FROM r WHERE i < {_LEN} UNION ALL SELECT 'b', x FROM r WHERE i < {_NC} OR i >= {_LEN}")
 def generate_set_pair(spark, sf_dir):
     return synth.set_pair(spark, _LEN, _SKEW, _SEL, _DENS)
 
