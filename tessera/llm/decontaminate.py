@@ -31,16 +31,23 @@ from pyspark.sql import functions as F
 from tessera.llm._shared import BROADCAST_ROWS, ascii_lower, cut
 
 WINDOW, GRAM = 13, 5
-_GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+_BLANK = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
+_WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
 
 
 def words_of(text: Column) -> Column:
-    """Maximal runs of 0-9, a-z and non-ASCII characters, A-Z lower-cased."""
-    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _GAP), "")
+    """Maximal runs of 0-9, A-Z, a-z and non-ASCII characters."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), _BLANK + "+"), "")
+
+
+def _hash(word: Column) -> Column:
+    """Hash of a word in any case. Words that are equal but for A-Z have one; that others do too (É and é) is left to the comparison of windows."""
+    return F.xxhash64(F.lower(word))
 
 
 def _count_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")), F.lit(0)).cast("long")
+    # every word becomes one character; a text without any keeps its blanks and is told apart
+    return F.when(text.rlike(_WORD), F.length(F.regexp_replace(text, f"{_BLANK}*{_WORD}+{_BLANK}*", "w"))).otherwise(0).cast("long")
 
 
 def _positions(last: Column) -> Column:
@@ -65,7 +72,7 @@ def _windows(words: Column, n: int) -> Column:
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """(window, n, items): each distinct window's words, its length, and its items' ids as sorted text."""
-    words = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words_of(F.col("text")).alias("w"))
+    words = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words_of(ascii_lower(F.col("text"))).alias("w"))
     rows = words.select("item", F.least(F.size("w"), F.lit(WINDOW)).alias("n"), F.explode(F.when(F.size("w") == 0, F.array().cast("array<string>")).when(F.size("w") < WINDOW, F.array(F.array_join("w", " "))).otherwise(_windows(F.col("w"), WINDOW))).alias("window"))
     return rows.groupBy("window", "n").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
@@ -82,9 +89,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, block_rows: int = BROADCAST
     windows = cut(benchmark_windows(benchmark))
     short = [r[0] for r in windows.where(F.col("n") < WINDOW).select("n").distinct().collect()]  # at most 12 numbers
     split = F.split("window", " ")
-    prints = windows.where(F.col("n") == WINDOW).select(F.explode(_winnow(_grams(F.transform(split, lambda w: F.xxhash64(w)), GRAM), WINDOW - GRAM + 1)).alias("h")).distinct()
+    prints = windows.where(F.col("n") == WINDOW).select(F.explode(_winnow(_grams(F.transform(split, _hash), GRAM), WINDOW - GRAM + 1)).alias("h")).distinct()
     base = docs.select("doc_id", F.xxhash64("text").alias("_tsr_text"), words_of(F.col("text")).alias("w"))
-    base = base.withColumn("wh", F.transform("w", lambda w: F.xxhash64(w)))
+    base = base.withColumn("wh", F.transform("w", _hash))
     found = []
     # outer explodes: for others Catalyst adds a filter below that computes the arrays a second time
     full = base.withColumn("g", _grams(F.col("wh"), GRAM)).withColumn("f", _winnow(F.col("g"), WINDOW - GRAM + 1))
@@ -92,12 +99,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, block_rows: int = BROADCAST
         hit = full.withColumn("h", F.explode_outer("f")).join(F.broadcast(block), "h")
         at = hit.withColumn("p", F.explode_outer(F.filter(_positions(F.size("g") - 1), lambda i: F.get(F.col("g"), i) == F.col("h"))))
         first, last = F.greatest(F.col("p") - (WINDOW - GRAM), F.lit(0)), F.least(F.col("p"), F.size("w") - WINDOW)
-        found.append(at.select("doc_id", "_tsr_text", F.lit(WINDOW).alias("n"), F.explode_outer(F.transform(F.sequence(first, last), lambda s: F.struct(s.alias("start"), F.array_join(F.slice("w", s + 1, WINDOW), " ").alias("window")))).alias("x")))
+        found.append(at.select("doc_id", "_tsr_text", F.lit(WINDOW).alias("n"), F.explode_outer(F.transform(F.sequence(first, last), lambda s: F.struct(s.alias("start"), ascii_lower(F.array_join(F.slice("w", s + 1, WINDOW), " ")).alias("window")))).alias("x")))
     for n in short:
-        keys = windows.where(F.col("n") == n).select(F.xxhash64(*[F.xxhash64(F.get(split, F.lit(j))) for j in range(n)]).alias("h")).distinct()
+        keys = windows.where(F.col("n") == n).select(F.xxhash64(*[_hash(F.get(split, F.lit(j))) for j in range(n)]).alias("h")).distinct()
         for block in _blocks(keys, block_rows):
             at = base.select("doc_id", "_tsr_text", "w", F.posexplode_outer(_grams(F.col("wh"), n)).alias("start", "h")).join(F.broadcast(block), "h")
-            found.append(at.select("doc_id", "_tsr_text", F.lit(n).alias("n"), F.struct("start", F.array_join(F.slice("w", F.col("start") + 1, n), " ").alias("window")).alias("x")))
+            found.append(at.select("doc_id", "_tsr_text", F.lit(n).alias("n"), F.struct("start", ascii_lower(F.array_join(F.slice("w", F.col("start") + 1, n), " ")).alias("window")).alias("x")))
     rows = reduce(DataFrame.union, found).select("doc_id", "_tsr_text", "n", "x.start", "x.window").distinct()
     return rows.join(windows, ["window", "n"]).select("doc_id", "_tsr_text", "start", "n", "items")
 
