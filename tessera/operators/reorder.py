@@ -10,7 +10,7 @@ ordered by itself on its inner edges, block after block.
 
 from __future__ import annotations
 
-import math
+import heapq
 from collections import deque
 from collections.abc import Callable
 
@@ -109,14 +109,18 @@ def rcm_order(edges: DataFrame) -> DataFrame:
 
 
 def first_touch_order(edges: DataFrame) -> DataFrame:
-    """Neighbour lists of the heaviest vertices first, each in reverse Cuthill-McKee order; a vertex is placed where it is first met."""
+    """Neighbour lists of the heaviest vertices first, heaviest neighbours first, ties in reverse Cuthill-McKee order; a vertex is placed where it is first met.
+
+    Out-lists weigh their vertex by its out-degree and their members by in-degree, in-lists the other way round.
+    """
     arcs = cut(edges.select("src", "dst").distinct())
     rank = rcm_order(edges).select(F.col("org_id").alias("v"), F.col("new_id").alias("rank"))
-    deg = degrees(arcs)
-    touch = lambda hub, w, side, d: arcs.join(deg.select(F.col("v").alias(hub), F.col(d).alias("n")), hub).select(F.col(w).alias("v"), F.struct((-F.col("n")).alias("n"), F.col(hub).alias("hub"), F.lit(side).alias("side")).alias("list"))
+    nodes = cut(degrees(arcs).join(rank, "v"))
+    touch = lambda hub, w, side, d: arcs.join(nodes.select(F.col("v").alias(hub), F.col(d).alias("n"), "rank"), hub).select(F.col(w).alias("v"), F.struct((-F.col("n")).alias("n"), F.col("rank").alias("hub"), F.lit(side).alias("side")).alias("list"))
     first = touch("src", "dst", 0, "out_deg").union(touch("dst", "src", 1, "in_deg")).groupBy("v").agg(F.min("list").alias("list"))
-    rows = rank.join(first, "v", "left").select("v", "rank", "list.n", "list.hub", "list.side")
-    return dense_positions(rows, [F.col("n").asc_nulls_last(), "hub", "side", "rank"], "new_id").select(F.col("v").alias("org_id"), "new_id")
+    weight = F.when(F.col("list.side") == 0, F.col("in_deg")).otherwise(F.col("out_deg")).alias("weight")
+    rows = nodes.join(first, "v", "left").select("v", "rank", weight, "list.n", "list.hub", "list.side")
+    return dense_positions(rows, [F.col("n").asc_nulls_last(), "hub", "side", F.desc("weight"), "rank"], "new_id").select(F.col("v").alias("org_id"), "new_id")
 
 
 def hybrid_order(edges: DataFrame) -> DataFrame:
@@ -172,10 +176,10 @@ def rcm_kernel(out: Lists, into: Lists) -> list[int]:
 
 
 def first_touch_kernel(out: Lists, into: Lists) -> list[int]:
-    """Neighbour lists of the heaviest vertices first, each in reverse Cuthill-McKee order; a vertex is placed where it is first met."""
+    """Neighbour lists of the heaviest vertices first, heaviest neighbours first, ties in reverse Cuthill-McKee order; a vertex is placed where it is first met."""
     rank = {v: i for i, v in enumerate(rcm_kernel(out, into))}
-    sides = sorted(((-math.sqrt(len(x[v])), v, s) for s, x in enumerate((out, into)) for v in range(len(out))))
-    placed = dict.fromkeys(w for _, v, s in sides for w in sorted((out, into)[s][v], key=rank.get))
+    sides = sorted((-len(x[v]), rank[v], s, v) for s, x in enumerate((out, into)) for v in range(len(out)))
+    placed = dict.fromkeys(w for _, _, s, v in sides for w in sorted((out, into)[s][v], key=lambda w: (-len((into, out)[s][w]), rank[w])))
     return [*placed, *(v for v in sorted(range(len(out)), key=rank.get) if v not in placed)]
 
 
@@ -215,111 +219,134 @@ def gro_kernel(out: Lists, into: Lists, width: int = WIDTH) -> list[int]:
 
 
 def slashburn_kernel(out: Lists, into: Lists) -> list[int]:
-    """Hubs to the front, what falls off the giant component to the back, again and again."""
-    n = len(out)
-    k = max(1, min(n // 1024, 1024))
-    near = [set(a) | set(b) for a, b in zip(out, into)]
-    left = set(range(n))
+    """Hubs to the front, what falls off the giant component to the back, again and again; over out-edges.
+
+    A round takes the k vertices with most neighbours that were no hub before,
+    larger ids first. What their neighbours reach, breadth first, parts into
+    components; all but the largest go to the back by (first hub, size), the
+    first of them last. What no hub leads to waits for a later round. Fewer
+    than k vertices stay in id order. k is V / 1024, at most 1024, here at least 1.
+    """
+    k = max(1, min(len(out) // 1024, 1024))
+    deg = [len(x) for x in out]
+    heap = [(-d, -v) for v, d in enumerate(deg)]
+    heapq.heapify(heap)
+    left = set(range(len(out)))
     front: list[int] = []
     back: list[int] = []
-    while len(left) > k:
-        hubs = sorted(left, key=lambda v: (-len(near[v] & left), v))[:k]
-        place = {v: i for i, v in enumerate(hubs)}
-        front += hubs
-        left -= place.keys()
-        parts, seen = [], set()
-        for s in sorted(left):
-            if s not in seen:
-                seen.add(s)
-                part, stack = [], [s]
-                while stack:
-                    u = stack.pop()
-                    part.append(u)
-                    new = (near[u] & left) - seen
-                    seen |= new
-                    stack += new
-                parts.append(sorted(part))
-        if not parts:
-            break
-        giant = max(parts, key=lambda p: (len(p), -p[0]))
-        spokes = [p for p in parts if p is not giant]
-        spokes.sort(key=lambda p: (min((place[w] for v in p for w in near[v] if w in place), default=k), len(p), p[0]))
-        back = [v for p in spokes for v in p] + back
-        left = set(giant)
-        if len(near) and all(not (near[v] & left) for v in left):
-            break
-    return front + sorted(left) + back
-
 
-def bisection_kernel(out: Lists, into: Lists, width: int = WIDTH, rounds: int = 20) -> list[int]:
-    """Recursive bisection that swaps vertices while the modelled log-gap cost of their hubs' lists falls."""
+    def next_hub() -> int:
+        while True:
+            d, v = heapq.heappop(heap)
+            if -v in left and -d == deg[-v]:
+                return -v
+            if -v in left:
+                heapq.heappush(heap, (-deg[-v], v))
+
+    while len(left) >= k:
+        hubs = []
+        for _ in range(k):
+            hubs.append(next_hub())
+            left.discard(hubs[-1])
+            for v in out[hubs[-1]]:
+                deg[v] -= 1
+        front += hubs
+        free, parts = set(left), []
+        for i, s in ((i, s) for i, h in enumerate(hubs) for s in out[h]):
+            if s in free:
+                part = [s]
+                free.discard(s)
+                for u in part:  # grows as it is read
+                    new = [v for v in out[u] if v in free]
+                    free.difference_update(new)
+                    part += new
+                parts.append((i, len(part), part))
+        parts.sort(key=lambda p: p[:2])
+        giant = max(parts, key=lambda p: p[1], default=None)
+        for p in parts:
+            if p is not giant:
+                back += p[2]
+                left.difference_update(p[2])
+    return front + sorted(left) + back[::-1]
+
+
+def bisection_kernel(out: Lists, into: Lists, width: int = WIDTH, rounds: int = 20, levels: int | None = None) -> list[int]:
+    """Recursive bisection that swaps vertices while the modelled log-gap cost of their hubs' lists falls.
+
+    Parts of fewer than `width`, or `levels` deep, stay as they are: by falling gain, then id.
+    """
     n = len(out)
     queries = [np.fromiter({*a, *(n + x for x in b)}, np.int64) for a, b in zip(into, out)]
     done: list[int] = []
-    stack = [list(range(n))]
+    stack = [(np.arange(n), 0)]
     while stack:
-        part = stack.pop()
-        if len(part) < width:
-            done += part
+        part, level = stack.pop()
+        if len(part) < width or level == levels:
+            done += part.tolist()
             continue
         half = len(part) // 2
-        sides = [part[:half], part[half:]]
+        sizes = half, len(part) - half
+        lists = [queries[v] for v in part]
+        owner = np.repeat(np.arange(len(part)), [len(q) for q in lists])
+        # hubs are counted by their place in this part alone
+        hubs, hub = np.unique(np.concatenate(lists), return_inverse=True)
+        order = np.arange(len(part))
         for _ in range(rounds):
-            sizes = [len(s) for s in sides]
-            counts = [np.bincount(np.concatenate([queries[v] for v in s]) if s else np.zeros(0, np.int64), minlength=2 * n).astype(float) for s in sides]
-            cost = [c * np.log2(m / (c + 1)) for c, m in zip(counts, sizes)]
-            gains = []
-            for i, s in enumerate(sides):
-                a, b = counts[i], counts[1 - i]
-                stay = cost[i] + cost[1 - i]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    move = np.where(a > 0, (a - 1) * np.log2(sizes[i] / a), 0) + (b + 1) * np.log2(sizes[1 - i] / (b + 2))
-                delta = stay - move
-                gains.append(sorted(((float(delta[queries[v]].sum()), v) for v in s), key=lambda g: (-g[0], g[1])))
-            swaps = 0
-            for (g0, _), (g1, _) in zip(*gains):
-                if g0 + g1 <= 1e-9:
-                    break
-                swaps += 1
+            right = np.zeros(len(part), bool)
+            right[order[half:]] = True
+            on_right = right[owner]
+            counts = [np.bincount(hub[on_right == s], minlength=len(hubs)).astype(float) for s in (False, True)]
+            stay = sum(c * np.log2(m / (c + 1)) for c, m in zip(counts, sizes))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                leave = [stay - (counts[i] - 1) * np.log2(sizes[i] / counts[i]) - (counts[1 - i] + 1) * np.log2(sizes[1 - i] / (counts[1 - i] + 2)) for i in (0, 1)]
+            gain = np.bincount(owner, np.where(on_right, leave[1][hub], leave[0][hub]), len(part)).round(9)
+            a, b = (s[np.lexsort((part[s], -gain[s]))] for s in (order[:half], order[half:]))
+            swaps = int(np.argmin(np.append(gain[a] + gain[b[:half]] > 0, False)))
+            order = np.concatenate([b[:swaps], a[swaps:], a[:swaps], b[swaps:]])
             if not swaps:
                 break
-            a, b = ([v for _, v in g] for g in gains)
-            sides = [sorted(b[:swaps] + a[swaps:]), sorted(a[:swaps] + b[swaps:])]
-        stack += [sides[1], sides[0]]
+        stack += [(part[order[half:]], level + 1), (part[order[:half]], level + 1)]
     return done
 
 
+def level_bisection_kernel(out: Lists, into: Lists, levels: int = 8) -> list[int]:
+    """Recursive bisection of so many levels, whatever the parts' size."""
+    return bisection_kernel(out, into, 2, levels=levels)
+
+
 def bfs_bisection_kernel(out: Lists, into: Lists, width: int = WIDTH) -> list[int]:
-    """Recursive bisection: breadth first from a far vertex fills the left half."""
-    near = [sorted({*a, *b}) for a, b in zip(out, into)]
+    """Recursive bisection: breadth first from a far vertex fills the left side, a quarter to three quarters of the part."""
     done: list[int] = []
     stack = [list(range(len(out)))]
 
-    def reach(part: list[int], inside: set[int], start: int) -> list[int]:
-        order, seen = [], set()
-        for s in [start, *part]:
-            if s in seen:
-                continue
-            seen.add(s)
-            queue = deque([s])
-            while queue:
-                u = queue.popleft()
-                order.append(u)
-                for v in near[u]:
-                    if v in inside and v not in seen:
-                        seen.add(v)
-                        queue.append(v)
-        return order
+    def spread(s: int, free: set[int], found: list[int], enough: int, most: int) -> None:
+        """What s reaches of `free` goes to `found`, until enough are found; a list of neighbours stops at `most`."""
+        at = len(found)
+        free.discard(s)
+        found.append(s)
+        while at < len(found) < enough:
+            new = [v for v in out[found[at]] if v in free][: most - len(found)]
+            free.difference_update(new)
+            found += new
+            at += 1
 
     while stack:
         part = stack.pop()
-        if len(part) < width:
+        size = len(part)
+        if size < width:
             done += part
             continue
-        inside = set(part)
-        order = reach(part, inside, reach(part, inside, part[0])[-1])
-        half = len(order) // 2
-        stack += [sorted(order[half:]), sorted(order[:half])]
+        probe: list[int] = []
+        spread(part[0], set(part), probe, size + 1, size)
+        far = part.index(probe[-1])
+        part[0], part[far] = part[far], part[0]
+        free, left = set(part), []
+        for s in part:
+            if len(left) >= size // 4:
+                break
+            if s in free:
+                spread(s, free, left, size // 2, -(-3 * size // 4))
+        stack += [[v for v in part if v in free], [v for v in part if v not in free]]
     return done
 
 
@@ -332,7 +359,7 @@ def partition_kernel(out: Lists, into: Lists, width: int = WIDTH) -> list[int]:
 
 KERNELS: dict[str, Callable[[Lists, Lists], list[int]]] = {
     "gro": gro_kernel, "dfs": dfs_kernel, "bfs": bfs_kernel, "bfs_degree": bfs_degree_kernel, "rcm": rcm_kernel, "first_touch": first_touch_kernel,
-    "slashburn": slashburn_kernel, "mloggapa": bisection_kernel, "bfsr": bfs_bisection_kernel, "metis": partition_kernel,
+    "slashburn": slashburn_kernel, "mloggapa": bisection_kernel, "mloggapa_levels": level_bisection_kernel, "bfsr": bfs_bisection_kernel, "metis": partition_kernel,
 }
 
 

@@ -123,6 +123,11 @@ def degree_stats(spark, sf_dir):
     return graph.degrees(part_graph(spark, sf_dir))
 
 
+@query(f"WITH {_PART} SELECT src, dst FROM g ORDER BY src, dst")
+def edge_order(spark, sf_dir):
+    return graph.ordered(part_graph(spark, sf_dir))
+
+
 @query(f"WITH {_PART}, {_SYM} SELECT src AS v, array_to_string(list_sort(list(dst)), ' ') AS nbrs FROM sym GROUP BY src")
 def csr_adjacency(spark, sf_dir):
     return graph.adjacency(graph.symmetrise(part_graph(spark, sf_dir))).select("v", _text("nbrs").alias("nbrs"))
@@ -238,6 +243,13 @@ def bsr_union(spark, sf_dir):
     return sets.packed_union(*_packed_sides(spark, sf_dir), ["v"])
 
 
+@query("SELECT s_nationkey, l_partkey // 32 AS base, bit_or(1::BIGINT << (l_partkey % 32)::INT) AS state FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2")
+def bsr_fast_union(spark, sf_dir):
+    packs = sets.pack(_table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("v"), F.col("l_partkey").alias("x")))
+    nation = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("v"), "s_nationkey")
+    return sets.fast_union(packs.join(nation, "v"), ["s_nationkey"])
+
+
 @query(f"WITH {_AB}, d AS (SELECT * FROM a EXCEPT SELECT * FROM b) SELECT v, x // 32 AS base, bit_or(1::BIGINT << (x % 32)::INT) AS state FROM d GROUP BY 1, 2")
 def bsr_subtract(spark, sf_dir):
     return sets.packed_subtract(*_packed_sides(spark, sf_dir), ["v"])
@@ -443,6 +455,9 @@ _ORDER_SQL = {
     "bfs": f"{_discovery_sql('v')} {_FOUND}", "bfs_degree": f"{_discovery_sql('deg DESC, v')} {_FOUND}",
     "rcm": f"{_discovery_sql('deg, v', 'deg, v')} SELECT v AS org_id, row_number() OVER (ORDER BY s DESC, level DESC, pos DESC) - 1 AS new_id FROM o",
 }
+#: On a symmetric graph every list has an equal twin, so a vertex's first list is an out-list of its heaviest neighbour.
+_ORDER_SQL["first_touch"] = f"""{_discovery_sql('deg, v', 'deg, v')}, n AS MATERIALIZED (SELECT o.v, row_number() OVER (ORDER BY s DESC, level DESC, pos DESC) AS r, deg FROM o JOIN d USING (v)),
+f AS (SELECT e.dst AS v, min([-h.deg, h.r]) AS hub FROM sym e JOIN n h ON h.v = e.src GROUP BY 1) SELECT n.v AS org_id, row_number() OVER (ORDER BY hub[1] NULLS LAST, hub[2], deg DESC, r) - 1 AS new_id FROM n LEFT JOIN f USING (v)"""
 
 
 @query(f"{_discovery_sql('v')}, f AS ({_FOUND}) SELECT org_id, row_number() OVER (ORDER BY deg DESC, new_id) - 1 AS new_id FROM f JOIN d ON d.v = org_id")
@@ -503,6 +518,20 @@ def degree_weights(spark, sf_dir):
     return stats.degree_weights(repeat_graph(spark, sf_dir)).select("v", F.round("alpha_out", 9).alias("alpha_out"), F.round("alpha_in", 9).alias("alpha_in"))
 
 
+_GIVEN = "w AS (SELECT l_partkey AS v, sum(l_quantity)::DOUBLE AS o, sum(l_linenumber)::DOUBLE AS i FROM lineitem GROUP BY 1)"
+
+
+@query(f"WITH {_GIVEN}, t AS (SELECT sum(o + i) AS t FROM w) SELECT v, round(o / t, 9) AS alpha_out, round(i / t, 9) AS alpha_in FROM w, t")
+def given_weights(spark, sf_dir):
+    w = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("v")).agg(F.sum("l_quantity").cast("double").alias("out_weight"), F.sum("l_linenumber").cast("double").alias("in_weight"))
+    return stats.given_weights(w).select("v", F.round("alpha_out", 9).alias("alpha_out"), F.round("alpha_in", 9).alias("alpha_in"))
+
+
+@query(f"WITH {_PART}, {_DEG.format(g='g')}, s AS (SELECT v, 0 AS side, out_deg AS d FROM deg UNION ALL SELECT v, 1, in_deg FROM deg) SELECT v, side, row_number() OVER (ORDER BY d DESC, v, side) - 1 AS position FROM s")
+def ranked_sides(spark, sf_dir):
+    return stats.ranked_sides(stats.degree_weights(graph.cut(part_graph(spark, sf_dir)))).select("v", "side", "position")
+
+
 # ids, labels and queries
 
 _RAW = "raw AS (SELECT 'P' || l_partkey AS a, 'S' || l_suppkey AS b, l_orderkey * 10 + l_linenumber AS line FROM lineitem)"
@@ -620,6 +649,24 @@ def edge_file_round_trip(spark, sf_dir):
     return text.read_edges(spark, path)
 
 
+@query(f"WITH {_LABELS} SELECT vertex, label FROM lab")
+def label_file_round_trip(spark, sf_dir):
+    path = _folder(spark, "labels")
+    text.write_lines(brand_labels(spark, sf_dir).select(F.concat_ws(" ", "vertex", "label").alias("value")), path)
+    return text.read_labels(spark, path)
+
+
+def _echo_sql(query_id: int, *lines: str) -> str:
+    return f"SELECT {query_id} AS query_id, {' || '.join(f'{x!r} || chr(10)' for x in lines)} AS value"
+
+
+@query(" UNION ALL ".join((_echo_sql(0, "query: v_num=3 e_num=2", "3 7 3 ", "0 1", "1 2"), _echo_sql(1, "query: v_num=3 e_num=3", "1 1 2 ", "0 1", "0 2", "1 2"), _echo_sql(2, "query: v_num=1 e_num=0", "4 "), _echo_sql(3, "query: v_num=4 e_num=2", "0 1 2 3 ", "0 1", "2 3"))))
+def pattern_echo(spark, sf_dir):
+    path = _folder(spark, "patterns")
+    text.write_lines(spark.createDataFrame([("".join(p.block() for p in _MULTI),)], "value string"), path)
+    return spark.createDataFrame([(i, p.echo()) for i, p in enumerate(text.read_patterns(spark, path))], "query_id int, value string")
+
+
 @query(f"WITH {_REPEAT}, {_SORTED} SELECT org_id, new_id FROM n")
 def id_file_round_trip(spark, sf_dir):
     path = _folder(spark, "ids")

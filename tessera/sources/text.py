@@ -1,8 +1,8 @@
 """Readers and writers of graph text files.
 
 Edge lists hold `u<sep>v` lines. mode="sane" (default) parts columns at any
-white space and skips blank lines and lines that start with # or %.
-mode="strict" reads as the classic parser does: only # lines are skipped, the
+white space and skips blank lines and lines that start with # or %; a line that
+doesn't start with two numbers is the edge (0, 0). mode="strict" reads as the classic parser does: only # lines are skipped, the
 separator is exactly one character, missing numbers are 0.
 """
 
@@ -67,6 +67,15 @@ class Pattern:
     def neighbours(self, u: int) -> set[int]:
         return {a + b - u for a, b in self.edges if u in (a, b)}
 
+    def echo(self) -> str:
+        """The pattern as it is logged: counts, labels, then a line an edge."""
+        lines = [f"query: v_num={len(self.labels)} e_num={len(self.edges)}", "".join(f"{x} " for x in self.labels), *(f"{a} {b}" for a, b in self.edges)]
+        return "".join(f"{x}\n" for x in lines)
+
+    def block(self) -> str:
+        """The pattern as a block of a pattern file."""
+        return "".join(f"{x}\n" for x in (f"{len(self.labels)} {len(self.edges)}", *self.labels, *(f"{a} {b}" for a, b in self.edges)))
+
 
 def parse_patterns(text: str) -> list[Pattern]:
     """Blocks of `v_num e_num`, v_num labels, e_num edges `u v`."""

@@ -89,6 +89,8 @@ def test_parsers(spark):
         text.parse_edges(df, "loose")
     p = text.parse_patterns("3 2\n5\n6\n5\n1 0\n2 1\n1 0\n7\n")
     assert p == [Pattern((5, 6, 5), ((0, 1), (1, 2))), Pattern((7,))]
+    assert p[0].echo() == "query: v_num=3 e_num=2\n5 6 5 \n0 1\n1 2\n"
+    assert text.parse_patterns("".join(x.block() for x in p)) == p
     assert text.output_name("d/graph.txt", "GRO", ids=True) == "d/graph_GRO_newID.txt"
 
 
@@ -151,6 +153,25 @@ def test_kernel_orders_exact():
     assert reorder.rcm_kernel(out, out)[-1] == 4
 
 
+def test_slashburn_exact():
+    pairs = [(0, 1), (0, 2), (0, 3), (0, 4), (4, 5), (5, 6), (7, 8)]
+    out = [sorted(b for a, b in both(pairs) if a == v) for v in range(9)]
+    # hub 0 frees 1, 2, 3; hub 5 frees 6; 7 and 8 wait until they are hubs, the larger first
+    assert reorder.slashburn_kernel(out, out) == [0, 5, 8, 7, 4, 6, 3, 2, 1]
+
+
+def test_bisections_exact():
+    path = [[v + d for d in (-1, 1) if 0 <= v + d < 8] for v in range(8)]
+    # 7 is farthest from 0, and changes places with it; 7, 6, 5, 4 fill the left side
+    assert reorder.bfs_bisection_kernel(path, path, 5) == [7, 4, 5, 6, 1, 2, 3, 0]
+    # two cliques; 3 and 4 start on the wrong sides
+    parts = {0, 1, 2, 4}, {3, 5, 6, 7}
+    out = [sorted(p - {v}) for v in range(8) for p in parts if v in p]
+    for found in (reorder.bisection_kernel(out, out, 8), reorder.level_bisection_kernel(out, out, 1)):
+        assert (set(found[:4]), set(found[4:])) == parts
+    assert reorder.level_bisection_kernel(out, out, 0) == list(range(8))
+
+
 def test_reorder_keeps_graph(spark):
     e = graph.cut(frame(spark, both([p for p in GRAPH if p[0] != p[1]])))
     before = triangles.triangle_count(e).first()[0]
@@ -273,4 +294,5 @@ def test_queues():
     o = OrderedPool([3, 1, 2])
     o.remove(1)
     o.add(9)
+    o.add(2)
     assert list(o) == [3, 2, 9] and o.pop_tail() == 9 and o.pop_head() == 3 and o.head() == o.tail() == 2
