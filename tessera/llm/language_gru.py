@@ -7,12 +7,16 @@ language probabilities from the forward and backward states, and a document's
 are the mean over its positions.
 
 Training rows are bounded by documented parameters: at most `per_language`
-documents of each of the `max_languages` most frequent languages, those of least
+documents of each of the `max_languages` languages with most ids, those of least
 id hash, and of each the windows at `windows` places spread over the whole text. Scoring has no bounds.
 
 Defined cases: null texts and texts without a letter are "und" with score 0;
-with nothing to learn from every text is "und"; repeated rows are scored
-alike; clashing columns are replaced.
+with nothing to learn from (an empty table too) there is no model and every text is
+"und"; an empty table to score gives no rows; repeated rows are scored alike, and in
+the fit an id is one document however many rows it has (its least language, its text
+of least hash); languages with as many ids come by name, and of equal probabilities
+the language first by name is predicted; a very long text is read whole, BATCH windows
+at a time; clashing columns are replaced.
 """
 
 from __future__ import annotations
@@ -178,20 +182,25 @@ def fit_language_model(windows: np.ndarray, labels: np.ndarray, languages: list[
 
 
 def training_windows(docs: DataFrame, learnable: Column, per_language: int = 400, windows: int = 6, max_languages: int = 200) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """At most per_language x max_languages x windows rows of WINDOW bytes from learnable documents, of the most frequent languages."""
+    """At most per_language x max_languages x windows rows of WINDOW bytes from learnable documents, of the languages with most ids.
+
+    An id is one document, however many rows it has: its least language, and of several texts in it the one of least hash.
+    """
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
-    # documents of least id hash: a few more than per_language a language lie below its bound, however many there are
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    # ids of least hash: a few more than per_language a language lie below its bound, however many ids and rows there are
     bound = lambda n: -(1 << 63) + min((1 << 64) - 1, int((1 << 64) * (1.5 * per_language + 100) / n))
     below = F.lit(False)
     for lang, n in counts.items():
         below = below | ((F.col("lang") == lang) & (F.xxhash64("doc_id") <= F.lit(bound(n))))
-    rows = rows.where(below)
-    chosen = rows.withColumn("_tsr_n", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("_tsr_n") <= per_language).select("doc_id", "lang").distinct()
-    raw = docs.select("doc_id", F.col("lang").alias("_tsr_lang"), F.col("text").cast("binary").alias("b")).join(F.broadcast(chosen), "doc_id").where(F.col("_tsr_lang") == F.col("lang"))
-    places = F.sequence(F.lit(0), F.lit(windows - 1))
+    ids = rows.where(below).groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    chosen = ids.withColumn("_tsr_n", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("_tsr_n") <= per_language).select("doc_id", "lang")
+    raw = docs.select("doc_id", F.col("lang").alias("_tsr_lang"), F.col("text").cast("binary").alias("b")).where(F.length("b") > 0).join(F.broadcast(chosen), "doc_id").where(F.col("_tsr_lang") == F.col("lang"))
     start = lambda i: 1 + F.floor(F.greatest(F.octet_length("b") - WINDOW, F.lit(0)) * i / max(1, windows - 1)).cast("int")
-    got = raw.select("doc_id", "lang", F.explode_outer(F.transform(places, lambda i: F.substring(F.col("b"), start(i), F.lit(WINDOW)))).alias("w")).orderBy("lang", F.xxhash64("doc_id"), "w").toPandas()
+    # a text's windows alone are grouped, never the text
+    parts = raw.select("doc_id", "lang", F.struct(F.xxhash64("b").alias("h"), F.array(*[F.substring(F.col("b"), start(F.lit(i)), F.lit(WINDOW)) for i in range(windows)]).alias("w")).alias("x"))
+    one = parts.groupBy("doc_id", "lang").agg(F.min("x").alias("x"))
+    got = one.select("lang", "doc_id", F.explode("x.w").alias("w")).orderBy("lang", F.xxhash64("doc_id"), "w").select("lang", "w").toPandas()
     languages = sorted(got["lang"].unique())
     x = np.zeros((len(got), WINDOW), np.uint8)
     for i, w in enumerate(got["w"]):

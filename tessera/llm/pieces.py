@@ -39,14 +39,18 @@ TABLE_CHUNKS = 240_000
 #: Bytes of text that are taken to chunks at a time.
 SLICE = 1 << 20
 MARK = "▁"
-#: Between chunks, and at the head of one that has no marker; a text that has them is parted by Python.
+#: Between chunks, and at the head of one that has no marker, while Arrow parts texts without these characters; Python parts the others.
 _CUT, _BARE = "\uf8f0", "\uf8f1"
 _CHUNK = re.compile(" +[^ ]*")
 _JOINED = "[^0-9A-Za-zÀ-ÖØ-öø-ÿ ][.,] "
 
 
 class ChunkTable:
-    """Distinct chunk -> little-endian 32-bit ids, and ids of a run from marker to marker -> its text. A chunk is kept without its first marker, which the library adds."""
+    """Distinct chunk -> little-endian 32-bit ids, and ids of a run from marker to marker -> its text.
+
+    A chunk is a str without its first marker, which the library adds; one that has no marker is bytes.
+    So no character of a text can be taken for a mark.
+    """
 
     def __init__(self, model_path: str, limit: int = TABLE_CHUNKS):
         import sentencepiece
@@ -76,17 +80,17 @@ class ChunkTable:
         self.stops = not any(re.search("[0-9A-Za-zÀ-ÖØ-öø-ÿ][.,]", p) for p in pieces)
         self.line = len(self.model.encode("\n"))
 
-    def segment(self, chunks: list[str]) -> list[bytes]:
+    def segment(self, chunks: list[str | bytes]) -> list[bytes]:
         """Ids of new chunks. The library marks every text; one that has no marker is segmented after a line end."""
-        bare = [c[:1] == _BARE for c in chunks]
-        found = self.model.encode(["\n" + c[1:] if b else c for c, b in zip(chunks, bare)], num_threads=1)
+        bare = [isinstance(c, bytes) for c in chunks]
+        found = self.model.encode(["\n" + c.decode() if b else c for c, b in zip(chunks, bare)], num_threads=1)
         if any(bare):
             found = [f[self.line :] if b else f for f, b in zip(found, bare)]
         flat = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
         at, out = 0, []
-        for c, ids in zip(chunks, found):
+        for c, ids, b in zip(chunks, found, bare):
             # a marker alone: the library marks no empty text
-            out.append(flat[at : (at := at + 4 * len(ids))] if c else self.mark)
+            out.append(flat[at : (at := at + 4 * len(ids))] if c or b else self.mark)
         return out
 
     def surfaces(self, runs: list[bytes]) -> list[str]:
@@ -97,11 +101,26 @@ class ChunkTable:
             lists.append(first + flat[at : (at := at + len(r) // 4)])
         return [t[1:] for t in self.model.decode(lists, num_threads=1)]
 
-    def cut(self, texts: pa.Array) -> pa.Array:
-        """Lists of the texts' chunks. A chunk begins at each run of spaces; further cuts where no piece crosses them."""
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, list, np.ndarray]:
+        """How many chunks each text has, the distinct chunks, and each chunk's place among them.
+
+        A chunk begins at each run of spaces; further cuts where no piece crosses them."""
         texts = pc.replace_substring(texts, MARK, " ")
         if pc.any(pc.match_substring_regex(texts, f"[{_CUT}{_BARE}]")).as_py():
-            return pa.array([[c[1:] for c in _CHUNK.findall(" " + t)] if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
+            lists = pa.array([[c[1:] for c in _CHUNK.findall(" " + t)] if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
+            return pc.list_value_length(lists).to_numpy(), *distinct(lists.flatten())
+        lists = self._parted(texts)
+        flat = lists.flatten()
+        bare = pc.starts_with(flat, _BARE)
+        marked, place = distinct(flat.filter(pc.invert(bare)))
+        loose, own = distinct(pc.utf8_slice_codeunits(flat.filter(bare), 1).cast(pa.binary()))
+        bare = bare.to_numpy(zero_copy_only=False)
+        at = np.empty(len(flat), np.int64)
+        at[~bare], at[bare] = place, own + len(marked)
+        return pc.list_value_length(lists).to_numpy(), marked + loose, at
+
+    def _parted(self, texts: pa.Array) -> pa.Array:
+        """Lists of the chunks of texts without _CUT and _BARE; chunks without marker begin with _BARE."""
         if self.stops:
             apart = pc.replace_substring(pc.replace_substring(texts, ". ", f"{_CUT}{_BARE}. "), ", ", f"{_CUT}{_BARE}, ")
             # a stop at the head of a text or after a blank has that blank's marker
@@ -121,10 +140,9 @@ class ChunkTable:
 
     def encode_array(self, texts: pa.Array, bos: bool, eos: bool) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (no nulls), one text after the other, and where each begins and the last ends."""
-        cut = self.cut(texts)
-        words, at = distinct(cut.flatten())
-        flat, ends = spread(self.table.look_up(words), at)
-        bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])]
+        counts, chunks, at = self.cut(texts)
+        flat, ends = spread(self.table.look_up(chunks), at)
+        bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
         more = [i for i, wanted in ((self.begin, bos), (self.end, eos)) if wanted]
         if more:
             places = np.stack([x for x, wanted in ((bounds[:-1], bos), (bounds[1:], eos)) if wanted], axis=1).ravel()

@@ -332,6 +332,24 @@ def test_piece_table_is_bounded():
     assert table.encode([], True, True) == [] and table.decode([]) == [] and table.encode(["", "a"], False, False) == [[], sp.encode("a")]
 
 
+def test_pieces_have_no_marks_in_band():
+    """Private characters that the parting uses, at every place of a text, are ordinary characters."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    table = pieces.ChunkTable(queries.PIECES, limit=3000)
+    rng = random.Random(12)
+    marks = "\uf8f0\uf8f1\uf8f2\ue000▁"
+    texts = [a + m + b for m in [*marks, "\uf8f1\uf8f0", "\uf8f0\uf8f1", "\uf8f1\uf8f1"] for a in ("", " ", "  ", "a", "a ", "\n", ". ", "a\n") for b in ("", "x", " ", " b", "\n", ". c", ",")]
+    letters = marks + "ab1 .,\né" + "ab "
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(14))) for _ in range(15_000)]
+    for at in range(0, len(texts), 40):
+        part = texts[at : at + 40]
+        ids = table.encode(part, True, True)
+        assert ids == [[1, *x, 2] for x in sp.encode(part)]
+        assert table.decode(ids) == sp.decode(ids)
+
+
 def test_pieces_decode_reads_ids(spark):
     """The decoded text comes from the ids: another id in a chunk is another text; ids from elsewhere decode as the library does."""
     import sentencepiece
@@ -364,6 +382,20 @@ def test_language(spark, edge, empty):
     assert language_gru.train(empty) is None and language_gru.identify(edge, None).where("lang_pred = 'und' and score = 0").count() == 2 * len(EDGE)
 
 
+def test_language_learns_from_ids(spark):
+    """An id is one document of the fit however often it comes: no language is lost to a repeated id, and the bound holds."""
+    make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 4 != 2][:1001]
+    mixed = make([(i, f"the words of text {i}", "en") for i in ids[:1000]] + [(ids[1000], "xx yy zz", "xx")] * 2000)
+    _, y, languages = language_gru.training_windows(mixed, F.lit(True))
+    assert languages == ["en", "xx"] and np.bincount(y).tolist() == [400 * 6, 6]
+    x, y, languages = language_gru.training_windows(make([(ids[0], f"words {i}" * 20, "en") for i in range(5000)]), F.lit(True))
+    assert x.shape == (6, language_gru.WINDOW) and languages == ["en"]
+    # an id of two languages is of the least one
+    _, _, languages = language_gru.training_windows(make([(1, "aaa", "b"), (1, "aaa", "a"), (2, "ccc", "b")]), F.lit(True))
+    assert languages == ["a", "b"]
+
+
 def test_language_against_plain(spark, docs):
     """The query's model, byte by byte: windows of every length, the last one shorter."""
     model = language_gru.train(spark.read.parquet(f"{SF}/documents.parquet"), steps=40)
