@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language_gru, line_dedup, near_dups, pieces, quality_gam, quality_rules, secret_ledger, token_files, warc
-from tessera.llm._shared import crc_mod, cut, new_folder, table
+from tessera.llm import decontaminate, hard_negatives, language_gru, line_dedup, merkle, near_dups, packing, pieces, quality_gam, quality_rules, secret_ledger, token_files, warc
+from tessera.llm._shared import ascii_lower, crc_mod, cut, new_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +77,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_offsets(spark, path, token_files.ids_crc32(F.col("ids")).alias("ids_crc32")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_quality_rules, op3_winnowing, op4_hyperminhash, op5_line_windows, op6_pieces, op7_language_gru, op8_warc, op9_secret_ledger, op10_token_files)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), BYTES, end_id=0, capacity=1024, with_ids=False)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claimed = merkle.leaf(*[ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in merkle.FIELDS])
+    return merkle.manifest(table(spark, sf_dir, "documents"), claimed=F.when(crc_mod(F.col("doc_id"), 3) == 0, claimed)).audit()
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.vectors(table(spark, sf_dir, "embeddings"), hard_negatives.shifted_label()))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_quality_rules, op3_winnowing, op4_hyperminhash, op5_line_windows, op6_pieces, op7_language_gru, op8_warc, op9_secret_ledger, op10_token_files, op11_packing, op12_merkle, op13_hard_negatives)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}, '-')"
+_LEAF = lambda text: "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"
 _BENCH_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+')"
 
@@ -119,4 +136,25 @@ b AS (SELECT *, array_to_string(list_transform(string_split(s, ''), lambda c: to
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
 array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT)::INT, 1)), '') AS payload_digest,
 CASE WHEN keep = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN keep <> page_id THEN keep END AS refers_to FROM b""",
+    "op12_merkle": f"""
+WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS pos FROM (
+SELECT doc_id, lang, {_LEAF("text")} AS leaf, CASE WHEN {_CRC} % 3 = 0 THEN {_LEAF(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS claimed FROM documents)),
+t(lang, level, pos, h) AS (SELECT lang, 0, pos, leaf FROM l UNION ALL SELECT lang, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS c FROM t) WHERE c > 1 GROUP BY lang, level, pos // 8),
+top AS (SELECT lang, max(level) AS levels FROM t GROUP BY 1),
+s AS (SELECT t.lang, h AS subroot, row_number() OVER (ORDER BY t.lang NULLS FIRST) - 1 AS pos FROM t JOIN top ON t.lang IS NOT DISTINCT FROM top.lang AND level = levels),
+g(level, pos, h) AS (SELECT 0, pos, subroot FROM s UNION ALL SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS c FROM g) WHERE c > 1 GROUP BY level, pos // 8),
+r AS (SELECT h AS root, level AS levels FROM g WHERE level = (SELECT max(level) FROM g)),
+runs AS (SELECT doc_id, t.level AS k, l.pos // (8 ** t.level)::BIGINT AS own, t.pos, h FROM l JOIN t ON t.lang IS NOT DISTINCT FROM l.lang AND t.pos // 8 = l.pos // (8 ** (t.level + 1))::BIGINT JOIN top ON top.lang IS NOT DISTINCT FROM l.lang AND t.level < top.levels
+UNION ALL SELECT doc_id, 1000 + g.level, s.pos // (8 ** g.level)::BIGINT, g.pos, h FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang JOIN g ON g.pos // 8 = s.pos // (8 ** (g.level + 1))::BIGINT, r WHERE g.level < r.levels),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k, coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE pos < own), '') AS a, coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE pos > own), '') AS b FROM runs GROUP BY doc_id, runs.k),
+f(doc_id, k, node) AS (SELECT doc_id, 0, coalesce(claimed, leaf) FROM l UNION ALL SELECT f.doc_id, p.k, sha256(p.a || node || p.b) FROM f JOIN p ON p.doc_id = f.doc_id AND p.k = f.k + 1),
+z AS (SELECT doc_id, arg_max(node, k) AS folded_root FROM f GROUP BY 1),
+q AS (SELECT doc_id, sha256(string_agg(a || b, '' ORDER BY k)) AS proof_sha256 FROM p GROUP BY 1)
+SELECT l.doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang JOIN z USING (doc_id) LEFT JOIN q USING (doc_id), r""",
+    "op13_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id, score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }

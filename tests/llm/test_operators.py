@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language_gru, line_dedup, near_dups, pieces, quality_gam, quality_rules, queries, secret_ledger, token_files, warc
+from tessera.llm import decontaminate, hard_negatives, language_gru, line_dedup, merkle, near_dups, packing, pieces, quality_gam, quality_rules, queries, secret_ledger, token_files, warc
 from tessera.llm._shared import new_folder
 
 SF = "/root/testdata/sf0.001"
@@ -562,3 +562,191 @@ def test_word_table():
         assert len(table.table) <= 600
     assert table.encode([]) == [] and table.encode(["", " "]) == [b"", b""]
     assert public_tokenizers.path("word_bpe_49k.json") == queries.WORDS
+
+
+# 11
+
+
+def check_packing(rows, texts, capacity, tok):
+    """Every id in exactly one piece, gapless sequences, all columns against the library's ids."""
+    ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for i, t in texts.items()}
+    at, fill = dict.fromkeys(texts, 0), {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        own = ids[r["doc_id"]]
+        assert r["start"] == at[r["doc_id"]] and 0 < r["length"] <= capacity and r["doc_tokens"] == len(own)
+        assert r["ids_crc32"] == brute.crc(own[r["start"] : r["start"] + r["length"]])
+        at[r["doc_id"]] += r["length"]
+    assert at == {i: len(x) for i, x in ids.items()}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == fill.get(r["sequence_id"], 0)
+        fill[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(fill.values()) <= capacity
+    total = sum(fill.values())
+    return sum(n if n & (n - 1) == 0 else capacity for n in fill.values()) / total
+
+
+def test_packing(spark, edge, docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.BYTES)
+    texts = {i: t for i, t in EDGE if i is not None} | {i + 1000: t for i, t in docs}
+    d = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").withColumn("ids", F.lit("x")).withColumn("start", F.lit(3))
+    whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert check_packing(collect(queries.op11_packing(spark, "/root/testdata/sf0.01")), dict(whole.select("doc_id", "text").collect()), 1024, tok) < 1.02
+    for capacity, parts in ((1024, 7), (64, 3), (7, 2), (1, 2)):
+        pieces_ = packing.pack_documents(d.repartition(parts, "doc_id") if capacity > 1 else d.where("length(text) < 50"), queries.BYTES, 0, capacity)
+        rows = collect(pieces_)
+        check_packing(rows, texts if capacity > 1 else {i: t for i, t in texts.items() if t is not None and len(t) < 50}, capacity, tok)
+        sizes = {}
+        for r in rows:
+            assert len(r["ids"]) == 4 * r["length"]
+            sizes.setdefault((r["sequence_id"], capacity // r["length"]), []).append(r["length"])
+        # a first-round sequence holds as many pieces as its class says
+        assert all(len(x) == k for (s, k), x in sizes.items() if s < packing._SECOND)
+    rows = collect(packing.pack_documents(edge, queries.BYTES, 0))
+    assert sum(r["start"] == 0 for r in rows) == 2 * len(EDGE) and {r["doc_tokens"] for r in rows if r["doc_id"] in (0, 1)} == {1}
+    assert packing.pack_documents(edge.limit(0), queries.BYTES, 0).count() == 0
+
+
+def test_packed_sequences(spark, docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.BYTES)
+    texts = dict(docs)
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    out = collect(packing.sequences(packing.pack_documents(d, queries.BYTES, 0, 256), 256, pad_id=7))
+    found = {i: {} for i in texts}
+    for r in out:
+        n = r["n_tokens"]
+        assert len(r["ids"]) == (n if n & (n - 1) == 0 else 256) and set(r["ids"][n:]) <= {7}
+        for p in r["pieces"]:
+            found[p["doc_id"]][p["start"]] = r["ids"][p["offset"] : p["offset"] + p["length"]]
+    for i, t in texts.items():
+        assert [x for s in sorted(found[i]) for x in found[i][s]] == [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+
+
+def test_remainders_are_few_pieces():
+    """At most four pieces a remainder, and no class's share of padding beyond the slack."""
+    for capacity in (1024, 2048, 100, 7, 1):
+        for n in range(capacity):
+            cut = packing.remainder_pieces(n, capacity)
+            assert sum(cut) == n and len(cut) <= 4
+            assert all(capacity - capacity // x * x <= capacity // x * max(capacity // packing.SLACK, 1) for x in cut)
+    sizes = np.array([1, 1023, 1024, 1025, 5000])
+    doc, start, length = packing.cut_lengths(sizes, 1024)
+    assert np.bincount(doc, length).tolist() == sizes.tolist() and length[doc == 4].tolist()[:4] == [1024] * 4
+    assert all(start[doc == i].tolist() == [0, *np.cumsum(length[doc == i])[:-1].tolist()] for i in range(5))
+
+
+def test_byte_table():
+    """Blanks that aren't ASCII, contractions, runs of white space, special tokens, letters of two bytes."""
+    from tokenizers import Tokenizer
+    import pyarrow as pa
+
+    tok, table = Tokenizer.from_file(queries.BYTES), packing.ByteTable(queries.BYTES, limit=600)
+    assert table.parts and table.merger
+    rng = random.Random(6)
+    letters = "abIT'é. .,, \n!sdS1É_<|>ΣßŸñ\u0301\x1c\xa0-İΩ½²\u2028\u200b中\ufb01\r\t\x0b\x85  ÷× "
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(10_000)] + ["<|endoftext|>", "a<|endoftext|> b, c", "we'll go, it's '", "x" * 500 + ". y", "", " ", "\n"]
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        flat, ends = table.encode_array(pa.array(part))
+        for k, e in enumerate(tok.encode_batch(part, add_special_tokens=False)):
+            assert flat[ends[k] : ends[k + 1]].tolist() == e.ids, repr(part[k])
+        assert len(table.table) <= 600
+
+
+# 12
+
+MERKLE = "doc_id bigint, source string, lang string, n_chars bigint, text string"
+
+
+def merkle_query(d, depth=4):
+    claimed = merkle.leaf(*[F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") if c == "text" else F.col(c) for c in merkle.FIELDS])
+    return merkle.manifest(d, claimed=F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, claimed), depth=depth)
+
+
+def test_merkle(spark):
+    rows = [(i, "s" if i % 4 else None, [None, "en", "é", "zz", ""][(i * 3 + i // 7) % 5] if i > 20 else "en", i if i % 3 else None, f"Text {i}") for i in range(140)]
+    rows += [(i, None, None, None, t) for i, t in EDGE] + rows[:3] + [(None, None, "en", None, None)] * 2
+    d = spark.createDataFrame(rows, MERKLE).repartition(5).withColumn("group", F.lit("x")).withColumn("pos", F.lit(9)).withColumn("digest", F.lit(1))
+    want = brute.merkle_rows(rows)
+    for depth in (4, 1, 2):  # one round, and several
+        m = merkle_query(d, depth)
+        assert sorted((tuple(r) for r in m.audit().collect()), key=str) == want
+        assert m.root().first()[0] == want[0][3] and {r["subroot"] for r in m.subroots().collect()} == {r[2] for r in want}
+    assert {r["group"] for r in m.subroots().collect()} == {None, "en", "é", "zz", ""}
+
+
+def test_merkle_edges(spark, edge, empty):
+    assert merkle_query(empty).audit().count() == 0 and merkle_query(empty).root().count() == 0
+    one = merkle_query(edge.where("doc_id = 6").limit(1)).audit().first()
+    assert one["leaf"] == one["subroot"] == one["root"] == one["folded_root"] and one["proof_sha256"] == brute.sha("") and one["verified"]
+    assert merkle_query(edge).audit().count() == 2 * len(EDGE)
+    # without claims every leaf stands for itself
+    assert merkle.manifest(edge).audit().where("not verified").count() == 0
+
+
+def test_merkle_blocks():
+    levels = merkle.block_levels([bytes([i]) * 32 for i in range(70)], 0)
+    assert [len(x) // 64 for x in levels] == [70, 9, 2, 1]
+    assert [len(x) // 64 for x in merkle.block_levels([b"a" * 32], 3)] == [1] * (merkle.LEVELS + 1)
+    assert [len(x) // 64 for x in merkle.block_levels([b"a" * 32], 0)] == [1]
+    assert all(merkle.fold(levels[0][64 * i : 64 * i + 64], merkle.siblings(levels, i)) == levels[-1] for i in range(70))
+
+
+# 13
+
+VECTORS = "vec_id bigint, embedding array<float>, label int"
+
+
+def mined(d, **how):
+    return sorted(tuple(r) for r in hard_negatives.mine(hard_negatives.vectors(d, hard_negatives.shifted_label()), **how).collect())
+
+
+def test_hard_negatives(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    rng = np.random.default_rng(3)
+    f = lambda x: [float(np.float32(v)) for v in x]
+    rows = [(i, f(rng.normal(0.3, 0.4, 6)), int(rng.integers(0, 3))) for i in range(900)]
+    rows += [(i + 900, f(rng.choice([-0.5, 0.25, 0.5], 6)), i % 4) for i in range(500)]  # many ties
+    rows += [(2000, None, 1), (2001, [1.0] * 6, None), (2100, [nan] * 6, 1), (2200, [inf] * 6, 1), (2300, [None] * 6, 1), (None, [1.0] * 6, 1), (2400, [], 2), (2401, [], 3), (2500, [1.0, 2.0], 1), (2501, [1.0, 2.0], 1), (2502, [0.5, 1.0], 2), (2600, [0.0] * 6, 2)]
+    rows += [rows[100]] * 3 + [rows[7]] * 2 + [(200, f(rng.normal(size=6)), 1)]
+    d = spark.createDataFrame(rows, VECTORS).repartition(5).withColumn("rank", F.lit("x")).withColumn("key", F.lit(1))
+    want = brute.hard_negatives(rows)
+    assert len(want) > 300 and mined(d) == want
+    assert mined(d.coalesce(1), positives=2, negatives=3) == brute.hard_negatives(rows, 2, 3)
+    assert mined(d.limit(0)) == []
+
+
+def test_hard_negatives_in_groups(spark, monkeypatch):
+    """Anchors in several broadcasts and blocks, candidates in several blocks."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(v)) for v in rng.normal(0.2, 0.5, 4)], int(rng.integers(0, 10))) for i in range(3000)]
+    d = spark.createDataFrame(rows, VECTORS).repartition(3)
+    want = brute.hard_negatives(rows)
+    monkeypatch.setattr(hard_negatives, "ANCHORS", 12)
+    monkeypatch.setattr(hard_negatives, "ANCHOR_BLOCK", 5)
+    assert mined(d) == want
+
+
+def test_hard_negatives_beyond_float64(spark):
+    """Scores beyond 2**53 are exact; those beyond 64 bits are an error."""
+    rng = np.random.default_rng(5)
+    big = lambda s: [float(np.float32(v)) for v in rng.normal(1, 0.3, 3) * s]
+    rows = [(i * 10, big(1e6), i % 3) for i in range(60)]
+    assert mined(spark.createDataFrame(rows, VECTORS)) == brute.hard_negatives(rows)
+    with pytest.raises(Exception, match="64 bits"):
+        mined(spark.createDataFrame([(i, big(1e18), i % 3) for i in range(60)], VECTORS))
+
+
+def test_best_merges():
+    rng = np.random.default_rng(6)
+    best, rows = hard_negatives.Best(4, 3), []
+    for _ in range(20):
+        key, score, ids = rng.integers(0, 4, 30), rng.integers(-5, 5, 30), rng.integers(0, 1000, 30)
+        rows += list(zip(key.tolist(), (-score).tolist(), ids.tolist()))
+        worth = score >= best.least[key]
+        best.add(key[worth], score[worth], ids[worth])
+    want = [r for k in range(4) for r in sorted(x for x in rows if x[0] == k)[:3]]
+    assert list(zip(best.key.tolist(), (-best.score).tolist(), best.id.tolist())) == want
