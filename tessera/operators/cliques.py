@@ -1,11 +1,15 @@
 """Maximal cliques.
 
 `search` (default): every vertex is the root of the cliques in which it comes
-first in an order. Its later neighbours are candidates, its earlier ones
-excluded, and the edges among them are joined to it, so a task gets one root's
-neighbourhood at a time. In degree order (default) a root has at most sqrt(2 E)
+first in an order. A state is a clique's members R, the candidates P that come
+later and are next to all of R, and the excluded X, earlier and next to all of R. All is kept as
+rows: the candidates, and the edges of a state that end in a candidate, which are the triangles that
+its newest member makes. X holds only vertices next to a candidate, so a
+hub that comes last costs its neighbours no more than the triangles they share. States with
+many candidates or edges grow by one member, by joins, round after round; small ones
+are searched by themselves, with pivots, on masks of as many bits as they have candidates. In degree order (default) a root has at most sqrt(2 E)
 candidates; in degeneracy order no more than the degeneracy, for the price of the
-k-core rounds. A pivoted search on bit masks lists the cliques. `levels` grows cliques by joins
+k-core rounds. `levels` grows cliques by joins
 alone; it lists every clique and is meant for graphs whose cliques are small.
 
 Vertices without neighbours, id gaps too, are maximal cliques of one vertex. An
@@ -16,97 +20,158 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.cores import degeneracy_order
 from tessera.operators.graph import adjacency, canonical, cut, degrees, symmetrise, vertices
 
+#: A state of no more candidates and edges than these is searched, a larger one grows by a member.
+CANDIDATES, EDGES = 512, 2_000_000
 
-def search_cliques(later: list[int], earlier: list[int], edges: list[tuple[int, int]]) -> Iterator[list[int]]:
-    """Maximal cliques of a root among its later neighbours that no earlier one extends, without the root."""
-    names = [*later, *earlier]
-    place = {v: i for i, v in enumerate(names)}
-    near = [0] * len(names)
-    for a, b in edges:
-        i, j = place[a], place[b]
-        near[i] |= 1 << j
-        near[j] |= 1 << i
-    whole = (1 << len(later)) - 1
-    # a stack of (members, candidates, excluded, candidates still to branch on)
-    stack = [((), whole, (1 << len(names)) - 1 - whole)]
+
+def search_cliques(near: list[int], outer: list[int]) -> Iterator[list[int]]:
+    """The maximal cliques, as lists of places, of candidates whose neighbours are the masks `near`; none that lies within a mask of `outer`, an excluded vertex's neighbours."""
+    # a stack of (members, candidates, excluded ones' masks)
+    stack: list[tuple[tuple[int, ...], int, list[int]]] = [((), (1 << len(near)) - 1, outer)]
     while stack:
         members, cand, gone = stack.pop()
         if not cand:
             if not gone:
-                yield [names[i] for i in members]
+                yield list(members)
             continue
-        pivot, most, rest = 0, -1, cand | gone
+        # the vertex with most candidates about it covers them: a clique without it has one that it isn't next to
+        cover, most, rest = 0, -1, cand
         while rest:
             low = rest & -rest
-            i = low.bit_length() - 1
             rest ^= low
-            if (n := (near[i] & cand).bit_count()) > most:
-                pivot, most = i, n
-        branch = cand & ~near[pivot]
+            mask = near[low.bit_length() - 1]
+            if (n := (mask & cand).bit_count()) > most:
+                cover, most = mask, n
+        for mask in gone:
+            if (n := (mask & cand).bit_count()) > most:
+                cover, most = mask, n
+        branch = cand & ~cover
         while branch:
             low = branch & -branch
             i = low.bit_length() - 1
             branch ^= low
-            stack.append(((*members, i), cand & near[i], gone & near[i]))
+            left = cand & near[i]
+            # once candidates are left, an excluded vertex that is next to none of them no longer matters
+            stack.append(((*members, i), left, [m for m in gone if m & low and (m & left or not left)]))
             cand ^= low
-            gone |= low
+            gone = [*gone, near[i]]
 
 
-def _roots(edges: DataFrame, order: str) -> DataFrame:
-    """(v, later, earlier, inner): each vertex's neighbours by order, and the edges among them that touch a later one."""
-    both = cut(symmetrise(canonical(edges)))
+def search_state(candidates: list[int], near: list[tuple[int, list[int]]], outer: list[list[int]]) -> Iterator[list[int]]:
+    """A state's cliques without its members. near: (candidate, its neighbours among the candidates); outer: those of each excluded vertex."""
+    place = {v: i for i, v in enumerate(candidates)}
+    mask = lambda vs: sum(1 << place[v] for v in vs)
+    masks = [0] * len(candidates)
+    for v, others in near:
+        masks[place[v]] = mask(others)
+    for found in search_cliques(masks, [mask(vs) for vs in outer]):
+        yield [candidates[i] for i in found]
+
+
+def _ranked(both: DataFrame, order: str) -> DataFrame:
+    """(v, rank) in a total order."""
     if order == "degeneracy":
-        rank = degeneracy_order(both)
-    elif order == "degree":
+        return degeneracy_order(both)
+    if order == "degree":
         # any total order serves; ranks needn't be dense, so no sort is due
-        rank = degrees(both, every=False).select("v", F.struct("deg", "v").alias("rank"))
-    else:
-        raise ValueError(f"order must be degree or degeneracy, not {order!r}")
-    rank = cut(rank)
-    ranked = cut(both.join(rank.withColumnsRenamed({"v": "src", "rank": "rs"}), "src").join(rank.withColumnsRenamed({"v": "dst", "rank": "rd"}), "dst"))
-    forward = ranked.where("rs < rd").select("src", "dst")
-    # every triangle, seen from its first, middle and last vertex: the other two are joined below that vertex
-    wedge = forward.join(forward.select("src", F.col("dst").alias("w")), "src").where("dst < w")
-    closed = wedge.join(both.select(F.col("src").alias("dst"), F.col("dst").alias("w")), ["dst", "w"], "left_semi")
-    tri = closed.select(F.col("src").alias("p"), F.col("dst").alias("q"), F.col("w").alias("r")).join(rank.withColumnsRenamed({"v": "q", "rank": "rq"}), "q").join(rank.withColumnsRenamed({"v": "r", "rank": "rr"}), "r")
-    mid, last = F.when(F.col("rq") < F.col("rr"), F.col("q")).otherwise(F.col("r")), F.when(F.col("rq") < F.col("rr"), F.col("r")).otherwise(F.col("q"))
-    # below the last vertex both others are earlier, so their edge isn't needed
-    seen = tri.select(F.explode(F.array(F.struct(F.col("p").alias("v"), F.col("q").alias("a"), F.col("r").alias("b")), F.struct(mid.alias("v"), F.col("p").alias("a"), last.alias("b")))).alias("t")).select("t.*")
-    inner = seen.groupBy("v").agg(F.collect_list(F.struct("a", "b")).alias("inner"))
-    side = ranked.groupBy(F.col("src").alias("v")).agg(F.collect_list(F.when(F.col("rd") > F.col("rs"), F.col("dst"))).alias("later"), F.collect_list(F.when(F.col("rd") < F.col("rs"), F.col("dst"))).alias("earlier"))
-    return side.join(inner, "v", "left")
-
-
-def maximal_cliques(edges: DataFrame, strategy: str = "search", order: str = "degree") -> DataFrame:
+        return degrees(both, every=False).select("v", F.struct("deg", "v").alias("rank"))
+    raise ValueError(f"order must be degree or degeneracy, not {order!r}")
+
+
+def _roots(both: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """The states of one member: (id, v) rows of candidates, and (id, a, b, out) rows of edges from candidate a to candidate or (out) excluded vertex b; a comes before b where both are candidates.
+
+    Every triangle p < q < r is an edge between candidates below p, and one from r to the excluded p below q.
+    """
+    rank = cut(_ranked(both, order))
+    ranked = both.where("src < dst").join(rank.withColumnsRenamed({"v": "src", "rank": "rs"}), "src").join(rank.withColumnsRenamed({"v": "dst", "rank": "rd"}), "dst")
+    first = F.col("rs") < F.col("rd")
+    ends = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    forward = cut(ranked.select(ends("src", "dst").alias("p"), ends("dst", "src").alias("q"), F.when(first, F.col("rd")).otherwise(F.col("rs")).alias("rq")))
+    wedge = forward.join(forward.select("p", F.col("q").alias("r"), F.col("rq").alias("rr")), "p").where("rq < rr").select("p", "q", "r")
+    tri = cut(wedge.join(forward.select(F.col("p").alias("q"), F.col("q").alias("r")), ["q", "r"], "left_semi"))
+    edges = tri.select(F.explode(F.array(F.struct(F.col("p").alias("id"), F.col("q").alias("a"), F.col("r").alias("b"), F.lit(False).alias("out")), F.struct(F.col("q").alias("id"), F.col("r").alias("a"), F.col("p").alias("b"), F.lit(True).alias("out")))).alias("e")).select("e.*")
+    return forward.select(F.array("p").alias("id"), F.col("q").alias("v")), edges.withColumn("id", F.array("id"))
+
+
+def _grown(candidates: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each state's successors by one candidate: their candidates, their edges, and the ids of those that are maximal cliques."""
+    one = lambda c: F.concat("id", F.array(c)).alias("id")
+    # the neighbours of a candidate a in its state: later ones are its candidates, earlier ones and excluded vertices are excluded
+    near = edges.select(one("a"), F.col("b").alias("v"), F.col("out").alias("out")).union(edges.where("not out").select(one("b"), F.col("a"), F.lit(True)))
+    grown = candidates.select(one("v")).join(near, "id", "left").select("id", "v", "out")
+    sizes = grown.groupBy("id").agg(F.count("v").alias("n"))
+    inside = near.where("not out").select("id", "v")
+    # an edge of the state stays in a successor whose new member is next to both its ends: the triangles of the state
+    old = edges.select("id", "a", "b", "out")
+    x, y = old.where("not out").select("id", F.col("a").alias("x"), F.col("b").alias("y")), old.select("id", F.col("a").alias("x"), F.col("b").alias("z"), "out")
+    # x < y candidates, z a later candidate or excluded; the third side closes it
+    wedge = x.join(y, ["id", "x"]).where("out or y < z or z < y")
+    later = wedge.where("not out").join(old.where("not out").select("id", F.col("a").alias("y"), F.col("b").alias("z")), ["id", "y", "z"], "left_semi")
+    with_out = wedge.where("out").join(old.where("out").select("id", F.col("a").alias("y"), F.col("b").alias("z")), ["id", "y", "z"], "left_semi")
+    step = lambda new, a, b, out: F.struct(F.concat("id", F.array(new)).alias("id"), F.col(a).alias("a"), F.col(b).alias("b"), F.lit(out).alias("out"))
+    edges_in = later.select(F.explode(F.array(step("x", "y", "z", False), step("y", "z", "x", True))).alias("e"))
+    edges_out = with_out.select(F.explode(F.array(step("x", "y", "z", True))).alias("e"))
+    return inside, edges_in.union(edges_out).select("e.*"), sizes.where("n = 0").select("id")
+
+
+def _searched(candidates: DataFrame, edges: DataFrame) -> DataFrame:
+    """(clique) of small states. Excluded vertices with the same neighbours are one."""
+    near = edges.where("not out").select("id", F.col("a").alias("v"), F.col("b").alias("w")).union(edges.where("not out").select("id", F.col("b"), F.col("a")))
+    near = near.groupBy("id", "v").agg(F.collect_list("w").alias("ws"))
+    outer = edges.where("out").groupBy("id", "b").agg(F.sort_array(F.collect_list("a")).alias("ws")).select("id", "ws").distinct()
+    own = candidates.join(near, ["id", "v"], "left").groupBy("id").agg(F.collect_list(F.struct("v", "ws")).alias("near"))
+    states = own.join(outer.groupBy("id").agg(F.collect_list("ws").alias("outer")), "id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        as_batch = lambda out: pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["clique"])
+        for batch in batches:
+            out: list[list[int]] = []
+            for row in batch.to_pylist():
+                near = [(r["v"], r["ws"] or []) for r in row["near"]]
+                for found in search_state([v for v, _ in near], near, row["outer"] or []):
+                    out.append(sorted([*row["id"], *found]))
+                    if len(out) >= 50_000:
+                        yield as_batch(out)
+                        out = []
+            yield as_batch(out)
+
+    # dealt at random: a core's costly states have neighbouring ids
+    return states.repartition(F.xxhash64("id")).mapInArrow(run, "clique array<bigint>")
+
+
+def _by_states(both: DataFrame, order: str, most_candidates: int, most_edges: int) -> DataFrame:
+    candidates, edges = _roots(both, order)
+    found = None
+    while True:
+        candidates, edges = cut(candidates), cut(edges)
+        size = candidates.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(edges.groupBy("id").agg(F.count(F.lit(1)).alias("m")), "id", "left")
+        large = cut(size.where((F.col("n") > most_candidates) | (F.col("m") > most_edges)).select("id"))
+        some = _searched(candidates.join(large, "id", "left_anti"), edges.join(large, "id", "left_anti"))
+        found = some if found is None else found.union(some)
+        if large.isEmpty():
+            return found
+        candidates, edges, done = _grown(candidates.join(large, "id", "left_semi"), edges.join(large, "id", "left_semi"))
+        found = found.union(done.select(F.array_sort("id")))
+
+
+def maximal_cliques(edges: DataFrame, strategy: str = "search", order: str = "degree", most_candidates: int = CANDIDATES, most_edges: int = EDGES) -> DataFrame:
     """(clique): ascending vertex arrays."""
+    both = cut(symmetrise(canonical(edges)))
     if strategy == "levels":
         found = _by_levels(edges)
     elif strategy == "search":
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out: list[list[int]] = []
-                for v, later, earlier, inner in batch.itertuples(index=False):
-                    for rest in search_cliques(list(later), list(earlier), [(e["a"], e["b"]) for e in inner] if inner is not None else []):
-                        out.append(sorted([v, *rest]))
-                        if len(out) >= 50_000:
-                            yield pd.DataFrame({"clique": out})
-                            out = []
-                yield pd.DataFrame({"clique": out})
-
-        # roots are dealt at random: a core's costly roots have neighbouring ids
-        roots = _roots(edges, order).repartition(F.xxhash64("v"))
-        found = roots.mapInPandas(run, "clique array<bigint>")
+        found = _by_states(both, order, most_candidates, most_edges)
     else:
         raise ValueError(f"strategy must be search or levels, not {strategy!r}")
-    single = vertices(edges).join(symmetrise(canonical(edges)).select(F.col("src").alias("v")), "v", "left_anti")
+    single = vertices(edges).join(both.select(F.col("src").alias("v")), "v", "left_anti")
     return found.union(single.select(F.array("v").alias("clique")))
 
 

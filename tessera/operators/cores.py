@@ -4,6 +4,8 @@ Every vertex starts with its degree and takes, round by round, the largest h
 such that h neighbours have a value of h or more. Values only fall and end at
 the core numbers. A round is one join and one aggregation; a vertex whose
 neighbours didn't change keeps its value by itself.
+
+The degeneracy order comes from peeling: see peeling().
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import canonical, cut, symmetrise, vertices
+from tessera.operators.graph import Rounds, canonical, cut, new_folder, symmetrise, vertices
 
 #: Rounds between two checkpoints and tests for change.
 ROUNDS = 3
@@ -20,8 +22,17 @@ ROUNDS = 3
 
 def core_numbers(edges: DataFrame) -> DataFrame:
     """(v, core) of every vertex 0..V-1."""
-    both = cut(symmetrise(canonical(edges)))
-    now = cut(both.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("core")))
+    return _with_all(edges, _cores(cut(symmetrise(canonical(edges)))))
+
+
+def _with_all(edges: DataFrame, found: DataFrame) -> DataFrame:
+    return vertices(edges).join(found, "v", "left").select("v", F.coalesce("core", F.lit(0).cast("bigint")).alias("core"))
+
+
+def _cores(both: DataFrame) -> DataFrame:
+    """(v, core) of the vertices of symmetric edges."""
+    rounds = Rounds(both.sparkSession)
+    now = rounds.cut(both.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("core")))
     while True:
         new = now.withColumn("old", F.col("core"))
         for _ in range(ROUNDS):
@@ -30,11 +41,10 @@ def core_numbers(edges: DataFrame) -> DataFrame:
             above = F.sum("n").over(W.partitionBy("src").orderBy(F.desc("core")))
             h = at.withColumn("h", F.least("core", above)).groupBy("src").agg(F.max("h").alias("h"))
             new = new.join(h, new["v"] == h["src"]).select("v", F.least("core", "h").alias("core"), "old")
-        new = cut(new)
+        new = rounds.cut(new)
         if new.where("core <> old").isEmpty():
-            break
+            return new.select("v", "core")
         now = new.select("v", "core")
-    return vertices(edges).join(now, "v", "left").select("v", F.coalesce("core", F.lit(0).cast("bigint")).alias("core"))
 
 
 def degeneracy(edges: DataFrame) -> DataFrame:
@@ -42,16 +52,55 @@ def degeneracy(edges: DataFrame) -> DataFrame:
     return core_numbers(edges).agg(F.max("core").alias("degeneracy"))
 
 
+def peeling(edges: DataFrame) -> DataFrame:
+    """(v, core, round) of every vertex: a vertex goes in the first round in which it has at most `core` neighbours of a higher core, or of its own that are left.
+
+    When lower cores are gone, the vertices of a core of c lose each other alone, so all cores are peeled at once, and
+    only edges inside a core matter. A vertex that goes has at most c neighbours left, those that go with it included: any order by
+    (core, round) keeps the degeneracy's bound.
+    """
+    spark = edges.sparkSession
+    both = cut(symmetrise(canonical(edges)))
+    core = cut(_cores(both))
+    side = lambda end, c: core.select(F.col("v").alias(end), F.col("core").alias(c))
+    ranked = both.join(side("src", "cs"), "src").join(side("dst", "cd"), "dst")
+    inner = cut(ranked.where("cs = cd").select("src", "dst"))
+    # how many neighbours too many a vertex still has
+    left = ranked.where("cd >= cs").groupBy(F.col("src").alias("v"), F.col("cs").alias("core")).agg((F.count(F.lit(1)) - F.first("cs")).alias("excess"))
+    rounds = Rounds(spark)
+    left = rounds.cut(left.withColumn("round", F.lit(None).cast("int")))
+    path = new_folder(spark, "peeled")
+    at = 0
+    while not left.isEmpty():
+        for _ in range(ROUNDS):
+            at += 1
+            left = left.withColumn("round", F.coalesce("round", F.when(F.col("excess") <= 0, at)))
+            hit = inner.join(left.where(F.col("round") == at).select(F.col("v").alias("src")), "src").groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+            left = left.join(hit, "v", "left").select("v", "core", (F.col("excess") - F.coalesce("n", F.lit(0))).alias("excess"), "round")
+        done = rounds.cut(left)
+        # what is gone is written once; only what is left goes on
+        done.where("round is not null").select("v", "core", "round").write.mode("append").parquet(path)
+        left = done.where("round is null")
+    gone = spark.read.schema("v bigint, core bigint, round int").parquet(path) if at else spark.createDataFrame([], "v bigint, core bigint, round int")
+    return _with_all(edges, gone.select("v", "core")).join(gone.select("v", "round"), "v", "left").select("v", "core", F.coalesce("round", F.lit(1)).alias("round"))
+
+
 def degeneracy_order(edges: DataFrame) -> DataFrame:
-    """(v, rank) ordered by (core, degree, v).
+    """(v, rank) by (core, round of peeling, v): no vertex has more later neighbours than the degeneracy.
 
     Ranks are dealt by ranges: each partition numbers its rows after the sizes
     of the ones before, so no single task holds all vertices.
     """
-    from tessera.operators.graph import degrees
+    return dense_positions(peeling(edges), ["core", "round", "v"]).select("v", F.col("position").alias("rank"))
+
 
-    core = core_numbers(edges).join(degrees(canonical(edges)).select("v", "deg"), "v", "left")
-    return dense_positions(core, ["core", "deg", "v"]).select("v", F.col("position").alias("rank"))
+def later_neighbours(edges: DataFrame, order: DataFrame) -> DataFrame:
+    """(v, later): how many neighbours of each vertex come after it in an order (v, rank)."""
+    pairs = canonical(edges)
+    side = lambda end, r: order.select(F.col("v").alias(end), F.col("rank").alias(r))
+    first = pairs.join(side("src", "rs"), "src").join(side("dst", "rd"), "dst").select(F.when(F.col("rs") < F.col("rd"), F.col("src")).otherwise(F.col("dst")).alias("v"))
+    n = first.groupBy("v").agg(F.count(F.lit(1)).alias("later"))
+    return order.select("v").join(n, "v", "left").select("v", F.coalesce("later", F.lit(0).cast("bigint")).alias("later"))
 
 
 def dense_positions(rows: DataFrame, order: list, name: str = "position") -> DataFrame:

@@ -8,25 +8,56 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A neighbour-list side of at most so many entries (8 bytes each) may be broadcast.
 BROADCAST_ENTRIES = 2_000_000
+#: Ids may run up to so many times the number of vertices that have edges (and SPARE more) before vertices() asks for dense ones.
+SPARSE, SPARE = 64, 1 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the shared checkpoint folder (spark.checkpoint.dir; one of our own where it is unset and all runs on one machine)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of our own only where it is unset and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    out = df.checkpoint(eager=True)
-    # a checkpoint hands on its plan's statistics and constraints, which grow exponentially from round to round; a bare scan of its rows has none
-    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(out._jdf.queryExecution().toRdd(), out._jdf.schema(), False), df.sparkSession)
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as it now is, written to the shared folder and read from there: its lineage ends, and a plan's statistics don't grow from round to round."""
+    return Rounds(df.sparkSession, keep=0).cut(df)
+
+
+class Rounds:
+    """Tables of a loop. Of those that were cut here the last `keep` stay (0: all), as a round reads none older than that."""
+
+    def __init__(self, spark: SparkSession, keep: int = 2):
+        self.spark, self.keep, self.paths = spark, keep, []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = new_folder(self.spark, "cut")
+        df.write.parquet(path)
+        self.paths.append(path)
+        if self.keep and len(self.paths) > self.keep:
+            drop_folder(self.spark, self.paths.pop(0))
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def no_loops(edges: DataFrame) -> DataFrame:
@@ -62,9 +93,18 @@ def ordered(edges: DataFrame) -> DataFrame:
 
 
 def vertices(edges: DataFrame) -> DataFrame:
-    """(v): 0 to the largest id, so gaps are vertices without edges; none of an empty relation."""
-    top = edges.agg(F.max(F.greatest("src", "dst"))).first()[0]
-    return edges.sparkSession.range(0, 0 if top is None else top + 1).toDF("v")
+    """(v): 0 to the largest id, so gaps are vertices without edges; none of an empty relation.
+
+    Ids must be dense: where the largest is far beyond the number of vertices with edges, or one is negative, the ids are an error
+    (operators.ids has densify_first_seen and densify_sorted).
+    """
+    least, top, n = edges.agg(F.min(F.least("src", "dst")), F.max(F.greatest("src", "dst")), F.count(F.lit(1))).first()
+    if top is None:
+        return edges.sparkSession.range(0).toDF("v")
+    # no more vertices have edges than twice the edges, so only a larger id is worth the count of those that have
+    if least < 0 or top > SPARSE * 2 * n + SPARE or top > SPARE and top > SPARSE * symmetrise(edges).agg(F.approx_count_distinct("src")).first()[0] + SPARE:
+        raise ValueError(f"ids from {least} to {top} aren't dense: number the vertices first")
+    return edges.sparkSession.range(0, top + 1).toDF("v")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -108,12 +148,13 @@ def components(edges: DataFrame) -> DataFrame:
     label; labels jump, so rounds grow with the logarithm of the longest path.
     """
     both = cut(symmetrise(no_loops(edges)).distinct())
-    comp = cut(both.groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("m")).select("v", F.least("v", "m").alias("comp")))
+    rounds = Rounds(edges.sparkSession)
+    comp = rounds.cut(both.groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("m")).select("v", F.least("v", "m").alias("comp")))
     while True:
         near = both.join(comp, both["dst"] == comp["v"]).groupBy("src").agg(F.min("comp").alias("m"))
         step = comp.join(near, comp["v"] == near["src"]).select("v", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
         jump = step.select(F.col("v").alias("at"), F.col("comp").alias("to"))
-        new = cut(step.join(jump, step["comp"] == jump["at"]).select("v", F.least("comp", "to").alias("comp"), "old"))
+        new = rounds.cut(step.join(jump, step["comp"] == jump["at"]).select("v", F.least("comp", "to").alias("comp"), "old"))
         if new.where("comp <> old").isEmpty():
             return new.select("v", "comp")
         comp = new.select("v", "comp")

@@ -6,8 +6,6 @@ more (repeat_graph). Labels: a part's brand.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,11 +90,7 @@ def _text(c):
 
 
 def _folder(spark: SparkSession, what: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        graph.cut(spark.range(1))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return graph.new_folder(spark, what)
 
 
 # edges and vertices
@@ -139,9 +133,9 @@ def csr_csc_adjacency(spark, sf_dir):
     return graph.adjacency_both(e).select("v", _text("out_nbrs").alias("out_nbrs"), _text("in_nbrs").alias("in_nbrs"))
 
 
-@query(f"WITH RECURSIVE {_REPEAT}, {_SYM}, r(v, comp) AS (SELECT src, src FROM sym UNION SELECT s.dst, r.comp FROM r JOIN sym s ON s.src = r.v WHERE r.comp < s.dst) SELECT v, min(comp) AS comp FROM r GROUP BY v")
+@query(f"WITH RECURSIVE {_PART}, {_SYM}, r(v, comp) AS (SELECT src, src FROM sym UNION SELECT s.dst, r.comp FROM r JOIN sym s ON s.src = r.v WHERE r.comp < s.dst) SELECT v, min(comp) AS comp FROM r GROUP BY v")
 def connected_components(spark, sf_dir):
-    return graph.components(repeat_graph(spark, sf_dir))
+    return graph.components(part_graph(spark, sf_dir))
 
 
 # triangles
@@ -164,6 +158,11 @@ def tc_bsr(spark, sf_dir):
     return triangles.triangle_count(part_graph(spark, sf_dir), "bsr", undirected=True)
 
 
+@query(f"WITH {_PART} {_TC}")
+def tc_grid(spark, sf_dir):
+    return triangles.triangle_count(part_graph(spark, sf_dir), "grid", undirected=True)
+
+
 @query("WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem) SELECT count(*)::BIGINT AS n FROM e uv JOIN e uw ON uw.src = uv.src JOIN e vw ON vw.src = uv.dst AND vw.dst = uw.dst WHERE uv.src < uv.dst AND uw.dst < uv.src")
 def tc_directed(spark, sf_dir):
     return triangles.triangle_count(_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
@@ -287,26 +286,33 @@ def pair_counters(spark, sf_dir):
 
 # cores and cliques
 
-_CORE = f"""WITH RECURSIVE {_REPEAT}, {_SYM}, h(t, v, c) AS (
-SELECT 0, src, count(*) FROM sym GROUP BY src
-UNION ALL
-SELECT t + 1, v, max(least(c, k)) FROM (SELECT h.t, s.src AS v, h.c, row_number() OVER (PARTITION BY s.src ORDER BY h.c DESC) AS k FROM h JOIN sym s ON s.dst = h.v) x WHERE t < 40 GROUP BY t, v)
-SELECT r.v, coalesce(h.c, 0) AS core FROM (SELECT unnest(range(0, (SELECT max(dst) FROM g) + 1)) AS v) r LEFT JOIN (SELECT * FROM h WHERE t = 40) h ON h.v = r.v"""
+#: Sequential peeling: k grows to the least degree that is left, and what has at most k neighbours left goes, all at once.
+_PEEL = f"""WITH RECURSIVE {_PART.replace('g AS (', 'g AS MATERIALIZED (')}, {_SYM.replace('AS (', 'AS MATERIALIZED (')},
+z(t, k, v, gone) AS (SELECT 0, 0::BIGINT, v, false FROM (SELECT unnest(range(0, (SELECT max(dst) FROM g) + 1)) AS v) UNION ALL
+SELECT t + 1, greatest(k, min(d) OVER ()), v, d <= greatest(k, min(d) OVER ()) FROM (SELECT z.t, z.k, z.v, coalesce(any_value(n.d), 0) AS d FROM z LEFT JOIN (SELECT s.src, count(*) AS d FROM sym s JOIN z y ON y.v = s.dst AND NOT y.gone GROUP BY 1) n ON n.src = z.v WHERE NOT z.gone GROUP BY 1, 2, 3)),
+pe AS MATERIALIZED (SELECT v, k AS core, t, row_number() OVER (ORDER BY t, v) - 1 AS rank FROM z WHERE gone)"""
 
 
-@query(_CORE)
+@query(f"{_PEEL} SELECT v, core FROM pe")
 def kcore(spark, sf_dir):
-    return cores.core_numbers(repeat_graph(spark, sf_dir))
+    return cores.core_numbers(part_graph(spark, sf_dir))
 
 
-@query(f"SELECT max(core) AS degeneracy FROM ({_CORE})")
+@query(f"{_PEEL} SELECT max(core) AS degeneracy FROM pe")
 def degeneracy(spark, sf_dir):
-    return cores.degeneracy(repeat_graph(spark, sf_dir))
+    return cores.degeneracy(part_graph(spark, sf_dir))
 
 
-@query(f"SELECT x.v, row_number() OVER (ORDER BY core, coalesce(deg, 0), x.v) - 1 AS rank FROM ({_CORE}) x LEFT JOIN (WITH {_REPEAT}, {_SYM} SELECT src AS v, count(*) AS deg FROM sym GROUP BY 1) y ON y.v = x.v")
+@query(f"{_PEEL} SELECT v, rank FROM pe")
 def degeneracy_order(spark, sf_dir):
-    return cores.degeneracy_order(repeat_graph(spark, sf_dir))
+    return cores.degeneracy_order(part_graph(spark, sf_dir))
+
+
+@query(f"{_PEEL} SELECT a.v, count(b.v) AS later FROM pe a LEFT JOIN sym s ON s.src = a.v LEFT JOIN pe b ON b.v = s.dst AND b.rank > a.rank GROUP BY 1")
+def degeneracy_later(spark, sf_dir):
+    """How many neighbours follow each vertex in the degeneracy order; the most is the degeneracy."""
+    edges = graph.cut(part_graph(spark, sf_dir))
+    return cores.later_neighbours(edges, cores.degeneracy_order(edges))
 
 
 def _clique_sql(g: str) -> str:
@@ -317,19 +323,19 @@ SELECT list_append(clique, y), list_intersect(common, adj.n) FROM (SELECT clique
 m AS (SELECT clique FROM c WHERE len(common) = 0 UNION ALL SELECT [v] FROM (SELECT unnest(range(0, (SELECT max(dst) FROM g) + 1)) AS v) r WHERE v NOT IN (SELECT src FROM sym))"""
 
 
-@query(_clique_sql(_REPEAT) + " SELECT array_to_string(clique, ' ') AS value FROM m")
+@query(_clique_sql(_PART) + " SELECT array_to_string(clique, ' ') AS value FROM m")
 def maximal_cliques(spark, sf_dir):
-    return text.clique_lines(cliques.maximal_cliques(repeat_graph(spark, sf_dir)))
+    return text.clique_lines(cliques.maximal_cliques(part_graph(spark, sf_dir)))
 
 
-@query(_clique_sql(_REPEAT) + " SELECT '{' || array_to_string(clique, ',') || '}' AS value FROM m")
+@query(_clique_sql(_PART) + " SELECT '{' || array_to_string(clique, ',') || '}' AS value FROM m")
 def maximal_cliques_levels(spark, sf_dir):
-    return text.clique_lines(cliques.maximal_cliques(repeat_graph(spark, sf_dir), "levels"), braces=True)
+    return text.clique_lines(cliques.maximal_cliques(part_graph(spark, sf_dir), "levels"), braces=True)
 
 
-@query(_clique_sql(_REPEAT) + " SELECT max(len(clique))::INT AS maximum_clique_size FROM m")
+@query(_clique_sql(_PART) + " SELECT max(len(clique))::INT AS maximum_clique_size FROM m")
 def maximum_clique_size(spark, sf_dir):
-    return cliques.maximum_clique_size(cliques.maximal_cliques(repeat_graph(spark, sf_dir)))
+    return cliques.maximum_clique_size(cliques.maximal_cliques(part_graph(spark, sf_dir)))
 
 
 @query(_clique_sql(_PART) + " SELECT len(clique)::INT AS size, count(*) AS n FROM m GROUP BY 1")
@@ -508,14 +514,14 @@ def big_node_stats(spark, sf_dir):
     return out.select("n", *[F.round(c, 6).alias(c) for c in ("ratio", "avg_deg", "var_deg")], *out.columns[4:])
 
 
-@query(f"WITH {_REPEAT}, {_DEG.format(g='g')} SELECT count(*) AS n FROM deg WHERE out_deg = 1 OR in_deg = 1")
+@query(f"WITH {_PART}, {_DEG.format(g='g')} SELECT count(*) AS n FROM deg WHERE out_deg = 1 OR in_deg = 1")
 def leaf_count(spark, sf_dir):
-    return stats.leaf_count(repeat_graph(spark, sf_dir))
+    return stats.leaf_count(part_graph(spark, sf_dir))
 
 
-@query(f"WITH {_REPEAT}, {_DEG.format(g='g')}, t AS (SELECT sum(sqrt(out_deg) + sqrt(in_deg)) AS t FROM deg) SELECT v, round(sqrt(out_deg) / t, 9) AS alpha_out, round(sqrt(in_deg) / t, 9) AS alpha_in FROM deg, t")
+@query(f"WITH {_PART}, {_DEG.format(g='g')}, t AS (SELECT sum(sqrt(out_deg) + sqrt(in_deg)) AS t FROM deg) SELECT v, round(sqrt(out_deg) / t, 9) AS alpha_out, round(sqrt(in_deg) / t, 9) AS alpha_in FROM deg, t")
 def degree_weights(spark, sf_dir):
-    return stats.degree_weights(repeat_graph(spark, sf_dir)).select("v", F.round("alpha_out", 9).alias("alpha_out"), F.round("alpha_in", 9).alias("alpha_in"))
+    return stats.degree_weights(part_graph(spark, sf_dir)).select("v", F.round("alpha_out", 9).alias("alpha_out"), F.round("alpha_in", 9).alias("alpha_in"))
 
 
 _GIVEN = "w AS (SELECT l_partkey AS v, sum(l_quantity)::DOUBLE AS o, sum(l_linenumber)::DOUBLE AS i FROM lineitem GROUP BY 1)"

@@ -44,7 +44,7 @@ CASES = {  # name: edges, triangles, maximal cliques, largest core
 def test_closed_forms(spark, name):
     pairs, tri, n_cliques, core = CASES[name]
     e = graph.cut(frame(spark, both(pairs)))
-    assert [triangles.triangle_count(e, s).first()[0] for s in ("array", "wedge", "bsr")] == [tri] * 3
+    assert [triangles.triangle_count(e, s).first()[0] for s in ("array", "wedge", "bsr", "grid")] == [tri] * 4
     assert triangles.triangle_count(frame(spark, pairs), undirected=True).first()[0] == tri
     found = {tuple(r[0]) for r in cliques.maximal_cliques(e).collect()}
     assert len(found) == n_cliques
@@ -58,10 +58,9 @@ def test_small_kernels():
         n = 0
         for v in near:
             later, earlier = sorted(x for x in near[v] if x > v), sorted(x for x in near[v] if x < v)
-            inner = [(a, b) for a in near[v] for b in near[v] if a < b and b in near[a]]
-            n += len(list(cliques.search_cliques(later, earlier, inner)))
+            n += len(list(cliques.search_state(later, [(x, sorted(near[x] & set(later))) for x in later], [sorted(near[x] & set(later)) for x in earlier])))
         assert n == n_cliques
-    assert list(cliques.search_cliques([], [], [])) == [[]]
+    assert list(cliques.search_cliques([], [])) == [[]] and list(cliques.search_cliques([], [0])) == []
 
 
 def test_directed_rule(spark):
