@@ -25,8 +25,10 @@ def uniform(n: Column, seed: int, bound: Column | int) -> Column:
 
 
 def densify_first_seen(raw: DataFrame) -> DataFrame:
-    """(raw_id, new_id) of (raw_src, raw_dst, line): ids in order of first appearance, source before target."""
-    ends = raw.select(F.explode(F.array(F.struct(F.col("raw_src").alias("raw_id"), (2 * F.col("line")).alias("at")), F.struct(F.col("raw_dst").alias("raw_id"), (2 * F.col("line") + 1).alias("at")))).alias("x")).select("x.*")
+    """(raw_id, new_id) of (raw_src, raw_dst, line) or read_raw_edges(): ids in order of first appearance, source before target."""
+    place = [c for c in ("file", "block", "line") if c in raw.columns]
+    end = lambda c, side: F.struct(F.col(c).alias("raw_id"), F.struct(*place, F.lit(side).alias("side")).alias("at"))
+    ends = raw.select(F.explode(F.array(end("raw_src", 0), end("raw_dst", 1))).alias("x")).select("x.*")
     first = ends.groupBy("raw_id").agg(F.min("at").alias("at"))
     return dense_positions(first, ["at", "raw_id"], "new_id").select("raw_id", "new_id")
 

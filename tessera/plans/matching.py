@@ -1,4 +1,11 @@
-"""Labelled subgraph matching: a join order from label counts, then a join chain.
+"""Labelled subgraph matching.
+
+`extend` (default) grows partial matches by one query vertex at a time: neighbour lists are
+indexed by the neighbours' label, and a partial match's candidates are the
+intersection of the lists of all its bound neighbours, the smallest first. A candidate that doesn't close every edge
+to what is bound is never a row; candidates stay an array until the next vertex needs them one by
+one. The order comes from how many edges there are between two labels. `join` is
+a chain of joins on edges, in an order from label counts.
 
 Embeddings are injective and not induced; mirror images count. Data edges are
 taken as undirected.
@@ -8,12 +15,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import canonical, symmetrise
+from tessera.operators.graph import BROADCAST_ENTRIES, canonical, cut, symmetrise
 from tessera.sources.text import Pattern
 
+#: Lists are parted by their elements' high bits, so none has more than 2**PREFIX elements.
+PREFIX = 16
+
 
 def label_counts(labels: DataFrame, patterns: list[Pattern]) -> dict[int, int]:
     """How many vertices carry each label that the patterns name."""
@@ -76,13 +86,94 @@ def match_pattern(both: DataFrame, labels: DataFrame, pattern: Pattern, counts:
     return rows.select(*names)
 
 
-def match_patterns(edges: DataFrame, labels: DataFrame, patterns: list[Pattern]) -> list[DataFrame]:
-    """One DataFrame of embeddings a pattern."""
-    from tessera.operators.graph import cut
+def pair_counts(both: DataFrame, patterns: list[Pattern]) -> dict[tuple[int, int], int]:
+    """How many edges of labelled_edges() run between the label pairs of the patterns' edges: a row a pair."""
+    pairs = {(p.labels[a], p.labels[b]) for p in patterns for e in p.edges for a, b in (e, e[::-1])}
+    named = sorted({x for pair in pairs for x in pair})
+    rows = both.where(F.col("ls").isin(named) & F.col("ld").isin(named)).groupBy("ls", "ld").count().collect()
+    return dict.fromkeys(pairs, 0) | {(r[0], r[1]): r[2] for r in rows if (r[0], r[1]) in pairs}
+
+
+def extension_order(pattern: Pattern, counts: dict[int, int], pairs: dict[tuple[int, int], int]) -> list[int] | None:
+    """The rarest edge first, then always the vertex that closes most edges to the bound ones, of those the one with fewest candidates a match; None if the pattern isn't connected."""
+    if len(pattern.labels) <= 1:
+        return [0] if pattern.labels else None
+    if not pattern.edges:
+        return None
+    label = lambda u: pattern.labels[u]
+    size = lambda a, b: pairs.get((label(a), label(b)), 0)
+    order = list(min(pattern.edges, key=lambda e: (size(*e), e)))
+    order.sort(key=lambda u: (counts.get(label(u), 0), u))
+    while len(order) < len(pattern.labels):
+        reach = {u for b in order for u in pattern.neighbours(b)} - set(order)
+        if not reach:
+            return None
+        closes = lambda u: [b for b in order if b in pattern.neighbours(u)]
+        each = lambda u: min(size(b, u) / max(1, counts.get(label(b), 0)) for b in closes(u))
+        order.append(min(reach, key=lambda u: (-len(closes(u)), each(u), u)))
+    return order
+
+
+def label_lists(both: DataFrame) -> DataFrame:
+    """(v, ls, ld, prefix, nbrs): the neighbours of label ld of each vertex, ascending, by their high bits."""
+    return both.groupBy(F.col("src").alias("v"), "ls", "ld", F.shiftright("dst", PREFIX).alias("prefix")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
+
+
+def _common(lists: list[Column]) -> Column:
+    """The intersection of array columns, the smallest first."""
+    if len(lists) == 1:
+        return lists[0]
+    by_size = F.array_sort(F.array(*[F.struct(F.size(x).alias("n"), x.alias("x")) for x in lists]))
+    return F.aggregate(F.slice(by_size, 2, len(lists) - 1), F.get(by_size, F.lit(0))["x"], lambda a, b: F.array_intersect(a, b["x"]))
+
+
+def extend_pattern(lists: DataFrame, labels: DataFrame, pattern: Pattern, counts: dict[int, int], pairs: dict[tuple[int, int], int], steps: list[DataFrame] | None = None) -> DataFrame:
+    """(m0, m1, ...) by query vertex. lists: label_lists(), best materialised. steps gathers the relations between the steps: matches so far, each with a non-empty array of candidates for the next vertex."""
+    names = [f"m{u}" for u in range(len(pattern.labels))]
+    order = extension_order(pattern, counts, pairs)
+    if order is None:
+        return lists.sparkSession.createDataFrame([], ", ".join(f"{n} bigint" for n in names) or "m0 bigint")
+    label = lambda u: pattern.labels[u]
+    if len(order) == 1:
+        return labels.where(F.col("label") == label(0)).select(F.col("vertex").alias("m0"))
+
+    def side(b: int, u: int, name: str) -> DataFrame:
+        own = lists.where((F.col("ls") == label(b)) & (F.col("ld") == label(u))).select(F.col("v").alias(f"m{b}"), "prefix", F.col("nbrs").alias(name))
+        # the number of its entries is known
+        return F.broadcast(own) if pairs.get((label(b), label(u)), 0) <= BROADCAST_ENTRIES else own
 
+    rows = side(order[0], order[1], "found")
+    for k, u in enumerate(order[1:], 1):
+        if steps is not None:
+            steps.append(rows)
+        bound = order[:k]
+        rows = rows.select(*[f"m{b}" for b in bound], F.explode("found").alias(f"m{u}"))
+        # only vertices of the same label can be taken already
+        same = [F.col(f"m{u}") != F.col(f"m{b}") for b in bound if label(b) == label(u)]
+        if same:
+            rows = rows.where(reduce(lambda a, b: a & b, same))
+        if k + 1 < len(order):
+            new = order[k + 1]
+            near = [b for b in order[: k + 1] if b in pattern.neighbours(new)]
+            for i, b in enumerate(near):
+                rows = rows.join(side(b, new, f"_n{i}"), [f"m{b}", "prefix"] if i else f"m{b}")
+            rows = rows.withColumn("found", _common([F.col(f"_n{i}") for i in range(len(near))])).where(F.size("found") > 0)
+            rows = rows.select(*[f"m{b}" for b in order[: k + 1]], "found")
+    return rows.select(*names)
+
+
+def match_patterns(edges: DataFrame, labels: DataFrame, patterns: list[Pattern], strategy: str = "extend") -> list[DataFrame]:
+    """One DataFrame of embeddings a pattern."""
     counts = label_counts(labels, patterns)
     both = cut(labelled_edges(edges, labels))
-    return [match_pattern(both, labels, p, counts) for p in patterns]
+    if strategy == "join":
+        return [match_pattern(both, labels, p, counts) for p in patterns]
+    if strategy != "extend":
+        raise ValueError(f"strategy must be extend or join, not {strategy!r}")
+    named = sorted({x for p in patterns for x in p.labels})
+    lists = cut(label_lists(both.where(F.col("ls").isin(named) & F.col("ld").isin(named))))
+    pairs = pair_counts(both, patterns)
+    return [extend_pattern(lists, labels, p, counts, pairs) for p in patterns]
 
 
 def match_counts(edges: DataFrame, labels: DataFrame, patterns: list[Pattern]) -> DataFrame:
@@ -94,7 +185,6 @@ def match_counts(edges: DataFrame, labels: DataFrame, patterns: list[Pattern]) -
 def match_packed(edges: DataFrame, labels: DataFrame, pattern: Pattern) -> DataFrame:
     """The same embeddings with bit-packed candidate sets: bound neighbours' packs are ANDed before they are unpacked."""
     from tessera.functions import sets
-    from tessera.operators.graph import cut
 
     order = join_order(pattern, label_counts(labels, [pattern]))
     names = [f"m{u}" for u in range(len(pattern.labels))]

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions import sets, synth
-from tessera.operators import cliques, cores, graph, ids, reorder, stats, triangles
+from tessera.functions import bitmaps, sets, synth
+from tessera.operators import cliques, cores, graph, ids, probe, reorder, stats, triangles
 from tessera.plans import matching
 from tessera.sources import text
 from tessera.sources.text import Pattern
@@ -284,6 +284,78 @@ def pair_counters(spark, sf_dir):
     return stats.pair_counters(_set_pairs(spark, sf_dir))
 
 
+# large stored sets, filters before the shuffle
+
+
+@query("SELECT l_suppkey AS v, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000 GROUP BY 1")
+def set_probe(spark, sf_dir):
+    """A small set of orders against the suppliers' stored sets of orders."""
+    stored = probe.store_sets(_table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("v"), F.col("l_orderkey").alias("x")))
+    wanted = _table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_totalprice > 400000").select(F.col("o_orderkey").alias("x")).distinct()
+    return probe.probe_sets(stored, wanted).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_suppkey AS v, l_partkey AS x FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 INTERSECT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag <> 'R'")
+def bloom_intersect(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_suppkey": "v", "l_partkey": "x"})
+    small, large = (li.where(c).select("v", "x") for c in ("l_returnflag = 'R' AND l_quantity > 45", "l_returnflag <> 'R'"))
+    return probe.filtered_intersect(small.distinct(), large, "x").distinct()
+
+
+# bitmaps and runs
+
+
+@query("SELECT s_nationkey, coalesce(y::VARCHAR, 'all') AS year, count(DISTINCT l_partkey)::BIGINT AS n FROM (SELECT *, year(l_shipdate) AS y FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey GROUP BY GROUPING SETS ((s_nationkey, y), (s_nationkey))")
+def bitmap_rollup(spark, sf_dir):
+    """Parts by nation and year, and by nation: the latter from the former's bitmaps."""
+    nation = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    rows = _table(spark, sf_dir, "lineitem").join(nation, "l_suppkey").select("s_nationkey", F.year("l_shipdate").cast("string").alias("year"), F.col("l_partkey").alias("x"))
+    fine = graph.cut(bitmaps.bitmaps(rows, ["s_nationkey", "year"]))
+    coarse = bitmaps.bitmap_sizes(bitmaps.bitmap_union(fine, ["s_nationkey"]), ["s_nationkey"])
+    return bitmaps.bitmap_sizes(fine, ["s_nationkey", "year"]).unionByName(coarse.withColumn("year", F.lit("all")))
+
+
+@query("SELECT v, count(*)::BIGINT AS n FROM (SELECT l_suppkey AS v, l_partkey FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) = 3) GROUP BY 1")
+def bitmap_intersect(spark, sf_dir):
+    """How many parts each supplier has under all three flags."""
+    chunks = bitmaps.bitmaps(_table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_returnflag"], "l_partkey")
+    return bitmaps.bitmap_sizes(bitmaps.bitmap_intersection(chunks, ["l_suppkey"], 3).withColumnRenamed("l_suppkey", "v"), ["v"])
+
+
+_FLAGGED = "a AS (SELECT DISTINCT l_returnflag AS v, l_orderkey AS x FROM lineitem WHERE l_quantity <= 25), b AS (SELECT DISTINCT l_returnflag AS v, l_orderkey AS x FROM lineitem WHERE l_quantity > 25)"
+_ISLANDS = 'SELECT v, min(x) AS "start", max(x) AS "end" FROM (SELECT v, x, x - row_number() OVER (PARTITION BY v ORDER BY x) AS i FROM {0}) GROUP BY v, i'
+
+
+def _flagged_runs(spark, sf_dir) -> list[DataFrame]:
+    li = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("v"), F.col("l_orderkey").alias("x"), "l_quantity")
+    return [bitmaps.to_runs(li.where(c).select("v", "x")) for c in ("l_quantity <= 25", "l_quantity > 25")]
+
+
+@query(f"WITH {_FLAGGED} {_ISLANDS.format('a')}")
+def runs_encode(spark, sf_dir):
+    return _flagged_runs(spark, sf_dir)[0]
+
+
+@query(f"WITH {_FLAGGED}, c AS (SELECT * FROM a INTERSECT SELECT * FROM b) {_ISLANDS.format('c')}")
+def runs_intersect(spark, sf_dir):
+    return bitmaps.runs_intersect(*_flagged_runs(spark, sf_dir))
+
+
+@query(f"WITH {_FLAGGED}, c AS (SELECT * FROM a UNION SELECT * FROM b) {_ISLANDS.format('c')}")
+def runs_union(spark, sf_dir):
+    return bitmaps.runs_union(*_flagged_runs(spark, sf_dir))
+
+
+@query(f"WITH {_FLAGGED}, c AS (SELECT * FROM a UNION SELECT * FROM b), r AS ({_ISLANDS.format('c')}) SELECT v, count(*) AS n_runs, sum(r.end - r.start + 1)::BIGINT AS n FROM r GROUP BY 1")
+def runs_size(spark, sf_dir):
+    return bitmaps.runs_size(bitmaps.runs_union(*_flagged_runs(spark, sf_dir)))
+
+
+@query(f"WITH {_FLAGGED} SELECT v, x FROM a")
+def runs_decode(spark, sf_dir):
+    return bitmaps.from_runs(_flagged_runs(spark, sf_dir)[0])
+
+
 # cores and cliques
 
 #: Sequential peeling: k grows to the least degree that is left, and what has at most k neighbours left goes, all at once.
@@ -347,6 +419,7 @@ def clique_histogram(spark, sf_dir):
 
 PATH, TRIANGLE = Pattern((3, 7, 3), ((0, 1), (1, 2))), Pattern((1, 1, 2), ((0, 1), (1, 2), (0, 2)))
 SQUARE, STAR = Pattern((0, 1, 2, 3), ((0, 1), (1, 2), (2, 3), (0, 3))), Pattern((5, 6, 6, 8), ((0, 1), (0, 2), (0, 3)))
+CLIQUE = Pattern((1, 1, 2, 3), ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)))
 SINGLE, APART = Pattern((4,)), Pattern((0, 1, 2, 3), ((0, 1), (2, 3)))
 
 
@@ -374,8 +447,8 @@ def _match_sql(p: Pattern, g: str = _PART) -> str:
     return f"WITH {g}, {_SYM}, {_LABELS}, {', '.join(steps)} SELECT {', '.join(f'm{i}' for i in range(len(labels)))} FROM s{len(p.edges) - 1}"
 
 
-def _match(spark, sf_dir, p: Pattern) -> DataFrame:
-    return matching.match_patterns(part_graph(spark, sf_dir), brand_labels(spark, sf_dir), [p])[0]
+def _match(spark, sf_dir, p: Pattern, strategy: str = "extend") -> DataFrame:
+    return matching.match_patterns(part_graph(spark, sf_dir), brand_labels(spark, sf_dir), [p], strategy)[0]
 
 
 @query(_match_sql(PATH))
@@ -398,6 +471,16 @@ def sm_square(spark, sf_dir):
     return _match(spark, sf_dir, SQUARE)
 
 
+@query(_match_sql(SQUARE))
+def sm_square_join(spark, sf_dir):
+    return _match(spark, sf_dir, SQUARE, "join")
+
+
+@query(_match_sql(CLIQUE))
+def sm_clique(spark, sf_dir):
+    return _match(spark, sf_dir, CLIQUE)
+
+
 @query(_match_sql(STAR))
 def sm_star(spark, sf_dir):
     return _match(spark, sf_dir, STAR)

@@ -2,8 +2,10 @@
 
 Edge lists hold `u<sep>v` lines. mode="sane" (default) parts columns at any
 white space and skips blank lines and lines that start with # or %; a line that
-doesn't start with two numbers is the edge (0, 0). mode="strict" reads as the classic parser does: only # lines are skipped, the
+doesn't start with two numbers is no edge, and malformed_lines() has it. mode="strict" reads as the classic parser does: only # lines are skipped, the
 separator is exactly one character, missing numbers are 0.
+
+The order of lines is that of file names, then of the places in a file, however many tasks read them.
 """
 
 from __future__ import annotations
@@ -15,30 +17,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Two numbers with white space between, and nothing else but more columns.
+_EDGE = r"^\s*(\d+)\s+(\d+)(?:\s|$)"
+#: Bytes of pattern files that are read.
+PATTERN_BYTES = 64 << 20
+
+
 def _numbers(value, pattern: str, names: tuple[str, str]) -> list:
-    return [F.coalesce(F.regexp_extract(value, pattern, i).try_cast("bigint"), F.lit(0).cast("bigint")).alias(n) for i, n in enumerate(names, 1)]
+    return [F.regexp_extract(value, pattern, i).try_cast("bigint").alias(n) for i, n in enumerate(names, 1)]
+
+
+def _skipped(value):
+    return F.trim(value).rlike(r"^([#%]|$)")
 
 
 def parse_edges(lines: DataFrame, mode: str = "sane") -> DataFrame:
     """(src, dst) of a DataFrame of lines (value)."""
     value = F.col("value")
     if mode == "strict":
-        return lines.where(~value.startswith("#")).select(*_numbers(value, r"^(\d*)(?:.(\d*))?", ("src", "dst")))
+        return lines.where(~value.startswith("#")).select(*_numbers(value, r"^(\d*)(?:.(\d*))?", ("src", "dst"))).na.fill(0, ["src", "dst"])
     if mode != "sane":
         raise ValueError(f"mode must be sane or strict, not {mode!r}")
-    clean = lines.where(~F.trim(value).rlike(r"^([#%]|$)"))
-    return clean.select(*_numbers(value, r"^\s*(\d+)\s+(\d+)", ("src", "dst")))
+    return lines.where(~_skipped(value) & value.rlike(_EDGE)).select(*_numbers(value, _EDGE, ("src", "dst"))).where("src is not null and dst is not null")
+
+
+def malformed_lines(lines: DataFrame) -> DataFrame:
+    """Lines (with all their columns) that aren't skipped and yet no edge: they don't start with two numbers of 64 bits."""
+    value = F.col("value")
+    whole = [F.regexp_extract(value, _EDGE, i).try_cast("bigint").isNotNull() for i in (1, 2)]
+    return lines.where(~_skipped(value) & ~(value.rlike(_EDGE) & whole[0] & whole[1]))
 
 
 def read_edges(spark: SparkSession, path: str, mode: str = "sane") -> DataFrame:
     return parse_edges(spark.read.text(path), mode)
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block, line): a file is read in blocks, each by one task from its first line to its last, so (file, block, line) is the order of the lines."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
 def read_raw_edges(spark: SparkSession, path: str) -> DataFrame:
-    """(raw_src, raw_dst, line) with ids as text; line grows in file order. # and % lines and blank ones are skipped."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
+    """(raw_src, raw_dst, file, block, line) with ids as text, in the order of (file, block, line). # and % lines, blank ones and those of one word are skipped."""
     parts = F.split(F.trim("value"), r"\s+")
-    return lines.where(~F.trim("value").rlike(r"^([#%]|$)")).select(F.get(parts, F.lit(0)).alias("raw_src"), F.get(parts, F.lit(1)).alias("raw_dst"), "line").where(F.col("raw_dst").isNotNull())
+    lines = read_lines(spark, path).where(~_skipped(F.col("value")))
+    return lines.select(F.get(parts, F.lit(0)).alias("raw_src"), F.get(parts, F.lit(1)).alias("raw_dst"), "file", "block", "line").where(F.col("raw_dst").isNotNull())
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -89,8 +112,11 @@ def parse_patterns(text: str) -> list[Pattern]:
 
 
 def read_patterns(spark: SparkSession, path: str) -> list[Pattern]:
-    """Pattern files are small by nature: one query a block."""
-    return parse_patterns("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+    """Pattern files are small by nature: one query a block. More than PATTERN_BYTES of them are an error."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    if size > PATTERN_BYTES:
+        raise ValueError(f"{path} has {size} bytes of patterns; {PATTERN_BYTES} is the limit")
+    return parse_patterns("\n".join(r[0] for r in spark.read.text(path, wholetext=True).orderBy("_metadata.file_path").collect()))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

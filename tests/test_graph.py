@@ -81,7 +81,8 @@ def test_degeneracy_roots(spark):
 def test_parsers(spark):
     lines = ["# c", "% c", "", "1\t2", "3 4", "5  6", "7 8\r", "9 10 11", "x y"]
     df = spark.createDataFrame([(x,) for x in lines], "value string")
-    assert [tuple(r) for r in text.parse_edges(df).collect()] == [(1, 2), (3, 4), (5, 6), (7, 8), (9, 10), (0, 0)]
+    assert [tuple(r) for r in text.parse_edges(df).collect()] == [(1, 2), (3, 4), (5, 6), (7, 8), (9, 10)]
+    assert [r[0] for r in text.malformed_lines(df).collect()] == ["x y"]
     strict = [tuple(r) for r in text.parse_edges(df, "strict").collect()]
     assert strict == [(0, 0), (0, 0), (1, 2), (3, 4), (5, 0), (7, 8), (9, 10), (0, 0)]
     with pytest.raises(ValueError):
