@@ -1,4 +1,7 @@
-"""Command line: python -m tessera.cli {tc,mc,sm,reorder,intersect} ..."""
+"""Command line: python -m tessera.cli {tc,mc,sm,reorder,intersect} ...
+
+Counts that are printed are observed on the rows as they are read or written; no job runs for them alone.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ import argparse
 import json
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import sets, synth
@@ -20,7 +23,7 @@ def _parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     tc = sub.add_parser("tc", help="count triangles")
     tc.add_argument("graph")
-    tc.add_argument("--strategy", choices=("array", "wedge", "bsr"), default="array")
+    tc.add_argument("--strategy", choices=("array", "wedge", "bsr", "grid"), default="array")
     mc = sub.add_parser("mc", help="list maximal cliques")
     mc.add_argument("graph")
     mc.add_argument("out", nargs="?")
@@ -31,9 +34,10 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("graph", "labels", "patterns"):
         sm.add_argument(name)
     sm.add_argument("out", nargs="?")
+    sm.add_argument("--strategy", choices=("extend", "join"), default="extend")
     ro = sub.add_parser("reorder", help="renumber vertices")
     ro.add_argument("graph")
-    ro.add_argument("--order", default="gro", help=f"degree, degree_asc, hybrid, {', '.join(reorder.KERNELS)}")
+    ro.add_argument("--order", default="gro", help=", ".join([*reorder.PLANS, *reorder.KERNELS]))
     ro.add_argument("--ratio", action="store_true", help="only report the packing ratio")
     it = sub.add_parser("intersect", help="time the set intersection strategies on a random pair")
     it.add_argument("--length", type=int, default=4_000_000)
@@ -74,37 +78,56 @@ def _intersections(spark: SparkSession, a) -> dict:
     return out
 
 
+def _observed(df: DataFrame, **metrics) -> tuple[DataFrame, Observation]:
+    seen = Observation()
+    return df.observe(seen, *[m.alias(n) for n, m in metrics.items()]), seen
+
+
+def _run(df: DataFrame) -> None:
+    """All rows, to nowhere."""
+    df.write.format("noop").mode("overwrite").save()
+
+
 def main(argv: list[str] | None = None) -> dict:
     a = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("tessera").getOrCreate()
     began = time.time()
     out: dict = {"command": a.command}
+    rows = F.count(F.lit(1))
     if a.command == "intersect":
         out |= _intersections(spark, a)
     else:
-        edges = graph.cut(text.read_edges(spark, a.graph, a.parse))
+        read, seen = _observed(text.read_edges(spark, a.graph, a.parse), edges=rows, largest=F.max(F.greatest("src", "dst")))
+        edges = graph.cut(read)
         out["read_s"] = round(time.time() - began, 3)
+        out |= {"edges": seen.get["edges"], "vertices": 0 if seen.get["largest"] is None else seen.get["largest"] + 1}
         began = time.time()
     if a.command == "tc":
         out["triangles"] = triangles.triangle_count(edges, a.strategy).first()[0]
     elif a.command == "mc":
-        found = graph.cut(cliques.maximal_cliques(edges, a.strategy, a.order))
-        out |= {"cliques": found.count(), "maximum_clique_size": cliques.maximum_clique_size(found).first()[0]}
+        found, seen = _observed(cliques.maximal_cliques(edges, a.strategy, a.order), cliques=rows, maximum_clique_size=F.coalesce(F.max(F.size("clique")), F.lit(0)))
         if a.out:
             text.write_cliques(found, a.out, a.braces)
+        else:
+            _run(found)
+        out |= seen.get
     elif a.command == "sm":
-        counts = graph.cut(matching.match_counts(edges, text.read_labels(spark, a.labels), text.read_patterns(spark, a.patterns)))
+        counts = graph.cut(matching.match_counts(edges, text.read_labels(spark, a.labels), text.read_patterns(spark, a.patterns), a.strategy))
+        # a row a pattern
         out["matches"] = {r[0]: r[1] for r in counts.orderBy("query_id").collect()}
         if a.out:
             text.write_match_counts(counts, a.out)
     elif a.command == "reorder":
         if not a.ratio:
             edges, ids = reorder.reorder(edges, a.order)
-            edges = graph.cut(edges)
             name = a.order.upper()
-            text.write_edges(edges, text.output_name(a.graph, name))
+            path = text.output_name(a.graph, name)
+            text.write_edges(edges, path)
             text.write_ids(ids, text.output_name(a.graph, name, ids=True))
-        out |= stats.comp_ratio(edges).first().asDict()
+            edges = text.read_edges(spark, path)
+        sides, seen = _observed(stats.packed_sides(edges), **stats.ratio_metrics())
+        _run(sides)
+        out |= seen.get
     out["query_s"] = round(time.time() - began, 3)
     print(json.dumps(out))
     return out

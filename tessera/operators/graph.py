@@ -10,7 +10,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A neighbour-list side of at most so many entries (8 bytes each) may be broadcast.
@@ -60,6 +60,31 @@ class Rounds:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+class Levels:
+    """A relation that grows level by level: each level is a folder of its own, written once, and no row is written again."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema, self.paths, self.rows = spark, schema, [], 0
+        self.path = new_folder(spark, "levels")
+
+    def add(self, df: DataFrame) -> int:
+        """Write the next level; how many rows it has."""
+        seen = Observation()
+        self.paths.append(f"{self.path}/{len(self.paths)}")
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(self.paths[-1])
+        self.rows += seen.get["n"]
+        return seen.get["n"]
+
+    def last(self, n: int | None = None) -> DataFrame:
+        """The last n levels, or all."""
+        return self.spark.read.schema(self.schema).parquet(*(self.paths[-n:] if n else self.paths))
+
+
+def is_symmetric(arcs: DataFrame) -> bool:
+    """Whether every arc (each once) has its reverse."""
+    return arcs.join(reverse(arcs), ["src", "dst"], "left_anti").isEmpty()
+
+
 def no_loops(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("src") != F.col("dst"))
 

@@ -1,11 +1,10 @@
 """Vertex orders: (org_id, new_id), a permutation of 0..V-1.
 
 Degree, hybrid, breadth-first, RCM and first-touch orders are DataFrame plans on
-all edges. The others follow one vertex after another by nature and run as a
-kernel that holds the whole graph in one task; a graph too large for it is an
-error, not another order. Only a caller that gives `block` gets the block form:
-blocks of so many vertices (next to each other in degree-ranked order), each
-ordered by itself on its inner edges, block after block.
+all edges. A breadth-first search writes each level as a part of its own and finds the next one
+from it by joins, so it writes every vertex once, however long its paths are. The other orders follow one vertex after another by nature and run as a
+kernel that holds the whole graph in one task; a graph of more than MOST_VERTICES vertices or MOST_EDGES edges is an
+error there.
 """
 
 from __future__ import annotations
@@ -13,19 +12,23 @@ from __future__ import annotations
 import heapq
 from collections import deque
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.queues import BucketQueue, OrderedPool
 from tessera.functions.sets import WIDTH
 from tessera.operators.cores import dense_positions
-from tessera.operators.graph import cut, degrees, symmetrise, vertices
+from tessera.operators.graph import Levels, Rounds, components, cut, degrees, is_symmetric, symmetrise, vertices
 from tessera.operators.ids import relabel
 
 Lists = list[list[int]]
+#: Rows of a level that may be broadcast, and numbered by one window.
+BROADCAST_ROWS = 200_000
 
 
 # DataFrame orders
@@ -38,23 +41,22 @@ def degree_order(edges: DataFrame, descending: bool = True) -> DataFrame:
 
 
 def bfs_levels(edges: DataFrame) -> DataFrame:
-    """(v, root, level): breadth-first levels over out-edges; roots are least unreached ids, all at once per round of components.
+    """(v, root, level): breadth-first levels over edges taken both ways, from the least vertex of each component. Vertices without edges are their own roots."""
+    comp = cut(components(edges))
+    both = cut(symmetrise(edges).where("src <> dst").distinct())
+    levels = Levels(edges.sparkSession, "v bigint, root bigint, level int")
+    found, at = levels.add(comp.where("v = comp").select("v", F.col("comp").alias("root"), F.lit(0).alias("level"))), 0
+    while found:
+        at += 1
+        reach = both.join(_front(levels.last(1), found).select(F.col("v").alias("src"), "root"), "src").select(F.col("dst").alias("v"), "root").distinct()
+        # an edge leads to the level before, the same one or the next
+        found = levels.add(reach.join(levels.last(2).select("v"), "v", "left_anti").select("v", "root", F.lit(at).alias("level")))
+    alone = vertices(edges).join(comp.select("v"), "v", "left_anti")
+    return levels.last().union(alone.select("v", F.col("v").alias("root"), F.lit(0).alias("level")))
 
-    Level-synchronous: one join a level. On symmetric graphs root is the least vertex of the component.
-    """
-    from tessera.operators.graph import components
 
-    comp = components(edges)
-    seen = cut(vertices(edges).join(comp, "v", "left").select("v", F.coalesce("comp", "v").alias("root"), F.when(F.coalesce("comp", "v") == F.col("v"), 0).cast("int").alias("level")))
-    both = cut(symmetrise(edges).where("src <> dst").distinct())
-    at = 0
-    while True:
-        front = seen.where(F.col("level") == at).select(F.col("v").alias("src"))
-        reach = both.join(front, "src").select(F.col("dst").alias("v")).distinct().withColumn("_hit", F.lit(True))
-        new = cut(seen.join(reach, "v", "left").select("v", "root", F.coalesce("level", F.when(F.col("_hit"), at + 1)).cast("int").alias("level")))
-        if new.where(F.col("level") == at + 1).isEmpty():
-            return new
-        seen, at = new, at + 1
+def _front(level: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(level) if rows <= BROADCAST_ROWS else level
 
 
 def _discovery(edges: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -64,29 +66,39 @@ def _discovery(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     children of a vertex. A vertex belongs to the least source that reaches it;
     of a level, vertices come by their first parent, then as its children.
     """
+    spark = edges.sparkSession
     arcs = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    seen = cut(ranks.select("v", "s", "c", F.col("s").alias("root"), F.col("s").alias("old")))
+    rounds = Rounds(spark)
+    seen = rounds.cut(ranks.select("v", "s", "c", F.col("s").alias("root"), F.col("s").alias("old")))
     while True:
         near = arcs.join(seen.select(F.col("v").alias("src"), "root"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("root").alias("m"))
         step = seen.select("v", "s", "c", F.col("root").alias("old")).join(near, "v", "left").select("v", "s", "c", "old", F.least("old", "m").alias("root"))
         # who reaches a vertex's source reaches the vertex
         jump = step.select(F.col("s").alias("at"), F.col("root").alias("to"))
-        seen = cut(step.join(jump, step["root"] == jump["at"]).select("v", "s", "c", F.col("to").alias("root"), "old"))
+        seen = rounds.cut(step.join(jump, step["root"] == jump["at"]).select("v", "s", "c", F.col("to").alias("root"), "old"))
         if seen.where("root <> old").isEmpty():
             break
-    level = F.when(F.col("root") == F.col("s"), 0).cast("int")
-    seen = cut(seen.select("v", "c", "root", level.alias("level"), F.when(level == 0, F.col("s")).alias("pos")))
-    at = 0
-    while True:
-        front = seen.where(F.col("level") == at).select(F.col("v").alias("src"), "root", "pos")
-        left = seen.where(F.col("level").isNull()).select(F.col("v").alias("dst"), "root", "c")
-        reach = arcs.join(front, "src").join(left, ["dst", "root"]).groupBy(F.col("dst").alias("v"), "c").agg(F.min("pos").alias("parent"))
-        found = dense_positions(reach, ["parent", "c"], "_pos").select("v", "_pos")
-        new = seen.join(found, "v", "left")
-        new = cut(new.select("v", "c", "root", F.coalesce("level", F.when(F.col("_pos").isNotNull(), at + 1)).cast("int").alias("level"), F.coalesce("pos", "_pos").alias("pos")))
-        if new.where(F.col("level") == at + 1).isEmpty():
-            return dense_positions(new, ["root", "level", "pos"]).select("v", "position")
-        seen, at = new, at + 1
+    # an arc inside a source's vertices, with what its target needs to know
+    inside = seen.select("v", "c", "root")
+    arcs = cut(arcs.join(inside.select(F.col("v").alias("src"), F.col("root").alias("of")), "src").join(inside.select(F.col("v").alias("dst"), "c", "root"), "dst").where("root = of").select("src", "dst", "c", "root"))
+    # where every arc has its reverse, it leads to the level before, the same one or the next
+    back = 2 if is_symmetric(arcs.select("src", "dst")) else None
+    levels = Levels(spark, "v bigint, root bigint, level int, parent bigint, c bigint")
+    found, at = levels.add(seen.where("root = s").select("v", "root", F.lit(0).alias("level"), F.col("s").alias("parent"), "c")), 0
+    while found:
+        at += 1
+        front = _numbered(levels.last(1), found)
+        reach = arcs.join(_front(front.select(F.col("v").alias("src"), "pos"), found), "src")
+        new = reach.groupBy(F.col("dst").alias("v"), "root", "c").agg(F.min("pos").alias("parent")).join(levels.last(back).select("v"), "v", "left_anti")
+        found = levels.add(new.select("v", "root", F.lit(at).alias("level"), "parent", "c"))
+    return dense_positions(levels.last(), ["root", "level", "parent", "c"]).select("v", "position")
+
+
+def _numbered(level: DataFrame, rows: int) -> DataFrame:
+    """(v, pos) of a level: by first parent, then as its child. A window over all of a level only where it is small."""
+    if rows <= BROADCAST_ROWS:
+        return level.select("v", F.row_number().over(W.orderBy("parent", "c")).cast("bigint").alias("pos"))
+    return dense_positions(level, ["parent", "c"], "pos").select("v", "pos")
 
 
 def bfs_order(edges: DataFrame) -> DataFrame:
@@ -133,28 +145,6 @@ def hybrid_order(edges: DataFrame) -> DataFrame:
 # kernels: (out, into) neighbour lists of vertices 0..n-1 to the vertices in their new order
 
 
-def bfs_kernel(out: Lists, into: Lists, sources: list[int] | None = None) -> list[int]:
-    order, seen = [], [False] * len(out)
-    for s in sources if sources is not None else range(len(out)):
-        if seen[s]:
-            continue
-        seen[s] = True
-        queue = deque([s])
-        while queue:
-            u = queue.popleft()
-            order.append(u)
-            for v in out[u]:
-                if not seen[v]:
-                    seen[v] = True
-                    queue.append(v)
-    return order
-
-
-def bfs_degree_kernel(out: Lists, into: Lists) -> list[int]:
-    """Breadth first, sources by falling out-degree."""
-    return bfs_kernel(out, into, sorted(range(len(out)), key=lambda v: (-len(out[v]), v)))
-
-
 def dfs_kernel(out: Lists, into: Lists) -> list[int]:
     order, seen = [], [False] * len(out)
     for s in range(len(out)):
@@ -168,21 +158,6 @@ def dfs_kernel(out: Lists, into: Lists) -> list[int]:
     return order
 
 
-def rcm_kernel(out: Lists, into: Lists) -> list[int]:
-    """Reverse Cuthill-McKee: sources and children by rising degree, numbered from the end."""
-    key = lambda v: (len(out[v]) + len(into[v]), v)
-    by_degree = [sorted(x, key=key) for x in out]
-    return bfs_kernel(by_degree, into, sorted(range(len(out)), key=key))[::-1]
-
-
-def first_touch_kernel(out: Lists, into: Lists) -> list[int]:
-    """Neighbour lists of the heaviest vertices first, heaviest neighbours first, ties in reverse Cuthill-McKee order; a vertex is placed where it is first met."""
-    rank = {v: i for i, v in enumerate(rcm_kernel(out, into))}
-    sides = sorted((-len(x[v]), rank[v], s, v) for s, x in enumerate((out, into)) for v in range(len(out)))
-    placed = dict.fromkeys(w for _, _, s, v in sides for w in sorted((out, into)[s][v], key=lambda w: (-len((into, out)[s][w]), rank[w])))
-    return [*placed, *(v for v in sorted(range(len(out)), key=rank.get) if v not in placed)]
-
-
 def gro_kernel(out: Lists, into: Lists, width: int = WIDTH) -> list[int]:
     """Greedy windows of `width` ids: each opens with the heaviest vertex left, then takes the one that shares most hubs with the window."""
     n = len(out)
@@ -358,53 +333,45 @@ def partition_kernel(out: Lists, into: Lists, width: int = WIDTH) -> list[int]:
 
 
 KERNELS: dict[str, Callable[[Lists, Lists], list[int]]] = {
-    "gro": gro_kernel, "dfs": dfs_kernel, "bfs": bfs_kernel, "bfs_degree": bfs_degree_kernel, "rcm": rcm_kernel, "first_touch": first_touch_kernel,
-    "slashburn": slashburn_kernel, "mloggapa": bisection_kernel, "mloggapa_levels": level_bisection_kernel, "bfsr": bfs_bisection_kernel, "metis": partition_kernel,
+    "gro": gro_kernel, "dfs": dfs_kernel, "slashburn": slashburn_kernel, "mloggapa": bisection_kernel, "mloggapa_levels": level_bisection_kernel, "bfsr": bfs_bisection_kernel, "metis": partition_kernel,
 }
 
 
-#: Orders that are plans on all edges; their kernels serve explicit blocks.
-PLANS: dict[str, Callable[[DataFrame], DataFrame]] = {"bfs": bfs_order, "bfs_degree": bfs_degree_order, "rcm": rcm_order, "first_touch": first_touch_order}
+#: Orders that are plans on all edges.
+PLANS: dict[str, Callable[[DataFrame], DataFrame]] = {"degree": degree_order, "degree_asc": partial(degree_order, descending=False), "hybrid": hybrid_order, "bfs": bfs_order, "bfs_degree": bfs_degree_order, "rcm": rcm_order, "first_touch": first_touch_order}
+#: What a kernel's task holds at most.
+MOST_VERTICES, MOST_EDGES = 2_000_000, 10_000_000
 
 
-def kernel_order(edges: DataFrame, kernel: Callable[[Lists, Lists], list[int]], block: int | None = None) -> DataFrame:
-    """A kernel's order of the whole graph; only with `block` block by block if there are more vertices."""
-    rank = cut(degree_order(edges)) if block else None
-    if rank is None or rank.count() <= block:
-        block = 0
-        place = vertices(edges).select("v", F.lit(0).cast("bigint").alias("block"))
-        inner = edges.select("src", "dst", F.lit(0).cast("bigint").alias("bs"))
-    else:
-        place = rank.select(F.col("org_id").alias("v"), F.floor(F.col("new_id") / block).cast("bigint").alias("block"))
-        inner = edges.join(place.withColumnsRenamed({"v": "src", "block": "bs"}), "src").join(place.withColumnsRenamed({"v": "dst", "block": "bd"}), "dst").where("bs = bd")
-    rows = inner.select(F.col("bs").alias("block"), "src", "dst").distinct().union(place.select("block", F.col("v").alias("src"), F.lit(None).cast("bigint").alias("dst")))
+def kernel_order(edges: DataFrame, kernel: Callable[[Lists, Lists], list[int]]) -> DataFrame:
+    """A kernel's order of the whole graph, in one task; larger graphs than it may hold are an error."""
+    arcs = cut(edges.select("src", "dst").distinct())
+    place = vertices(arcs)
+    for what, n, most in (("vertices", place.count(), MOST_VERTICES), ("edges", arcs.count(), MOST_EDGES)):
+        if n > most:
+            raise ValueError(f"{n} {what} are more than this order's one task may hold ({most}); {', '.join(PLANS)} take any number")
+    rows = arcs.withColumn("one", F.lit(0)).union(place.select("v", F.lit(None).cast("bigint"), F.lit(0)))
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(pdf.loc[pdf["dst"].isna(), "src"].to_numpy(np.int64))
+        n = int(pdf["dst"].isna().sum())
         e = pdf.dropna(subset=["dst"])
-        s, d = np.searchsorted(ids, e["src"].to_numpy(np.int64)), np.searchsorted(ids, e["dst"].to_numpy(np.int64))
-        out: Lists = [[] for _ in ids]
-        into: Lists = [[] for _ in ids]
-        for a, b in sorted(set(zip(s.tolist(), d.tolist()))):
+        out: Lists = [[] for _ in range(n)]
+        into: Lists = [[] for _ in range(n)]
+        for a, b in sorted(zip(e["src"].astype(int).tolist(), e["dst"].astype(int).tolist())):
             out[a].append(b)
             into[b].append(a)
-        found = kernel(out, into)
-        return pd.DataFrame({"org_id": ids[np.asarray(found, np.int64)], "new_id": np.arange(len(ids)) + int(pdf["block"].iloc[0]) * block})
+        return pd.DataFrame({"org_id": np.asarray(kernel(out, into), np.int64), "new_id": np.arange(n)})
 
-    return rows.groupBy("block").applyInPandas(order, "org_id bigint, new_id bigint")
+    return rows.groupBy("one").applyInPandas(order, "org_id bigint, new_id bigint")
 
 
-def vertex_order(edges: DataFrame, name: str = "gro", block: int | None = None) -> DataFrame:
-    """The order of that name, of the whole graph unless `block` asks for the block form; unknown names are refused."""
-    if name in ("degree", "degree_desc"):
-        return degree_order(edges)
-    if name == "degree_asc":
-        return degree_order(edges, descending=False)
-    if name == "hybrid":
-        return hybrid_order(edges)
+def vertex_order(edges: DataFrame, name: str = "gro") -> DataFrame:
+    """The order of that name; unknown names are refused."""
+    if name in PLANS:
+        return PLANS[name](edges)
     if name not in KERNELS:
-        raise ValueError(f"no order {name!r}; there are degree, degree_asc, hybrid, {', '.join(KERNELS)}")
-    return PLANS[name](edges) if name in PLANS and not block else kernel_order(edges, KERNELS[name], block)
+        raise ValueError(f"no order {name!r}; there are {', '.join([*PLANS, *KERNELS])}")
+    return kernel_order(edges, KERNELS[name])
 
 
 def reorder(edges: DataFrame, name: str = "gro") -> tuple[DataFrame, DataFrame]:

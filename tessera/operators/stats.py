@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,21 +11,26 @@ from tessera.operators.cores import dense_positions
 from tessera.operators.graph import degrees
 
 
-def comp_ratio(edges: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row: packs an edge for out- and in-lists, their mean, the degree-weighted score, packs a list, and sizes in MB. Counts the bag."""
-    deg = degrees(edges)
+def packed_sides(edges: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(v, out_deg, in_deg, deg, po, pi) of every vertex: degrees of the bag, and packs of its out- and in-list."""
     pack = lambda a, b: edges.groupBy(F.col(a).alias("v")).agg(F.count_distinct(F.floor(F.col(b) / width)).alias("p"))
-    rows = deg.join(pack("src", "dst").withColumnRenamed("p", "po"), "v", "left").join(pack("dst", "src").withColumnRenamed("p", "pi"), "v", "left").fillna(0, ["po", "pi"])
-    s = rows.agg(
-        F.sum("po").alias("po"), F.sum("pi").alias("pi"), F.sum("out_deg").alias("e"), F.count(F.lit(1)).alias("v"),
-        F.sum(F.col("po") * F.sqrt("out_deg") + F.col("pi") * F.sqrt("in_deg")).alias("w"), F.sum(F.sqrt("out_deg") + F.sqrt("in_deg")).alias("r"),
-    )
+    return degrees(edges).join(pack("src", "dst").withColumnRenamed("p", "po"), "v", "left").join(pack("dst", "src").withColumnRenamed("p", "pi"), "v", "left").fillna(0, ["po", "pi"])
+
+
+def ratio_metrics() -> dict[str, Column]:
+    """Aggregates over packed_sides(): packs an edge for out- and in-lists, their mean, the degree-weighted score, packs a list, and sizes in MB."""
+    out, into, edges, lists = F.sum("po"), F.sum("pi"), F.sum("out_deg"), F.count(F.lit(1))
+    weighted, roots = F.sum(F.col("po") * F.sqrt("out_deg") + F.col("pi") * F.sqrt("in_deg")), F.sum(F.sqrt("out_deg") + F.sqrt("in_deg"))
     mb = 4.0 / 1024 / 1024
-    return s.select(
-        (F.col("po") / F.col("e")).alias("out_ratio"), (F.col("pi") / F.col("e")).alias("in_ratio"), ((F.col("po") + F.col("pi")) / F.col("e") / 2).alias("comp_ratio"),
-        (F.col("w") / F.col("r")).alias("score"), ((F.col("po") + F.col("pi")) / (2 * F.col("v"))).alias("norm"),
-        ((2 * F.col("e") + 4 * F.col("v")) * mb).alias("plain_mb"), ((1.5 * (F.col("po") + F.col("pi")) + 4 * F.col("v")) * mb).alias("packed_mb"),
-    )
+    return {
+        "out_ratio": out / edges, "in_ratio": into / edges, "comp_ratio": (out + into) / edges / 2, "score": weighted / roots, "norm": (out + into) / (2 * lists),
+        "plain_mb": (2 * edges + 4 * lists) * mb, "packed_mb": (1.5 * (out + into) + 4 * lists) * mb,
+    }
+
+
+def comp_ratio(edges: DataFrame, width: int = WIDTH) -> DataFrame:
+    """One row of ratio_metrics(). Counts the bag."""
+    return packed_sides(edges, width).agg(*[m.alias(n) for n, m in ratio_metrics().items()])
 
 
 def big_nodes(edges: DataFrame, ratio: float) -> DataFrame:

@@ -176,9 +176,9 @@ def match_patterns(edges: DataFrame, labels: DataFrame, patterns: list[Pattern],
     return [extend_pattern(lists, labels, p, counts, pairs) for p in patterns]
 
 
-def match_counts(edges: DataFrame, labels: DataFrame, patterns: list[Pattern]) -> DataFrame:
+def match_counts(edges: DataFrame, labels: DataFrame, patterns: list[Pattern], strategy: str = "extend") -> DataFrame:
     """(query_id, n), patterns without embeddings included."""
-    each = [m.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("query_id"), "n") for i, m in enumerate(match_patterns(edges, labels, patterns))]
+    each = [m.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("query_id"), "n") for i, m in enumerate(match_patterns(edges, labels, patterns, strategy))]
     return reduce(DataFrame.union, each)
 
 

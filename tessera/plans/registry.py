@@ -562,7 +562,7 @@ def _kernel_query(name: str):
     return run
 
 
-for _name in reorder.KERNELS:
+for _name in (*reorder.KERNELS, *_ORDER_SQL):
     query(*([_ORDER_SQL[_name]] if _name in _ORDER_SQL else []))(_kernel_query(_name))
 
 #: Whatever the order, it is a permutation and keeps every edge.

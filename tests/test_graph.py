@@ -3,6 +3,7 @@
 import itertools
 import math
 
+import plain_orders
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -149,8 +150,8 @@ def test_kernels_permute(name):
 def test_kernel_orders_exact():
     out = [[1, 2], [0, 3], [0], [1], []]
     assert reorder.dfs_kernel(out, out) == [0, 1, 3, 2, 4]
-    assert reorder.bfs_kernel(out, out) == [0, 1, 2, 3, 4]
-    assert reorder.rcm_kernel(out, out)[-1] == 4
+    assert plain_orders.bfs_kernel(out, out) == [0, 1, 2, 3, 4]
+    assert plain_orders.rcm_kernel(out, out)[-1] == 4
 
 
 def test_slashburn_exact():
@@ -179,24 +180,61 @@ def test_reorder_keeps_graph(spark):
     got = sorted(r["new_id"] for r in mapping.collect())
     assert got == list(range(len(got))) and new.count() == e.count()
     assert triangles.triangle_count(new).first()[0] == before
-    blocks = reorder.vertex_order(e, "dfs", block=20)
-    assert sorted(r["new_id"] for r in blocks.collect()) == got
     assert sorted(r["new_id"] for r in reorder.hybrid_order(e).collect()) == got
     with pytest.raises(ValueError):
         reorder.vertex_order(e, "best")
 
 
-@pytest.mark.parametrize("name", sorted(reorder.PLANS))
-def test_order_plans(spark, name):
-    """The plans find the kernels' orders, on a directed graph with loops, repeats, gaps and several sources."""
+def test_kernels_refuse_larger_graphs(spark, monkeypatch):
+    e = frame(spark, [(0, 1), (1, 2)])
+    monkeypatch.setattr(reorder, "MOST_EDGES", 1)
+    with pytest.raises(ValueError, match="edges"):
+        reorder.vertex_order(e, "gro")
+    monkeypatch.setattr(reorder, "MOST_VERTICES", 2)
+    with pytest.raises(ValueError, match="vertices"):
+        reorder.vertex_order(e, "dfs")
+
+
+def test_levels_are_written_once(spark, monkeypatch):
+    """A path, the graph with most levels: every vertex is written in one level, and nothing else grows with their number."""
+    made = []
+
+    class Recorded(graph.Levels):
+        def __init__(self, *a):
+            super().__init__(*a)
+            made.append(self)
+
+    monkeypatch.setattr(reorder, "Levels", Recorded)
+    n = 60
+    path = frame(spark, both([(v, v + 1) for v in range(n - 1)]))
+    assert [r["level"] for r in reorder.bfs_levels(path).orderBy("v").collect()] == list(range(n))
+    assert [r["new_id"] for r in reorder.bfs_order(path).orderBy("org_id").collect()] == list(range(n))
+    assert [(x.rows, len(x.paths)) for x in made] == [(n, n + 1)] * 2
+    # one way only: all levels before are looked at
+    made.clear()
+    ring = frame(spark, [(v, (v + 1) % 12) for v in range(12)] + [(5, 2), (7, 1)])
+    assert [r["new_id"] for r in reorder.bfs_order(ring).orderBy("org_id").collect()] == list(range(12))
+    assert made[0].rows == 12
+
+
+def test_levels_take_both_directions(spark):
+    got = {r["v"]: (r["root"], r["level"]) for r in reorder.bfs_levels(frame(spark, [(1, 0), (2, 1), (4, 4)])).collect()}
+    assert got == {0: (0, 0), 1: (0, 1), 2: (0, 2), 3: (3, 0), 4: (4, 0)}
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+@pytest.mark.parametrize("name", sorted(plain_orders.ORDERS))
+def test_order_plans(spark, name, limit, monkeypatch):
+    """The plans find the orders that follow one vertex after another, on a directed graph with loops, repeats, gaps and several sources."""
     import random
 
+    monkeypatch.setattr(reorder, "BROADCAST_ROWS", limit)
     rng = random.Random(5)
     pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(60)] + [(3, 3), (3, 3), (35, 33), (35, 33)]
     out, into = ([sorted({p[1 - k] for p in pairs if p[k] == v}) for v in range(36)] for k in (0, 1))
     got = sorted(reorder.vertex_order(frame(spark, pairs), name).collect(), key=lambda r: r["new_id"])
     assert [r["new_id"] for r in got] == list(range(36))
-    assert [r["org_id"] for r in got] == reorder.KERNELS[name](out, into)
+    assert [r["org_id"] for r in got] == plain_orders.ORDERS[name](out, into)
 
 
 @pytest.mark.parametrize("name", ["bfs", "dfs"])
@@ -210,7 +248,7 @@ def test_large_graph_is_ordered_whole(spark, name):
         out[new((v - 1) // fan)].append(new(v))
     out = [sorted(x) for x in out]
     got = reorder.vertex_order(e, name).orderBy("new_id").toPandas()
-    assert got["org_id"].tolist() == reorder.KERNELS[name](out, out)
+    assert got["org_id"].tolist() == (plain_orders.ORDERS | reorder.KERNELS)[name](out, out)
 
 
 def test_gro_packs_better():
