@@ -10,11 +10,13 @@ The degeneracy order comes from peeling: see peeling().
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import Rounds, canonical, cut, new_folder, symmetrise, vertices
+from tessera.operators.graph import BROADCAST_ENTRIES, Rounds, bucketed, canonical, cut, new_folder, symmetrise, vertices
 
 #: Rounds between two checkpoints and tests for change.
 ROUNDS = 3
@@ -30,14 +32,19 @@ def _with_all(edges: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _cores(both: DataFrame) -> DataFrame:
-    """(v, core) of the vertices of symmetric edges."""
+    """(v, core) of the vertices of symmetric edges.
+
+    Edges lie dealt out by their source, and values are broadcast while they are few: a round then moves no edge.
+    """
     rounds = Rounds(both.sparkSession)
+    both = bucketed(both, "src")
     now = rounds.cut(both.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("core")))
+    side = _broadcast_if(now.count())
     while True:
         new = now.withColumn("old", F.col("core"))
         for _ in range(ROUNDS):
             # neighbours count by value, so a hub's group has at most as many rows as there are values
-            at = both.join(new, both["dst"] == new["v"]).groupBy("src", "core").agg(F.count(F.lit(1)).alias("n"))
+            at = both.join(side(new), both["dst"] == new["v"]).groupBy("src", "core").agg(F.count(F.lit(1)).alias("n"))
             above = F.sum("n").over(W.partitionBy("src").orderBy(F.desc("core")))
             h = at.withColumn("h", F.least("core", above)).groupBy("src").agg(F.max("h").alias("h"))
             new = new.join(h, new["v"] == h["src"]).select("v", F.least("core", "h").alias("core"), "old")
@@ -52,6 +59,10 @@ def degeneracy(edges: DataFrame) -> DataFrame:
     return core_numbers(edges).agg(F.max("core").alias("degeneracy"))
 
 
+def _broadcast_if(rows: int) -> Callable[[DataFrame], DataFrame]:
+    return F.broadcast if rows <= BROADCAST_ENTRIES else lambda df: df
+
+
 def peeling(edges: DataFrame) -> DataFrame:
     """(v, core, round) of every vertex: a vertex goes in the first round in which it has at most `core` neighbours of a higher core, or of its own that are left.
 
@@ -62,9 +73,10 @@ def peeling(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     both = cut(symmetrise(canonical(edges)))
     core = cut(_cores(both))
-    side = lambda end, c: core.select(F.col("v").alias(end), F.col("core").alias(c))
-    ranked = both.join(side("src", "cs"), "src").join(side("dst", "cd"), "dst")
-    inner = cut(ranked.where("cs = cd").select("src", "dst"))
+    ends = lambda end, c: core.select(F.col("v").alias(end), F.col("core").alias(c))
+    ranked = both.join(ends("src", "cs"), "src").join(ends("dst", "cd"), "dst")
+    inner = bucketed(ranked.where("cs = cd").select("src", "dst"), "dst")
+    small = _broadcast_if(core.count())
     # how many neighbours too many a vertex still has
     left = ranked.where("cd >= cs").groupBy(F.col("src").alias("v"), F.col("cs").alias("core")).agg((F.count(F.lit(1)) - F.first("cs")).alias("excess"))
     rounds = Rounds(spark)
@@ -75,8 +87,8 @@ def peeling(edges: DataFrame) -> DataFrame:
         for _ in range(ROUNDS):
             at += 1
             left = left.withColumn("round", F.coalesce("round", F.when(F.col("excess") <= 0, at)))
-            hit = inner.join(left.where(F.col("round") == at).select(F.col("v").alias("src")), "src").groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-            left = left.join(hit, "v", "left").select("v", "core", (F.col("excess") - F.coalesce("n", F.lit(0))).alias("excess"), "round")
+            hit = inner.join(small(left.where(F.col("round") == at).select(F.col("v").alias("src"))), "src").groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+            left = left.join(small(hit), "v", "left").select("v", "core", (F.col("excess") - F.coalesce("n", F.lit(0))).alias("excess"), "round")
         done = rounds.cut(left)
         # what is gone is written once; only what is left goes on
         done.where("round is not null").select("v", "core", "round").write.mode("append").parquet(path)

@@ -60,6 +60,14 @@ class Rounds:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df as a table dealt out by key, so what groups by it, or by it and more, needs no exchange."""
+    spark = df.sparkSession
+    name, n = f"dealt_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", new_folder(spark, "dealt")).saveAsTable(name)
+    return spark.table(name)
+
+
 class Levels:
     """A relation that grows level by level: each level is a folder of its own, written once, and no row is written again."""
 
