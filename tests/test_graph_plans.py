@@ -73,6 +73,17 @@ def test_peeling_of_nothing(spark):
     assert {tuple(r) for r in cores.peeling(frame(spark, [(2, 2), (3, 3)])).collect()} == {(v, 0, 1) for v in range(4)}
 
 
+def test_empty_graphs(spark):
+    """Nothing in, nothing out; an observation of no rows is one too."""
+    from tessera.operators import reorder
+
+    none = frame(spark, [])
+    assert [f(none).count() for f in (reorder.bfs_levels, reorder.bfs_order, reorder.rcm_order, cores.core_numbers, cliques.maximal_cliques)] == [0] * 5
+    loop = frame(spark, [(2, 2)])
+    assert sorted(tuple(r) for r in reorder.bfs_levels(loop).collect()) == [(0, 0, 0), (1, 1, 0), (2, 2, 0)]
+    assert sorted(tuple(r) for r in reorder.bfs_order(loop).collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
 def test_grid_counts(spark):
     for pairs in (GRAPHS["dense"], GRAPHS["star and clique"]):
         near = neighbours(pairs)
