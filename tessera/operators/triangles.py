@@ -5,6 +5,9 @@ parts, and an edge goes to the p cells that hold both of its parts, so a cell ha
 6 E / p**2 edges whatever the degrees: a hub's edges spread over p**2 / 2
 cells, and none of them carries a list. Cells are counted by themselves.
 
+Undirected counts are taken by blocks of id ranges (blocks.py) wherever ranges serve: the edges go to the cells, and the
+lists, wedges or packs are made and met there. Else, and on directed input, they are joined.
+
 Directed input follows one rule: a triangle is w < u < v with the edges u->v,
 u->w and v->w. On symmetric graphs these are the undirected triangles; on files
 that hold only src < dst there are none. undirected=True counts the triangles of
@@ -21,11 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import sets
+from tessera.operators import blocks
 from tessera.operators.graph import BROADCAST_ENTRIES, adjacency, canonical, cut, deduplicate, degree_oriented
 
 
 #: Edges that a cell of the grid is to have, and paths of two edges that a worker looks at at a time.
 CELL_EDGES, PATHS = 400_000, 4_000_000
+#: How a cell of id ranges is counted.
+METHODS = {"array": "lists", "wedge": "wedges", "bsr": "packs", "grid": "lists"}
 
 
 def _wanted(edges: DataFrame, undirected: bool) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +53,16 @@ def _with_lists(pairs: DataFrame, lists: DataFrame, small: bool) -> DataFrame:
 
 def triangle_count(edges: DataFrame, strategy: str = "array", undirected: bool = False) -> DataFrame:
     """One row (n)."""
-    if strategy == "array":
+    if strategy not in METHODS:
+        raise ValueError(f"strategy must be array, wedge, bsr or grid, not {strategy!r}")
+    per_edge = None
+    if undirected:
+        edges, ranges = blocks.canonical_plan(canonical(edges))
+        if ranges:
+            per_edge = blocks.counts(edges, ranges, METHODS[strategy], sets.WIDTH)
+    if per_edge is not None:
+        pass
+    elif strategy == "array":
         pairs, lists = _wanted(edges, undirected)
         per_edge = _with_lists(pairs, lists, small=True).select(sets.intersect_count("a", "b").cast("bigint").alias("c"))
     elif strategy == "wedge":
@@ -62,11 +77,9 @@ def triangle_count(edges: DataFrame, strategy: str = "array", undirected: bool =
         b = packs.select(F.col("v").alias("dst"), "base", F.col("state").alias("sb"))
         both = pairs.join(a, "src").join(b, ["dst", "base"])
         per_edge = both.select(F.bit_count(F.col("sa").bitwiseAND(F.col("sb"))).cast("bigint").alias("c"))
-    elif strategy == "grid":
+    else:
         pairs, lists = _wanted(edges, undirected)
         per_edge = _by_cells(pairs, lists)
-    else:
-        raise ValueError(f"strategy must be array, wedge, bsr or grid, not {strategy!r}")
     return per_edge.agg(F.coalesce(F.sum("c"), F.lit(0).cast("bigint")).alias("n"))
 
 
@@ -142,6 +155,9 @@ def _by_cells(pairs: DataFrame, lists: DataFrame, parts: int | None = None) -> D
 
 def triangles(edges: DataFrame) -> DataFrame:
     """(a, b, c), a < b < c: every undirected triangle."""
+    edges, ranges = blocks.canonical_plan(canonical(edges))
+    if ranges:
+        return blocks.listed(edges, ranges)
     pairs, lists = _wanted(edges, True)
     found = _with_lists(pairs, lists, small=True).select("src", "dst", F.explode(F.array_intersect("a", "b")).alias("w"))
     t = F.array_sort(F.array("src", "dst", "w"))
@@ -150,4 +166,7 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 def triangles_per_vertex(edges: DataFrame) -> DataFrame:
     """(v, n) of the vertices in triangles."""
+    edges, ranges = blocks.canonical_plan(canonical(edges))
+    if ranges:
+        return blocks.counts_per_vertex(edges, ranges).groupBy("v").agg(F.sum("n").alias("n"))
     return triangles(edges).select(F.explode(F.array("a", "b", "c")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
