@@ -24,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.blocks import canonical_plan, listed
 from tessera.operators.cores import degeneracy_order
-from tessera.operators.graph import adjacency, canonical, cut, degrees, symmetrise, vertices
+from tessera.operators.graph import canonical, cut, degrees, symmetrise, vertices
+from tessera.operators.triangles import triangles
 
 #: A state of no more candidates and edges than these is searched, a larger one grows by a member.
 CANDIDATES, EDGES = 512, 2_000_000
@@ -85,6 +87,19 @@ def _ranked(both: DataFrame, order: str) -> DataFrame:
     raise ValueError(f"order must be degree or degeneracy, not {order!r}")
 
 
+def _triangles(forward: DataFrame, order: str) -> DataFrame:
+    """(p, q, r) of every triangle, by rank, of edges (p, q, rp, rq) with their ranks. Materialised."""
+    key = (lambda c: F.col(c)["deg"]) if order == "degree" else F.col
+    swap = F.col("q") < F.col("p")
+    either = lambda x, y: F.when(swap, y).otherwise(x)
+    pairs, ranges = canonical_plan(forward.select(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst"), either(key("rp"), key("rq")).alias("ks"), either(key("rq"), key("rp")).alias("kd")))
+    if ranges:
+        # ranks of equal degree go by id, as they do there
+        return cut(listed(pairs, ranges, ("ks", "kd")).toDF("p", "q", "r"))
+    wedge = forward.join(forward.select("p", F.col("q").alias("r"), F.col("rq").alias("rr")), "p").where("rq < rr").select("p", "q", "r")
+    return cut(wedge.join(forward.select(F.col("p").alias("q"), F.col("q").alias("r")), ["q", "r"], "left_semi"))
+
+
 def _roots(both: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     """The states of one member: (id, v) rows of candidates, and (id, a, b, out) rows of edges from candidate a to candidate or (out) excluded vertex b; a comes before b where both are candidates.
 
@@ -94,9 +109,8 @@ def _roots(both: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     ranked = both.where("src < dst").join(rank.withColumnsRenamed({"v": "src", "rank": "rs"}), "src").join(rank.withColumnsRenamed({"v": "dst", "rank": "rd"}), "dst")
     first = F.col("rs") < F.col("rd")
     ends = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    forward = cut(ranked.select(ends("src", "dst").alias("p"), ends("dst", "src").alias("q"), F.when(first, F.col("rd")).otherwise(F.col("rs")).alias("rq")))
-    wedge = forward.join(forward.select("p", F.col("q").alias("r"), F.col("rq").alias("rr")), "p").where("rq < rr").select("p", "q", "r")
-    tri = cut(wedge.join(forward.select(F.col("p").alias("q"), F.col("q").alias("r")), ["q", "r"], "left_semi"))
+    forward = cut(ranked.select(ends("src", "dst").alias("p"), ends("dst", "src").alias("q"), ends("rs", "rd").alias("rp"), ends("rd", "rs").alias("rq")))
+    tri = _triangles(forward, order)
     edges = tri.select(F.explode(F.array(F.struct(F.col("p").alias("id"), F.col("q").alias("a"), F.col("r").alias("b"), F.lit(False).alias("out")), F.struct(F.col("q").alias("id"), F.col("r").alias("a"), F.col("p").alias("b"), F.lit(True).alias("out")))).alias("e")).select("e.*")
     return forward.select(F.array("p").alias("id"), F.col("q").alias("v")), edges.withColumn("id", F.array("id"))
 
@@ -177,14 +191,17 @@ def maximal_cliques(edges: DataFrame, strategy: str = "search", order: str = "de
 
 def _by_levels(edges: DataFrame) -> DataFrame:
     """Cliques of two vertices or more, one size a round; maximal if no vertex is next to all members."""
-    pairs = canonical(edges)
-    adj = cut(adjacency(symmetrise(pairs)))
-    a, b = adj.select(F.col("v").alias("src"), F.col("nbrs").alias("na")), adj.select(F.col("v").alias("dst"), F.col("nbrs").alias("nb"))
-    level = cut(pairs.join(a, "src").join(b, "dst").select(F.array("src", "dst").alias("clique"), F.array_intersect("na", "nb").alias("common")))
-    found = level.where(F.size("common") == 0).select("clique")
+    pairs, ranges = canonical_plan(canonical(edges))
+    # what is next to both ends of an edge: the third vertices of its triangles, so no whole list goes to an edge
+    tri = (listed(pairs, ranges) if ranges else triangles(pairs)).select(F.explode(F.array(*[F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), F.col(z).alias("w")) for x, y, z in ("abc", "acb", "bca")])).alias("t")).select("t.*")
+    shared = cut(tri.groupBy("src", "dst").agg(F.collect_list("w").alias("common")))
+    found = pairs.join(shared, ["src", "dst"], "left_anti").select(F.array("src", "dst").alias("clique"))
+    level = shared.select(F.array("src", "dst").alias("clique"), "common")
+    first = shared.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("common").alias("next"))
     while True:
-        grow = level.select("clique", "common", F.explode(F.filter("common", lambda x: x > F.element_at("clique", -1))).alias("v"))
-        level = cut(grow.join(adj, "v").select(F.concat("clique", F.array("v")).alias("clique"), F.array_intersect("common", "nbrs").alias("common")))
+        grow = level.select("clique", "common", F.get("clique", F.lit(0)).alias("u"), F.explode(F.filter("common", lambda x: x > F.element_at("clique", -1))).alias("v"))
+        # all of common is next to the first member, so what is next to the new one too is in those two's list
+        level = cut(grow.join(first, ["u", "v"]).select(F.concat("clique", F.array("v")).alias("clique"), F.array_intersect("common", "next").alias("common")))
         if level.isEmpty():
             return found
         found = found.union(level.where(F.size("common") == 0).select("clique"))
