@@ -5,6 +5,8 @@ such that h neighbours have a value of h or more. Values only fall and end at
 the core numbers. A round is one join and one aggregation; a vertex whose
 neighbours didn't change keeps its value by itself.
 
+That is for components of more than WHOLE edges. A smaller one is peeled whole by a worker.
+
 The degeneracy order comes from peeling: see peeling().
 """
 
@@ -12,19 +14,79 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import BROADCAST_ENTRIES, Rounds, bucketed, canonical, cut, new_folder, symmetrise, vertices
+from tessera.operators.graph import BROADCAST_ENTRIES, Rounds, bucketed, canonical, components, cut, new_folder, symmetrise, vertices
 
 #: Rounds between two checkpoints and tests for change.
 ROUNDS = 3
+#: A component of at most so many edges is peeled by one worker, a larger one by joins.
+WHOLE = 2_000_000
 
 
 def core_numbers(edges: DataFrame) -> DataFrame:
     """(v, core) of every vertex 0..V-1."""
-    return _with_all(edges, _cores(cut(symmetrise(canonical(edges)))))
+    found, rest = _whole(edges)
+    found = found.select("v", "core")
+    return _with_all(edges, found if rest is None else found.union(_cores(rest)))
+
+
+def peel(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vertices of undirected edges, each once, with their core numbers and rounds of peeling.
+
+    k grows to the least degree that is left; what has at most k neighbours left goes, all at once, round after round.
+    """
+    names, flat = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = flat, np.concatenate([flat[len(src) :], flat[: len(src)]])
+    b = b[np.argsort(a, kind="stable")]
+    left = np.bincount(a, minlength=len(names))
+    starts = np.cumsum(left) - left
+    n = left.copy()
+    core, at = np.zeros(len(names), np.int64), np.zeros(len(names), np.int32)
+    rest = np.arange(len(names))
+    while len(rest):
+        k, turn = int(left[rest].min()), 0
+        gone = rest[left[rest] <= k]
+        while len(gone):
+            turn += 1
+            core[gone], at[gone] = k, turn
+            m = n[gone]
+            near = b[np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(starts[gone], m)]
+            near = near[at[near] == 0]
+            hit, times = np.unique(near, return_counts=True)
+            left[hit] -= times
+            gone = hit[left[hit] <= k]
+        rest = rest[at[rest] == 0]
+    return names, core, at
+
+
+def _whole(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(v, core, round) of the vertices of components of at most WHOLE edges, and the symmetric edges of larger ones, None if there are none.
+
+    Nothing outside a component counts for its cores and rounds, so a worker peels it by itself; small components share a task.
+    """
+    pairs = cut(canonical(edges))
+    comp = cut(components(pairs))
+    found = cut(pairs.join(_broadcast_if(comp.count())(comp), pairs["src"] == comp["v"]).select("src", "dst", "comp"))
+    size = cut(found.groupBy("comp").agg(F.count(F.lit(1)).alias("n")))
+    total, largest = size.agg(F.sum("n"), F.max("n")).first()
+    tasks = 1 + 2 * (total or 0) // WHOLE
+    # a task of its own for what is large
+    task = F.when(F.col("n") > WHOLE // 8, F.col("comp")).otherwise(-1 - F.pmod(F.xxhash64("comp"), F.lit(tasks)))
+    dealt = found.join(size.where(F.col("n") <= WHOLE).select("comp", task.alias("task")), "comp").select("task", "src", "dst")
+
+    def run(table: pa.Table) -> pa.Table:
+        v, core, at = peel(table["src"].to_numpy(), table["dst"].to_numpy())
+        return pa.table({"v": v, "core": core, "round": at})
+
+    whole = dealt.groupBy("task").applyInArrow(run, "v bigint, core bigint, round int")
+    if not largest or largest <= WHOLE:
+        return whole, None
+    return whole, cut(symmetrise(found.join(size.where(F.col("n") > WHOLE).select("comp"), "comp", "left_semi")))
 
 
 def _with_all(edges: DataFrame, found: DataFrame) -> DataFrame:
@@ -70,8 +132,14 @@ def peeling(edges: DataFrame) -> DataFrame:
     only edges inside a core matter. A vertex that goes has at most c neighbours left, those that go with it included: any order by
     (core, round) keeps the degeneracy's bound.
     """
-    spark = edges.sparkSession
-    both = cut(symmetrise(canonical(edges)))
+    found, rest = _whole(edges)
+    gone = cut(found if rest is None else found.union(_peeled(rest)))
+    return _with_all(edges, gone.select("v", "core")).join(gone.select("v", "round"), "v", "left").select("v", "core", F.coalesce("round", F.lit(1)).alias("round"))
+
+
+def _peeled(both: DataFrame) -> DataFrame:
+    """(v, core, round) of the vertices of symmetric edges, by joins."""
+    spark = both.sparkSession
     core = cut(_cores(both))
     ends = lambda end, c: core.select(F.col("v").alias(end), F.col("core").alias(c))
     ranked = both.join(ends("src", "cs"), "src").join(ends("dst", "cd"), "dst")
@@ -93,8 +161,7 @@ def peeling(edges: DataFrame) -> DataFrame:
         # what is gone is written once; only what is left goes on
         done.where("round is not null").select("v", "core", "round").write.mode("append").parquet(path)
         left = done.where("round is null")
-    gone = spark.read.schema("v bigint, core bigint, round int").parquet(path) if at else spark.createDataFrame([], "v bigint, core bigint, round int")
-    return _with_all(edges, gone.select("v", "core")).join(gone.select("v", "round"), "v", "left").select("v", "core", F.coalesce("round", F.lit(1)).alias("round"))
+    return spark.read.schema("v bigint, core bigint, round int").parquet(path) if at else spark.createDataFrame([], "v bigint, core bigint, round int")
 
 
 def degeneracy_order(edges: DataFrame) -> DataFrame:

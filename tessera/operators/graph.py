@@ -9,12 +9,17 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A neighbour-list side of at most so many entries (8 bytes each) may be broadcast.
 BROADCAST_ENTRIES = 2_000_000
+#: Edges that a task links at a time.
+LINK_EDGES = 1_000_000
 #: Ids may run up to so many times the number of vertices that have edges (and SPARE more) before vertices() asks for dense ones.
 SPARSE, SPARE = 64, 1 << 20
 
@@ -174,13 +179,54 @@ def degree_oriented(edges: DataFrame) -> DataFrame:
     return e.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("dst"))
 
 
+def least_labels(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices of edges, ascending, and the least one that each is linked with."""
+    names, flat = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    s, d = flat[: len(src)], flat[len(src) :]
+    label = np.arange(len(names))
+    while len(s):
+        a, b = label[s], label[d]
+        open_ = a != b
+        s, d, a, b = s[open_], d[open_], a[open_], b[open_]
+        least = np.minimum(a, b)
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        while not np.array_equal(up := label[label], label):
+            label = up
+    return names, names[label]
+
+
+def forests(edges: DataFrame) -> DataFrame:
+    """(src, dst): fewer edges that link the same vertices. Ranges of ids are linked by themselves; what is left is a vertex and the least one it is linked with there."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        src, dst = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        more: list[pa.RecordBatch] = []
+
+        def linked() -> tuple[np.ndarray, np.ndarray]:
+            v, least = least_labels(*(np.concatenate([x, *(b[c].to_numpy() for b in more)]) for x, c in ((src, "src"), (dst, "dst"))))
+            return v[v != least], least[v != least]
+
+        for batch in batches:
+            more.append(batch)
+            if sum(b.num_rows for b in more) >= LINK_EDGES:
+                src, dst = linked()
+                more = []
+        src, dst = linked()
+        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.repartitionByRange(n, "src").select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).mapInArrow(link, "src bigint, dst bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, comp): the least vertex reachable over undirected edges, for vertices with edges.
 
-    A round takes the least label among the neighbours, then that label's own
+    Ranges of ids are linked by themselves first, which leaves some edges a vertex. A round then takes the least label among
+    the neighbours, then that label's own
     label; labels jump, so rounds grow with the logarithm of the longest path.
     """
-    both = cut(symmetrise(no_loops(edges)).distinct())
+    both = cut(symmetrise(forests(cut(no_loops(edges).select("src", "dst")))))
     rounds = Rounds(edges.sparkSession)
     comp = rounds.cut(both.groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("m")).select("v", F.least("v", "m").alias("comp")))
     while True:
