@@ -23,8 +23,14 @@ CHUNK = 1 << 20
 # chunked bitmaps
 
 
-def bitmaps(rows: DataFrame, keys: list[str], element: str = "x") -> DataFrame:
-    """(keys, bucket, bitmap) of (keys, element) rows, repeated ones too."""
+def bitmaps(rows: DataFrame, keys: list[str], element: str = "x", dealt: list[str] | None = None) -> DataFrame:
+    """(keys, bucket, bitmap) of (keys, element) rows, repeated ones too.
+
+    With dealt, some of the keys, rows are dealt by these first, and a bitmap is made once: where sets are many and small,
+    the bitmaps that tasks would combine take far more room than the rows. Without, tasks combine first: for few and large sets.
+    """
+    if dealt:
+        rows = rows.select(*keys, element).repartition(*dealt)
     return rows.groupBy(*keys, F.bitmap_bucket_number(element).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(element)).alias("bitmap"))
 
 

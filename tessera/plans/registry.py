@@ -318,7 +318,7 @@ def bitmap_rollup(spark, sf_dir):
 @query("SELECT v, count(*)::BIGINT AS n FROM (SELECT l_suppkey AS v, l_partkey FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) = 3) GROUP BY 1")
 def bitmap_intersect(spark, sf_dir):
     """How many parts each supplier has under all three flags."""
-    chunks = bitmaps.bitmaps(_table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_returnflag"], "l_partkey")
+    chunks = bitmaps.bitmaps(_table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_returnflag"], "l_partkey", dealt=["l_suppkey"])
     return bitmaps.bitmap_sizes(bitmaps.bitmap_intersection(chunks, ["l_suppkey"], 3).withColumnRenamed("l_suppkey", "v"), ["v"])
 
 

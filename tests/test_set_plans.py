@@ -223,3 +223,17 @@ def test_extension_keeps_intermediates_small(spark):
         final = matching.extend_pattern(matching.label_lists(both), lab, p, counts, sizes, steps).count()
         assert final == len(plain_matches(pairs, labels, p)) if len(p.labels) < 4 else True
         assert max(s.count() for s in steps) <= final + min(sizes.values())
+
+
+def test_small_sets_are_dealt_before_they_are_bitmaps(spark):
+    """Many small sets: their rows are shuffled, once, and no bitmap is."""
+    import re
+
+    from tessera.functions import bitmaps
+
+    rows = spark.range(3000).selectExpr("id % 500 AS k", "id % 3 AS f", "id * 7 % 1000 AS x")
+    dealt, combined = (bitmaps.bitmap_intersection(bitmaps.bitmaps(rows, ["k", "f"], dealt=d), ["k"], 3) for d in (["k"], None))
+    as_set = lambda df: {(r["k"], r["n"]) for r in bitmaps.bitmap_sizes(df, ["k"]).collect()}
+    assert as_set(dealt) == as_set(combined)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(k", plan)) == 1
