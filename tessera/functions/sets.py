@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import deal
+
 WIDTH = 32
 
 
@@ -103,10 +105,10 @@ def flip(a, start: int, end: int) -> Column:
 # bit-packed relations
 
 
-def pack(rows: DataFrame, key: str = "v", element: str = "x", width: int = WIDTH) -> DataFrame:
-    """(key, element) rows to (key, base, state)."""
-    x = F.col(element)
-    return rows.groupBy(key, F.floor(x / width).cast("bigint").alias("base")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod({element}, {width}) as int)))").alias("state"))
+def pack(rows: DataFrame, key: str = "v", element: str = "x", width: int = WIDTH, n: int | None = None) -> DataFrame:
+    """(key, element) rows, repeated ones too, to (key, base, state). n: how many rows there are, where that is known; they are then dealt by pack first."""
+    bits = rows.select(key, F.floor(F.col(element) / width).cast("bigint").alias("base"), F.expr(f"cast(pmod({element}, {width}) as int)").alias("bit"))
+    return (bits if n is None else deal(bits, n, key, "base")).groupBy(key, "base").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("state"))
 
 
 def unpack(packs: DataFrame, key: str = "v", element: str = "x", width: int = WIDTH) -> DataFrame:

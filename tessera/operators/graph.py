@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 BROADCAST_ENTRIES = 2_000_000
 #: Edges that a task links at a time.
 LINK_EDGES = 1_000_000
+#: Rows that deal() gives a task.
+TASK_ROWS = 1_000_000
 #: Ids may run up to so many times the number of vertices that have edges (and SPARE more) before vertices() asks for dense ones.
 SPARSE, SPARE = 64, 1 << 20
 
@@ -73,6 +75,11 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     return spark.table(name)
 
 
+def deal(df: DataFrame, rows: int, *keys) -> DataFrame:
+    """df, of about so many rows, dealt by keys into tasks of TASK_ROWS rows: tasks grow in number and not in size, as a number that is given isn't merged again."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
+
+
 class Levels:
     """A relation that grows level by level: each level is a folder of its own, written once, and no row is written again."""
 
@@ -107,9 +114,10 @@ def deduplicate(edges: DataFrame) -> DataFrame:
     return no_loops(edges).select("src", "dst").distinct()
 
 
-def canonical(edges: DataFrame) -> DataFrame:
-    """Undirected edges as src < dst, each once, without self-loops."""
-    return no_loops(edges).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+def canonical(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """Undirected edges as src < dst, each once, without self-loops. rows: how many edges there are, where that is known; they are then dealt first."""
+    found = no_loops(edges).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    return (found if rows is None else deal(found, rows, "src", "dst")).distinct()
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -136,13 +144,17 @@ def vertices(edges: DataFrame) -> DataFrame:
     Ids must be dense: where the largest is far beyond the number of vertices with edges, or one is negative, the ids are an error
     (operators.ids has densify_first_seen and densify_sorted).
     """
-    least, top, n = edges.agg(F.min(F.least("src", "dst")), F.max(F.greatest("src", "dst")), F.count(F.lit(1))).first()
+    # one look at the edges, which may be a plan that is dear to run
+    return _up_to(edges.sparkSession, *edges.select(F.explode(F.array("src", "dst")).alias("v")).agg(F.min("v"), F.max("v"), F.approx_count_distinct("v")).first())
+
+
+def _up_to(spark: SparkSession, least: int | None, top: int | None, n: int) -> DataFrame:
+    """(v): 0 to the largest id; n: how many vertices have edges."""
     if top is None:
-        return edges.sparkSession.range(0).toDF("v")
-    # no more vertices have edges than twice the edges, so only a larger id is worth the count of those that have
-    if least < 0 or top > SPARSE * 2 * n + SPARE or top > SPARE and top > SPARSE * symmetrise(edges).agg(F.approx_count_distinct("src")).first()[0] + SPARE:
+        return spark.range(0).toDF("v")
+    if least < 0 or top > SPARSE * n + SPARE:
         raise ValueError(f"ids from {least} to {top} aren't dense: number the vertices first")
-    return edges.sparkSession.range(0, top + 1).toDF("v")
+    return spark.range(0, top + 1).toDF("v")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -159,14 +171,21 @@ def adjacency_both(edges: DataFrame) -> DataFrame:
 
 
 def degrees(edges: DataFrame, every: bool = True) -> DataFrame:
-    """(v, out_deg, in_deg, deg) counting the bag as it is; every=True adds vertices without edges."""
+    """(v, out_deg, in_deg, deg) counting the bag as it is; every=True adds vertices without edges. Edges are run through once: with every=True, now."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("v"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("v"), F.lit(0).alias("o")))).alias("x")).select("x.*")
     found = ends.groupBy("v").agg(F.sum("o").alias("out_deg"), F.sum(1 - F.col("o")).alias("in_deg"))
     if every:
-        found = vertices(edges).join(found, "v", "left").select("v", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("out_deg", "in_deg")])
+        found = with_gaps(found)
     return found.withColumn("deg", F.col("out_deg") + F.col("in_deg"))
 
 
+def with_gaps(found: DataFrame) -> DataFrame:
+    """A row a vertex with edges, (v, numbers), and rows of zeros for the other vertices of vertices()."""
+    found = cut(found)
+    every = _up_to(found.sparkSession, *found.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first())
+    return cut(every.join(found, "v", "left").select("v", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in found.columns if c != "v"]))
+
+
 def degree_oriented(edges: DataFrame) -> DataFrame:
     """Canonical edges turned from the end of lower (degree, id) to the higher one.
 

@@ -42,16 +42,21 @@ def query(sql: str | None = None):
 
 # inputs
 
+#: Pairs that a row of lineitem is allowed for when pairs are dealt to tasks: orders of 1 to 7 parts make two.
+PAIRS = 3
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst), src < dst, once for each order with both parts. An order's parts are grouped and paired within it: one shuffle, no self-join."""
-    li = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("p"))
+    """(src, dst), src < dst, once for each order with both parts. An order's parts are grouped and paired within it: no self-join. Equal pairs are dealt to one task."""
+    li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    n = li.count()
+    li = graph.deal(li, n, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("p"))
     tails = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.struct(x.alias("src"), y.alias("dst")))))
-    return li.select(F.explode(tails).alias("e")).select("e.src", "e.dst")
+    return graph.deal(li.select(F.explode(tails).alias("e")).select("e.src", "e.dst"), PAIRS * n, "src", "dst")
 
 
 def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,15 +79,20 @@ def _set_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("k", F.col("x").alias("a")).join(s.select((F.col("k") - 1).alias("k"), F.col("x").alias("b")), "k")
 
 
-def _two_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _side_rows(spark: SparkSession, sf_dir: str) -> tuple[int, list[DataFrame]]:
+    """Rows of lineitem, and (v, x) on both sides, as bags."""
     li = _table(spark, sf_dir, "lineitem")
-    rows = lambda c: li.where(c).select(F.col("l_suppkey").alias("v"), F.col("l_partkey").alias("x")).distinct()
-    return rows("l_quantity <= 25"), rows("l_quantity > 25")
+    return li.count(), [li.where(c).select(F.col("l_suppkey").alias("v"), F.col("l_partkey").alias("x")) for c in ("l_quantity <= 25", "l_quantity > 25")]
+
+
+def _two_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n, (a, b) = _side_rows(spark, sf_dir)
+    return graph.deal(a, n, "v", "x").distinct(), graph.deal(b, n, "v", "x").distinct()
 
 
 def _packed_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    a, b = _two_sides(spark, sf_dir)
-    return sets.pack(a), sets.pack(b)
+    n, (a, b) = _side_rows(spark, sf_dir)
+    return sets.pack(a, n=n), sets.pack(b, n=n)
 
 
 def _text(c):
