@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 
 from tessera.functions.sets import WIDTH
 from tessera.operators.cores import dense_positions
-from tessera.operators.graph import degrees
+from tessera.operators.graph import cut, deal, degrees, with_gaps
 
 
 def packed_sides(edges: DataFrame, width: int = WIDTH) -> DataFrame:
     """(v, out_deg, in_deg, deg, po, pi) of every vertex: degrees of the bag, and packs of its out- and in-list."""
-    pack = lambda a, b: edges.groupBy(F.col(a).alias("v")).agg(F.count_distinct(F.floor(F.col(b) / width)).alias("p"))
-    return degrees(edges).join(pack("src", "dst").withColumnRenamed("p", "po"), "v", "left").join(pack("dst", "src").withColumnRenamed("p", "pi"), "v", "left").fillna(0, ["po", "pi"])
+    edges = cut(edges.select("src", "dst"))
+    end = lambda side, v, w: F.struct(F.col(v).alias("v"), F.lit(side).alias("out"), F.floor(F.col(w) / width).alias("base"))
+    ends = edges.select(F.explode(F.array(end(1, "src", "dst"), end(0, "dst", "src"))).alias("x")).select("x.*")
+    packs = deal(ends, 2 * edges.count(), "v").groupBy("v", "out", "base").agg(F.count(F.lit(1)).alias("n"))
+    n = lambda out, x: F.sum(F.when(F.col("out") == out, x).otherwise(0))
+    found = packs.groupBy("v").agg(n(1, F.col("n")).alias("out_deg"), n(0, F.col("n")).alias("in_deg"), n(1, F.lit(1)).alias("po"), n(0, F.lit(1)).alias("pi"))
+    return with_gaps(found).select("v", "out_deg", "in_deg", (F.col("out_deg") + F.col("in_deg")).alias("deg"), "po", "pi")
 
 
 def ratio_metrics() -> dict[str, Column]:
@@ -39,7 +44,10 @@ def big_nodes(edges: DataFrame, ratio: float) -> DataFrame:
     Only the degrees are ranked: one row a distinct degree is summed up in one
     task, and ties at the edge are dealt by ids.
     """
-    deg = degrees(edges).select("v", "deg")
+    return _biggest(degrees(edges).select("v", "deg"), ratio)
+
+
+def _biggest(deg: DataFrame, ratio: float) -> DataFrame:
     levels = deg.groupBy("deg").agg(F.count(F.lit(1)).alias("n"))
     run = levels.withColumn("before", F.coalesce(F.sum(F.col("deg") * F.col("n")).over(W.orderBy(F.desc("deg")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     goal = F.lit(ratio) * F.sum(F.col("deg") * F.col("n")).over(W.partitionBy())
@@ -53,7 +61,7 @@ def big_nodes(edges: DataFrame, ratio: float) -> DataFrame:
 def big_node_stats(edges: DataFrame, ratio: float) -> DataFrame:
     """One row over big_nodes(): count, share of all vertices, mean and variance of the degree, (out, in) degrees of the first and the last of the run."""
     deg = degrees(edges)
-    rows = big_nodes(edges, ratio).join(deg.select("v", "out_deg", "in_deg"), "v")
+    rows = _biggest(deg.select("v", "deg"), ratio).join(deg.select("v", "out_deg", "in_deg"), "v")
     ends = F.struct("out_deg", "in_deg")
     s = rows.agg(
         F.count(F.lit(1)).alias("n"), F.avg("deg").alias("avg_deg"), F.var_pop("deg").alias("var_deg"),
