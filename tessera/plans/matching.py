@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import BROADCAST_ENTRIES, canonical, cut, symmetrise
+from tessera.operators.graph import BROADCAST_ENTRIES, canonical, cut, deal, symmetrise
 from tessera.sources.text import Pattern
 
 #: Lists are parted by their elements' high bits, so none has more than 2**PREFIX elements.
@@ -50,7 +50,8 @@ def join_order(pattern: Pattern, counts: dict[int, int]) -> list[int] | None:
 
 def labelled_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(src, dst, ls, ld): both directions with the ends' labels."""
-    both = symmetrise(canonical(edges))
+    edges = cut(edges.select("src", "dst"))
+    both = symmetrise(canonical(edges, edges.count()))
     one = labels.select("vertex", "label")
     return both.join(one.withColumnsRenamed({"vertex": "src", "label": "ls"}), "src").join(one.withColumnsRenamed({"vertex": "dst", "label": "ld"}), "dst")
 
@@ -190,8 +191,9 @@ def match_packed(edges: DataFrame, labels: DataFrame, pattern: Pattern) -> DataF
     names = [f"m{u}" for u in range(len(pattern.labels))]
     if order is None:
         return edges.sparkSession.createDataFrame([], ", ".join(f"{n} bigint" for n in names) or "m0 bigint")
-    both = labelled_edges(edges, labels)
-    packs = cut(both.groupBy(F.col("src").alias("v"), F.col("ld").alias("label"), F.floor(F.col("dst") / sets.WIDTH).cast("bigint").alias("base")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(dst, {sets.WIDTH}) as int)))").alias("state")))
+    both = cut(labelled_edges(edges, labels))
+    bits = both.select(F.col("src").alias("v"), F.col("ld").alias("label"), F.floor(F.col("dst") / sets.WIDTH).cast("bigint").alias("base"), F.expr(f"cast(pmod(dst, {sets.WIDTH}) as int)").alias("bit"))
+    packs = cut(deal(bits, both.count(), "v", "label", "base").groupBy("v", "label", "base").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("state")))
     rows = labels.where(F.col("label") == pattern.labels[order[0]]).select(F.col("vertex").alias(f"m{order[0]}"))
     for k, u in enumerate(order[1:], 1):
         bound = order[:k]
