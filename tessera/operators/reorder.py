@@ -42,6 +42,7 @@ def degree_order(edges: DataFrame, descending: bool = True) -> DataFrame:
 
 def bfs_levels(edges: DataFrame) -> DataFrame:
     """(v, root, level): breadth-first levels over edges taken both ways, from the least vertex of each component. Vertices without edges are their own roots."""
+    edges = cut(edges.select("src", "dst"))
     comp = cut(components(edges))
     both = cut(symmetrise(edges).where("src <> dst").distinct())
     levels = Levels(edges.sparkSession, "v bigint, root bigint, level int")
@@ -59,17 +60,20 @@ def _front(level: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(level) if rows <= BROADCAST_ROWS else level
 
 
-def _discovery(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+def _discovery(arcs: DataFrame, ranks: DataFrame) -> DataFrame:
     """(v, position) in order of breadth-first discovery over out-edges, as a queue would find them.
 
-    ranks: (v, s, c), each vertex's own places among sources and among the
+    arcs: each once, materialised. ranks: (v, s, c), each vertex's own places among sources and among the
     children of a vertex. A vertex belongs to the least source that reaches it;
     of a level, vertices come by their first parent, then as its children.
+    Vertices without arcs are their own sources and take no part in rounds.
     """
-    spark = edges.sparkSession
-    arcs = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    spark = arcs.sparkSession
+    arcs = arcs.where("src <> dst")
+    ends = symmetrise(arcs).select(F.col("src").alias("v"), F.lit(True).alias("linked")).distinct()
+    ranks = cut(ranks.join(ends, "v", "left").select("v", "s", "c", "linked"))
     rounds = Rounds(spark)
-    seen = rounds.cut(ranks.select("v", "s", "c", F.col("s").alias("root"), F.col("s").alias("old")))
+    seen = rounds.cut(ranks.where("linked").select("v", "s", "c", F.col("s").alias("root"), F.col("s").alias("old")))
     while True:
         near = arcs.join(seen.select(F.col("v").alias("src"), "root"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("root").alias("m"))
         step = seen.select("v", "s", "c", F.col("root").alias("old")).join(near, "v", "left").select("v", "s", "c", "old", F.least("old", "m").alias("root"))
@@ -91,7 +95,8 @@ def _discovery(edges: DataFrame, ranks: DataFrame) -> DataFrame:
         reach = arcs.join(_front(front.select(F.col("v").alias("src"), "pos"), found), "src")
         new = reach.groupBy(F.col("dst").alias("v"), "root", "c").agg(F.min("pos").alias("parent")).join(levels.last(back).select("v"), "v", "left_anti")
         found = levels.add(new.select("v", "root", F.lit(at).alias("level"), "parent", "c"))
-    return dense_positions(levels.last(), ["root", "level", "parent", "c"]).select("v", "position")
+    alone = ranks.where("linked is null").select("v", F.col("s").alias("root"), F.lit(0).alias("level"), F.col("s").alias("parent"), "c")
+    return dense_positions(levels.last().union(alone), ["root", "level", "parent", "c"]).select("v", "position")
 
 
 def _numbered(level: DataFrame, rows: int) -> DataFrame:
@@ -101,22 +106,30 @@ def _numbered(level: DataFrame, rows: int) -> DataFrame:
     return dense_positions(level, ["parent", "c"], "pos").select("v", "pos")
 
 
+def _arcs(edges: DataFrame) -> DataFrame:
+    """Directed edges, each once. Materialised: what comes after runs through them often."""
+    return cut(edges.select("src", "dst").distinct())
+
+
 def bfs_order(edges: DataFrame) -> DataFrame:
     """Breadth first, sources and children by id."""
-    ranks = vertices(edges).select("v", F.col("v").alias("s"), F.col("v").alias("c"))
-    return _discovery(edges, ranks).select(F.col("v").alias("org_id"), F.col("position").alias("new_id"))
+    arcs = _arcs(edges)
+    ranks = vertices(arcs).select("v", F.col("v").alias("s"), F.col("v").alias("c"))
+    return _discovery(arcs, ranks).select(F.col("v").alias("org_id"), F.col("position").alias("new_id"))
 
 
 def bfs_degree_order(edges: DataFrame) -> DataFrame:
     """Breadth first, sources by falling number of distinct out-neighbours."""
-    ranks = dense_positions(degrees(edges.distinct()), [F.desc("out_deg"), F.col("v")], "s").select("v", "s", F.col("v").alias("c"))
-    return _discovery(edges, ranks).select(F.col("v").alias("org_id"), F.col("position").alias("new_id"))
+    arcs = _arcs(edges)
+    ranks = dense_positions(degrees(arcs), [F.desc("out_deg"), F.col("v")], "s").select("v", "s", F.col("v").alias("c"))
+    return _discovery(arcs, ranks).select(F.col("v").alias("org_id"), F.col("position").alias("new_id"))
 
 
 def rcm_order(edges: DataFrame) -> DataFrame:
     """Reverse Cuthill-McKee: sources and children by rising degree without repeats, numbered from the end."""
-    ranks = dense_positions(degrees(edges.distinct()), ["deg", "v"], "s").select("v", "s", F.col("s").alias("c"))
-    found = _discovery(edges, ranks)
+    arcs = _arcs(edges)
+    ranks = dense_positions(degrees(arcs), ["deg", "v"], "s").select("v", "s", F.col("s").alias("c"))
+    found = _discovery(arcs, ranks)
     return dense_positions(found, [F.desc("position")], "new_id").select(F.col("v").alias("org_id"), "new_id")
 
 
@@ -125,8 +138,8 @@ def first_touch_order(edges: DataFrame) -> DataFrame:
 
     Out-lists weigh their vertex by its out-degree and their members by in-degree, in-lists the other way round.
     """
-    arcs = cut(edges.select("src", "dst").distinct())
-    rank = rcm_order(edges).select(F.col("org_id").alias("v"), F.col("new_id").alias("rank"))
+    arcs = _arcs(edges)
+    rank = rcm_order(arcs).select(F.col("org_id").alias("v"), F.col("new_id").alias("rank"))
     nodes = cut(degrees(arcs).join(rank, "v"))
     touch = lambda hub, w, side, d: arcs.join(nodes.select(F.col("v").alias(hub), F.col(d).alias("n"), "rank"), hub).select(F.col(w).alias("v"), F.struct((-F.col("n")).alias("n"), F.col("rank").alias("hub"), F.lit(side).alias("side")).alias("list"))
     first = touch("src", "dst", 0, "out_deg").union(touch("dst", "src", 1, "in_deg")).groupBy("v").agg(F.min("list").alias("list"))
@@ -137,6 +150,7 @@ def first_touch_order(edges: DataFrame) -> DataFrame:
 
 def hybrid_order(edges: DataFrame) -> DataFrame:
     """By falling degree; ties by breadth-first discovery."""
+    edges = cut(edges.select("src", "dst"))
     found = bfs_order(edges).withColumnsRenamed({"org_id": "v", "new_id": "bfs"})
     rows = degrees(edges).join(found, "v")
     return dense_positions(rows, [F.desc("deg"), F.col("bfs")], "new_id").select(F.col("v").alias("org_id"), "new_id")
