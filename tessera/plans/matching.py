@@ -48,10 +48,9 @@ def join_order(pattern: Pattern, counts: dict[int, int]) -> list[int] | None:
     return order if len(order) == len(pattern.labels) else None
 
 
-def labelled_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(src, dst, ls, ld): both directions with the ends' labels."""
-    edges = cut(edges.select("src", "dst"))
-    both = symmetrise(canonical(edges, edges.count()))
+def labelled_edges(edges: DataFrame, labels: DataFrame, rows: int | None = None) -> DataFrame:
+    """(src, dst, ls, ld): both directions with the ends' labels. rows: as canonical() takes it."""
+    both = symmetrise(canonical(edges, rows))
     one = labels.select("vertex", "label")
     return both.join(one.withColumnsRenamed({"vertex": "src", "label": "ls"}), "src").join(one.withColumnsRenamed({"vertex": "dst", "label": "ld"}), "dst")
 
@@ -166,7 +165,8 @@ def extend_pattern(lists: DataFrame, labels: DataFrame, pattern: Pattern, counts
 def match_patterns(edges: DataFrame, labels: DataFrame, patterns: list[Pattern], strategy: str = "extend") -> list[DataFrame]:
     """One DataFrame of embeddings a pattern."""
     counts = label_counts(labels, patterns)
-    both = cut(labelled_edges(edges, labels))
+    edges = cut(edges.select("src", "dst"))
+    both = cut(labelled_edges(edges, labels, edges.count()))
     if strategy == "join":
         return [match_pattern(both, labels, p, counts) for p in patterns]
     if strategy != "extend":
@@ -191,9 +191,11 @@ def match_packed(edges: DataFrame, labels: DataFrame, pattern: Pattern) -> DataF
     names = [f"m{u}" for u in range(len(pattern.labels))]
     if order is None:
         return edges.sparkSession.createDataFrame([], ", ".join(f"{n} bigint" for n in names) or "m0 bigint")
-    both = cut(labelled_edges(edges, labels))
+    edges = cut(edges.select("src", "dst"))
+    n = edges.count()
+    both = labelled_edges(edges, labels, n)
     bits = both.select(F.col("src").alias("v"), F.col("ld").alias("label"), F.floor(F.col("dst") / sets.WIDTH).cast("bigint").alias("base"), F.expr(f"cast(pmod(dst, {sets.WIDTH}) as int)").alias("bit"))
-    packs = cut(deal(bits, both.count(), "v", "label", "base").groupBy("v", "label", "base").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("state")))
+    packs = cut(deal(bits, 2 * n, "v", "label", "base").groupBy("v", "label", "base").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("state")))
     rows = labels.where(F.col("label") == pattern.labels[order[0]]).select(F.col("vertex").alias(f"m{order[0]}"))
     for k, u in enumerate(order[1:], 1):
         bound = order[:k]
