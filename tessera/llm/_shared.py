@@ -112,6 +112,9 @@ class TwoTurns:
     def __len__(self) -> int:
         return len(self.now) + len(self.old)
 
+    def clear(self) -> None:
+        self.now, self.old = {}, {}
+
     def look_up(self, keys: list) -> list:
         """A value for each of the (distinct) keys."""
         out = list(map(self.now.get, keys))

@@ -10,10 +10,11 @@ them distinct. Decoding reads nothing but ids: they are cut before each piece th
 a marker (and at line ends, stops and commas), every distinct run of ids is decoded once by the library, and the
 texts are joined by position.
 
-Both tables live in the Python worker, serve all its tasks and hold at most
-TABLE_CHUNKS entries, so memory is bounded; no occurrence is shuffled. Arrow
-parts the texts, finds what is distinct and puts ids and texts in place. A
-model whose pieces do cross markers, or that rewrites text, is refused.
+Both tables live in the Python worker and hold at most TABLE_CHUNKS entries, so
+memory is bounded; no occurrence is shuffled. They serve a task and are emptied
+after it: a worker lives on into other stages. Arrow parts the texts, finds
+what is distinct and puts ids and texts in place. A model whose pieces do cross
+markers, or that rewrites text, is refused.
 
 Defined cases: null is the empty text, which has begin and end ids alone;
 null ids decode to the empty text; an empty table gives no rows; texts are whole
@@ -33,11 +34,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import TwoTurns, arrow_slices, distinct, spread
+from tessera.llm._shared import TwoTurns, arrow_slices, distinct, give_back, spread
 
-TABLE_CHUNKS = 240_000
+TABLE_CHUNKS = 60_000
 #: Bytes of text that are taken to chunks at a time.
-SLICE = 1 << 20
+SLICE = 1 << 19
 MARK = "▁"
 #: Between chunks, and at the head of one that has no marker, while Arrow parts texts without these characters; Python parts the others.
 _CUT, _BARE = "\uf8f0", "\uf8f1"
@@ -175,6 +176,12 @@ class ChunkTable:
         out[inside] = self.marked[flat[at[inside]]]
         return out
 
+    def clear(self) -> None:
+        """Forget what was learned of texts; the model stays."""
+        self.table.clear()
+        self.texts.clear()
+        give_back()
+
     def encode(self, texts: list[str], bos: bool, eos: bool) -> list[list[int]]:
         flat, bounds = self.encode_array(pa.array(texts, pa.string()), bos, eos)
         return [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
@@ -207,10 +214,15 @@ def encode_pieces(docs: DataFrame, model_path: str, bos: bool = True, eos: bool
     @F.arrow_udf(f"ids {'array<int>' if as_list else 'binary'}, decoded string")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = chunk_table(model_path)
-        for texts in batches:
-            for (group,) in arrow_slices(texts, size=SLICE):
-                flat, bounds = table.encode_array(group, bos, eos)
-                yield pa.StructArray.from_arrays([_array(flat, bounds, as_list), table.decode_array(flat, bounds)], ["ids", "decoded"])
+        try:
+            for texts in batches:
+                for (group,) in arrow_slices(texts, size=SLICE):
+                    flat, bounds = table.encode_array(group, bos, eos)
+                    yield pa.StructArray.from_arrays([_array(flat, bounds, as_list), table.decode_array(flat, bounds)], ["ids", "decoded"])
+                    del flat, bounds
+                    give_back()
+        finally:
+            table.clear()
 
     out = docs.withColumn("_tsr_out", encoded(F.coalesce(F.col("text"), F.lit(""))))
     return out.withColumns({"ids": F.col("_tsr_out.ids"), "decoded": F.col("_tsr_out.decoded")}).drop("_tsr_out")
@@ -222,7 +234,10 @@ def decode_pieces(rows: DataFrame, model_path: str) -> DataFrame:
     @F.arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = chunk_table(model_path)
-        for lists in batches:
-            yield pa.array(table.decode([x or [] for x in lists.to_pylist()]), pa.string())
+        try:
+            for lists in batches:
+                yield pa.array(table.decode([x or [] for x in lists.to_pylist()]), pa.string())
+        finally:
+            table.clear()
 
     return rows.withColumn("decoded", decoded("ids"))

@@ -3,6 +3,7 @@
 import brute
 import corpus_pipeline
 import sentencepiece
+from pyspark.sql import functions as F
 
 from tessera.llm import quality_gam, queries
 
@@ -73,3 +74,22 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0
+
+
+def test_workers_keep_no_table(spark):
+    """A Python worker serves later stages too: what the encoder learned of texts goes with its task."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tessera.llm import pieces
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(8)
+    out = pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    assert pieces.decode_pieces(out.select("ids", F.col("decoded").alias("was")), public_tokenizers.path("piece_bpe_32k.model")).where("decoded <> was").count() == 0
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"models": [len(pieces._tables)], "entries": [sum(len(t.table) + len(t.texts) for t in pieces._tables.values())]})
+
+    left = spark.range(0, 64, 1, 16).mapInArrow(held, "models bigint, entries bigint").agg(F.max("models"), F.max("entries")).first()
+    assert left[0] == 1 and left[1] == 0
