@@ -50,3 +50,11 @@ def test_packed_matches_in_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(graph, "TASK_ROWS", 500)
     same = [sorted(tuple(r) for r in registry.QUERIES[q](spark, SF).collect()) for q in ("sm_triangle", "sm_triangle_packed")]
     assert same[0] == same[1]
+
+
+@pytest.mark.parametrize("name", ["relabel_edges", "relabel_queries", "order_degree_asc", "order_degree_desc"])
+def test_repeated_pairs_in_many_tasks(spark, monkeypatch, name):
+    want = sorted(tuple(r) for r in registry.QUERIES[name](spark, SF).collect())
+    monkeypatch.setattr(graph, "TASK_ROWS", 300)
+    assert tasks(registry.repeat_graph(spark, SF)) > 30
+    assert sorted(tuple(r) for r in registry.QUERIES[name](spark, SF).collect()) == want
