@@ -51,6 +51,8 @@ WORDS, REGISTERS, MANTISSA = 5, 192, 10
 MISS = 1e-6
 #: Shingles in a block of the full comparison; a member counts as 256 more, so a block has at most 1,024 of them.
 BLOCK, MEMBER = 1 << 18, 256
+#: Links that a task joins at a time.
+LINKS = 100_000
 
 _rng = np.random.default_rng(20)
 _MULT = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
@@ -143,13 +145,48 @@ def _short(node: Column) -> Column:
     return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long")
 
 
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, comp) of the links (a, b) of a task: each node and the least one it is linked with here. Links are gathered by LINKS, of those before a row a node stays."""
+    seen, known, rows = [], (np.empty(0, object), np.empty(0, object)), 0
+
+    def join() -> tuple[np.ndarray, np.ndarray]:
+        sides = ([x, *(b[c].to_numpy(zero_copy_only=False) for b in seen)] for x, c in zip(known, ("a", "b")))
+        a, b = map(np.concatenate, sides)
+        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label, left, right = np.arange(len(names)), at[: len(a)], at[len(a) :]
+        while len(left):
+            x, y = label[left], label[right]
+            apart = x != y
+            left, right, x, y = left[apart], right[apart], x[apart], y[apart]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(up := label[label], label):
+                label = up
+        return names, names[label]
+
+    for batch in batches:
+        seen.append(batch)
+        rows += batch.num_rows
+        if rows >= LINKS:
+            known, seen, rows = join(), [], 0
+    nodes, comps = join() if seen else known
+    for at in range(0, len(nodes), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 10_000], pa.binary()) for x in (nodes, comps)], ["node", "comp"])
+    give_back()
+
+
 def _components(links: DataFrame) -> DataFrame:
-    """(node, comp) of every linked node; comp is the least node reachable. links: (a, b).
+    """(node, comp) of every linked node; comp is the least node reachable. links: materialised (a, b).
 
-    Each round takes the least label among neighbours and then that label's
-    own label, so the number of rounds grows with the logarithm of a chain.
+    Tasks of some LINKS links join these by themselves, without an exchange; of
+    one task, that is all. Else each round takes the least label among
+    neighbours and then that label's own label, so the number of rounds grows
+    with the logarithm of a chain.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
+    tasks = max(1, -(-links.count() // LINKS))
+    own = cut(links.select("a", "b").coalesce(tasks).mapInArrow(_linked, "node binary, comp binary"))
+    if tasks == 1:
+        return own
+    both = cut(own.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(own.select("comp", "node")).distinct())
     comp = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
     while True:
         near = both.join(comp, both["b"] == comp["node"]).groupBy("a").agg(F.min("comp").alias("m"))
@@ -296,6 +333,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     groups = near_duplicates(docs.select("doc_id", "text"), percent)
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_tsr_id"), F.col("_tsr_text").alias("_tsr_key")).distinct()
-    small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    gone = F.broadcast(gone) if small else gone
+    # once: counted and joined from a table, not from the groups' plan
+    gone = cut(gone)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_tsr_id")) & (F.xxhash64(docs["text"]) == F.col("_tsr_key")), "left_anti")

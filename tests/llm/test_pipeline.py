@@ -93,3 +93,38 @@ def test_workers_keep_no_table(spark):
 
     left = spark.range(0, 64, 1, 16).mapInArrow(held, "models bigint, entries bigint").agg(F.max("models"), F.max("entries")).first()
     assert left[0] == 1 and left[1] == 0
+
+
+def test_near_duplicates_in_few_jobs(spark, monkeypatch):
+    """The driver keeps something of every job and task: a long chain of links takes no round each time it halves, and who goes is found out once."""
+    import random
+    from itertools import count
+
+    from tessera.llm import near_dups
+
+    links = [(b"%04d" % i, b"%04d" % (i + 1)) for i in range(0, 600) if i % 200]
+    links += [(b, a) for a, b in links[::3]] + links[:50]
+    random.Random(1).shuffle(links)
+    table = near_dups.cut(spark.createDataFrame(links, "a binary, b binary").repartition(8))
+    numbers = count()
+
+    def run(make):
+        group = f"few jobs {next(numbers)}"
+        spark.sparkContext.setJobGroup(group, group)
+        out = make()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    want = {b"%04d" % i: b"%04d" % (i - (i - 1) % 200) for i in range(1, 601)}
+    got, jobs = run(lambda: near_dups._components(table).collect())
+    assert {bytes(r["node"]): bytes(r["comp"]) for r in got} == want and len(got) == len(want) and jobs <= 4
+    for n in (7, 150):  # several tasks, and several turns in one
+        monkeypatch.setattr(near_dups, "LINKS", n)
+        got = near_dups._components(table).collect()
+        assert {bytes(r["node"]): bytes(r["comp"]) for r in got} == want and len(got) == len(want)
+    monkeypatch.undo()
+    assert near_dups._components(near_dups.cut(table.limit(0))).count() == 0
+
+    docs = spark.createDataFrame([(i, f"one two three four five six seven eight nine {i // 2}") for i in range(40)], "doc_id bigint, text string")
+    kept = near_dups.drop_near_duplicates(docs, 80)
+    rest, jobs = run(kept.collect)
+    assert {r["doc_id"] for r in rest} == set(range(0, 40, 2)) and jobs <= 3
