@@ -3,9 +3,11 @@
 Ids are dealt into ranges of about equal numbers of edge ends; the edges between two
 ranges are a block. A triangle a < b < c of the ranges i <= j <= k lies in the cell of the three
 blocks (i, j), (i, k), (j, k), and a cell is there only if none of them is empty: where ids near each other
-are linked, nearly all cells are not, and an edge goes to a few cells however large the graph is. The coarsest ranges
-whose cells are small enough are taken; where no ranges serve (ids say nothing about links, or
-a block stays too large) there is no plan, and callers join instead.
+are linked, nearly all cells are not, and an edge goes to a few cells however large the graph is. Where ids say nothing about links, it goes to about as
+many cells as there are ranges, about sqrt(6 E / edges of a cell), so a block is packed once and travels as bytes: two or three
+an edge and cell. The coarsest ranges
+whose cells are small enough are taken; where no ranges serve (a block stays too large, or
+the ranges are too many) there is no plan, and callers join instead.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import cut
@@ -24,6 +26,8 @@ from tessera.operators.graph import cut
 CELL_EDGES, PATHS = 1_500_000, 4_000_000
 #: Steps of the id space from which ranges are made, ranges at most, cells at most, and cells that an edge may go to on average.
 STEPS, RANGES, CELLS, COPIES = 1 << 16, 512, 200_000, 16
+#: Where that would be more than COPIES: cells may have so many times the edges, and an edge may go to so many cells.
+LARGER, MORE = 4, 64
 
 
 @dataclass
@@ -34,6 +38,13 @@ class Plan:
     width: int
     part: np.ndarray
     cells: np.ndarray
+    #: edges of all cells over those that a cell may have: tasks that are due
+    full: int = 1
+
+    def bounds(self, i: int) -> tuple[int, int]:
+        """The first id of range i and how many ids it spans."""
+        steps = np.flatnonzero(self.part == i)
+        return int(self.least + steps[0] * self.width), int(steps[-1] - steps[0] + 1) * self.width
 
     def placed(self, pairs: DataFrame) -> DataFrame:
         """pairs with _i and _j, the ranges of src and dst."""
@@ -85,17 +96,21 @@ def plan(pairs: DataFrame, cell_edges: int | None = None) -> Plan | None:
     fine = before * RANGES // (2 * n)
     rows = _placed(pairs, fine, least, width).groupBy("_i", "_j").count().collect()
     i, j, k = (np.array([r[c] for r in rows], np.int64) for c in range(3))
-    parts = 2
-    while parts <= RANGES:
-        size = np.zeros((parts, parts), np.int64)
-        np.add.at(size, (i * parts // RANGES, j * parts // RANGES), k)
-        if size.max() <= cell_edges:
-            cells = _cells_of(size > 0, CELLS)
-            if cells is not None:
-                load = _load(size, cells)
-                if not len(load) or load.max() <= cell_edges:
-                    return Plan(least, width, fine * parts // RANGES, cells) if load.sum() <= COPIES * n else None
-        parts *= 2
+    for most, copies in ((cell_edges, COPIES), (LARGER * cell_edges, MORE)):
+        parts = 2
+        while parts <= RANGES:
+            size = np.zeros((parts, parts), np.int64)
+            np.add.at(size, (i * parts // RANGES, j * parts // RANGES), k)
+            cells = _cells_of(size > 0, CELLS) if size.max() <= most else None
+            load = None if cells is None else _load(size, cells)
+            if load is not None and (not len(load) or load.max() <= most):
+                if load.sum() <= copies * n:
+                    return Plan(least, width, fine * parts // RANGES, cells, -(-int(load.sum()) // most))
+                break
+            parts += max(1, parts // 8)
+        else:
+            # a block of its own that is too large
+            return None
     return None
 
 
@@ -106,14 +121,83 @@ def _load(size: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return ij + np.where(j == k, 0, ik) + np.where((i == j) | (j == k) & (i == k), 0, jk)
 
 
-def dealt(pairs: DataFrame, plan: Plan) -> DataFrame:
-    """pairs with cell, the place among the plan's cells: a row for each cell that has the edge's block."""
+def _cells_of_blocks(spark: SparkSession, plan: Plan) -> DataFrame:
+    """(_i, _j, _cells): the places of the cells that have the block."""
     at: dict[tuple[int, int], list[int]] = {}
     for cell, (i, j, k) in enumerate(plan.cells.tolist()):
         for block in {(i, j), (i, k), (j, k)}:
             at.setdefault(block, []).append(cell)
-    blocks = pairs.sparkSession.createDataFrame([(i, j, cells) for (i, j), cells in at.items()], "_i int, _j int, _cells array<int>")
-    return plan.placed(pairs).join(F.broadcast(blocks), ["_i", "_j"]).withColumn("cell", F.explode("_cells")).drop("_i", "_j", "_cells")
+    return spark.createDataFrame([(i, j, cells) for (i, j), cells in at.items()], "_i int, _j int, _cells array<int>")
+
+
+def dealt(pairs: DataFrame, plan: Plan) -> DataFrame:
+    """pairs with cell, the place among the plan's cells: a row for each cell that has the edge's block."""
+    return plan.placed(pairs).join(F.broadcast(_cells_of_blocks(pairs.sparkSession, plan)), ["_i", "_j"]).withColumn("cell", F.explode("_cells")).drop("_i", "_j", "_cells")
+
+
+def encoded(keys: np.ndarray) -> tuple[int, bytes, bytes]:
+    """Ascending numbers of 0 or more as gaps of so many bytes each, and the gaps that don't fit, in full."""
+    gaps = np.diff(keys, prepend=0)
+    width = 1 + int(np.argmin([len(gaps) * w + 8 * int((gaps >= 256**w - 1).sum()) for w in range(1, 8)]))
+    top = 256**width - 1
+    low = np.minimum(gaps, top).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return width, low.T.tobytes(), gaps[gaps >= top].astype("<i8").tobytes()
+
+
+def decoded(width: int, data: bytes, far: bytes) -> np.ndarray:
+    low = np.frombuffer(data, np.uint8).reshape(width, -1)
+    gaps = np.zeros((low.shape[1], 8), np.uint8)
+    gaps[:, :width] = low.T
+    gaps = gaps.reshape(-1).view("<i8")
+    gaps[gaps == 256**width - 1] = np.frombuffer(far, "<i8")
+    return np.cumsum(gaps)
+
+
+def pack(src: np.ndarray, dst: np.ndarray, i: tuple[int, int], j: tuple[int, int]) -> tuple[int, bytes, bytes]:
+    """A block's edges as bytes; width 0: as they are, as the ids of its ranges have no common number of 63 bits."""
+    (a, _), (b, n) = i, j
+    if i[1] * n >= 1 << 62:
+        return 0, np.stack([src, dst]).astype("<i8").tobytes(), b""
+    return encoded(np.sort((src - a) * n + (dst - b)))
+
+
+def unpack(width: int, data: bytes, far: bytes, i: tuple[int, int], j: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    if not width:
+        src, dst = np.frombuffer(data, "<i8").reshape(2, -1)
+        return src, dst
+    s, d = np.divmod(decoded(width, data, far), j[1])
+    return s + i[0], d + j[0]
+
+
+def packed(pairs: DataFrame, plan: Plan) -> DataFrame:
+    """(cell, _i, _j, width, data, far): what dealt() has, a row for each cell and block, dealt by cell."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key)
+        width, data, far = pack(table["src"].to_numpy(), table["dst"].to_numpy(), plan.bounds(i), plan.bounds(j))
+        return pa.table({"_i": pa.array([i], pa.int32()), "_j": pa.array([j], pa.int32()), "width": pa.array([width], pa.int32()), "data": pa.array([data], pa.binary()), "far": pa.array([far], pa.binary())})
+
+    rows = plan.placed(pairs.select("src", "dst")).select("_i", "_j", F.col("src").cast("bigint"), F.col("dst").cast("bigint")).groupBy("_i", "_j").applyInArrow(run, "_i int, _j int, width int, data binary, far binary")
+    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, 2 * plan.full)
+    return rows.join(F.broadcast(_cells_of_blocks(pairs.sparkSession, plan)), ["_i", "_j"]).withColumn("cell", F.explode("_cells")).drop("_cells").repartition(tasks, "cell")
+
+
+def _cell(plan: Plan, key: tuple, table: pa.Table) -> Cell:
+    ends = [unpack(r["width"], r["data"], r["far"], plan.bounds(r["_i"]), plan.bounds(r["_j"])) for r in table.to_pylist()]
+    return Cell(plan, key[0].as_py(), *(np.concatenate(x) for x in zip(*ends)))
+
+
+def _named(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids that are there, ascending, and the places of src and dst among them."""
+    ids = np.concatenate([src, dst])
+    least, top = (int(ids.min()), int(ids.max())) if len(ids) else (0, 0)
+    if top - least > 4 * len(ids) + (1 << 20):
+        names, flat = np.unique(ids, return_inverse=True)
+        return names, flat[: len(src)].astype(np.int64), flat[len(src) :].astype(np.int64)
+    there = np.zeros(top - least + 1, bool)
+    there[ids - least] = True
+    place = np.cumsum(there) - 1
+    return np.flatnonzero(there) + least, place[src - least], place[dst - least]
 
 
 def _runs(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -130,17 +214,33 @@ def _slices(n: np.ndarray) -> Iterator[slice]:
         at = to
 
 
-def _inside(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    return keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted if len(keys) else np.zeros(len(wanted), bool)
+class Keys:
+    """Ascending numbers, asked for by `in_` whether they have others. A table of hashes tells most of those that they don't."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(10, min(26, int(16 * len(keys)).bit_length())))
+        self.some = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.some[self._hash(keys)] = True
+
+    def _hash(self, x: np.ndarray) -> np.ndarray:
+        return (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def in_(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of what is there."""
+        maybe = np.flatnonzero(self.some[self._hash(wanted)])
+        if not len(self.keys) or not len(maybe):
+            return maybe[:0]
+        asked = wanted[maybe]
+        return maybe[self.keys[np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)] == asked]
 
 
 class Cell:
     """One cell's edges a -> b by places; a triangle counts if a is of range i, b of j, c of k."""
 
     def __init__(self, plan: Plan, cell: int, src: np.ndarray, dst: np.ndarray):
-        self.names, flat = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        self.names, self.s, self.d = _named(src, dst)
         self.n = len(self.names)
-        self.s, self.d = flat[: len(src)].astype(np.int64), flat[len(src) :].astype(np.int64)
         part = plan.of(self.names)
         ps, pd = part[self.s], part[self.d]
         i, j, k = plan.cells[cell]
@@ -154,6 +254,7 @@ class Cell:
         a, b = self.s[self.pairs], self.d[self.pairs]
         keys = [np.sort(self.s[x] * self.n + self.d[x]) for x in self.sides]
         starts = [np.searchsorted(x, np.arange(self.n + 1) * self.n) for x in keys]
+        sets = [Keys(x) for x in keys]
         na, nb = np.diff(starts[0])[a], np.diff(starts[1])[b]
         some = (na > 0) & (nb > 0)
         for mine, other, walk in ((0, 1, some & (na <= nb)), (1, 0, some & (nb < na))):
@@ -163,7 +264,7 @@ class Cell:
                 x, y, m = ends[mine][at], ends[other][at], n[at]
                 third = keys[mine][_runs(starts[mine][x], m)] % self.n
                 row = np.repeat(np.arange(len(m)), m)
-                hit = _inside(keys[other], y[row] * self.n + third)
+                hit = sets[other].in_(y[row] * self.n + third)
                 yield ends[0][at][row[hit]], ends[1][at][row[hit]], third[hit]
 
     def by_wedges(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -173,6 +274,7 @@ class Cell:
         rank[np.argsort(degree, kind="stable")] = np.arange(self.n)
         low, high = np.minimum(rank[self.s], rank[self.d]), np.maximum(rank[self.s], rank[self.d])
         keys = np.sort(low * self.n + high)
+        there = Keys(keys)
         first, second = keys // self.n, keys % self.n
         ends = np.searchsorted(first, first, side="right")
         at_rank = np.argsort(rank)
@@ -181,7 +283,7 @@ class Cell:
         for at in _slices(n):
             row = np.repeat(np.arange(len(keys))[at], n[at])
             other = _runs(np.arange(len(keys))[at] + 1, n[at])
-            hit = _inside(keys, second[row] * self.n + second[other])
+            hit = there.in_(second[row] * self.n + second[other])
             t = np.sort(at_rank[np.stack([first[row[hit]], second[row[hit]], second[other[hit]]])], axis=0)
             own = np.all(self.part[t] == np.array(self.wanted)[:, None], axis=0)
             yield t[0][own], t[1][own], t[2][own]
@@ -219,25 +321,25 @@ def counts(pairs: DataFrame, plan: Plan, method: str, width: int) -> DataFrame:
     """(c): triangles of each cell, by `lists`, `wedges` or `packs` of so many bits."""
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        cell = Cell(plan, key[0].as_py(), table["src"].to_numpy(), table["dst"].to_numpy())
+        cell = _cell(plan, key, table)
         n = cell.packed(width) if method == "packs" else sum(len(a) for a, _, _ in (cell.by_lists() if method == "lists" else cell.by_wedges()))
         return pa.table({"c": pa.array([n], pa.int64())})
 
-    return dealt(pairs.select("src", "dst"), plan).groupBy("cell").applyInArrow(count, "c bigint")
+    return packed(pairs, plan).groupBy("cell").applyInArrow(count, "c bigint")
 
 
 def counts_per_vertex(pairs: DataFrame, plan: Plan) -> DataFrame:
     """(v, n): a row for each cell in which v has triangles."""
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        cell = Cell(plan, key[0].as_py(), table["src"].to_numpy(), table["dst"].to_numpy())
+        cell = _cell(plan, key, table)
         n = np.zeros(cell.n, np.int64)
         for found in cell.by_lists():
             for side in found:
                 n += np.bincount(side, minlength=cell.n)
         return pa.table({"v": cell.names[n > 0], "n": n[n > 0]})
 
-    return dealt(pairs.select("src", "dst"), plan).groupBy("cell").applyInArrow(count, "v bigint, n bigint")
+    return packed(pairs, plan).groupBy("cell").applyInArrow(count, "v bigint, n bigint")
 
 
 def listed(pairs: DataFrame, plan: Plan, keys: tuple[str, str] | None = None) -> DataFrame:
@@ -245,8 +347,7 @@ def listed(pairs: DataFrame, plan: Plan, keys: tuple[str, str] | None = None) ->
 
     def found(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
-        src, dst = table["src"].to_numpy(), table["dst"].to_numpy()
-        cell = Cell(plan, key[0].as_py(), src, dst)
+        cell = Cell(plan, key[0].as_py(), table["src"].to_numpy(), table["dst"].to_numpy()) if keys else _cell(plan, key, table)
         rank = np.arange(cell.n)
         if keys:
             of = np.zeros(cell.n, np.int64)
@@ -257,7 +358,8 @@ def listed(pairs: DataFrame, plan: Plan, keys: tuple[str, str] | None = None) ->
             t = cell.names[at_rank[np.sort(rank[np.stack(t)], axis=0)]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in t], names=["a", "b", "c"])
 
-    return dealt(pairs.select("src", "dst", *(keys or ())), plan).groupBy("cell").applyInArrow(found, "a bigint, b bigint, c bigint")
+    rows = dealt(pairs.select("src", "dst", *keys), plan) if keys else packed(pairs, plan)
+    return rows.groupBy("cell").applyInArrow(found, "a bigint, b bigint, c bigint")
 
 
 def canonical_plan(pairs: DataFrame) -> tuple[DataFrame, Plan | None]:
