@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,8 +179,11 @@ def packed(pairs: DataFrame, plan: Plan) -> DataFrame:
         return pa.table({"_i": pa.array([i], pa.int32()), "_j": pa.array([j], pa.int32()), "width": pa.array([width], pa.int32()), "data": pa.array([data], pa.binary()), "far": pa.array([far], pa.binary())})
 
     rows = plan.placed(pairs.select("src", "dst")).select("_i", "_j", F.col("src").cast("bigint"), F.col("dst").cast("bigint")).groupBy("_i", "_j").applyInArrow(run, "_i int, _j int, width int, data binary, far binary")
-    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, 2 * plan.full)
-    return rows.join(F.broadcast(_cells_of_blocks(pairs.sparkSession, plan)), ["_i", "_j"]).withColumn("cell", F.explode("_cells")).drop("_cells").repartition(tasks, "cell")
+    return rows.join(F.broadcast(_cells_of_blocks(pairs.sparkSession, plan)), ["_i", "_j"]).withColumn("cell", F.explode("_cells")).drop("_cells").repartition(_tasks(pairs, plan), "cell")
+
+
+def _tasks(pairs: DataFrame, plan: Plan) -> int:
+    return max(pairs.sparkSession.sparkContext.defaultParallelism, 2 * plan.full)
 
 
 def _cell(plan: Plan, key: tuple, table: pa.Table) -> Cell:
@@ -342,26 +346,52 @@ def counts_per_vertex(pairs: DataFrame, plan: Plan) -> DataFrame:
     return packed(pairs, plan).groupBy("cell").applyInArrow(count, "v bigint, n bigint")
 
 
-def listed(pairs: DataFrame, plan: Plan, keys: tuple[str, str] | None = None) -> DataFrame:
-    """(a, b, c): every triangle, ascending; with keys, two long columns of pairs that belong to src and dst, by (key, id)."""
+def listed(pairs: DataFrame, plan: Plan, keys: DataFrame | None = None) -> DataFrame:
+    """(a, b, c): every triangle, ascending; with keys, (v, key) of every vertex that has edges, by (key, id)."""
+    ranked = keys is not None
 
     def found(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
-        cell = Cell(plan, key[0].as_py(), table["src"].to_numpy(), table["dst"].to_numpy()) if keys else _cell(plan, key, table)
+        of_vertex = pc.equal(table["_j"], -1)
+        cell = _cell(plan, key, table.filter(pc.invert(of_vertex)))
         rank = np.arange(cell.n)
-        if keys:
+        if ranked:
             of = np.zeros(cell.n, np.int64)
-            of[cell.s], of[cell.d] = table[keys[0]].to_numpy(), table[keys[1]].to_numpy()
+            for row in table.filter(of_vertex).to_pylist():
+                v, values = np.frombuffer(row["data"], "<i8").reshape(2, -1)
+                place = np.minimum(np.searchsorted(cell.names, v), cell.n - 1)
+                there = cell.names[place] == v
+                of[place[there]] = values[there]
             rank[np.argsort(of, kind="stable")] = np.arange(cell.n)
         at_rank = np.argsort(rank)
         for t in cell.by_lists():
             t = cell.names[at_rank[np.sort(rank[np.stack(t)], axis=0)]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in t], names=["a", "b", "c"])
 
-    rows = dealt(pairs.select("src", "dst", *keys), plan) if keys else packed(pairs, plan)
+    rows = packed(pairs, plan)
+    if ranked:
+        rows = rows.union(_keys_of_cells(keys, plan)).repartition(_tasks(pairs, plan), "cell")
     return rows.groupBy("cell").applyInArrow(found, "a bigint, b bigint, c bigint")
 
 
+def _keys_of_cells(keys: DataFrame, plan: Plan) -> DataFrame:
+    """Like packed(): the vertices of a range and their keys, as bytes, for each cell that has the range. _j is -1."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        data = np.stack([table["v"].to_numpy(), table["key"].to_numpy()]).astype("<i8").tobytes()
+        return pa.table({"_i": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
+
+    at: dict[int, list[int]] = {}
+    for cell, ranges in enumerate(plan.cells.tolist()):
+        for i in set(ranges):
+            at.setdefault(i, []).append(cell)
+    cells = keys.sparkSession.createDataFrame(list(at.items()), "_i int, _cells array<int>")
+    v = F.col("v").cast("bigint")
+    of = plan.placed(keys.select(v.alias("src"), v.alias("dst"), F.col("key").cast("bigint").alias("key"))).select("_i", F.col("src").alias("v"), "key")
+    rows = of.groupBy("_i").applyInArrow(run, "_i int, data binary").join(F.broadcast(cells), "_i")
+    return rows.select("_i", F.lit(-1).alias("_j"), F.lit(0).alias("width"), "data", F.lit(b"").alias("far"), F.explode("_cells").alias("cell"))
+
+
 def canonical_plan(pairs: DataFrame) -> tuple[DataFrame, Plan | None]:
     """Canonical edges as a table, and their plan."""
     pairs = cut(pairs)

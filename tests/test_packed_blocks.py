@@ -38,3 +38,28 @@ def test_ids_that_say_nothing(spark, monkeypatch):
     for method in triangles.METHODS:
         assert triangles.triangle_count(e, method, undirected=True).first()[0] == want
     assert sum(r["n"] for r in triangles.triangles_per_vertex(e).collect()) == 3 * want
+
+
+def test_roots_move_once(spark, monkeypatch):
+    """Roots are searched from rows that move once, by (degree, id) where ids say nothing; the lists and masks that were joined for them are for large states alone."""
+    from tessera.operators import cliques
+
+    rng = random.Random(9)
+    pairs = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(500)})
+    monkeypatch.setattr(blocks, "CELL_EDGES", 60)
+    monkeypatch.setattr(blocks, "COPIES", 3)
+    monkeypatch.setattr(cliques, "_searched", None)
+    monkeypatch.setattr(cliques, "ROWS", 200)
+    near = {v: {b if a == v else a for a, b in pairs if v in (a, b)} for v in range(60)}
+    want = set()
+
+    def grow(r, p, x):
+        if not p and not x:
+            want.add(tuple(sorted(r)))
+        for v in sorted(p):
+            grow([*r, v], p & near[v], x & near[v])
+            p, x = p - {v}, x | {v}
+
+    grow([], set(range(60)), set())
+    found = [tuple(r[0]) for r in cliques.maximal_cliques(spark.createDataFrame(pairs, "src bigint, dst bigint")).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
