@@ -270,6 +270,7 @@ def _by_states(both: DataFrame, order: str, most_candidates: int, most_edges: in
 
 def maximal_cliques(edges: DataFrame, strategy: str = "search", order: str = "degree", most_candidates: int = CANDIDATES, most_edges: int = EDGES) -> DataFrame:
     """(clique): ascending vertex arrays."""
+    edges = cut(edges.select("src", "dst"))
     both = cut(symmetrise(canonical(edges)))
     if strategy == "levels":
         found = _by_levels(edges)
@@ -277,7 +278,7 @@ def maximal_cliques(edges: DataFrame, strategy: str = "search", order: str = "de
         found = _by_states(both, order, most_candidates, most_edges)
     else:
         raise ValueError(f"strategy must be search or levels, not {strategy!r}")
-    single = vertices(edges).join(both.select(F.col("src").alias("v")), "v", "left_anti")
+    single = vertices(edges).join(both.select(F.col("src").alias("v")).distinct(), "v", "left_anti")
     return found.union(single.select(F.array("v").alias("clique")))
 
 
